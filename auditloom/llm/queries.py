@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, ngram_jaccard, prefix_hash, toxicity, warc_zstd
+from . import byte_bpe, language_id, mtree, ngram_jaccard, prefix_hash, toxicity, warc_zstd
 from .common import held_out
 
 
@@ -26,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
 
 
+def op4_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.learn(docs)).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
