@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mtree, ngram_jaccard, prefix_hash, toxicity, warc_zstd
+from . import byte_bpe, language_id, mtree, ngram_jaccard, pfair_mix, pii_surrogates, prefix_hash, toxicity, warc_zstd
 from .common import held_out
 
 
@@ -35,6 +35,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs)).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "place", "exact")
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "surrogate key of this corpus") -> DataFrame:
+    return pii_surrogates.replace(_table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities")
+
+
 def op7_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.neighbours(_table(spark, sf_dir, "documents"))
 
