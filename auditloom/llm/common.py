@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,10 +30,16 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.release()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001  remembered for drop()
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that have ended; it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:
