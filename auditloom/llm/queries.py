@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mtree, ngram_jaccard, pfair_mix, pii_surrogates, prefix_hash, toxicity, warc_zstd
+from . import byte_bpe, language_id, mtree, ngram_jaccard, pfair_mix, pii_surrogates, prefix_hash, toxicity, unigram_lm, warc_zstd
 from .common import held_out
 
 
@@ -20,6 +20,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_unigram_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return unigram_lm.score(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     import public_tokenizers
 
