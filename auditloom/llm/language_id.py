@@ -124,34 +124,51 @@ def learn(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "
     return fit({k: v for k, v in samples.items() if v}, order)
 
 
+def predict(trees: Trees, column) -> tuple[list, list, list]:
+    """(language, score, bits per byte) of each text of an Arrow column."""
+    import regex
+
+    letter = regex.compile(r"\p{L}").search
+    names = trees.languages
+    data, off = utf8(column)
+    lang, score, rate = [], [], []
+    for i, text in enumerate(column.to_pylist()):
+        if not names or not text or not letter(text):
+            lang.append("und")
+            score.append(0.0)
+            rate.append(None)
+            continue
+        own, total = data[off[i] : off[i + 1]], np.zeros(len(names))
+        for at in range(0, len(own), 1 << 20):  # long texts in parts, each with the bytes before it as context
+            lead = min(at, trees.order)
+            total += trees.bits(own[at - lead : at + (1 << 20)])[lead:].sum(0, dtype=np.float64)
+        k = int(total.argmin())
+        gap = np.clip((total - total[k]) * 16 / max(16, len(own)), 0, 64)
+        lang.append(names[k])
+        score.append(float(1 / np.exp2(-gap).sum()))
+        rate.append(float(total[k] / len(own)))
+    return lang, score, rate
+
+
+def keep_identified(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        for b in slices(batches, 1 << 20, text):
+            lang = predict(shared.value, b.column(b.schema.get_field_index(text)))[0]
+            yield b.filter(pa.array([x != "und" for x in lang]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte) of each row, from its whole text only."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        import regex
-
-        letter = regex.compile(r"\p{L}").search
-        t = shared.value
-        names = t.languages
-        for b in slices(batches, 1 << 18):
-            data, off = utf8(b.column(1))
-            lang, score, rate = [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                if not names or not text or not letter(text):
-                    lang.append("und")
-                    score.append(0.0)
-                    rate.append(None)
-                    continue
-                own, total = data[off[i] : off[i + 1]], np.zeros(len(names))
-                for at in range(0, len(own), 1 << 20):  # long texts in parts, each with the bytes before it as context
-                    lead = min(at, t.order)
-                    total += t.bits(own[at - lead : at + (1 << 20)])[lead:].sum(0, dtype=np.float64)
-                k = int(total.argmin())
-                gap = np.clip((total - total[k]) * 16 / max(16, len(own)), 0, 64)
-                lang.append(names[k])
-                score.append(float(1 / np.exp2(-gap).sum()))
-                rate.append(float(total[k] / len(own)))
+        for b in slices(batches):
+            lang, score, rate = predict(shared.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
