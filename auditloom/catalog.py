@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .queries import evaluation, relational, retrieval, scoring, search, statistics  # noqa: F401  (they register)
+from .queries.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
