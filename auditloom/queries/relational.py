@@ -1 +1,218 @@
-"""."""
+"""Queries of the relational core: projection, ordering, joins, sets, text, splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as fc
+from ..operators import statistics as st
+from ..sources import fixtures as fx
+from ..sources.fixtures import with_
+from .registry import query
+
+
+@query("src_split_projection", with_("gold splits", "select s.note, s.subject, s.split, count(*) n_codes from splits s join gold g on g.note=s.note where s.split='test' group by all"))
+def split_projection(spark, d):
+    s = fx.splits(spark, d).where("split = 'test'")
+    return s.join(fx.gold(spark, d).select("note", "code"), "note").groupBy("note", "subject", "split").agg(F.count("*").alias("n_codes"))
+
+
+@query("rel_code_list_per_note", with_("lines", "select note, string_agg(code, ',' order by l_linenumber, code, l_extendedprice) codes, count(*) n from lines where l_returnflag='N' group by note"))
+def code_list(spark, d):
+    g = fx.lines(spark, d).where("l_returnflag = 'N'").groupBy("note").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "code", "l_extendedprice"))).alias("x"), F.count("*").alias("n"))
+    return g.select("note", F.array_join(F.transform("x", lambda v: v["code"]), ",").alias("codes"), "n")
+
+
+@query("rel_topn_label_set", with_("gold splits", "select code, count(*) n, row_number() over (order by count(*) desc, code)-1 pos from gold join splits using (note) where split='train' group by code qualify pos < 50"))
+def topn(spark, d):
+    g = fx.gold(spark, d).where(fx.split_of(F.col("subject")) == "train")
+    return st.top_labels(g).where("pos < 50")
+
+
+@query("rel_topk_per_note", with_("pred_a", 'select note, code, "rank" from pred_a where "rank" <= 3'))
+def topk(spark, d):
+    return fx.predictions(spark, d).where("rank <= 3").select("note", "code", "rank")
+
+
+@query("rel_label_filter", with_("gold", "with top as (select code from gold group by code order by count(*) desc, code limit 50) select note, string_agg(code, ',' order by code) codes from gold where code in (from top) group by note"))
+def label_filter(spark, d):
+    g = fx.gold(spark, d)
+    top = st.top_labels(g).where("pos < 50").select("code")
+    return g.join(F.broadcast(top), "code", "left_semi").groupBy("note").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))  # fifty rows
+
+
+@query("rel_dedupe_keep_first", with_("lines", "select note, code, l_linenumber line, l_extendedprice price from lines qualify row_number() over (partition by note, code order by l_linenumber, l_extendedprice, l_quantity, l_suppkey)=1"))
+def dedupe(spark, d):
+    w = Window.partitionBy("note", "code").orderBy("l_linenumber", "l_extendedprice", "l_quantity", "l_suppkey")
+    return fx.lines(spark, d).withColumn("r", F.row_number().over(w)).where("r = 1").select("note", "code", F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"))
+
+
+@query("rel_range_shard", "with g as (select o_orderkey, row_number() over (order by o_orderkey)-1 gsi, (select count(*) from orders) n from orders) select shard::bigint shard, count(*) records, min(gsi) first_gsi, max(gsi) last_gsi from g, range(7) t(shard) where gsi >= n*shard//7 and gsi < n*(shard+1)//7 group by shard")
+def shard(spark, d):
+    """Records in seven ranges of the global index: [n * i // 7, n * (i + 1) // 7)."""
+    g = st.number(fx.table(spark, d, "orders").select("o_orderkey"), "o_orderkey").withColumnRenamed("pos", "gsi")
+    n = fx.table(spark, d, "orders").agg(F.count("*").alias("n"))
+    of = F.expr("((gsi + 1) * 7 - 1) div n")
+    return g.crossJoin(F.broadcast(n)).groupBy(of.alias("shard")).agg(F.count("*").alias("records"), F.min("gsi").alias("first_gsi"), F.max("gsi").alias("last_gsi"))
+
+
+@query("rel_subsample", "select o_orderkey from orders order by md5('42:' || o_orderkey), o_orderkey limit 100")
+def subsample(spark, d):
+    return fx.table(spark, d, "orders").orderBy(F.md5(F.concat(F.lit("42:"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(100).select("o_orderkey")
+
+
+@query("rel_null_order", "select note, code, ord from (select l_orderkey note, l_partkey code, (row_number() over (partition by l_orderkey order by case when l_linenumber%3=0 then null else l_quantity end nulls last, l_partkey, l_suppkey, l_extendedprice))::int ord from lineitem) where ord <= 2")
+def null_order(spark, d):
+    q = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity"))
+    w = Window.partitionBy("l_orderkey").orderBy(q.asc_nulls_last(), "l_partkey", "l_suppkey", "l_extendedprice")
+    return fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note"), F.col("l_partkey").alias("code"), F.row_number().over(w).alias("ord")).where("ord <= 2")
+
+
+@query("jn_intersect_runs", with_("pred_a pred_b pred_c", "select note from pred_a intersect select note from pred_b intersect select note from pred_c"))
+def intersect(spark, d):
+    one = lambda r: fx.predictions(spark, d, r).select("note").distinct()
+    return one("a").join(one("b"), "note").join(one("c"), "note")
+
+
+@query("jn_anti_resume", with_("pred_a splits", "select note, split from splits s where not exists (select 1 from pred_a p where p.note=s.note)"))
+def resume(spark, d):
+    return fx.splits(spark, d).join(fx.predictions(spark, d).select("note").distinct(), "note", "left_anti").select("note", "split")
+
+
+@query("jn_semi_label_mask", with_("pred_a gold", "select note, code from pred_a where code in (select code from gold group by code order by count(*) desc, code limit 20)"))
+def mask(spark, d):
+    top = st.top_labels(fx.gold(spark, d)).where("pos < 20").select("code")
+    return fx.predictions(spark, d).join(F.broadcast(top), "code", "left_semi").select("note", "code")  # twenty rows
+
+
+@query("jn_left_defaults", with_("kb pred_b", "select p.note, p.code, coalesce(k.title, 'unknown') title from pred_b p left join (select * from kb where parent < 'C') k on p.code=k.code"))
+def defaults(spark, d):
+    k = fx.knowledge_base(spark, d).where("parent < 'C'").select("code", "title")
+    return fx.predictions(spark, d, "b").join(k, "code", "left").select("note", "code", F.coalesce("title", F.lit("unknown")).alias("title"))
+
+
+@query("snk_constant_predictor", with_("gold splits", "select note, (select string_agg(code, ',' order by n desc, code) from (select code, count(*) n from gold group by code order by n desc, code limit 8)) codes from splits where split='test'"))
+def constant(spark, d):
+    g = fx.gold(spark, d)
+    top = st.top_labels(g).where("pos < 8").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), ",").alias("codes"))
+    return fx.splits(spark, d).where("split = 'test'").select("note").crossJoin(F.broadcast(top))  # one row
+
+
+@query("set_code_algebra", with_("gold pred_a", "select coalesce(g.note, p.note) note, len(list_intersect(coalesce(g.c,[]), coalesce(p.c,[]))) n_both, len(coalesce(g.c,[]))-len(list_intersect(coalesce(g.c,[]), coalesce(p.c,[]))) only_gold, len(list_distinct(list_concat(coalesce(g.c,[]), coalesce(p.c,[])))) n_either from (select note, list(code) c from gold group by 1) g full join (select note, list(code) c from pred_a group by 1) p on g.note=p.note"))
+def algebra(spark, d):
+    g = fx.gold(spark, d).groupBy("note").agg(F.collect_set("code").alias("g"))
+    p = fx.predictions(spark, d).groupBy("note").agg(F.collect_set("code").alias("p"))
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce("g", none), F.coalesce("p", none)
+    return g.join(p, "note", "full").select("note", F.size(F.array_intersect(a, b)).cast("long").alias("n_both"), F.size(F.array_except(a, b)).cast("long").alias("only_gold"), F.size(F.array_union(a, b)).cast("long").alias("n_either"))
+
+
+@query("set_label_universe", with_("gold pred_a", "select code from gold union select code from pred_a"))
+def label_universe(spark, d):
+    return fx.gold(spark, d).select("code").union(fx.predictions(spark, d).select("code")).distinct()
+
+
+@query("set_label_diff", with_("gold pred_a", "select 'gold' side, code from (select code from gold except select code from pred_a where \"rank\"=5) union all select 'pred', code from (select code from pred_a where \"rank\"=5 except select code from gold)"))
+def label_diff(spark, d):
+    g, p = fx.gold(spark, d).select("code").distinct(), fx.predictions(spark, d).where("rank = 5").select("code").distinct()
+    return g.subtract(p).select(F.lit("gold").alias("side"), "code").unionByName(p.subtract(g).select(F.lit("pred").alias("side"), "code"))
+
+
+@query("set_evidence_corpus", with_("splits", "select split || '_' || note chunk_id, split from splits where split <> 'test'"))
+def corpus(spark, d):
+    s = fx.splits(spark, d)
+    one = lambda k: s.where(F.col("split") == k).select(F.concat("split", F.lit("_"), "note").alias("chunk_id"), "split")
+    return one("train").unionByName(one("validation"))
+
+
+_T = "list_filter(string_split_regex(lower(coalesce(text,'')), '[ \\n\\t\\r\\f\\x0B]+'), lambda x: x <> '')"
+
+
+@query("txt_tokens", f"with t as (select doc_id, unnest({_T}) token from documents) select token, count(*) n, count(distinct doc_id) docs from t group by token")
+def tokens(spark, d):
+    t = fx.table(spark, d, "documents").select("doc_id", F.explode(fc.tokens(F.col("text"))).alias("token"))
+    per = t.groupBy("token", "doc_id").agg(F.count("*").alias("k"))  # one shuffle serves both counts
+    return per.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
+
+
+@query("txt_token_count", f"select doc_id, len({_T})::int n from documents")
+def token_count(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", fc.token_count(F.col("text")).alias("n"))
+
+
+@query("txt_preview", "select doc_id, substr(trim(regexp_replace(coalesce(text,''), '[ \\n\\t\\r\\f\\x0B]+', ' ', 'g')), 1, 120) preview from documents")
+def preview(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", fc.preview(F.col("text")).alias("preview"))
+
+
+@query("txt_verbatim_quote", """with q as (select d.doc_id, d.text, case d.doc_id%4 when 0 then lower(substr(d.text, 5, 30)) when 1 then b.text when 2 then '' else substr(d.text, 3, 12) || '  ' || substr(d.text, 15, 9) end quote from documents d join benchmark b on b.item_id = d.doc_id % 8),
+ n as (select doc_id, lower(trim(regexp_replace(text, '[ \\n\\t\\r\\f\\x0B]+', ' ', 'g'))) s, lower(trim(regexp_replace(quote, '[ \\n\\t\\r\\f\\x0B]+', ' ', 'g'))) q from q) select doc_id, case when q='' or s='' then null else contains(s, q) end is_verbatim from n""")
+def verbatim(spark, d):
+    t, m = F.col("text"), F.col("doc_id") % 4
+    b = fx.table(spark, d, "benchmark").where("item_id < 8").select(F.col("item_id").alias("k"), F.col("text").alias("b"))
+    j = fx.table(spark, d, "documents").withColumn("k", F.col("doc_id") % 8).join(F.broadcast(b), "k")  # eight rows
+    quote = F.when(m == 0, F.lower(F.substring(t, 5, 30))).when(m == 1, F.col("b")).when(m == 2, F.lit("")).otherwise(F.concat(F.substring(t, 3, 12), F.lit("  "), F.substring(t, 15, 9)))
+    return j.select("doc_id", fc.verbatim(quote, t).alias("is_verbatim"))
+
+
+@query("txt_weighted_query", "select conv_id, string_agg(part, ' ' order by turn, i) q from (select conv_id, turn, i, substr(text,1,500) part from conversations, range(3) r(i) where i < greatest(1, round_even(case role when 'user' then 2.5 when 'assistant' then 0.4 else 1 end, 0))) group by conv_id")
+def weighted_query(spark, d):
+    w = F.when(F.col("role") == "user", 2.5).when(F.col("role") == "assistant", 0.4).otherwise(1.0)
+    g = fx.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("name"), "text", w.alias("weight")))).alias("s"))
+    return g.select("conv_id", fc.weighted_query(F.col("s")).alias("q"))
+
+
+@query("txt_evidence_query", with_("kb", "select code, 'ICD-10 ' || code || ': ' || title || case when contains(title, parent) then '' else ' ' || parent end q from kb"))
+def evidence_query(spark, d):
+    return fx.knowledge_base(spark, d).select("code", fc.evidence_query(F.col("code"), F.col("title"), F.col("parent")).alias("q"))
+
+
+@query("txt_sample_id", "select doc_id, substr(sha256(doc_id || '|' || source), 1, 16) id16, md5(text) h from documents")
+def sample_id(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", fc.sample_id(F.col("doc_id").cast("string"), F.col("source")).alias("id16"), F.md5("text").alias("h"))
+
+
+@query("txt_code_normalise", with_("labels", "select distinct code, upper(trim(replace(' ' || lower(code), '.', ''))) audit, replace(replace(upper(trim(lower(code) || ' ')), '.', ''), ' ', '') model, substr(upper(replace(code,'.','')),1,3) parent from labels"))
+def code_normalise(spark, d):
+    c = F.col("code")
+    return fx.labels(spark, d).select("code", fc.norm_audit(F.concat(F.lit(" "), F.lower(c))).alias("audit"), fc.norm_model(F.concat(F.lower(c), F.lit(" "))).alias("model"), fc.parent(c).alias("parent")).distinct()
+
+
+@query("txt_budget", "select n, least(120+40*n, 1000) cap from range(1, 41) t(n)")
+def budget(spark, d):
+    return spark.range(1, 41).select(F.col("id").alias("n"), fc.token_budget(F.col("id"), 1000).alias("cap"))
+
+
+@query("kb_siblings", with_("kb", "select code, title, parent, (select count(*) from kb s where s.parent=k.parent and s.code<>k.code) n_siblings from kb k"))
+def siblings(spark, d):
+    return fx.knowledge_base(spark, d).select("code", "title", "parent", F.size("siblings").cast("long").alias("n_siblings"))
+
+
+@query("sp_patient_split", with_("splits", "select split, count(*) notes, count(distinct subject) subjects from splits group by split"))
+def patient_split(spark, d):
+    return fx.splits(spark, d).groupBy("split").agg(F.count("*").alias("notes"), F.countDistinct("subject").alias("subjects"))
+
+
+@query("sp_shared_partition", with_("splits", """with new as (select distinct subject, md5('43:' || subject) h from splits where subject % 3 = 0), r as (select subject, row_number() over (order by h, subject)-1 pos, (select count(*) from new) n from new),
+ a as (select subject, case when pos < round(n*0.7) then 'train' when pos < round(n*0.7)+round(n*0.15) then 'validation' else 'test' end s from r) select x.note, coalesce(a.s, x.split) split from splits x left join a using (subject)"""))
+def shared_partition(spark, d):
+    """Subjects of the reference split keep theirs; the others are ranked by hash and cut at 70 and 85 percent."""
+    s = fx.splits(spark, d)
+    new = st.number(s.where("subject % 3 = 0").select("subject").distinct().select(F.struct(F.md5(F.concat(F.lit("43:"), F.col("subject").cast("string"))).alias("h"), "subject").alias("k")), "k")
+    n = new.agg(F.count("*").alias("n"))
+    a = F.round(F.col("n") * 0.7)
+    cut = F.when(F.col("pos") < a, "train").when(F.col("pos") < a + F.round(F.col("n") * 0.15), "validation").otherwise("test")
+    given = new.crossJoin(F.broadcast(n)).select(F.col("k.subject").alias("subject"), cut.alias("s"))
+    return s.join(given, "subject", "left").select("note", F.coalesce("s", "split").alias("split"))
+
+
+@query("sp_containment", with_("splits", "select count(*) shared from (select subject from splits group by subject having count(distinct split) > 1)"))
+def containment(spark, d):
+    one = fx.splits(spark, d).groupBy("subject").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
+    return one.agg(F.count("*").alias("shared"))
+
+
+@query("sp_first_n", "select o_orderkey < 1000 first_part, count(*) n, count(distinct o_custkey) subjects from orders group by 1")
+def first_n(spark, d):
+    return fx.table(spark, d, "orders").groupBy((F.col("o_orderkey") < 1000).alias("first_part")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("subjects"))

@@ -1 +1,170 @@
-"""."""
+"""Queries of structured scoring and of the reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import u32
+from ..operators import scoring as sc
+from ..sources import fixtures as fx
+from ..sources.fixtures import with_
+from .evaluation import counts
+from .registry import query
+
+_JS = """js as (select note, case note%5 when 0 then j when 1 then 'Here: ```json' || chr(10) || j || chr(10) || '```' when 2 then 'The answer is ' || j || ' as asked' when 3 then substr(j, 1, length(j)-6) else 'no answer' end j from (select note, '[' || string_agg('{"code":"' || code || '","supported":' || case when supported then 'true' else 'false' end || ',"confidence":"' || case when confidence is null then 'n/a' else '0.' || lpad((round(confidence*97)::int%100)::varchar,2,'0') end || '","q":"x ' || code || '"}', ',' order by "rank") || ']' j from pred_a group by note))"""
+
+
+def answers(spark, d):
+    """Scorer answers of run a as JSON text, damaged in four ways by note."""
+    c = F.when(F.col("confidence").isNull(), F.lit("n/a")).otherwise(F.concat(F.lit("0."), F.lpad((F.round(F.col("confidence") * 97).cast("int") % 100).cast("string"), 2, "0")))
+    one = F.concat(F.lit('{"code":"'), "code", F.lit('","supported":'), F.when(F.col("supported"), "true").otherwise("false"), F.lit(',"confidence":"'), c, F.lit('","q":"x '), "code", F.lit('"}'))
+    g = fx.predictions(spark, d).groupBy("note").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("o")))).alias("x"))
+    j = g.select("note", F.concat(F.lit("["), F.array_join(F.transform("x", lambda v: v["o"]), ","), F.lit("]")).alias("j"))
+    m = F.col("note") % 5
+    return j.select("note", F.when(m == 0, F.col("j")).when(m == 1, F.concat(F.lit("Here: ```json\n"), "j", F.lit("\n```"))).when(m == 2, F.concat(F.lit("The answer is "), "j", F.lit(" as asked"))).when(m == 3, F.substr("j", F.lit(1), F.length("j") - 6)).otherwise(F.lit("no answer")).alias("j"))
+
+
+def items(spark, d):
+    return answers(spark, d).select("note", F.posexplode(sc.parse_items(F.col("j"))).alias("pos", "raw")).select("note", "pos", sc.coerce(F.col("raw")).alias("item"))
+
+
+_ITEMS = _JS + """, whole as (select note, case note%5 when 0 then j when 1 then regexp_extract(j, '(?s)```(?:json)?\\s*(.*?)```', 1) when 2 then regexp_extract(j, '(?s)(\\[.*\\])', 1) end k from js),
+ it as (select note, i::int pos, json_extract(k, '$[' || i || ']') o from whole, range(64) r(i) where k is not null and i < json_array_length(k))"""
+
+
+@query("txt_json_scores", with_("pred_a", f"with {_ITEMS} select note, pos, o->>'code' code, (o->>'supported')='true' supported, case when try_cast(o->>'confidence' as double) is null then 0 else greatest(0,least(1,try_cast(o->>'confidence' as double))) end confidence, try_cast(o->>'confidence' as double) is not null confidence_present, o->>'q' evidence_quote from it"))
+def json_scores(spark, d):
+    return items(spark, d).select("note", "pos", "item.code", "item.supported", "item.confidence", "item.confidence_present", "item.evidence_quote")
+
+
+@query("txt_json_salvage")
+def json_salvage(spark, d):
+    """Complete objects of the truncated answers; a stack machine, so no SQL form."""
+    cut = answers(spark, d).where("note % 5 = 3")
+    return cut.select("note", F.explode(sc.salvage("j")).alias("o")).select("note", F.col("o")["code"].alias("code"), F.col("o")["supported"].alias("supported"))
+
+
+@query("txt_schema_coerce", with_("pred_a", f"with {_ITEMS} select count(*) items, count(*) filter (o->>'code' is not null and o->>'supported' is not null and try_cast(o->>'confidence' as double) is not null) valid, count(*) filter (try_cast(o->>'confidence' as double) is null) no_confidence from it"))
+def schema_coerce(spark, d):
+    return items(spark, d).agg(F.count("*").alias("items"), F.count_if("item.schema_valid").alias("valid"), F.count_if(~F.col("item.confidence_present")).alias("no_confidence"))
+
+
+@query("jn_align_scores", with_("pred_a gold", f"with {_ITEMS}, last as (select note, o->>'code' code, arg_max(o, pos) o from it group by 1, 2) select g.note, g.code, (o->>'supported')='true' supported, case when try_cast(o->>'confidence' as double) is null then 0 else greatest(0,least(1,try_cast(o->>'confidence' as double))) end confidence, coalesce(try_cast(o->>'confidence' as double) is not null, false) confidence_present from gold g left join last l on g.note=l.note and g.code=l.code"))
+def align(spark, d):
+    it = items(spark, d).select("note", F.col("item.code").alias("code"), "pos", "item")
+    return sc.align(fx.gold(spark, d).select("note", "code"), it, ["note", "code"])
+
+
+_RANK = 'row_number() over (partition by note order by (not coalesce(supported,false))::int, (confidence is null)::int, coalesce(-confidence,0), "rank")'
+
+
+@query("rel_null_aware_rank", with_("pred_a", f"select note, code, ({_RANK})::int final_rank from pred_a"))
+def rank(spark, d):
+    return fx.predictions(spark, d).select("note", "code", sc.null_aware_rank().alias("final_rank"))
+
+
+@query("rel_threshold_min_kept", with_("pred_a", 'with k as (select *, count(*) filter (confidence is null or confidence>=0.6) over (partition by note) n from pred_a) select note, code, "rank" from k where ((confidence is null or confidence>=0.6) and n>=2) or (n<2 and "rank"<=2)'))
+def min_kept(spark, d):
+    return sc.keep_threshold(fx.predictions(spark, d), 0.6, 2).select("note", "code", "rank")
+
+
+@query("scr_constraint_filter", with_("pred_a", "select note, code from pred_a where not coalesce(confidence<0.4,false) and coalesce(supported,false)"))
+def c_filter(spark, d):
+    return sc.constrain(fx.predictions(spark, d), 0.4).select("note", "code")
+
+
+@query("scr_constraint_flag", with_("pred_a", "select note, code, case when coalesce(confidence<0.4,false) or not coalesce(supported,false) then false else supported end supported, case when coalesce(confidence<0.4,false) then 'weak_evidence' when not coalesce(supported,false) then 'ambiguous' else 'none' end risk_flag from pred_a"))
+def c_flag(spark, d):
+    return sc.constrain(fx.predictions(spark, d), 0.4, "flag").select("note", "code", "supported", "risk_flag")
+
+
+_BORDER = "bl as (select note, family, code best, runner_up from (select note, substr(code,1,3) family, code, confidence, row_number() over w r, lead(code) over w runner_up, lead(confidence) over w c2 from pred_a window w as (partition by note, substr(code,1,3) order by confidence desc nulls last, code)) where r=1 and confidence is not null and c2 is not null and round(confidence-c2,9)<=0.2)"
+
+
+@query("scr_borderline_family", with_("pred_a", f"with {_BORDER} select * from bl"))
+def border(spark, d):
+    return sc.borderline(fx.predictions(spark, d))
+
+
+@query("scr_drop_rejected", with_("pred_a", f"with {_BORDER} select note, code from pred_a p where not exists (select 1 from bl where bl.note=p.note and bl.runner_up=p.code)"))
+def rejected(spark, d):
+    p = fx.predictions(spark, d)
+    return sc.drop_rejected(p, sc.borderline(p).select("note", F.col("runner_up").alias("rejected"))).select("note", "code")
+
+
+@query("scr_fallback_pool", with_("kb pred_a pred_b", """with best as (select note, code from pred_a where "rank"=1), src as (select p.note, p.code, 0 src, p."rank" ord from pred_a p join best b on p.note=b.note and substr(p.code,1,3)=substr(b.code,1,3) union all select b.note, k.code, 1, 0 from best b join kb k on k.parent=substr(b.code,1,3) and k.code<>b.code union all select note, code, 2, "rank" from pred_b),
+ once as (select note, code, min((src, ord)) place from src group by 1,2) select o.note, o.code, (row_number() over (partition by o.note order by place, o.code))::int pool_rank from once o anti join best b on o.note=b.note and o.code=b.code qualify pool_rank<=3"""))
+def pool(spark, d):
+    a, b = fx.predictions(spark, d), fx.predictions(spark, d, "b")
+    best = a.where("rank = 1").select("note", "code")
+    fam = a.select("note", "code", F.col("rank").alias("order"), F.substring("code", 1, 3).alias("f")).join(best.select("note", F.substring("code", 1, 3).alias("f")), ["note", "f"])
+    sib = fx.knowledge_base(spark, d).select(F.col("code").alias("own"), F.explode("siblings").alias("code"))
+    kin = best.select("note", F.col("code").alias("own")).join(sib, "own").select("note", "code", F.lit(0).alias("order"))
+    return sc.fallback_pool(best, [fam, kin, b.select("note", "code", F.col("rank").alias("order"))])
+
+
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) > 2))"
+
+
+@query("scr_mock_scores", f"""with p as (select b.item_id, d.doc_id, {_WORDS.format('b.text')} h, {_WORDS.format('d.text')} n from benchmark b, documents d where d.doc_id % 20 = b.item_id % 20), o as (select item_id, doc_id, case when len(h)>0 then len(list_intersect(h,n))/len(h) else 0 end o from p)
+ select item_id, doc_id, round(least(0.95, 0.35+0.8*o),3) confidence, o>=0.15 supported from o""")
+def mock(spark, d):
+    b = fx.table(spark, d, "benchmark").select("item_id", F.col("text").alias("title"), (F.col("item_id") % 20).alias("k"))
+    n = fx.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 20).alias("k"))
+    c, s = sc.mock_score(F.col("title"), F.col("text"))
+    return b.join(n, "k").select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))
+
+
+@query("scr_assemble", with_("pred_a", "select note, string_agg(code, ',' order by \"rank\") codes, max(confidence) confidence, count(*) filter (coalesce(confidence<0.4,false) or not coalesce(supported,false)) flagged from pred_a group by note"))
+def assemble(spark, d):
+    p = sc.constrain(fx.predictions(spark, d), 0.4, "flag")
+    n = p.groupBy("note").agg(F.count_if(F.col("risk_flag") != "none").alias("flagged"))
+    return sc.assemble(p).join(n, "note").select("note", F.array_join("codes", ",").alias("codes"), "confidence", "flagged")
+
+
+@query("rg_guard", with_("counts_a counts_b", "select run, n, f1, n < 1000 too_few, abs(f1-8/19.0::double) <= 1e-9 sentinel, case when n < 1000 or abs(f1-8/19.0::double) <= 1e-9 then 'reject' else 'pass' end verdict from (select 'a' run, count(*) n, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),9) f1 from counts_a union all select 'small', count(*), round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),9) from counts_b where note % 50 = 1)"))
+def guard(spark, d):
+    """Provenance: runs of fewer than 1000 notes or with the score of the smoke fixture are rejected."""
+    from ..functions.columns import f1
+
+    one = lambda r, c: c.agg(F.count("*").alias("n"), F.round(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 9).alias("f1")).withColumn("run", F.lit(r))
+    t = one("a", counts(spark, d)).unionByName(one("small", counts(spark, d, "b").where("note % 50 = 1")))
+    few, sentinel = F.col("n") < 1000, F.abs(F.col("f1") - 8 / 19) <= 1e-9
+    return t.select("run", "n", "f1", few.alias("too_few"), sentinel.alias("sentinel"), F.when(few | sentinel, "reject").otherwise("pass").alias("verdict"))
+
+
+@query("rg_schema_violations", with_("pred_a pred_c", """select 'confidence' field, count(*) filter (confidence is null) missing, count(*) n from pred_a union all select 'supported', count(*) filter (supported is null), count(*) from pred_c union all select 'code', count(*) filter (code is null or code = ''), count(*) from pred_a"""))
+def violations(spark, d):
+    a, c = fx.predictions(spark, d), fx.predictions(spark, d, "c")
+    one = lambda f, df, bad: df.agg(F.count_if(bad).alias("missing"), F.count("*").alias("n")).withColumn("field", F.lit(f))
+    return one("confidence", a, F.col("confidence").isNull()).unionByName(one("supported", c, F.col("supported").isNull())).unionByName(one("code", a, F.col("code").isNull() | (F.col("code") == "")))
+
+
+@query("rg_number_check", with_("counts_a", """with m as (select 'micro_f1' metric, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),9) v from counts_a union all select 'codes_per_note', round(sum(tp+fp)/count(*),9) from counts_a union all select 'notes', count(*) from counts_a)
+ select metric, stated, decimals, v is not null and (round(v, decimals) = stated or round_even(v, decimals) = stated) ok from (values ('micro_f1', 0.5::double, 0), ('codes_per_note', 9.99, 2), ('notes', 1.0, 0), ('absent', 1.0, 1)) c(metric, stated, decimals) left join m using (metric)"""))
+def number_check(spark, d):
+    """Stated numbers against metrics at the stated decimals, rounded half up or half even."""
+    c = counts(spark, d)
+    tp, fp, fn, n = F.sum("tp"), F.sum("fp"), F.sum("fn"), F.count("*")
+    m = c.agg(F.round(2 * tp / (2 * tp + fp + fn), 9).alias("micro_f1"), F.round((tp + fp) / n, 9).alias("codes_per_note"), n.cast("double").alias("notes")).unpivot([], ["micro_f1", "codes_per_note", "notes"], "metric", "v")
+    claims = spark.createDataFrame([("micro_f1", 0.5, 0), ("codes_per_note", 9.99, 2), ("notes", 1.0, 0), ("absent", 1.0, 1)], "metric string, stated double, decimals int")
+    at = lambda f: F.when(F.col("decimals") == 0, f("v", 0)).when(F.col("decimals") == 1, f("v", 1)).otherwise(f("v", 2))
+    return claims.join(m, "metric", "left").select("metric", "stated", "decimals", (F.col("v").isNotNull() & ((at(F.round) == F.col("stated")) | (at(F.bround) == F.col("stated")))).alias("ok"))
+
+
+@query("rg_pivot_table", with_("counts_a counts_b", "with c as (select 'a' run, * from counts_a union all select 'b', * from counts_b) select note % 5 grp, printf('%.4f', max(f) filter (run='a')) a, printf('%.4f', max(f) filter (run='b')) b from (select note % 5 note, run, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),4) f from c group by all) group by note"))
+def pivot(spark, d):
+    from ..functions.columns import f1
+
+    one = lambda r: counts(spark, d, r).withColumn("run", F.lit(r))
+    c = one("a").unionByName(one("b"))
+    p = c.groupBy((F.col("note") % 5).alias("grp")).pivot("run", ["a", "b"]).agg(F.round(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 4))
+    return p.select("grp", F.format_string("%.4f", "a").alias("a"), F.format_string("%.4f", "b").alias("b"))
+
+
+@query("rg_job_manifest", "select 'E' || e || '_seed' || s || '_top' || n job, e, s seed, n top_n from range(1,19) t(e), (values (42),(52),(62)) u(s), (values (50),(100),(200)) v(n) where not (e=18 and n=50)")
+def manifest(spark, d):
+    """Experiments by seeds by label sets; experiment 18 is the one without the smallest set."""
+    e = spark.range(1, 19).withColumnRenamed("id", "e").select("e", F.explode(F.array(*map(F.lit, (42, 52, 62)))).alias("seed")).select("e", "seed", F.explode(F.array(*map(F.lit, (50, 100, 200)))).alias("top_n"))
+    return e.where(~((F.col("e") == 18) & (F.col("top_n") == 50))).select(F.concat(F.lit("E"), "e", F.lit("_seed"), "seed", F.lit("_top"), "top_n").alias("job"), "e", "seed", "top_n")
