@@ -54,6 +54,8 @@ class Trees:
 def fit(samples: dict[str, list[bytes]], order: int = 3) -> Trees:
     """Trees from sample texts by language."""
     languages = sorted(samples)
+    if not languages:
+        return Trees([], order, [], [])
     grams: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
     for k in range(order + 1):
         own = {}
@@ -73,7 +75,6 @@ def fit(samples: dict[str, list[bytes]], order: int = 3) -> Trees:
     base = np.full((1, 256, len(languages)), 1 / 256)
     for k in range(order + 1):
         if k:
-            total: dict[str, np.ndarray] = {}
             seen = np.concatenate([grams[k][x][0] >> 8 for x in languages])
             weight = np.concatenate([grams[k][x][1] for x in languages])
             code, at = np.unique(seen, return_inverse=True)

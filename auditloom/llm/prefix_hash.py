@@ -5,8 +5,9 @@ of any span follows in a few operations (spans of equal content agree wherever t
 longest common extensions are found by binary search.
 
 A fingerprint is the hash and length of the whole text, and the smallest of the mixed hashes of all its spans of SPAN
-code points (SKETCH of them at most). The likeness of two fingerprints is the share of common
-hashes among the smallest of both (bottom-k sampling of the spans' resemblance); 1 for equal texts.
+code points (SKETCH of them at most). The likeness of two fingerprints is the greater of two
+shares: that of common hashes among the smallest of both (bottom-k sampling of the spans' resemblance), and that of the
+common beginning and end in the longer text, by longest common extension; 1 for equal texts.
 
 ``neighbours`` works on texts in the order of their ids: ids are dealt to ranges of about equal size, each range goes to
 one task together with the row that follows it, and is read in order, so only two texts are held at once.
@@ -63,8 +64,13 @@ class PrefixHash:
         h = [(self.sums[k][b] + U(p) - self.sums[k][a]) % U(p) * _INVERSE[k][a] % U(p) for k, p in enumerate(PRIMES)]
         return h[0] << U(31) | h[1]
 
+    def _one(self, k: int, start: int, end: int) -> int:
+        p = PRIMES[k]
+        return (int(self.sums[k][end]) - int(self.sums[k][start])) % p * int(_INVERSE[k][start]) % p
+
     def equal(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
-        return i + length <= self.n and j + length <= other.n and bool(self.span(i, i + length) == other.span(j, j + length))
+        """Are the spans of this length from i here and from j there equal?"""
+        return i + length <= self.n and j + length <= other.n and all(self._one(k, i, i + length) == other._one(k, j, j + length) for k in (0, 1))
 
     def extension(self, i: int, other: PrefixHash, j: int) -> int:
         """Length of the longest common extension to the right of position i here and j there."""
@@ -77,6 +83,17 @@ class PrefixHash:
                 hi = mid - 1
         return lo
 
+    def extension_left(self, i: int, other: PrefixHash, j: int) -> int:
+        """Length of the longest common extension to the left of position i here and j there."""
+        lo, hi = 0, min(i, j)
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if self.equal(i - mid, other, j - mid, mid):
+                lo = mid
+            else:
+                hi = mid - 1
+        return lo
+
     def whole(self) -> str:
         return f"{int(self.span(0, self.n)):016x}{self.n:08x}"
 
@@ -106,7 +123,15 @@ class Fingerprint:
             return 0.0
         both = np.union1d(self.low, other.low)[:SKETCH]
         shared = np.intersect1d(np.intersect1d(both, self.low, assume_unique=True), other.low, assume_unique=True)
-        return len(shared) / len(both)
+        x, y = self.hash, other.hash
+        least, most = min(x.n, y.n), max(x.n, y.n)
+        ends = 0
+        if least >= SPAN:
+            if x.equal(0, y, 0, SPAN):
+                ends = x.extension(0, y, 0)
+            if x.equal(x.n - SPAN, y, y.n - SPAN, SPAN):
+                ends += x.extension_left(x.n, y, y.n)
+        return max(len(shared) / len(both), min(ends, least) / most)
 
 
 def edited(text: str, following: str) -> str:

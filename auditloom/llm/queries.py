@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, mtree, ngram_jaccard, pfair_mix, pii_surrogates, prefix_hash, toxicity, unigram_lm, warc_zstd
 from .common import held_out
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +64,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.expr("int(score >= 0.3)").alias("predicted"))
 
 
-ORACLES: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
