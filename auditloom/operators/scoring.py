@@ -143,3 +143,9 @@ def assemble(pred: DataFrame) -> DataFrame:
     return pred.groupBy("note").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("codes"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.when(F.col("risk_flag") != "none", F.col("risk_flag")))).alias("risk_flags")
     )
+
+
+def verifier_codes(text: Column) -> Column:
+    """The codes of a verifier's list, whose items are objects with a code or plain strings."""
+    raw = F.from_json(text, "array<string>")
+    return F.filter(F.transform(raw, lambda i: F.coalesce(F.get_json_object(i, "$.code"), i)), lambda c: c.isNotNull() & (c != ""))
