@@ -16,4 +16,16 @@ select query_id, (row_number() over (partition by query_id order by score desc,
 with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) h from pages), m as (select h, payload_bytes, max(page_id) last from p group by all)
 select page_id, payload_bytes::bigint payload_bytes, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (j // 8)::int * 10 + 1, 10))::bigint >> (35 - 5 * (j % 8))::int) & 31) + 1)::int, 1)), '') payload_digest,
 case when page_id = last then 'response' else 'revisit' end record_type, case when page_id <> last then last end refers_to from p join m using (h, payload_bytes)""",
+    "op6_pfair_mix": """
+with recursive d as (select *, coalesce('s' || source, 'n') key, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 4))::int h from documents),
+z as (select key, count(*) n from d group by key), w as (select key, n, greatest(1, round(pow(n, 0.5) / (select sum(pow(n, 0.5)) from z) * 200))::bigint w from z),
+s as (select list(key order by key) keys, list(w order by key) ws, sum(w)::bigint p, count(*) c from w),
+r as (select 0::bigint t, list_transform(keys, lambda x: 0::bigint) done, 0::bigint pick, 0::bigint turn from s
+ union all select t + 1, list_transform(range(1, c + 1), lambda i: case when i = q.i then done[i::int] + 1 else done[i::int] end), q.i, done[q.i::int] from
+ (select r.t, r.done, s.c, list_min(list_filter(list_transform(range(1, c + 1), lambda i: case when floor(done[i::int] * p / ws[i::int]) <= t then {'d': ceil((done[i::int] + 1) * p / ws[i::int]), 'i': i} end), lambda x: x is not null)).i i from r, s where t < p) q),
+m as (select keys[pick::int] key, turn, t - 1 slot from r, s where t > 0),
+b as (select d.doc_id, d.source, d.key, w.w, w.n, p, row_number() over (partition by d.key order by h, doc_id, text) - 1 i from d join w using (key), s),
+lack as (select min(p * (((n + 15) // 16) // w) + m.slot) full_ from w join m on m.key = w.key and m.turn = ((n + 15) // 16) % w, s)
+select doc_id, source, i // 16 block, floor((i // 16) * p / w)::bigint "release", ceil((i // 16 + 1) * p / w)::bigint deadline, p * ((i // 16) // w) + m.slot slot, (i % 16)::int place, p * ((i // 16) // w) + m.slot < full_ exact
+from b join m on m.key = b.key and m.turn = (i // 16) % w, lack""",
 }

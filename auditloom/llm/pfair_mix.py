@@ -23,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUNDLES = 1 << 16  #: hash values that documents are dealt to; each source has one offset for each
+
+def _bundle(doc_id: str) -> Column:
+    """The bundle of a document: the first 16 bits of its id's md5, 65,536 at any size; each source has one offset for each."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int")
 
 
 def default_weights(counts: DataFrame, power: float = 0.5, period: int = 200) -> DataFrame:
@@ -61,7 +64,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, doc_
     """All rows of ``docs`` with block, release, deadline, slot, place and exact. ``weights``: (source, weight), or in proportion to count ** power."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     rows = docs.drop("block", "release", "deadline", "slot", "place", "exact", "_key", "_bundle")
-    counts = rows.groupBy(key.alias("key"), F.pmod(F.xxhash64(doc_id), F.lit(BUNDLES)).alias("h")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(key.alias("key"), _bundle(doc_id).alias("h")).agg(F.count("*").alias("n"))
     sizes = counts.groupBy("key").agg(F.sum("n").alias("n"))
     if weights is None:
         weights = default_weights(sizes, power)
@@ -71,9 +74,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, doc_
     turns = pattern(weights)
     before = F.sum("n").over(Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("key", "h", "n", F.coalesce(before, F.lit(0)).alias("offset"))
-    bundle = F.pmod(F.xxhash64(doc_id), F.lit(BUNDLES))
     number = F.row_number().over(Window.partitionBy("_key", "_bundle").orderBy(F.col(doc_id), F.col(text)))
-    numbered = rows.withColumn("_key", key).withColumn("_bundle", bundle).withColumn("_n", number - 1)
+    numbered = rows.withColumn("_key", key).withColumn("_bundle", _bundle(doc_id)).withColumn("_n", number - 1)
     numbered = numbered.join(offsets.select(F.col("key").alias("_key"), F.col("h").alias("_bundle"), "offset"), ["_key", "_bundle"]).withColumn("_n", F.col("_n") + F.col("offset")).drop("offset")
     numbered = numbered.withColumn("_block", F.expr(f"_n div {block}")).withColumn("place", F.expr(f"int(_n % {block})"))
     info = turns.groupBy("key").agg(F.max("weight").alias("weight"), F.max("period").alias("period"), F.collect_list(F.struct("turn", "slot")).alias("t"))
