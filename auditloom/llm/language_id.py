@@ -25,7 +25,7 @@ from .common import held_out, slices, utf8
 
 SAMPLE_DOCS = 300  #: documents a language, those with the smallest hashes; the bound of the learned sample
 SAMPLE_BYTES = 32_768  #: sample documents are no longer than this; scoring has no such bound
-MAX_CONTEXTS = 10_000  #: contexts of each order above 1 that the trees keep, the most frequent
+MAX_CONTEXTS = 5_000  #: contexts of each order above 1 that the trees keep, the most frequent
 
 
 @dataclass
