@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,13 +137,16 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the bytes that they decode to."""
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, keep..., n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the bytes that they decode to. ``keep``: columns of ``docs`` that go along."""
 
     def run(batches):
         codec = ByteBPE(path, pattern)
         for b in slices(batches):
             got = [codec.digest(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got]), pa.array([x[2] for x in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            new = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got]), pa.array([x[2] for x in got])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *new], names=["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    types = [f"`{c}` {docs.schema[s].dataType.simpleString()}" for c, s in [("doc_id", doc_id), *((c, c) for c in keep)]]
+    used = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
+    return used.mapInArrow(run, ", ".join([*types, "n_tokens long, ids_sha256 string, decoded_sha256 string"]))

@@ -14,6 +14,7 @@ from auditloom.llm import byte_bpe, language_id, ngram_jaccard, pfair_mix, pii_s
 from auditloom.llm.common import Scratch
 
 PII_KEY = "surrogate key of this corpus"
+POSITION = ["slot", "place", "exact"]  #: the mix's columns that later stages keep
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +36,21 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: blocks of the sources by their target weights."""
+    """All documents with their position in the mix: blocks of the sources by their target weights.
+
+    The order of rows doesn't outlive a stage's files, so ``slot``, ``place`` and ``exact`` stay as columns.
+    """
     mixed = pfair_mix.mix(docs)
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    own = [c for c in docs.columns if c not in POSITION]
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*own, *POSITION)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document's ids and of the bytes that they decode to."""
+    """Token counts and digests of each document's ids and of the bytes that they decode to, at its position in the mix."""
     import public_tokenizers
 
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    keep = [c for c in POSITION if c in docs.columns]
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
 
 
 STAGES = [

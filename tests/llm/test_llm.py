@@ -432,6 +432,23 @@ def test_pipeline_matches_brute_force(spark, table, texts, tmp_path):
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
 
 
+def test_pipeline_returns_the_mix(spark, texts, table, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    small = [(i, t, "en", "big" if k % 5 else "few", None) for k, (i, t) in enumerate(itertools.islice(texts.items(), 60))]
+    (tmp_path / "x").mkdir()
+    spark.createDataFrame(small, table.schema).repartition(4).write.parquet(str(tmp_path / "x" / "documents.parquet"))
+    stages = [s for s in corpus_pipeline.STAGES if s[0] in ("mixing", "byte_bpe")]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    out = corpus_pipeline.run(spark, str(tmp_path / "x"))
+    mixed = pfair_mix.mix(spark.read.parquet(str(tmp_path / "x" / "documents.parquet")))
+    place = lambda t: {r.doc_id: (r.slot, r.place, r.exact) for r in t.collect()}
+    assert place(out) == place(mixed) and len({(s, p) for s, p, _ in place(out).values()}) == 60
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages[1:])
+    bare = corpus_pipeline.run(spark, str(tmp_path / "x"))
+    assert set(out.columns) - set(bare.columns) == {"slot", "place", "exact"} and bare.count() == 60
+
+
 def test_registered_queries():
     names = queries.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
