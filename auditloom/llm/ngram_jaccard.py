@@ -13,6 +13,9 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of word 5-
    about k verifications a round and not k * k.
 4. All remaining pairs between different components pass the length, positional and suffix filters, and are verified
    once each on the whole texts. No cap on partners or candidates anywhere.
+5. Where links are counted, the classes of each component are dealt to blocks, and each two blocks of a component are
+   compared in one row, all sets with all: every link lies inside a component, so none is missed, and pairs of
+   documents never become rows.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer words than n form one n-gram; repeated
 rows of one id give one result row each (where their texts differ, links are those of the greatest text of the class's smallest id); a null id is allowed and takes part like any other row of its class only when
@@ -35,6 +38,7 @@ PARTS = 64  #: the table is summed in so many parts
 SIGNATURE = 32  #: partitions of the n-gram space in the suffix signature
 HOT = 50_000  #: an n-gram in a bucket over this count is dealt to SALTS groups
 SALTS = 64
+BLOCK = 128  #: classes of a component in a block, on average, when links are counted
 
 
 def shingle_sets(batch, n: int = 5) -> list[np.ndarray]:
@@ -152,8 +156,8 @@ def _alpha(x: str, y: str, percent: int):
     return F.expr(f"({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent}")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, most_pairs: float = 0.5, rounds: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, links (verified links of its class that joined components).
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, most_pairs: float = 0.5, rounds: int = 4, count: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id and, with ``count``, links: how many other classes its class links with.
 
     ``component_id`` is the smallest doc_id reachable through links. Leader rounds go on while the pairs of
     postings in different components outnumber the postings ``most_pairs`` times and a round finds links, ``rounds`` at
@@ -197,8 +201,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     scratch.drop(pairs)
     links = _union(edges)
     final = scratch.save(components(spark, links, scratch), "components")
-    deg = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    named = classes.join(deg, "rep", "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "n", "rep", "links", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if count:
+        named = named.join(_count_links(texts, final, n, percent), "rep", "left")
+    named = named.select("key", "n", "rep", F.coalesce("component", "rep").alias("component"), *([F.coalesce("links", F.lit(0)).cast("long").alias("links")] if count else []))
     named = scratch.save(named, "named")
     out = prof.select("doc_id", "n", "key").join(named, ["key", "n"], "left")
     alone = F.col("n") == 0
@@ -207,10 +213,58 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.col("n").alias("n_shingles"),
         F.when(alone | F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(alone | F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).alias("links"),
+        *([F.coalesce("links", F.lit(0)).alias("links")] if count else []),
     )
 
 
+def _count_links(texts: DataFrame, comp: DataFrame, n: int, percent: int) -> DataFrame:
+    """(rep, links): the exact number of links of each class in ``comp`` (node, component)."""
+    large = comp.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("component", F.ceil(F.col("k") / BLOCK).cast("long").alias("of"))
+    place = comp.join(large, "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("of", F.lit(1)).alias("of"))
+    used = texts.join(place.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    def sets(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array([x.tobytes() for x in shingle_sets(b, n)], pa.binary())], names=["doc_id", "grams"])
+
+    own = used.select("doc_id", "text").mapInArrow(sets, "doc_id long, grams binary").join(place, "doc_id").withColumn("block", F.expr("pmod(xxhash64(doc_id), of)"))
+    blocks = own.groupBy("component", "of", "block").agg(F.collect_list(F.struct("doc_id", "grams")).alias("s"))
+    left = blocks.select("component", "s", F.col("block").alias("i"), F.explode(F.expr("sequence(block, of - 1)")).alias("block"))
+    right = blocks.select("component", "block", F.col("s").alias("t"))
+    pairs = left.join(right, ["component", "block"]).select("s", F.when(F.col("i") < F.col("block"), F.col("t")).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                s, t = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                rep, links = _links_between([(x["doc_id"], x["grams"]) for x in s], None if t is None else [(x["doc_id"], x["grams"]) for x in t], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64())], names=["rep", "links"])
+
+    return pairs.mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def _links_between(s: list[tuple[int, bytes]], t: list[tuple[int, bytes]] | None, percent: int) -> tuple[list[int], list[int]]:
+    """Links of each set of ``s`` and ``t`` across both, or within ``s`` where ``t`` is none. No set is empty."""
+    rows = s + (t or [])
+    grams = [np.frombuffer(x, np.uint64) for _, x in rows]
+    size = np.array([len(x) for x in grams], np.int64)
+    word = np.unique(np.concatenate(grams), return_inverse=True)[1]
+    bound = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(word.max()) + 1, np.int64)
+    links = np.zeros(len(rows), np.int64)
+    for a in range(len(s)):
+        own = word[bound[a] : bound[a + 1]]
+        mark[own] = 1
+        first = a + 1 if t is None else len(s)
+        if first < len(rows):
+            same = np.add.reduceat(mark[word[bound[first] :]], bound[first:-1] - bound[first])
+            hit = (same > 0) & (100 * same >= percent * (size[a] + size[first:] - same))
+            links[a] += hit.sum()
+            links[first:] += hit
+        mark[own] = 0
+    return [i for i, _ in rows], links.tolist()
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

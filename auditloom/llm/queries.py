@@ -17,10 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+    out = ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"), count=False)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def links_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op1 with class and number of links, which op1's SQL has no columns for."""
+    return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_unigram_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -69,4 +74,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "links_")) and callable(f)}

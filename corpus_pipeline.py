@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked documents; rows without an id all stay."""
-    kept = ngram_jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id")
+    kept = ngram_jaccard.jaccard_components(docs, count=False).where("doc_id = component_id").select("doc_id")
     alone = docs.where(F.col("doc_id").isNull())
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(alone)
 

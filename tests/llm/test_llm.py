@@ -90,6 +90,26 @@ def test_jaccard_matches_brute_force(spark, texts):
             assert r.component_id == 2003
 
 
+@pytest.mark.parametrize(("block", "rounds"), [(128, 4), (7, 4), (7, 0)])
+def test_links_match_brute_force(spark, monkeypatch, block, rounds):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    base, rows = [f"w{rng.randrange(500)}" for _ in range(60)], {}
+    for k in range(50):  # a group of near copies, in which most pairs link
+        w = list(base)
+        for _ in range(k % 3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows[k] = " ".join(w)
+    rows |= {100: "a b", 101: "A\tb", 102: None, 103: "on its own here", 104: ""}
+    s = {i: frozenset(shingles(t)) for i, t in rows.items()}
+    least = {}
+    for i in rows:
+        least.setdefault(s[i], i)
+    want = {i: sum(a != s[i] and 100 * len(a & s[i]) >= 75 * len(a | s[i]) for a in least if a and s[i]) for i in rows}
+    got = ngram_jaccard.jaccard_components(docs(spark, [(i, t, "en", "s") for i, t in rows.items()]), rounds=rounds).collect()
+    assert {r.doc_id: r.links for r in got} == want and max(want.values()) > 10
+
+
 def test_components_of_chains_and_stars(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (200, 201)]
     d = spark.createDataFrame(e, "a long, b long")
