@@ -7,6 +7,8 @@ the caller wants them; the minimum over all documents follows from the number of
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,16 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, within: list[str] | None = None, query: str = "query", doc: str = "doc") -> DataFrame:
-    """(within..., query, doc, score) of the documents that share a token with the query. ``within``: keys inside which documents form a corpus of their own."""
+    """(within..., query, doc, score) of the documents that share a token with the query. ``within``: keys inside which documents form a corpus of their own; queries without these keys are asked of each."""
     w = within or []
     p = postings(docs, doc, "text", w)
     df = p.groupBy(*w, "token").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(docs, "text")) if not w else corpus_stats(docs, "text", w)  # one row without ``within``
     terms = (df.crossJoin(stats) if not w else df.join(stats, w)).withColumn("idf", idf(F.col("df"), F.col("n"))).where(F.col("idf") >= LEAST_IDF)
-    q = queries.select(*w, query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    own = [c for c in w if c in queries.columns]
+    q = queries.select(*own, query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = p.join(terms.select(*w, "token", "idf", "avgdl"), [*w, "token"]).join(q, [*w, "token"])
+    hits = p.join(terms.select(*w, "token", "idf", "avgdl"), [*w, "token"]).join(q, [*own, "token"])
     return hits.groupBy(*w, query, doc).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
@@ -58,6 +61,68 @@ def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(queries) if few else queries).select("query", "doc", F.round(dot, 5).alias("score"))
 
 
+def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", queries: int = 2048, docs: int = 8192) -> DataFrame:
+    """(query, doc, score, rank): the k best rows by cosine of every row of ``table``, itself included, ties by doc.
+
+    Rows are dealt to blocks; a query block meets the document blocks one after the other and holds its k best so far,
+    so pairs of rows never become rows. Rows without a vector are no query and no document.
+    """
+    rows = table.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    n = rows.count()
+
+    def pack(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, flat = b.column(1)[i].values.field("id"), b.column(1)[i].values.field("v")
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b.column(0)[i].as_py()], pa.int64()), "ids": pa.array([ids.to_numpy().tobytes()], pa.binary()), "vs": pa.array([flat.flatten().to_numpy().astype(np.float64).tobytes()], pa.binary())})
+
+    def blocks(size: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).cast("long")
+        return rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("x")).mapInArrow(pack, "block long, ids binary, vs binary")
+
+    def unit(b, ids: str, vs: str, i: int):
+        at = lambda c: b.column(b.schema.get_field_index(c))[i].as_py()
+        ids_ = np.frombuffer(at(ids), np.int64)
+        sort = np.argsort(ids_, kind="stable")
+        v = np.frombuffer(at(vs), np.float64).reshape(len(ids_), -1)[sort]
+        return ids_[sort], v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+
+    def best(q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best of a block for each query; one whole number orders by score, then by id, so ties cost nothing extra."""
+        order = np.rint(q @ v.T * -1e5).astype(np.int64) * len(ids) + np.arange(len(ids))
+        order = np.partition(order, k - 1, axis=1)[:, :k] if len(ids) > k else order
+        return order // len(ids) / -1e5, ids[order % len(ids)]
+
+    def run(batches):
+        held, ids, score, doc = None, None, None, None
+
+        def emit():
+            m = score.shape[1]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(doc.ravel()), pa.array(score.ravel()), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(ids)))], names=["query", "doc", "score", "rank"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                block = b.column(0)[i].as_py()
+                if block != held:
+                    if held is not None:
+                        yield emit()
+                    held = block
+                    ids, q = unit(b, "ids", "vs", i)
+                    score, doc = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+                others, v = unit(b, "ids_d", "vs_d", i)
+                parts = [best(q[at : at + 256], others, v) for at in range(0, len(ids), 256)]
+                score, doc = (np.concatenate([old, np.concatenate([p[c] for p in parts])], 1) for c, old in enumerate((score, doc)))
+                first = np.lexsort((doc, -score), axis=1)[:, :k]
+                score, doc = np.take_along_axis(score, first, 1), np.take_along_axis(doc, first, 1)
+        if held is not None:
+            yield emit()
+
+    q, d = blocks(queries), blocks(docs)
+    each = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // docs)) - 1)).cast("array<bigint>")))  # a Cartesian product would make a task of each two partitions
+    pairs = each.join(d.select(F.col("block").alias("other"), F.col("ids").alias("ids_d"), F.col("vs").alias("vs_d")), "other").select("block", "ids", "vs", "ids_d", "vs_d")
+    return pairs.repartition(max(1, -(-n // queries)), "block").sortWithinPartitions("block").mapInArrow(run, "query long, doc long, score double, rank int")
+
+
 def universe(queries: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores for every query and document, 0 where there was no hit: for small universes such as a label base."""
     u = queries.select("query").join(F.broadcast(docs.select("doc"))) if docs.limit(100_001).count() <= 100_000 else queries.select("query").join(docs.select("doc"))

@@ -73,6 +73,22 @@ def hybrid_topk(spark, d):
     return rt.top_k(rt.hybrid(lex, dense(spark, d).where("doc < 40"), 0.6), 5)
 
 
+@query("ret_dense_topk_all")
+def dense_topk_all(spark, d):
+    """Every vector against every vector; ``ret_dense_topk`` and its SQL take 20 of them as queries."""
+    return rt.dense_top_k(fx.table(spark, d, "embeddings"), 10)
+
+
+@query("ret_hybrid_topk_all")
+def hybrid_topk_all(spark, d):
+    """Every document that has a vector against the whole label base; ``ret_hybrid_topk`` and its SQL take 20 documents and 40 labels."""
+    q, b, v = notes(spark, d), base(spark, d), rt.normalised(fx.table(spark, d, "embeddings"))
+    labels = v.join(b.select(F.col("doc").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    asked = v.join(q.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    near = rt.cosine(labels, asked).select(F.col("doc").alias("query"), F.col("query").alias("doc"), "score")  # cosine is symmetric; the label base is the small side
+    return rt.top_k(rt.hybrid(rt.universe(q, b, rt.bm25(q, b)), near, 0.6), 5)
+
+
 _CH = f"""w as (select doc_id, list_filter(string_split_regex(coalesce(text,''), '[ \\n\\t\\r\\f\\x0B]+'), lambda x: x <> '') t from documents), ch as (select doc_id note, i::int chunk, array_to_string(t[i*224+1:i*224+256], ' ') text from w, range(100000) r(i) where len(t) > 0 and i < greatest(1, ceil((len(t)-32)/224)))"""
 
 

@@ -155,3 +155,61 @@ def test_coded_plan(spark):
     base = spark.createDataFrame([("A01", "acute heart failure"), ("B01", "broken leg")], "code string, text string")
     r = coding.coded(notes, base).collect()
     assert [(x.note, x.code) for x in r] == [(1, "A01")]
+
+
+def test_dense_over_all_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(120, 4)), 1).astype(np.float32)
+    v[60:90] = v[5]  # ties over blocks
+    v[7] = 0
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None)], "vec_id long, embedding array<float>")
+    u = v.astype(float) / np.maximum(np.sqrt((v.astype(float) ** 2).sum(1, keepdims=True)), 1e-9)
+    s = np.round(u @ u.T, 5)
+    want = {(i, int(d), r + 1, s[i, d]) for i in range(120) for r, d in enumerate(np.lexsort((np.arange(120), -s[i]))[:10])}
+    for queries, docs in ((2048, 8192), (11, 23), (50, 3)):
+        assert {(r.query, r.doc, r["rank"], r.score) for r in retrieval.dense_top_k(t, 10, queries=queries, docs=docs).collect()} == want
+    assert retrieval.dense_top_k(t.where("false"), 10).count() == 0
+
+
+def _tables(spark, folder, n_docs=60, n_items=50):
+    """Documents, labels and vectors with ids beyond 20 and 40."""
+    import random
+
+    rng = random.Random(1)
+    text = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    docs = [(i, text(600 if i % 9 == 0 else 12)) for i in range(n_docs)] + [(n_docs, None)]
+    items = [(i, text(6)) for i in range(n_items)]
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(55)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return docs, items, vectors
+
+
+def _scale(x):
+    return [(v - min(x)) / (max(x) - min(x)) if max(x) > min(x) else 0.0 for v in x]
+
+
+def test_hybrid_over_the_whole_base(spark, tmp_path):
+    import numpy as np
+
+    from auditloom import catalog
+
+    docs, items, vectors = _tables(spark, tmp_path)
+    tok = [t.split() for _, t in items]
+    mean = sum(map(len, tok)) / len(tok)
+    df = {w: sum(w in t for t in tok) for t in tok for w in t}
+    weight = lambda w, t: math.log(1 + (len(tok) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean))
+    v = np.array([np.float32(x) for _, x in vectors], float)
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    got = {}
+    for r in catalog.queries()["ret_hybrid_topk_all"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query, {})[r["rank"]] = (r.doc, r.score)
+    assert set(got) == set(range(55))
+    for i, text in docs[:55]:
+        lex = _scale([sum(weight(w, t) for w in set(text.split()) if w in t) for t in tok])
+        den = _scale([round(float(v[i] @ v[j]), 5) for j in range(50)])
+        score = [0.6 * a + 0.4 * b for a, b in zip(lex, den, strict=True)]
+        assert [got[i][r][1] for r in range(1, 6)] == pytest.approx(sorted(score, reverse=True)[:5], abs=1e-5)
+        assert all(score[d] == pytest.approx(x, abs=1e-5) for d, x in got[i].values())
