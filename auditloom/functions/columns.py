@@ -39,8 +39,12 @@ def words_longer_than(text: Column, n: int = 2) -> Column:
 
 def overlap(needle: Column, haystack: Column) -> Column:
     """Share of the needle's words that the haystack has; 0 without words."""
-    a = words_longer_than(needle)
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, words_longer_than(haystack))) / F.size(a)).otherwise(F.lit(0.0))
+    return share_of(words_longer_than(needle), words_longer_than(haystack))
+
+
+def share_of(a: Column, b: Column) -> Column:
+    """Share of the distinct words ``a`` that ``b`` has; 0 without words on either side, or where ``b`` is null."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, F.coalesce(b, F.array().cast("array<string>")))) / F.size(a)).otherwise(F.lit(0.0))
 
 
 def collapse(text: Column) -> Column:

@@ -119,7 +119,11 @@ def fallback_pool(preferred: DataFrame, sources: list[DataFrame], most: int = 3)
 
 def mock_score(title: Column, evidence: Column) -> tuple[Column, Column]:
     """(confidence, supported) of the deterministic stand-in scorer: word overlap of the title with the evidence."""
-    o = overlap(title, evidence)
+    return mock_score_of(overlap(title, evidence))
+
+
+def mock_score_of(o: Column) -> tuple[Column, Column]:
+    """(confidence, supported) from the share of the title's words that the evidence has."""
     return F.round(F.least(F.lit(0.95), 0.35 + 0.8 * o), 3), o >= 0.15
 
 

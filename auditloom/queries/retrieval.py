@@ -113,6 +113,14 @@ def note_local(spark, d):
     return rt.top_k(rt.bm25(q, c, within=["note"]), 2, by=["note", "query"])
 
 
+@query("ret_note_local_evidence_all")
+def note_local_all(spark, d):
+    """All labels against the chunks of each note; ``ret_note_local_evidence`` and its SQL take five of them."""
+    c = fx.table(spark, d, "documents").select(F.col("doc_id").alias("note"), F.posexplode(chunks(F.col("text"))).alias("doc", "text"))
+    labels = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return rt.top_k(rt.bm25(labels, c, within=["note"]), 2, by=["note", "query"])
+
+
 @query("ret_leakage", f"with {_ALL}, t as (select query, doc, row_number() over (partition by query order by score desc, doc) r from al qualify r <= 2) select count(*) n, round(count(*) filter (query=doc)/count(*),6) own, round(count(*) filter (query<>doc)/count(*),6) cross_note, round(count(*) filter (query%7<>doc%7)/count(*),6) cross_subject from t")
 def leakage(spark, d):
     q, b = notes(spark, d), base(spark, d)
@@ -127,6 +135,14 @@ def squash(spark, d):
     return rt.bm25(notes(spark, d), base(spark, d)).where("doc < 3").select("query", "doc", F.round(f(F.col("score")), 6).alias("squashed"))
 
 
+@query("ret_squash_all")
+def squash_all(spark, d):
+    """All labels; ``ret_squash`` and its SQL take three of them."""
+    from ..functions.columns import squash as f
+
+    return rt.bm25(notes(spark, d), base(spark, d)).select("query", "doc", F.round(f(F.col("score")), 6).alias("squashed"))
+
+
 _W = "('0x'||substr(h,{0}+7,2)||substr(h,{0}+5,2)||substr(h,{0}+3,2)||substr(h,{0}+1,2))::bigint % 10007 / 10007.0::double"
 
 

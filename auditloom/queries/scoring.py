@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import u32
+from ..functions.columns import share_of, u32, words_longer_than
 from ..operators import scoring as sc
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_
@@ -116,6 +116,15 @@ def mock(spark, d):
     return b.join(n, "k").select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))
 
 
+@query("scr_mock_scores_all")
+def mock_all(spark, d):
+    """Every note with every label; ``scr_mock_scores`` and its SQL pair ids of equal remainder only. Words are found once a text, not once a pair."""
+    b = fx.table(spark, d, "benchmark").select("item_id", words_longer_than(F.col("text")).alias("h"))
+    n = fx.table(spark, d, "documents").select("doc_id", words_longer_than(F.col("text")).alias("n"))
+    c, s = sc.mock_score_of(share_of(F.col("h"), F.col("n")))
+    return n.crossJoin(F.broadcast(b)).select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))  # the label base
+
+
 @query("scr_assemble", with_("pred_a", "select note, string_agg(code, ',' order by \"rank\") codes, max(confidence) confidence, count(*) filter (coalesce(confidence<0.4,false) or not coalesce(supported,false)) flagged from pred_a group by note"))
 def assemble(spark, d):
     p = sc.constrain(fx.predictions(spark, d), 0.4, "flag")

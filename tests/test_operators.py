@@ -213,3 +213,30 @@ def test_hybrid_over_the_whole_base(spark, tmp_path):
         score = [0.6 * a + 0.4 * b for a, b in zip(lex, den, strict=True)]
         assert [got[i][r][1] for r in range(1, 6)] == pytest.approx(sorted(score, reverse=True)[:5], abs=1e-5)
         assert all(score[d] == pytest.approx(x, abs=1e-5) for d, x in got[i].values())
+
+
+def test_queries_over_all_labels(spark, tmp_path):
+    """The whole queries agree with their SQL once its filters are gone, and go beyond what it keeps."""
+    import duckdb
+
+    from auditloom import catalog
+
+    _tables(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    filters = {"ret_note_local_evidence": " where item_id < 5", "ret_squash": " where doc < 3", "scr_mock_scores": " where d.doc_id % 20 = b.item_id % 20"}
+    for name, part in filters.items():
+        sql = catalog.oracle_sql()[name]
+        assert sql.count(part) == 1
+        df = catalog.queries()[f"{name}_all"](spark, str(tmp_path))
+        rel = con.execute(sql.replace(part, ""))
+        names = [x[0] for x in rel.description]
+        assert sorted(names) == sorted(df.columns)
+        key = [c for c in names if c in ("note", "query", "doc", "item_id", "doc_id")]
+        cut = lambda r: tuple(round(v, 5) if isinstance(v, float) else v for v in r)
+        want = sorted((cut(r) for r in rel.fetchall()), key=repr)
+        got = sorted((cut([r[c] for c in names]) for r in df.collect()), key=repr)
+        assert key and len(got) == len(want) > len(con.execute(sql).fetchall())
+        bad = [(a, b) for a, b in zip(got, want, strict=True) if a[: len(key)] != b[: len(key)] or any(x != y and (None in (x, y) or abs(x - y) > 2e-5) for x, y in zip(a, b, strict=True))]
+        assert not bad, (name, bad[:5])
