@@ -12,7 +12,8 @@ from ..sources.fixtures import with_
 from .evaluation import counts, facts
 from .registry import query
 
-REPS = 40
+REPS = 40  #: of the queries that have SQL
+FULL, FULL_METRIC = 10_000, 1_000  #: the reference's defaults: of contrasts, and of a metric's interval
 _PAIR = """pair as (select note, a.tp tp_a, a.fp fp_a, a.fn fn_a, b.tp tp_b, b.fp fp_b, b.fn fn_b, row_number() over (order by note)-1 pos from counts_a a join counts_b b using (note)), n as (select count(*) n from pair)"""
 _D = "round(2*sum(tp_a)/(2*sum(tp_a)+sum(fp_a)+sum(fn_a))-2*sum(tp_b)/(2*sum(tp_b)+sum(fp_b)+sum(fn_b)),9)"
 _BOOT = _PAIR + f""", draws as (select r rep, ('0x'||substr(md5('42:boot:'||r||':'||i),1,8))::bigint % n pos from n, range({REPS}) t(r), range(200000) u(i) where i < n),
@@ -24,15 +25,15 @@ def numbered(spark, d):
 
 
 @query("st_bootstrap_delta", with_("counts_a counts_b", f"with {_BOOT} select count(*) replicates, list_sort(list(d))[least(floor(0.025*count(*)),count(*)-1)::int+1] lo, list_sort(list(d))[least(floor((1-0.025)*count(*)),count(*)-1)::int+1] hi from reps"))
-def bootstrap_delta(spark, d):
-    return st.interval(st.bootstrap(numbered(spark, d), REPS, 42, {"d": st.delta_f1()}), "d")
+def bootstrap_delta(spark, d, reps=REPS):
+    return st.interval(st.bootstrap(numbered(spark, d), reps, 42, {"d": st.delta_f1()}), "d")
 
 
 @query("st_randomization", with_("counts_a counts_b", f"""with {_PAIR}, sw as (select r rep, case when ('0x'||substr(md5('42:swap:'||r||':'||pos),1,8))::bigint % 2 = 1 then [tp_b,fp_b,fn_b,tp_a,fp_a,fn_a] else [tp_a,fp_a,fn_a,tp_b,fp_b,fn_b] end v from pair, range({REPS}) t(r)),
  o as (select {_D} o from pair), s as (select rep, round(2*sum(v[1])/(2*sum(v[1])+sum(v[2])+sum(v[3]))-2*sum(v[4])/(2*sum(v[4])+sum(v[5])+sum(v[6])),9) x from sw group by rep)
  select max(o) observed, round((count(*) filter (abs(x)>=abs(o))+1)/(count(*)+1),6) p from s, o"""))
-def randomization(spark, d):
-    return st.randomization(numbered(spark, d), REPS, 42)
+def randomization(spark, d, reps=REPS):
+    return st.randomization(numbered(spark, d), reps, 42)
 
 
 @query("st_note_counts", with_("counts_a", "select * from counts_a"))
@@ -65,18 +66,18 @@ def capacity(spark, d):
  draws as (select r rep, ('0x'||substr(md5('7:boot:'||r||':'||i),1,8))::bigint % n pos from n, range({REPS}) t(r), range(200000) u(i) where i < n), reps as (select rep, round(sum(sg_a)/sum(st_a)-sum(sg_b)/sum(st_b),9) d from draws join pr using (pos) group by rep),
  o as (select round(sum(sg_a)/sum(st_a)-sum(sg_b)/sum(st_b),9) o from pr)
  select max(o) observed, round((count(*) filter (abs(d-o)>=abs(o))+1)/(count(*)+1),6) centred_p from reps, o"""))
-def ratio_bootstrap(spark, d):
+def ratio_bootstrap(spark, d, reps=REPS):
     cols = ["note", "sg", "st"]
     n = st.number(st.paired(counts(spark, d, "a").select(*cols), counts(spark, d, "b").select(*cols)), "note").persist()
     diff = F.round(safe_ratio(F.col("sg_a"), F.col("st_a")) - safe_ratio(F.col("sg_b"), F.col("st_b")), 9)
-    reps = st.bootstrap(n, REPS, 7, {"d": diff})
+    drawn = st.bootstrap(n, reps, 7, {"d": diff})
     seen = n.agg(*[F.sum(c).alias(c) for c in ("sg_a", "st_a", "sg_b", "st_b")]).select(diff.alias("observed"))
-    return reps.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs(F.col("d") - F.col("observed")) >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("centred_p"))
+    return drawn.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs(F.col("d") - F.col("observed")) >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("centred_p"))
 
 
 @query("st_metric_bootstrap", with_("counts_a counts_b", f"with {_BOOT} select round(avg(d),8) mean, round(stddev_pop(d),8) std, round(quantile_cont(d,0.025),8) lo, round(quantile_cont(d,0.975),8) hi from reps"))
-def metric_bootstrap(spark, d):
-    r = st.bootstrap(numbered(spark, d), REPS, 42, {"d": st.delta_f1()})
+def metric_bootstrap(spark, d, reps=REPS):
+    r = st.bootstrap(numbered(spark, d), reps, 42, {"d": st.delta_f1()})
     return r.agg(F.round(F.avg("d"), 8).alias("mean"), F.round(F.stddev_pop("d"), 8).alias("std"), F.round(F.percentile("d", F.lit(0.025)), 8).alias("lo"), F.round(F.percentile("d", F.lit(0.975)), 8).alias("hi"))
 
 
@@ -189,3 +190,71 @@ def label_thresholds(spark, d):
     s = x.groupBy("code", "t").agg(F.count_if(F.expr("in_pred and in_gold and confidence >= t")).alias("tp"), F.count_if(F.expr("in_pred and confidence >= t")).alias("e"), F.count_if("in_gold").alias("g"))
     f = s.withColumn("f1", F.when(F.col("g") > 0, F.round(2 * F.col("tp") / (F.col("e") + F.col("g")), 9)))
     return f.groupBy("code").agg(F.when(F.max("f1").isNull(), F.lit(0.5)).otherwise(F.max_by("t", F.when(F.col("f1").isNotNull(), F.struct("f1", -F.col("t"))))).alias("threshold"))
+
+
+@query("st_bootstrap_delta_full")
+def bootstrap_delta_full(spark, d):
+    return bootstrap_delta(spark, d, FULL)
+
+
+@query("st_randomization_full")
+def randomization_full(spark, d):
+    return randomization(spark, d, FULL)
+
+
+@query("st_ratio_bootstrap_full")
+def ratio_bootstrap_full(spark, d):
+    return ratio_bootstrap(spark, d, FULL)
+
+
+@query("st_metric_bootstrap_full")
+def metric_bootstrap_full(spark, d):
+    return metric_bootstrap(spark, d, FULL_METRIC)
+
+
+@query("ml_label_thresholds_full")
+def label_thresholds_full(spark, d):
+    """The best of 66 thresholds .05 to .70 for each label, the first of equals; labels without gold notes keep .5."""
+    ts = [i / 100.0 for i in range(5, 71)]
+    passed = F.size(F.filter(F.array(*map(F.lit, ts)), lambda t: F.col("confidence") >= t))
+    # How many thresholds a confidence passes is all that the grid can see: thresholds multiply those cells, not the facts.
+    cells = facts(spark, d).groupBy("code", F.when(F.col("in_pred") & F.col("confidence").isNotNull(), passed).otherwise(0).alias("passed"), "in_gold").agg(F.count("*").alias("n"))
+    x = cells.select("*", F.posexplode(F.array(*map(F.lit, ts))).alias("i", "t"))
+    kept = F.col("passed") > F.col("i")
+    s = x.groupBy("code", "t").agg(F.sum(F.when(kept & F.col("in_gold"), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("in_gold"), F.col("n")).otherwise(0)).alias("g"))
+    f = s.withColumn("f1", F.when(F.col("g") > 0, F.round(2 * F.col("tp") / (F.col("e") + F.col("g")), 9)))
+    return f.groupBy("code").agg(F.when(F.max("f1").isNull(), F.lit(0.5)).otherwise(F.max_by("t", F.when(F.col("f1").isNotNull(), F.struct("f1", -F.col("t"))))).alias("threshold"))
+
+
+CAPS = [1, 2, 3, 4, 5, 6, 8, 10, 12, 15]
+
+
+@query("st_split_half_full")
+def split_half_full(spark, d):
+    """Twenty thresholds, ten caps, all codes or supported ones only, tuned on one half of the notes (by parity) and scored on the other.
+
+    The cap counts the codes that threshold and support leave; codes without confidence pass every threshold and come
+    last. ``tuned_on`` 2 is the best on all notes, an upper bound without held-out score; ``held_out_mean`` is the mean of both halves.
+    """
+    ts = [i / 20 for i in range(20)]
+    f = facts(spark, d).withColumn("half", (F.col("note") % 2).cast("int"))
+    p = f.where("in_pred").select("note", "half", "code", "in_gold", "confidence", "rank", F.explode(F.when(F.col("supported"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("only"))
+    p = p.withColumn("step", F.when(F.col("confidence").isNotNull(), F.size(F.filter(F.array(*map(F.lit, ts)), lambda t: F.col("confidence") >= t))))
+    note = Window.partitionBy("note", "only")
+    p = p.withColumn("rank", F.row_number().over(note.orderBy("rank"))).withColumn("steps", F.when(F.col("step").isNull(), F.collect_list("step").over(note)))
+    have = p.where("step > 0").select("half", "only", F.lit(0).alias("lo"), (F.col("step") - 1).alias("hi"), "rank", "in_gold")
+    # Codes without confidence move up by the codes that a threshold takes away before them.
+    lack = p.where("step is null").select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("lo"))
+    lack = lack.select("half", "only", "lo", F.col("lo").alias("hi"), (F.col("rank") - F.size(F.filter("steps", lambda s: s <= F.col("lo")))).alias("rank"), "in_gold")
+    both = F.explode(F.array("half", F.lit(2))).alias("half")
+    cells = have.unionByName(lack).where(F.col("rank") <= CAPS[-1]).groupBy("half", "only", "lo", "hi", "rank", "in_gold").agg(F.count("*").alias("n")).select(both, "only", "lo", "hi", "rank", "in_gold", "n")
+    gold = f.where("in_gold").groupBy("half").agg(F.count("*").alias("n")).select(both, "n").groupBy("half").agg(F.sum("n").alias("g"))
+    grid = spark.createDataFrame([(i, t, c, o) for i, t in enumerate(ts) for c in CAPS for o in (False, True)], "i int, t double, cap int, only boolean")
+    grid = gold.crossJoin(F.broadcast(grid))  # 1200 rows
+    hit = cells.join(F.broadcast(grid.select("half", "i", "cap", "only")), ["half", "only"]).where("lo <= i and i <= hi and rank <= cap")
+    hit = hit.groupBy("half", "only", "i", "cap").agg(F.sum(F.when(F.col("in_gold"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("e"))
+    s = grid.join(hit, ["half", "only", "i", "cap"], "left").select("half", "t", "cap", "only", F.round(2 * F.coalesce("tp", F.lit(0)) / (F.coalesce("e", F.lit(0)) + F.col("g")), 9).alias("f1"))
+    b = s.withColumn("r", F.row_number().over(Window.partitionBy("half").orderBy(F.desc("f1"), "t", "cap", "only"))).where("r = 1")
+    o = s.where("half < 2").select((1 - F.col("half")).alias("half"), "t", "cap", "only", F.col("f1").alias("held_out_f1"))
+    out = b.join(o, ["half", "t", "cap", "only"], "left").select(F.col("half").alias("tuned_on"), "t", "cap", F.col("only").alias("supported_only"), F.col("f1").alias("tuned_f1"), "held_out_f1")
+    return out.withColumn("held_out_mean", F.round(F.avg("held_out_f1").over(Window.partitionBy()), 9))  # three rows

@@ -240,3 +240,61 @@ def test_queries_over_all_labels(spark, tmp_path):
         assert key and len(got) == len(want) > len(con.execute(sql).fetchall())
         bad = [(a, b) for a, b in zip(got, want, strict=True) if a[: len(key)] != b[: len(key)] or any(x != y and (None in (x, y) or abs(x - y) > 2e-5) for x, y in zip(a, b, strict=True))]
         assert not bad, (name, bad[:5])
+
+
+def test_full_grids_and_replicates(spark, monkeypatch):
+    import collections
+    import hashlib
+
+    from auditloom import catalog
+    from auditloom.queries import evaluation, statistics
+
+    small = "/root/testdata/sf0.001"
+    rows = evaluation.facts(spark, small).collect()
+    q = catalog.queries()
+    ts = [i / 100.0 for i in range(5, 71)]
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.code].append(r)
+    want = {}
+    for code, own in by.items():
+        g = sum(r.in_gold for r in own)
+        sure = [r for r in own if r.in_pred and r.confidence is not None]
+        f = [round(2 * sum(r.in_gold for r in sure if r.confidence >= t) / (sum(r.confidence >= t for r in sure) + g), 9) if g else 0 for t in ts]
+        want[code] = ts[f.index(max(f))] if g else 0.5
+    assert {r.code: r.threshold for r in q["ml_label_thresholds_full"](spark, small).collect()} == want
+    assert not set(want.values()) <= {0.1, 0.3, 0.5, 0.7}
+
+    notes = collections.defaultdict(list)
+    for r in rows:
+        notes[r.note].append(r)
+    score = {h: {} for h in (0, 1)}
+    for h in (0, 1):
+        g = sum(r.in_gold for r in rows if r.note % 2 == h)
+        ranked = [sorted((r for r in own if r.in_pred), key=lambda r: r["rank"]) for n, own in notes.items() if n % 2 == h]
+        for t in [i / 20 for i in range(20)]:
+            for only in (False, True):
+                kept = [[r.in_gold for r in own if (r.confidence is None or r.confidence >= t) and (r.supported or not only)] for own in ranked]
+                for cap in statistics.CAPS:
+                    score[h][t, cap, only] = (sum(sum(k[:cap]) for k in kept), sum(len(k[:cap]) for k in kept) + g)
+    f1 = lambda h, c: round(2 * score[h][c][0] / score[h][c][1], 9)
+    got = {r.tuned_on: r for r in q["st_split_half_full"](spark, small).collect()}
+    for h in (0, 1):
+        top = min(score[h], key=lambda c: (-f1(h, c), c))
+        assert (got[h].t, got[h].cap, got[h].supported_only, got[h].tuned_f1, got[h].held_out_f1) == (*top, f1(h, top), f1(1 - h, top))
+    whole = {c: round(2 * (score[0][c][0] + score[1][c][0]) / (score[0][c][1] + score[1][c][1]), 9) for c in score[0]}
+    top = min(whole, key=lambda c: (-whole[c], c))
+    assert (got[2].t, got[2].cap, got[2].supported_only, got[2].tuned_f1, got[2].held_out_f1) == (*top, whole[top], None)
+
+    assert (statistics.FULL, statistics.FULL_METRIC) == (10_000, 1_000)
+    monkeypatch.setattr(statistics, "FULL", 60)
+    pair = statistics.numbered(spark, small).orderBy("pos").collect()
+    side = lambda x, k: 2 * sum(r[f"tp_{k}"] for r in x) / sum(2 * r[f"tp_{k}"] + r[f"fp_{k}"] + r[f"fn_{k}"] for r in x)
+    d = []
+    for rep in range(60):
+        x = [pair[int(hashlib.md5(f"42:boot:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(pair)] for i in range(len(pair))]
+        d.append(round(side(x, "a") - side(x, "b"), 9))
+    d.sort()
+    r = q["st_bootstrap_delta_full"](spark, small).first()
+    assert r.replicates == 60 and (r.lo, r.hi) == pytest.approx((d[1], d[58]), abs=2e-9)
+    spark.catalog.clearCache()
