@@ -7,7 +7,9 @@ longest common extensions are found by binary search.
 A fingerprint is the hash and length of the whole text, and the smallest of the mixed hashes of all its spans of SPAN
 code points (SKETCH of them at most). The likeness of two fingerprints is the greater of two
 shares: that of common hashes among the smallest of both (bottom-k sampling of the spans' resemblance), and that of the
-common beginning and end in the longer text, by longest common extension; 1 for equal texts.
+common beginning and end in the longer text, by longest common extension; 1 for equal texts. Where the shorter text has
+fewer than 2 * SPAN code points, spans are a quarter of its length (2 at least), sketched anew for the pair, and a
+common beginning or end counts from half its length on; otherwise both count from SPAN on.
 
 ``neighbours`` works on texts in the order of their ids: ids are dealt to ranges of about equal size, each range goes to
 one task together with the row that follows it, and is read in order, so only two texts are held at once.
@@ -97,11 +99,11 @@ class PrefixHash:
     def whole(self) -> str:
         return f"{int(self.span(0, self.n)):016x}{self.n:08x}"
 
-    def sketch(self) -> np.ndarray:
+    def sketch(self, width: int = SPAN) -> np.ndarray:
         if not self.n:
             return np.zeros(0, np.uint64)
-        s = np.arange(max(1, self.n - SPAN + 1))
-        h = np.unique(mix(self.span(s, np.minimum(s + SPAN, self.n))))
+        s = np.arange(max(1, self.n - width + 1))
+        h = np.unique(mix(self.span(s, np.minimum(s + width, self.n))))
         return h[:SKETCH]
 
 
@@ -121,16 +123,19 @@ class Fingerprint:
             return 1.0
         if not len(self.low) or not len(other.low):
             return 0.0
-        both = np.union1d(self.low, other.low)[:SKETCH]
-        shared = np.intersect1d(np.intersect1d(both, self.low, assume_unique=True), other.low, assume_unique=True)
         x, y = self.hash, other.hash
         least, most = min(x.n, y.n), max(x.n, y.n)
-        ends = 0
-        if least >= SPAN:
-            if x.equal(0, y, 0, SPAN):
-                ends = x.extension(0, y, 0)
-            if x.equal(x.n - SPAN, y, y.n - SPAN, SPAN):
-                ends += x.extension_left(x.n, y, y.n)
+        a, b = self.low, other.low
+        if least < 2 * SPAN:  # an edit would leave hardly a span of full length
+            width = max(2, least // 4)
+            a, b = x.sketch(width), y.sketch(width)
+        both = np.union1d(a, b)[:SKETCH]
+        shared = np.intersect1d(np.intersect1d(both, a, assume_unique=True), b, assume_unique=True)
+        run, ends = min(SPAN, max(1, least // 2)), 0
+        if x.equal(0, y, 0, run):
+            ends = x.extension(0, y, 0)
+        if x.equal(x.n - run, y, y.n - run, run):
+            ends += x.extension_left(x.n, y, y.n)
         return max(len(shared) / len(both), min(ends, least) / most)
 
 

@@ -334,6 +334,18 @@ def test_neighbours_match_brute_force(spark, texts, rows_per_range):
     assert long and all(r.near_edited > 0.7 for r in long)
 
 
+@pytest.mark.parametrize("n", range(4, 61))
+def test_likeness_of_short_texts(n):
+    rng = random.Random(n)
+    word = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    t, apart = word(n, "abcdefghijklmnopqrstuvwxyz"), word(n, "0123456789")
+    f = prefix_hash.Fingerprint
+    e = prefix_hash.edited(t, apart)
+    assert f(t).likeness(f(e)) == f(e).likeness(f(t)) >= (n - n // 4) / n
+    near = t[: n // 2] + "0" + t[n // 2 + 1 :]  # one letter in the middle
+    assert f(t).likeness(f(near)) >= 0.5 and f(t).likeness(f(apart)) == 0 and f(t).likeness(f(t)) == 1
+
+
 def test_neighbours_of_none_and_one(spark):
     assert prefix_hash.neighbours(docs(spark, [])).count() == 0
     r = prefix_hash.neighbours(docs(spark, [(9, "abcdefgh", "en", "s")])).collect()
