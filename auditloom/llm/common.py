@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,41 +14,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
-
 class Scratch:
     """Tables that cut lineage, written below the cluster's shared ``spark.checkpoint.dir``.
 
-    Where that setting is absent (local tests), a temporary folder of this process is used instead.
+    Where that setting is absent, a local master (tests) takes a temporary folder of this process, which all its tasks
+    see; any other master is refused, as its executors would not. What is left of a run's tables is deleted when the
+    driver's process ends; tables that are spent earlier are dropped by ``drop``.
     """
 
+    _local: str | None = None
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="auditloom-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+            Scratch._local = Scratch._local or tempfile.mkdtemp(prefix="auditloom-")
+            root = f"file://{Scratch._local}"
         self.root = f"{root.rstrip('/')}/auditloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._delete, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
-        self.release()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001  remembered for drop()
         return out
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that have ended; it does so when the driver collects its garbage."""
+        """Lets Spark delete the shuffle files and broadcasts of plans that have ended; it does so when the driver collects its garbage."""
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
+    def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if path := getattr(t, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):
@@ -132,26 +144,28 @@ def word_hashes(data: np.ndarray, off: np.ndarray, part: int = 1 << 21) -> tuple
     return h, np.searchsorted(s, off, "left")
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", steps: int | None = None) -> DataFrame:
     """Connected components of undirected ``edges`` by alternating large-star and small-star steps.
 
-    Returns (node, component): each node of an edge with the smallest node that it reaches. Every step is a join and
-    an aggregate on node ids and is written to the scratch folder; only two numbers a step reach the driver.
+    Returns (node, component): each node of an edge with the smallest node that it reaches. Every step is two joins and
+    aggregates on node ids, written to the scratch folder; only two numbers a step reach the driver. With ``steps`` it
+    ends after so many: nodes of one label are connected then, but a component may still have several labels.
     """
     e = scratch.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    state, done = None, 0
+    while done != steps:
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u")
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_min.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.save(new, "stars")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        new = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        new = scratch.save(new.select("x.u", "x.v").where("u <> v").distinct(), "stars")
         scratch.drop(e)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = new
-        if now == state:
-            break
-        state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        e, done = new, done + 1
+        if steps is None:
+            now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state:
+                break
+            state = now
+    least = e.groupBy("u").agg(F.min("v").alias("v"))
+    return least.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(least.select(F.col("u").alias("node")), "node", "left_anti"))

@@ -5,20 +5,26 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of word 5-
 1. A table of fixed size counts how often the n-grams of each hash bucket occur in the whole corpus. It is a sum over
    all documents and orders n-grams from rare to frequent, the same way everywhere; any such order is correct for
    prefix filtering, the counts only make prefixes selective.
-2. Each document is reduced to (size, digest of the set, rare-first prefix, suffix signature). Equal sets become one
-   class, joined through its smallest id, so exact copies are never paired.
-3. Documents meet on prefix n-grams. Frequent n-grams are salted. In leader rounds each document proposes one leader,
-   the one it shares most prefix n-grams with among the leaders of its n-grams; verified links join components.
-   Rounds go on while pairs between components would outnumber the postings by far, so a group of k near copies costs
-   about k verifications a round and not k * k.
-4. All remaining pairs between different components pass the length, positional and suffix filters, and are verified
-   once each on the whole texts. No cap on partners or candidates anywhere.
+2. Each document is reduced to (size, digest of the set, rare-first prefix, parity bits of the set). Equal sets become
+   one class, joined through its smallest id, so exact copies are never paired.
+3. Leader rounds. Among the documents of a prefix n-gram the leader is the one in which it comes first in the common
+   order: in a group of near copies that is the copy with the fewest n-grams of its own, to which most others link.
+   Each document proposes the leader it shares most prefix n-grams with; links that verify give labels. A round costs
+   one verification a document, and rounds go on while they reduce the pairs that are left.
+4. All remaining pairs between different labels meet on a prefix n-gram and pass the length, positional and suffix
+   filters inside the join's condition; what is left is verified once each on the whole texts. Of an n-gram's postings only those outside its most frequent label
+   start pairs, so a merged group costs nothing; a frequent n-gram's postings are dealt to cells. No cap on partners or candidates anywhere.
 5. Where links are counted, the classes of each component are dealt to blocks, and each two blocks of a component are
    compared in one row, all sets with all: every link lies inside a component, so none is missed, and pairs of
    documents never become rows.
 
+The suffix filter: let a common n-gram be the first in the common order that two sets share. All n-grams before it differ,
+so the sets' symmetric difference is pos_a + pos_b and that of the suffixes behind it. The latter is bounded from below
+by the parity bits of the suffixes (those of the whole set, with the prefix up to the n-gram taken out): each
+n-gram that is in one suffix only flips one bit.
+
 Defined cases: null or blank text has an empty set and links with nothing; fewer words than n form one n-gram; repeated
-rows of one id give one result row each (where their texts differ, links are those of the greatest text of the class's smallest id); a null id is allowed and takes part like any other row of its class only when
+rows of one id give one result row each, and where their texts differ the id has the links of all its texts; a null id is allowed and takes part like any other row of its class only when
 its class has a non-null id, else it stays alone with a null component; extra columns are ignored.
 """
 
@@ -35,9 +41,9 @@ from .common import Scratch, U, components, mix, slices, utf8, word_hashes
 
 BITS = 20  #: log2 of the buckets of the frequency table: 4 MB, at every input size
 PARTS = 64  #: the table is summed in so many parts
-SIGNATURE = 32  #: partitions of the n-gram space in the suffix signature
 HOT = 50_000  #: an n-gram in a bucket over this count is dealt to SALTS groups
 SALTS = 64
+CELL = 20_000  #: postings of an n-gram in a cell of the join, pairs of a leader in a cell of the verification
 BLOCK = 128  #: classes of a component in a block, on average, when links are counted
 
 
@@ -97,8 +103,19 @@ def frequency_table(texts: DataFrame, n: int) -> np.ndarray:
     return table
 
 
+def words_for(n: int) -> int:
+    """64-bit words of the parity bits of a set of n: a power of two, about four bits an element."""
+    return 1 << max(3, (max(1, n) // 16).bit_length())
+
+
+def parity(grams: np.ndarray, words: int) -> np.ndarray:
+    """One bit for each hash residue: is the number of elements there odd? Sets that differ in d elements differ in d bits at most."""
+    odd = np.bincount((grams & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _profiles(texts: DataFrame, table, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, class key, check, rare-first prefix, how many of it aren't hot, signature) of each document."""
+    """(doc_id, n_shingles, class key, check, rare-first prefix, how many of it aren't hot, parity bits) of each document."""
 
     def profile(batches):
         counts = table.value
@@ -115,27 +132,30 @@ def _profiles(texts: DataFrame, table, n: int, percent: int) -> DataFrame:
                 check.append(int.from_bytes(d[8:], "little", signed=True))
                 prefix.append(s[first].view(np.int64))
                 cold.append(int((c[first] <= HOT).sum()))
-                sig.append(np.minimum(np.bincount((s & U(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 32767).astype(np.int16).tolist())
+                sig.append(parity(s, words_for(m)))
             off = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("doc_id")), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64())), pa.array(cold, pa.int32()), pa.array(sig, pa.list_(pa.int16()))],
+                 pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64())), pa.array(cold, pa.int32()), pa.array(sig, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "key", "check", "prefix", "cold", "sig"],
             )
 
-    return texts.mapInArrow(profile, "doc_id long, n long, key long, check long, prefix array<long>, cold int, sig array<short>")
+    return texts.mapInArrow(profile, "doc_id long, n long, key long, check long, prefix array<long>, cold int, sig array<long>")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, n: int, percent: int, small: int = 300_000) -> DataFrame:
-    """The pairs (a, b) whose whole texts link; each pair is looked at once.
+    """The pairs (a, b) of which two whole texts link; each pair is looked at once. Saved ``pairs`` are read four times.
 
     Only texts of ids in ``pairs`` are moved. The id list is broadcast where it has at most ``small`` rows (2.4 MB);
-    a longer list is joined by shuffle.
+    a longer list is joined by shuffle. The pairs of one b are dealt to cells, so that a leader of many has its text in as many places as it takes.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(degree.select(F.col("b").alias("doc_id"))).distinct()
     few = ids.limit(small + 1).count() <= small
-    used = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    both = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a").join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+    used = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").repartition("doc_id").distinct()
+    right = used.join(degree.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("text").alias("other"))
+    left = pairs.join(degree, "b").select("a", "b", F.expr("int(pmod(xxhash64(a), cells))").alias("cell")).join(used.withColumnRenamed("doc_id", "a"), "a")
+    both = left.join(right, ["b", "cell"])
 
     def check(batches):
         for b in slices(batches):
@@ -156,65 +176,67 @@ def _alpha(x: str, y: str, percent: int):
     return F.expr(f"({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent}")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, most_pairs: float = 0.5, rounds: int = 4, count: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, most_pairs: float = 2.0, gain: float = 0.2, count: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id and, with ``count``, links: how many other classes its class links with.
 
     ``component_id`` is the smallest doc_id reachable through links. Leader rounds go on while the pairs of
-    postings in different components outnumber the postings ``most_pairs`` times and a round finds links, ``rounds`` at
-    most; both change the work, not the result.
+    postings with different labels outnumber the postings ``most_pairs`` times and the last round has taken away the share ``gain``
+    of them; both change the work, not the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-jaccard")
     texts = _texts(docs, doc_id, text)
     table = spark.sparkContext.broadcast(frequency_table(texts, n))
     prof = scratch.save(_profiles(texts, table, n, percent), "profiles")
-    classes = prof.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    classes = scratch.save(classes, "classes")
-    if classes.where("lo <> hi").limit(1).count():
-        raise RuntimeError("two different sets share a 64-bit class key")
-
-    reps = prof.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    table.destroy()
+    known = prof.where("n > 0 and doc_id is not null")
+    classes = scratch.save(known.groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = prof.join(classes.select("key", "check", "n", F.col("rep").alias("doc_id")), ["key", "check", "n", "doc_id"], "left_semi")
     post = reps.select(F.col("doc_id").alias("rep"), "n", "cold", F.posexplode("prefix").alias("pos", "h")).withColumn("salt", F.expr(f"if(pos >= cold, pmod(rep, {SALTS}), -1)"))
     met = F.count("*").over(Window.partitionBy("h", "salt"))
-    post = post.select("h", "salt", "rep", "n", "pos", met.alias("k")).where("k > 1 or salt >= 0").select("h", "rep", "n", "pos")
-    post = scratch.save(post, "postings")
-    total = post.count()
-    sig = prof.select(F.col("doc_id").alias("rep"), "sig")
-    comp, edges, won = None, [], 0
-    for round_ in range(rounds + 1):
-        if comp is None:
-            cur = post.withColumn("c", F.col("rep"))
-        else:
-            cur = post.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        counts = cur.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).cast("double").alias("x"))
-        cross = counts.agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0] / 2
-        if cross <= most_pairs * total * (round_ > 0) or round_ == rounds or (round_ and won < 20):
+    post = scratch.save(post.select("h", "salt", "rep", "n", "pos", met.alias("k")).where("k > 1 or salt >= 0").select("h", "rep", "n", "pos"), "postings")
+    scratch.release()
+    total, sig = post.count(), prof.select(F.col("doc_id").alias("rep"), "n", "sig")
+
+    # The links of ids with several texts: each of their classes is reached.
+    several = known.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id")
+    links = [known.select("doc_id", "key", "check", "n").join(several, "doc_id", "left_semi").join(classes, ["key", "check", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")]
+    label, before = None, float("inf")
+    while True:
+        cur = _labelled(post, label)
+        cells = _cells(cur)
+        cross = cells.agg(F.coalesce(F.sum(F.col("others").cast("double") * F.col("k")), F.lit(0.0))).first()[0]
+        if cross <= most_pairs * total or cross > (1 - gain) * before:
             break
-        new = scratch.save(_leader_round(cur, sig, texts, round_, n, percent), "links")
-        edges.append(new)
-        won = new.count()
-        old, comp = comp, scratch.save(components(spark, _union(edges), scratch), "components")
-        scratch.drop(*[old] if old is not None else [])
-    pairs = scratch.save(_cross_pairs(cur, sig, percent), "pairs")
-    scratch.drop(post)
-    edges.append(scratch.save(_verify(texts, pairs, n, percent), "links"))
+        before = cross
+        pairs = scratch.save(_leader_pairs(cur, sig, len(links) - 1, percent), "proposed")
+        links.append(scratch.save(_verify(texts, pairs, n, percent), "links"))
+        old, label = label, scratch.save(components(spark, _union(links[1:]), scratch, steps=2), "labels")
+        scratch.drop(pairs, old)
+        scratch.release()
+    pairs = scratch.save(_cross_pairs(cur, cells, prof, scratch, percent), "pairs")
+    scratch.drop(post, label)
+    links.append(scratch.save(_verify(texts, pairs, n, percent), "links"))
     scratch.drop(pairs)
-    links = _union(edges)
-    final = scratch.save(components(spark, links, scratch), "components")
+    scratch.release()
+    final = scratch.save(components(spark, _union(links), scratch), "components")
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     if count:
         named = named.join(_count_links(texts, final, n, percent), "rep", "left")
-    named = named.select("key", "n", "rep", F.coalesce("component", "rep").alias("component"), *([F.coalesce("links", F.lit(0)).cast("long").alias("links")] if count else []))
-    named = scratch.save(named, "named")
-    out = prof.select("doc_id", "n", "key").join(named, ["key", "n"], "left")
-    alone = F.col("n") == 0
-    return out.select(
+    named = named.select("key", "check", "n", "rep", F.coalesce("component", "rep").alias("component"), *([F.coalesce("links", F.lit(0)).cast("long").alias("links")] if count else []))
+    out = prof.select("doc_id", "n", "key", "check").join(named, ["key", "check", "n"], "left")
+    alone = (F.col("n") == 0) | F.col("rep").isNull()
+    out = out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(alone | F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.when(alone | F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
         *([F.coalesce("links", F.lit(0)).alias("links")] if count else []),
     )
+    out = scratch.save(out, "result")
+    scratch.drop(prof, classes, final, *links)
+    scratch.release()
+    return out
 
 
 def _count_links(texts: DataFrame, comp: DataFrame, n: int, percent: int) -> DataFrame:
@@ -272,39 +294,72 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _suffix_bound(sa: str, sb: str, na: str, nb: str, percent: int):
-    """Do the sizes of both sets in each partition of the n-gram space allow the overlap? Their differences bound the symmetric difference from below."""
-    apart = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return apart <= F.col(na) + F.col(nb) - 2 * _alpha(na, nb, percent)
-
-
-def _suffix_filter(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that pass the suffix filter."""
-    p = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    return p.where(_suffix_bound("sa", "sb", "na", "nb", percent)).select("a", "b")
-
-
-def _leader_round(cur: DataFrame, sig: DataFrame, texts: DataFrame, round_: int, n: int, percent: int) -> DataFrame:
-    """Each document proposes, among the leaders of its prefix n-grams in other components, the one it shares most n-grams with."""
-    order = F.struct(F.col("n"), F.col("rep"), F.col("c")) if round_ == 0 else F.struct(F.xxhash64(F.col("rep"), F.lit(round_)).alias("x"), F.col("rep"), F.col("c"), F.col("n"))
-    lead = cur.groupBy("h").agg(F.min(order).alias("l"), F.max(order).alias("m"))
-    both = cur.join(lead, "h")
-    votes = both.select(F.col("rep").alias("a"), F.col("n").alias("na"), "c", F.explode(F.array("l", "m")).alias("l")).select("a", "na", "c", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"), F.col("l.c").alias("d"))
-    votes = votes.where(f"c <> d and 100 * least(na, nb) >= {percent} * greatest(na, nb)").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    best = votes.where("k * 20 >= least(na, nb)").groupBy("a").agg(F.max(F.struct("k", "b", "na", "nb")).alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.na").alias("na"), F.col("x.nb").alias("nb"))
-    pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    return _verify(texts, _suffix_filter(pairs, sig, percent), n, percent)
-
-
-def _cross_pairs(cur: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """All pairs in different components that pass the length, positional and suffix filters."""
-    live = cur.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    cur = cur.join(live, "h", "left_semi").join(sig, "rep")
-    x = cur.select("h", *(F.col(k).alias(f"{k}_a") for k in ("rep", "n", "pos", "c", "sig")))
-    y = cur.select("h", *(F.col(k).alias(f"{k}_b") for k in ("rep", "n", "pos", "c", "sig")))
-    # Of a linked pair's common n-grams the first in the common order passes the positional filter. All filters are in
-    # the join's condition, so that only pairs that pass them leave it.
-    cond = f"""c_a <> c_b and (n_a < n_b or (n_a = n_b and rep_a < rep_b)) and 100 * n_a >= {percent} * n_b
-               and least(n_a - pos_a, n_b - pos_b) >= ({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"""
-    pairs = x.join(y, (x["h"] == y["h"]) & F.expr(cond) & _suffix_bound("sig_a", "sig_b", "n_a", "n_b", percent))
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+def _labelled(post: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The postings with the label ``c`` of their document."""
+    if label is None:
+        return post.withColumn("c", F.col("rep"))
+    return post.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+
+def _cells(cur: DataFrame) -> DataFrame:
+    """(h, k, most, others, cells) of the n-grams that meet in several labels: postings, the most frequent label, postings of other labels, cells."""
+    by = cur.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("x"))
+    return by.where("k > x.k").select("h", "k", F.col("x.c").alias("most"), (F.col("k") - F.col("x.k")).alias("others"), F.ceil(F.col("k") / CELL).cast("int").alias("cells"))
+
+
+def _apart(sa: str, sb: str):
+    """Bits in which two parity words lists differ; the longer list is folded to the length of the shorter."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def to(s: str, other: str):
+        m = F.size(other)
+        return F.when(F.size(s) > m, F.zip_with(F.slice(s, 1, m), F.slice(s, m + 1, m), xor)).otherwise(F.col(s))
+
+    return F.aggregate(F.zip_with(to(sa, sb), to(sb, sa), lambda x, y: F.bit_count(xor(x, y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _leader_pairs(cur: DataFrame, sig: DataFrame, round_: int, percent: int) -> DataFrame:
+    """(a, b): each document with the leader, among those of its prefix n-grams with another label, that it shares most n-grams with.
+
+    An n-gram has two leaders: in the first round those in which it comes first and last in the common order, later those
+    of the least and greatest hash.
+    """
+    priority = F.xxhash64("rep", F.lit(round_)) if round_ else F.col("pos").cast("long")
+    order = F.struct(priority.alias("x"), F.col("rep"), F.col("n"), F.col("c"))
+    lead = cur.groupBy("h").agg(F.min(order).alias("l"), F.max(order).alias("m")).where("l.rep <> m.rep")
+    votes = cur.join(lead, "h").select(F.col("rep").alias("a"), F.col("n").alias("na"), "c", F.explode(F.array("l", "m")).alias("l"))
+    votes = votes.select("a", "na", "c", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"), F.col("l.c").alias("d"))
+    votes = votes.where(f"c <> d and 100 * least(na, nb) >= {percent} * greatest(na, nb)").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("k"))
+    best = votes.groupBy("a", "na").agg(F.max(F.struct("k", "b", "nb")).alias("x")).select("a", "na", F.col("x.b").alias("b"), F.col("x.nb").alias("nb"))
+    by = lambda k: sig.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
+    both = best.join(by("a"), ["a", "na"]).join(by("b"), ["b", "nb"])
+    return both.where(_apart("sa", "sb") <= F.col("na") + F.col("nb") - 2 * _alpha("na", "nb", percent)).select("a", "b").distinct()
+
+
+def _suffixes(cur: DataFrame, prof: DataFrame) -> DataFrame:
+    """The postings with the parity bits of what comes behind them in the common order."""
+
+    def cut(batches):
+        for b in batches:
+            pos, prefix, sig = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("pos", "prefix", "sig"))
+            got = [np.array(s, np.int64) ^ parity(np.array(x[: p + 1], np.int64).view(np.uint64), len(s)) for p, x, s in zip(pos, prefix, sig, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(got, pa.list_(pa.int64()))], names=[*b.schema.names[:-2], "sig"])
+
+    rows = cur.join(prof.select(F.col("doc_id").alias("rep"), "n", "prefix", "sig"), ["rep", "n"]).where(F.expr("element_at(prefix, pos + 1) = h"))
+    return rows.select("h", "rep", "n", "pos", "c", "most", "cells", "prefix", "sig").mapInArrow(cut, "h long, rep long, n long, pos int, c long, most long, cells int, sig array<long>")
+
+
+def _cross_pairs(cur: DataFrame, cells: DataFrame, prof: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """All pairs with different labels that pass the length, positional and suffix filters."""
+    rows = scratch.save(_suffixes(cur.join(cells.select("h", "most", "cells"), "h"), prof), "suffixes")
+    side = lambda d, k: d.select("h", "cell", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "c", "sig")), *["most"] * (k == "b"))
+    x = side(rows.where("c <> most").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))), "a")
+    y = side(rows.withColumn("cell", F.expr("int(pmod(xxhash64(rep), cells))")), "b")
+    # Of a linked pair's common n-grams the first in the common order passes all filters. They are in the join's
+    # condition, so that only pairs that pass them leave it.
+    apart = f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
+    cond = f"""c_a <> c_b and (c_b = most or rep_a < rep_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
+               and pos_a + pos_b + abs((n_a - pos_a) - (n_b - pos_b)) <= {apart}"""
+    suffix = _apart("sig_a", "sig_b") <= F.expr(f"{apart} - pos_a - pos_b")
+    pairs = x.join(y, (x["h"] == y["h"]) & (x["cell"] == y["cell"]) & F.expr(cond) & suffix)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()

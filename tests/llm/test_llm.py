@@ -90,8 +90,8 @@ def test_jaccard_matches_brute_force(spark, texts):
             assert r.component_id == 2003
 
 
-@pytest.mark.parametrize(("block", "rounds"), [(128, 4), (7, 4), (7, 0)])
-def test_links_match_brute_force(spark, monkeypatch, block, rounds):
+@pytest.mark.parametrize(("block", "most"), [(128, 2.0), (7, 0.0), (7, 1e9)])
+def test_links_match_brute_force(spark, monkeypatch, block, most):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
     rng = random.Random(5)
     base, rows = [f"w{rng.randrange(500)}" for _ in range(60)], {}
@@ -106,7 +106,7 @@ def test_links_match_brute_force(spark, monkeypatch, block, rounds):
     for i in rows:
         least.setdefault(s[i], i)
     want = {i: sum(a != s[i] and 100 * len(a & s[i]) >= 75 * len(a | s[i]) for a in least if a and s[i]) for i in rows}
-    got = ngram_jaccard.jaccard_components(docs(spark, [(i, t, "en", "s") for i, t in rows.items()]), rounds=rounds).collect()
+    got = ngram_jaccard.jaccard_components(docs(spark, [(i, t, "en", "s") for i, t in rows.items()]), most_pairs=most).collect()
     assert {r.doc_id: r.links for r in got} == want and max(want.values()) > 10
 
 
