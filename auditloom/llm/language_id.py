@@ -5,8 +5,12 @@ probability in its longest seen context follows escape method C, blended down to
 bytes, so a text has an exact code length under every language. The language with the shortest code wins; the score is
 its share when all code lengths are taken as probabilities, per 16 bytes at most 64 bits apart.
 
-A byte's cost depends only on the ``order`` bytes before it, so the trees are laid out as tables (context node by
-context node) and whole texts are scored without a loop over bytes.
+A tree is kept sparse: the sorted codes of the byte strings seen in each order with their cost in bits, and those of
+the contexts with the cost of an escape. A byte's cost depends only on the ``order`` bytes before it, so each distinct string of
+a batch of whole texts is looked up once for each language.
+
+The sample: of each language the documents with the smallest hashes of their ids, SAMPLE_DOCS documents and SAMPLE_BYTES bytes at most
+(one document, however long, always counts). All contexts of the sample are kept.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; ties go to the smallest language name;
 no learnable language gives ``und`` everywhere; repeated rows give equal rows; extra columns are ignored.
@@ -23,106 +27,115 @@ from pyspark.sql import functions as F
 
 from .common import held_out, slices, utf8
 
-SAMPLE_DOCS = 300  #: documents a language, those with the smallest hashes; the bound of the learned sample
-SAMPLE_BYTES = 32_768  #: sample documents are no longer than this; scoring has no such bound
-MAX_CONTEXTS = 5_000  #: contexts of each order above 1 that the trees keep, the most frequent
+SAMPLE_DOCS = 300  #: documents a language in the learned sample
+SAMPLE_BYTES = 2 << 20  #: bytes a language in the learned sample
+CHUNK = 1 << 20  #: bytes that are scored at once
+
+
+def _codes(data: np.ndarray, k: int) -> np.ndarray:
+    """The strings of k + 1 bytes as numbers, first byte highest."""
+    out = np.zeros(max(0, len(data) - k), np.int64)
+    for i in range(k + 1):
+        out = out << 8 | data[i : len(data) - k + i]
+    return out
+
+
+def _at(codes: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted code in the sorted ``codes``, and whether it is there."""
+    i = np.minimum(np.searchsorted(codes, want), max(0, len(codes) - 1))
+    return i, codes[i] == want if len(codes) else np.zeros(len(want), bool)
+
+
+class Tree:
+    """The context tree of one language."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        self.order = order
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []  # by order: codes of context and byte, bits of the byte there
+        self.escape: list[tuple[np.ndarray, np.ndarray]] = []  # by order: codes of contexts, bits of an escape
+        lower = None
+        for k in range(order + 1):
+            parts = [_codes(np.frombuffer(t, np.uint8).astype(np.int64), k) for t in texts if len(t) > k]
+            code, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            context, at = np.unique(code >> 8, return_inverse=True)
+            n, kinds = np.bincount(at, count, len(context)), np.bincount(at, minlength=len(context))
+            below = np.full(len(code), 1 / 256) if lower is None else lower[1][_at(lower[0], code & ((1 << 8 * k) - 1))[0]]
+            p = (count + kinds[at] * below) / (n + kinds)[at]
+            self.seen.append((code, -np.log2(p)))
+            self.escape.append((context, -np.log2(kinds / (n + kinds))))
+            lower = code, p
+
+    def bits(self, code: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """Cost of the last byte of each string of ``have`` + 1 bytes: of the longest string seen, and the escapes to it."""
+        out, live = np.zeros(len(code)), np.arange(len(code))
+        for k in range(self.order, -1, -1):
+            now = live[have[live] >= k]
+            at, hit = _at(self.seen[k][0], code[now] & ((1 << 8 * (k + 1)) - 1))
+            out[now[hit]] += self.seen[k][1][at[hit]]
+            miss = now[~hit]
+            at, hit = _at(self.escape[k][0], (code[miss] >> 8) & ((1 << 8 * k) - 1))
+            out[miss[hit]] += self.escape[k][1][at[hit]]
+            live = np.concatenate([live[have[live] < k], miss])
+        out[live] += 8
+        return out
 
 
 @dataclass
 class Trees:
-    """The context trees of all languages: ``step[k]`` leads from a context of order k and the byte before it to one of order k + 1."""
+    """The context trees of all languages."""
 
     languages: list[str]
     order: int
-    step: list[np.ndarray]  # step[k][node, byte] -> node of order k + 1, or 0
-    cost: list[np.ndarray]  # cost[k][node, byte, language]: bits of the byte in that context; k = 0 has one node
-
-    def bits(self, data: np.ndarray) -> np.ndarray:
-        """(len(data), languages) code lengths of the bytes of one text or several texts laid end to end (see ``score``)."""
-        node = np.zeros(len(data), np.int64)
-        best = self.cost[0][node, data]
-        live = np.arange(len(data))
-        for k in range(self.order):
-            live = live[live > k]
-            up = self.step[k][node[live], data[live - k - 1]]
-            node[live] = up
-            live = live[up > 0]
-            best[live] = self.cost[k + 1][node[live], data[live]]
-        return best
+    trees: list[Tree]
+
+    def totals(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """(texts, languages): code length of each text data[off[i]:off[i + 1]] in bits."""
+        out = np.zeros((len(off) - 1, len(self.trees)))
+        for at in range(0, len(data), CHUNK):
+            place = np.arange(at, min(len(data), at + CHUNK))
+            text = np.searchsorted(off, place, "right") - 1
+            have = np.minimum(place - off[text], self.order)
+            code = np.zeros(len(place), np.int64)
+            for j in range(self.order + 1):
+                use = have >= j
+                code[use] |= data[place[use] - j].astype(np.int64) << 8 * j
+            key, back = np.unique(have << 8 * (self.order + 1) | code, return_inverse=True)
+            code, have = key & ((1 << 8 * (self.order + 1)) - 1), key >> 8 * (self.order + 1)
+            for i, tree in enumerate(self.trees):
+                out[:, i] += np.bincount(text, tree.bits(code, have)[back], len(out))
+        return out
 
 
 def fit(samples: dict[str, list[bytes]], order: int = 3) -> Trees:
-    """Trees from sample texts by language."""
+    """Trees from sample texts by language. ``order``: 0 to 5."""
     languages = sorted(samples)
-    if not languages:
-        return Trees([], order, [], [])
-    grams: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
-    for k in range(order + 1):
-        own = {}
-        for lang in languages:
-            codes = []
-            for t in samples[lang]:
-                b = np.frombuffer(t, np.uint8).astype(np.int64)
-                if len(b) > k:
-                    code = np.zeros(len(b) - k, np.int64)
-                    for i in range(k + 1):
-                        code = code << 8 | b[i : len(b) - k + i]
-                    codes.append(code)
-            own[lang] = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        grams.append(own)
-    step, cost = [], []
-    contexts = np.zeros(1, np.int64)  # codes of the kept contexts of this order, by node; node 0 of order > 0 is "none"
-    base = np.full((1, 256, len(languages)), 1 / 256)
-    for k in range(order + 1):
-        if k:
-            seen = np.concatenate([grams[k][x][0] >> 8 for x in languages])
-            weight = np.concatenate([grams[k][x][1] for x in languages])
-            code, at = np.unique(seen, return_inverse=True)
-            mass = np.bincount(at, weight, minlength=len(code))
-            parent = np.searchsorted(contexts[1:] if k > 1 else contexts, code & ((1 << 8 * (k - 1)) - 1)) + (k > 1)
-            known = contexts[np.minimum(parent, len(contexts) - 1)] == code & ((1 << 8 * (k - 1)) - 1)
-            keep = np.flatnonzero(known)
-            if k > 1 and len(keep) > MAX_CONTEXTS:
-                keep = np.sort(keep[np.argsort(-mass[keep], kind="stable")[:MAX_CONTEXTS]])
-            table = np.zeros((len(contexts), 256), np.int32)
-            table[parent[keep], code[keep] >> 8 * (k - 1)] = np.arange(1, len(keep) + 1)
-            step.append(table)
-            lower = prob[parent[keep]]
-            contexts = np.concatenate([[-1], code[keep]])
-        else:
-            lower = base
-        prob = np.zeros((len(contexts), 256, len(languages)), np.float64)
-        offset = 1 if k else 0
-        count = np.zeros((len(contexts) - offset, 256, len(languages)), np.float32)
-        for i, lang in enumerate(languages):
-            g, c = grams[k][lang]
-            ctx = g >> 8
-            if k:
-                at = np.searchsorted(contexts[1:], ctx)
-                ok = contexts[1:][np.minimum(at, len(contexts) - 2)] == ctx if len(contexts) > 1 else np.zeros(len(ctx), bool)
-            else:
-                at, ok = np.zeros(len(g), np.int64), np.ones(len(g), bool)
-            count[at[ok], (g & 255)[ok], i] = c[ok]
-        n, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        prob[offset:] = np.where(n > 0, (count + kinds * lower) / np.maximum(n + kinds, 1), lower)
-        cost.append((-np.log2(np.maximum(prob, 1e-300))).astype(np.float32))
-    return Trees(languages, order, step, cost)
+    return Trees(languages, order, [Tree(samples[k], order) for k in languages])
 
 
 def learn(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (3, 1)) -> Trees:
-    """Trees from a bounded sample of the labelled rows outside the held-out fold: SAMPLE_DOCS documents of each language."""
-    rows = docs.where(~held_out(doc_id, *fold)).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).where(F.octet_length(text) <= SAMPLE_BYTES)
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("x"), F.col(text).cast("string").alias("text"))
-    share = {r.lang: min(1.0, 2.0 * SAMPLE_DOCS / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Trees from a bounded sample of the labelled rows outside the held-out fold; see the module."""
+    rows = docs.where(~held_out(doc_id, *fold)).where(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("x"), F.octet_length(F.col(text)).alias("size"), F.col(text).cast("string").alias("text"))
+    share = {r.lang: min(1.0, 1.5 * (SAMPLE_DOCS + 20) / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return fit({}, order)
-    limit = F.create_map(*(F.lit(v) for k in share for v in (k, int((share[k] - 0.5) * (2**64 - 1)) if share[k] < 1 else 2**63 - 1)))
-    chosen = rows.where(F.col("x") <= limit[F.col("lang")]).collect()  # about 2 * SAMPLE_DOCS rows a language
-    samples: dict[str, list[bytes]] = {k: [] for k in share}
-    for r in sorted(chosen, key=lambda r: (r.x, r.text)):
-        if len(samples[r.lang]) < SAMPLE_DOCS:
-            samples[r.lang].append(r.text.encode())
-    return fit({k: v for k, v in samples.items() if v}, order)
+
+    def below(limits: dict[str, int]):
+        return F.col("x") <= F.create_map(*(F.lit(v) for kv in limits.items() for v in kv))[F.col("lang")]
+
+    sizes = rows.where(below({k: int((v - 0.5) * (2**64 - 1)) if v < 1 else 2**63 - 1 for k, v in share.items()})).select("lang", "x", "size").collect()  # about 1.5 * SAMPLE_DOCS rows a language
+    last, docs_, bytes_ = {}, dict.fromkeys(share, 0), dict.fromkeys(share, 0)
+    for r in sorted(sizes):
+        docs_[r.lang] += 1
+        bytes_[r.lang] += r.size
+        if docs_[r.lang] == 1 or (docs_[r.lang] <= SAMPLE_DOCS and bytes_[r.lang] <= SAMPLE_BYTES):
+            last[r.lang] = r.x
+        else:  # the sample ends here
+            docs_[r.lang] = SAMPLE_DOCS
+    samples: dict[str, list[bytes]] = {}
+    for r in rows.where(below(last)).select("lang", "text").collect():
+        samples.setdefault(r.lang, []).append(r.text.encode())
+    return fit(samples, order)
 
 
 def predict(trees: Trees, column) -> tuple[list, list, list]:
@@ -132,6 +145,7 @@ def predict(trees: Trees, column) -> tuple[list, list, list]:
     letter = regex.compile(r"\p{L}").search
     names = trees.languages
     data, off = utf8(column)
+    totals = trees.totals(data, off) if names else None
     lang, score, rate = [], [], []
     for i, text in enumerate(column.to_pylist()):
         if not names or not text or not letter(text):
@@ -139,15 +153,12 @@ def predict(trees: Trees, column) -> tuple[list, list, list]:
             score.append(0.0)
             rate.append(None)
             continue
-        own, total = data[off[i] : off[i + 1]], np.zeros(len(names))
-        for at in range(0, len(own), 1 << 20):  # long texts in parts, each with the bytes before it as context
-            lead = min(at, trees.order)
-            total += trees.bits(own[at - lead : at + (1 << 20)])[lead:].sum(0, dtype=np.float64)
+        total, size = totals[i], int(off[i + 1] - off[i])
         k = int(total.argmin())
-        gap = np.clip((total - total[k]) * 16 / max(16, len(own)), 0, 64)
+        gap = np.clip((total - total[k]) * 16 / max(16, size), 0, 64)
         lang.append(names[k])
         score.append(float(1 / np.exp2(-gap).sum()))
-        rate.append(float(total[k] / len(own)))
+        rate.append(float(total[k] / size))
     return lang, score, rate
 
 
