@@ -43,6 +43,7 @@ BITS = 20  #: log2 of the buckets of the frequency table: 4 MB, at every input s
 PARTS = 64  #: the table is summed in so many parts
 HOT = 50_000  #: an n-gram in a bucket over this count is dealt to SALTS groups
 SALTS = 64
+SUFFIX_WORDS = 16  #: 64-bit words of a posting's parity bits at most; fewer bits prune less
 CELL = 20_000  #: postings of an n-gram in a cell of the join, pairs of a leader in a cell of the verification
 BLOCK = 128  #: classes of a component in a block, on average, when links are counted
 
@@ -214,8 +215,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         old, label = label, scratch.save(components(spark, _union(links[1:]), scratch, steps=2), "labels")
         scratch.drop(pairs, old)
         scratch.release()
-    pairs = scratch.save(_cross_pairs(cur, cells, prof, scratch, percent), "pairs")
+    rows = scratch.save(_suffixes(cur.join(cells.select("h", "most", "cells"), "h"), prof), "suffixes")
     scratch.drop(post, label)
+    pairs = scratch.save(_cross_pairs(rows, percent), "pairs")
+    scratch.drop(rows)
     links.append(scratch.save(_verify(texts, pairs, n, percent), "links"))
     scratch.drop(pairs)
     scratch.release()
@@ -336,22 +339,59 @@ def _leader_pairs(cur: DataFrame, sig: DataFrame, round_: int, percent: int) ->
     return both.where(_apart("sa", "sb") <= F.col("na") + F.col("nb") - 2 * _alpha("na", "nb", percent)).select("a", "b").distinct()
 
 
+def suffix_parity(prefix: np.ndarray, sig: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """(len(pos), words) parity bits of what comes behind each position of the prefix; ``sig`` are those of the whole set. At most SUFFIX_WORDS words, to which longer ones are folded."""
+    words = min(len(sig), SUFFIX_WORDS)
+    now = np.bitwise_xor.reduce(sig.view(np.uint64).reshape(-1, words), 0)
+    bit = prefix.view(np.uint64) & U(64 * words - 1)
+    word, flip = (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63))
+    out, at = np.empty((len(pos), words), np.uint64), 0
+    for i in np.argsort(pos, kind="stable").tolist():
+        end = int(pos[i]) + 1
+        np.bitwise_xor.at(now, word[at:end], flip[at:end])
+        out[i], at = now, max(at, end)
+    return out.view(np.int64)
+
+
 def _suffixes(cur: DataFrame, prof: DataFrame) -> DataFrame:
     """The postings with the parity bits of what comes behind them in the common order."""
 
-    def cut(batches):
-        for b in batches:
-            pos, prefix, sig = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("pos", "prefix", "sig"))
-            got = [np.array(s, np.int64) ^ parity(np.array(x[: p + 1], np.int64).view(np.uint64), len(s)) for p, x, s in zip(pos, prefix, sig, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(got, pa.list_(pa.int64()))], names=[*b.schema.names[:-2], "sig"])
+    names = ["h", "rep", "n", "pos", "c", "most", "cells", "sig"]
 
-    rows = cur.join(prof.select(F.col("doc_id").alias("rep"), "n", "prefix", "sig"), ["rep", "n"]).where(F.expr("element_at(prefix, pos + 1) = h"))
-    return rows.select("h", "rep", "n", "pos", "c", "most", "cells", "prefix", "sig").mapInArrow(cut, "h long, rep long, n long, pos int, c long, most long, cells int, sig array<long>")
+    def emit(got):
+        *flat, bits = zip(*got, strict=True)
+        size = np.concatenate([np.full(len(x), x.shape[1]) for x in bits])
+        sig = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate([x.ravel() for x in bits]), pa.int64()))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in flat), sig], names=names)
 
-
-def _cross_pairs(cur: DataFrame, cells: DataFrame, prof: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """All pairs with different labels that pass the length, positional and suffix filters."""
-    rows = scratch.save(_suffixes(cur.join(cells.select("h", "most", "cells"), "h"), prof), "suffixes")
+    def cut(batches):
+        got, held = [], 0
+        for b in batches:
+            prefix, sig, own = (b.column(b.schema.get_field_index(c)) for c in ("prefix", "sig", "own"))
+            (po, pv), (so, sv), oo = *((np.asarray(x.offsets), x.values.to_numpy(zero_copy_only=False)) for x in (prefix, sig)), np.asarray(own.offsets)
+            field = {k: own.values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "pos", "c", "most", "cells")}
+            rep, n = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rep", "n"))
+            for i in range(b.num_rows):
+                at, p = slice(oo[i], oo[i + 1]), pv[po[i] : po[i + 1]]
+                keep = p[np.minimum(field["pos"][at], len(p) - 1)] == field["h"][at]  # an id may have several texts of one size
+                bits = suffix_parity(p, sv[so[i] : so[i + 1]], field["pos"][at][keep])
+                k = len(bits)
+                got.append((field["h"][at][keep], np.full(k, rep[i]), np.full(k, n[i]), *(field[x][at][keep] for x in names[3:7]), bits))
+                held += k
+                if held >= 10_000:
+                    yield emit(got)
+                    got, held = [], 0
+        if got:
+            yield emit(got)
+
+    own = cur.groupBy("rep", "n").agg(F.collect_list(F.struct("h", "pos", "c", "most", "cells")).alias("own"))  # no more than a document's prefix
+    rows = own.join(prof.select(F.col("doc_id").alias("rep"), "n", "key", "prefix", "sig"), ["rep", "n"]).dropDuplicates(["rep", "n", "key"])
+    rows = rows.select("rep", "n", "prefix", "sig", "own")
+    return rows.mapInArrow(cut, "h long, rep long, n long, pos int, c long, most long, cells int, sig array<long>")
+
+
+def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of postings with different labels that pass the length, positional and suffix filters."""
     side = lambda d, k: d.select("h", "cell", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "c", "sig")), *["most"] * (k == "b"))
     x = side(rows.where("c <> most").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))), "a")
     y = side(rows.withColumn("cell", F.expr("int(pmod(xxhash64(rep), cells))")), "b")
