@@ -65,6 +65,19 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
 
 
+def sample_ends(sizes, docs: dict, most_bytes: int) -> dict:
+    """The hash with which each group's sample ends, from rows (group, hash, size): the smallest hashes, ``docs[group]`` rows and ``most_bytes`` at most, but one row always."""
+    ends, n, total = {}, dict.fromkeys(docs, 0), dict.fromkeys(docs, 0)
+    for group, x, size in sorted(map(tuple, sizes)):
+        n[group] += 1
+        total[group] += size
+        if n[group] == 1 or (n[group] <= docs[group] and total[group] <= most_bytes):
+            ends[group] = x
+        else:
+            n[group] = docs[group] + 1  # the sample ends here
+    return ends
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column of an Arrow batch; a null is empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -168,4 +181,6 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, a: str =
                 break
             state = now
     least = e.groupBy("u").agg(F.min("v").alias("v"))
-    return least.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(least.select(F.col("u").alias("node")), "node", "left_anti"))
+    out = least.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(least.select(F.col("u").alias("node")), "node", "left_anti"))
+    out._scratch_path = e._scratch_path  # noqa: SLF001
+    return out

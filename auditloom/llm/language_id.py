@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, utf8
+from .common import held_out, sample_ends, slices, utf8
 
 SAMPLE_DOCS = 300  #: documents a language in the learned sample
 SAMPLE_BYTES = 2 << 20  #: bytes a language in the learned sample
@@ -124,14 +124,7 @@ def learn(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "
         return F.col("x") <= F.create_map(*(F.lit(v) for kv in limits.items() for v in kv))[F.col("lang")]
 
     sizes = rows.where(below({k: int((v - 0.5) * (2**64 - 1)) if v < 1 else 2**63 - 1 for k, v in share.items()})).select("lang", "x", "size").collect()  # about 1.5 * SAMPLE_DOCS rows a language
-    last, docs_, bytes_ = {}, dict.fromkeys(share, 0), dict.fromkeys(share, 0)
-    for r in sorted(sizes):
-        docs_[r.lang] += 1
-        bytes_[r.lang] += r.size
-        if docs_[r.lang] == 1 or (docs_[r.lang] <= SAMPLE_DOCS and bytes_[r.lang] <= SAMPLE_BYTES):
-            last[r.lang] = r.x
-        else:  # the sample ends here
-            docs_[r.lang] = SAMPLE_DOCS
+    last = sample_ends(sizes, dict.fromkeys(share, SAMPLE_DOCS), SAMPLE_BYTES)
     samples: dict[str, list[bytes]] = {}
     for r in rows.where(below(last)).select("lang", "text").collect():
         samples.setdefault(r.lang, []).append(r.text.encode())
