@@ -26,10 +26,11 @@ def links_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-def op2_unigram_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+def op2_unigram_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, reestimate: int = 2) -> DataFrame:
+    """The query is to learn from the training fold, so the vocabulary's scores are re-estimated there; the operator's default is not to."""
     import public_tokenizers
 
-    return unigram_lm.score(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram_lm.score(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("piece_bpe_32k.model"), reestimate=reestimate)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

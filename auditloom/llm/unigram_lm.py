@@ -1,18 +1,21 @@
 """Language-model scores by subword lattice likelihood.
 
-A text is its words, each led by a word mark, and one end. The pieces of an existing vocabulary span a lattice over every word; piece
-probabilities begin in proportion to 1 / (rank + 1) of the vocabulary's own scores and are re-estimated by
-forward-backward steps on the distinct training words, as the lattice stands in for unseen words (nothing is added to the vocabulary). The forward recursion in log space sums over all
-segmentations. A word that was seen in training is in its lattice as one whole segment too: with absolute discount D,
-P(word) = max(c - D, 0) / N + D * T / N * lattice(word), where T is the number of seen words, so probabilities add up to 1 at most.
-A text's score is the sum of log10 P over its words plus log10 P(end).
+A text is its words, each led by a word mark, and one end. The pieces of an existing vocabulary span a lattice over every word; their
+own scores weight all segmentations: a piece's probability is in proportion to exp(score / temperature), normalised once over
+the pieces that lower-cased words can hold. Scores that are log probabilities have temperature 1; those that are negative
+ranks have n / ln n for n pieces, so that the last piece weighs 1 / n of the first. The forward recursion in log space sums
+over all segmentations, and a text's score is the sum of log10 of its words' marginals and of the end's probability, which
+is that of an average piece. Bytes that no piece spells share one thousandth.
+
+``reestimate`` steps of forward-backward over all training words, weighted by their counts, fit the piece probabilities (and the end's, as its share of
+the symbols) to the corpus; no piece is added, and no word is a unit of its own. Its default is 0: the vocabulary's scores as they are.
 
 Words are counted exactly over all training documents. Documents are dealt to blocks of about BLOCK_BYTES of text; each block
 asks once for the counts of its distinct words, so what is moved follows the number of distinct words per block, not of
 tokens, and no vocabulary is broadcast; only the piece table (fixed size) is.
 
 Defined cases: null text is empty and scores its end alone; a null id is a training row; repeated rows give equal rows
-(and count as often as they occur); without training rows every word comes from the lattice alone and the end has probability 1/2; extra columns are ignored.
+(and count as often as they occur); without training rows nothing is re-estimated; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ from .common import Scratch, U, held_out, mix
 
 MARK = "▁"
 BLOCK_BYTES = 40 << 20
-LONGEST = 16  #: characters of the longest piece used
 CELLS = 1 << 21  #: lattice edges held at once
 _B = 0x9E3779B97F4A7C15
 
@@ -38,11 +40,12 @@ class Pieces:
     """The piece table: hashes of the pieces and their log probabilities."""
 
     def __init__(self, pieces: list[str], weights: np.ndarray):
-        use = [i for i, p in enumerate(pieces) if 0 < len(p) <= LONGEST and MARK not in p[1:] and not any("A" <= c <= "Z" for c in p)]
+        use = [i for i, p in enumerate(pieces) if p and MARK not in p[1:] and not any("A" <= c <= "Z" for c in p)]
         index = {pieces[i]: i for i in use}
         self.pieces = sorted(index)
         w = np.array([weights[index[p]] for p in self.pieces])
         self.count = len(self.pieces)
+        self.longest = max(map(len, self.pieces), default=1)
         self.hash = np.array([self._hash(p) for p in self.pieces], np.uint64)
         self.slots = []
         left = np.arange(self.count)
@@ -65,9 +68,15 @@ class Pieces:
 
     def set(self, p: np.ndarray) -> None:
         """Probabilities of the pieces and of the 256 bytes."""
+        self.scaled, self.spelling = False, 0.0
         self.logp = np.append(np.log(p[: self.count]), -np.inf)
         self.byte = np.log(p[self.count :])
 
+    def scale(self, log: float) -> None:
+        """Adds ``log`` to the log probabilities of all pieces; each byte is one too. Once only."""
+        if not self.scaled:
+            self.logp, self.spelling, self.scaled = self.logp + log, log, True
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of the piece of each hash, or ``count``."""
         m = mix(h)
@@ -100,12 +109,12 @@ class Lattice:
         pre = np.zeros((n, length + 1), np.uint64)
         for j in range(length):
             pre[:, j + 1] = pre[:, j] * U(_B) + self.codes[:, j].astype(np.uint64) + U(1)
-        power = [pow(_B, k, 2**64) for k in range(LONGEST + 1)]
-        self.edge = [pieces.find(pre[:, k:] - pre[:, : length + 1 - k] * U(power[k])) for k in range(1, min(LONGEST, length) + 1)]  # edge[k - 1][:, i]: from i to i + k
+        power = [pow(_B, k, 2**64) for k in range(pieces.longest + 1)]
+        self.edge = [pieces.find(pre[:, k:] - pre[:, : length + 1 - k] * U(power[k])) for k in range(1, min(pieces.longest, length) + 1)]  # edge[k - 1][:, i]: from i to i + k
         kinds, at = np.unique(self.codes, return_inverse=True)
         self.kinds = [chr(int(c)).encode("utf-8", "surrogatepass") for c in kinds]
         self.at = at.reshape(self.codes.shape)
-        spelt = np.array([pieces.byte[list(b)].sum() for b in self.kinds])
+        spelt = np.array([(pieces.byte[list(b)] + pieces.spelling).sum() for b in self.kinds])
         self.spelt = spelt[self.at]
         self.one = np.logaddexp(pieces.logp[self.edge[0]], self.spelt)  # a character as a piece or by its bytes
 
@@ -153,31 +162,33 @@ class Lattice:
         return np.concatenate([out[:-1], by])
 
 
-def batches_of(words: list[bytes]):
+def batches_of(words: list[bytes], longest: int):
     """(indices, marked words) in runs of similar length and bounded lattice size."""
     text = [MARK + w.decode("utf-8", "replace") for w in words]
     order = sorted(range(len(text)), key=lambda i: len(text[i]))
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end - at + 1) * (len(text[order[end]]) + 1) * LONGEST <= CELLS:
+        while end < len(order) and (end - at + 1) * (len(text[order[end]]) + 1) * longest <= CELLS:
             end += 1
         yield order[at:end], [text[i] for i in order[at:end]]
         at = end
 
 
-def read_pieces(path: str) -> Pieces:
-    """The pieces of a sentencepiece model that are text, with weights 1 / (rank + 1) by its scores."""
+def read_pieces(path: str, temperature: float | None = None) -> Pieces:
+    """The pieces of a sentencepiece model that are text, weighted by exp(score / temperature); see the module for the default."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
     score = np.array([m.get_score(i) for i in ids])
-    rank = np.argsort(np.argsort(-score, kind="stable"), kind="stable")
-    return Pieces([m.id_to_piece(i) for i in ids], 1.0 / (rank + 1))
+    if temperature is None:
+        ranks = np.exp(np.minimum(score, 0)).sum() < 2 and (score == np.round(score)).all()
+        temperature = len(ids) / math.log(len(ids)) if ranks else 1.0
+    return Pieces([m.id_to_piece(i) for i in ids], np.exp((score - score.max()) / temperature))
 
 
-def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", fold: tuple[int, int] = (5, 1), shares: tuple[int, ...] = (8, 1)) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", fold: tuple[int, int] = (5, 1), reestimate: int = 0, temperature: float | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "unigram-lm")
@@ -185,7 +196,7 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.encode(F.col(text).cast("string"), "utf-8"), F.lit(b"")).alias("text"), held_out(doc_id, *fold).alias("held"))
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held"))).first()
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    rows = rows.withColumn("block", F.expr(f"int(pmod(xxhash64(doc_id, octet_length(text)), {blocks}))"))
+    rows = rows.withColumn("block", F.expr(f"int(pmod(xxhash64(doc_id, text), {blocks}))"))
 
     def count(batches):
         def emit(block, seen):
@@ -211,40 +222,40 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     asked = rows.repartition(blocks, "block").sortWithinPartitions("block").select("block", "text", "held").mapInArrow(count, "block int, word binary, c long")
     asked = scratch.save(asked, "asked")
     vocab = scratch.save(asked.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
-    tokens, types, n1, n2 = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    tokens, types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, distinct = tokens + ends, types + (ends > 0)
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    pieces = read_pieces(vocabulary)
-    for share in shares:  # each step takes every share-th training word; the last takes all
+    pieces = read_pieces(vocabulary, temperature)
+    p_end = 1 / (pieces.count + 1)
+    for _ in range(reestimate if tokens else 0):
         shared = spark.sparkContext.broadcast(pieces)
 
         def expect(batches, shared=shared):
             p = shared.value
             out = np.zeros(p.count + 256)
             for b in batches:
-                for at, words in batches_of(b.column(0).to_pylist()):
-                    out += Lattice(p, words).expected(np.ones(len(at)))
+                c = b.column(1).to_numpy().astype(float)
+                for at, words in batches_of(b.column(0).to_pylist(), p.longest):
+                    out += Lattice(p, words).expected(c[at])
             used = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out[used])], names=["piece", "uses"])
 
-        got = vocab.where(f"c > 0 and pmod(xxhash64(word), {share}) = 0").select("word").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # one row a piece
+        got = vocab.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # one row a piece
+        shared.destroy()
         uses = np.full(pieces.count + 256, 0.01)
         for r in got:
             uses[r.piece] += r.uses
         pieces.set(uses / uses.sum())
+        p_end = float(ends / (uses.sum() + ends))
     shared = spark.sparkContext.broadcast(pieces)
-    back = discount * types / total if total and types else 1.0
-    p_end = ends / total if ends else 0.5
+    more = math.log(1 - p_end)  # each piece is drawn where the end isn't
 
     def likelihood(batches):
         p = shared.value
+        p.scale(more)
         for b in batches:
-            c = b.column(1).to_numpy().astype(float)
-            lp = np.empty(len(c))
-            for at, words in batches_of(b.column(0).to_pylist()):
+            lp = np.empty(b.num_rows)
+            for at, words in batches_of(b.column(0).to_pylist(), p.longest):
                 lp[at] = Lattice(p, words).totals()
-            with np.errstate(divide="ignore"):
-                lp = np.logaddexp(lp + math.log(back), np.log(np.maximum(c - discount, 0) / total)) if total else lp + math.log(1 - p_end)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp / math.log(10))], names=["word", "c", "lp"])
 
     scored = vocab.select("word", "c").mapInArrow(likelihood, "word binary, c long, lp double")
