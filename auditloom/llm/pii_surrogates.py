@@ -42,7 +42,7 @@ NAMES = {
 _GIVEN = {g: sorted({n for k, v in NAMES.items() if k.endswith(g) for n in v}) for g in "mf"}
 _TITLE = "|".join(sorted({t.replace(".", "\\.") for v in TITLES.values() for t in v}, key=len, reverse=True))
 _KNOWN = "|".join(sorted({*_GIVEN["m"], *_GIVEN["f"]}, key=len, reverse=True))
-_WORD = r"\p{Lu}[\p{Ll}\x{2019}']+(?:-\p{Lu}?\p{Ll}+)*"
+_WORD = r"(?:\p{Lu}[\p{Ll}\x{2019}']+(?:-\p{Lu}?\p{Ll}+)*|\p{Lu}{3,})"
 _BEFORE = r"(?<![\p{L}\p{N}_])"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",

@@ -69,7 +69,8 @@ class Pieces:
     def set(self, p: np.ndarray) -> None:
         """Probabilities of the pieces and of the 256 bytes."""
         self.scaled, self.spelling = False, 0.0
-        self.logp = np.append(np.log(p[: self.count]), -np.inf)
+        with np.errstate(divide="ignore"):  # a piece may have no probability
+            self.logp = np.append(np.log(p[: self.count]), -np.inf)
         self.byte = np.log(p[self.count :])
 
     def scale(self, log: float) -> None:
