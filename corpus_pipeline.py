@@ -23,10 +23,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents; rows without an id all stay."""
-    kept = ngram_jaccard.jaccard_components(docs, count=False).where("doc_id = component_id").select("doc_id")
+    """Keeps the document with the smallest id of each group of linked documents; rows without an id all stay.
+
+    Of several rows of that id the one with the least text stays, then the least other columns (those that can be ordered).
+    """
+    kept = ngram_jaccard.jaccard_components(docs, count=False).where("doc_id = component_id").select("doc_id").distinct()
     alone = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(alone)
+    order = ["text", *(c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant")))]
+    least = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row"))
+    return least.select("row.*").unionByName(alone)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,4 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs, before = scratch.save(stage(spark, docs, sf_dir), name), docs
         scratch.drop(before)
+        scratch.release()
     return docs
