@@ -6,27 +6,37 @@ node can hold: with distance d and norms known, the inner product is (|q|^2 + |x
 distance from the triangle inequality bounds the score from above. A child is skipped on its stored parent distance
 alone, before its own distance is computed, and leaf entries likewise. Ties are kept open until ids decide, so results are exact.
 
-Vectors are dealt to parts of about PART rows by the hash of their id, which spreads equal vectors evenly. Queries go in
-blocks of at most BLOCK to each part; every part returns k rows a query, and the k best of those remain.
+The root page of the whole is a table of at most CELLS routing vectors (8 MB at most), taken from the vectors with the smallest hashes
+of their ids; each vector belongs to the nearest, and a cell of over PART vectors is cut into parts by the hash of
+the id, which spreads equal vectors evenly. Each part's tree is built and written once. A query first searches one part of its nearest cell; the
+score that it has for its k-th then decides, by the same bound, which other parts it is sent to. Queries of one part are dealt to blocks. Vectors are never copied to queries.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; an
-id that is repeated takes part once, with its greatest vector; only vectors of the same number of components are compared; ties in the score go to
-the smaller id; fewer than k candidates give fewer rows. Scores must stay below 2**53. Extra columns are ignored.
+id that is repeated takes part once, with its greatest vector; only vectors of the same number of components are compared (each number is a search of its own); ties in the score go to
+the smaller id; fewer than k candidates give fewer rows. Vectors whose square norm reaches 2**53, where scores would not be exact, are refused. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PART = 8192
-BLOCK = 2048
+from .common import Scratch
+
+PART = 8192  #: vectors of a part
+CELLS = 4096  #: routing vectors of the root page at most
+ROOT_BYTES = 8 << 20  #: and their size
+BLOCK = 2048  #: queries of a part that one task answers
 LEAF = 128
 FANOUT = 16
+NOBODY = -(1 << 63)  #: stands for the id of a score to beat; behind any id in a tie
 SLACK = 1e-6  #: relative slack of distance bounds against rounding
 
 
@@ -138,25 +148,121 @@ def integer_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     return rows.groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
-def top_k(table: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by ``every``."""
-    rows = integer_vectors(table, vec_id, vector).withColumn("dim", F.size("v"))
-    n, q = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    parts, blocks = max(1, math.ceil(n / PART)), max(1, math.ceil(q / BLOCK))
-    vectors = rows.withColumn("part", F.expr(f"int(pmod(xxhash64(vec_id), {parts}))")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.expr(f"int(pmod(xxhash64(vec_id, 7), {blocks}))")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+class Root:
+    """The root page: routing vectors, and of each cell the number of parts, the covering radius and the largest square norm."""
+
+    def __init__(self, centers: np.ndarray):
+        self.centers, self.norms = centers, (centers**2).sum(1)
+
+    def away(self, v: np.ndarray) -> np.ndarray:
+        """(vectors, cells) distances."""
+        return np.sqrt(np.maximum((v**2).sum(1)[:, None] + self.norms - 2 * v @ self.centers.T, 0))
+
+    def measure(self, cells: list, part: int) -> None:
+        self.parts, self.radii, self.most = np.zeros(len(self.centers), np.int64), np.zeros(len(self.centers)), np.zeros(len(self.centers))
+        for c in cells:
+            self.parts[c.cell], self.radii[c.cell], self.most[c.cell] = math.ceil(c.n / part), c.radius, c.norm
+
+    def bounds(self, v: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """(vectors, cells) the greatest score that a cell can hold; none for an empty cell."""
+        low = np.maximum(away - self.radii - SLACK * (1 + away), 0)
+        return np.where(self.parts > 0, ((v**2).sum(1)[:, None] + self.most - low**2) / 2, -np.inf)
 
-    def cell(vec, ask):
-        import pandas as pd
 
+def _pieces(batches, rows: int):
+    """The batches cut to at most so many rows, without empty ones."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(x, np.float64) for x in column.to_numpy(zero_copy_only=False)])
+
+
+def _search(rows: DataFrame, trees: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
+    """(query_id, vec_id, score): for each row (query_id, v, cell, part, best) the k best of that part among those above ``best``, the score to beat."""
+    rows = scratch.save(rows, name)
+    many = rows.groupBy("cell", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    pages = trees.join(many, ["cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = rows.join(many, ["cell", "part"]).withColumn("block", F.expr("int(pmod(xxhash64(query_id), blocks))")).drop("blocks")
+
+    def run(page: pa.Table, ask: pa.Table) -> pa.Table:
         out = []
-        if len(vec) and len(ask):
-            tree = MTree(vec["vec_id"].to_numpy(np.int64), np.stack([np.asarray(x, np.float64) for x in vec["v"]]))
-            for i, v in zip(ask["vec_id"], ask["v"], strict=True):
-                out += [(int(i), -b, int(s)) for s, b in tree.search(np.asarray(v, np.float64), k, int(i))]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["dim", "part", "block"]
-    found = vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score long")
+        if page.num_rows:
+            tree = pickle.loads(page.column("tree")[0].as_py())
+            for i, v, least in zip(ask.column("query_id").to_pylist(), ask.column("v").to_pylist(), ask.column("best").to_pylist(), strict=True):
+                floor = [(float(least), NOBODY)] * k if least is not None else None  # a tie with it isn't ruled out
+                out += [(i, -b, int(s)) for s, b in tree.search(np.array(v, np.float64), k, i, floor) if b != NOBODY]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True) if out else ((), (), ()), strict=True)})
+
+    keys = ["cell", "part", "block"]
+    return scratch.save(pages.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long"), f"{name}-found")
+
+
+def _top_k(rows: DataFrame, n: int, dim: int, k: int, every: int, scratch: Scratch) -> DataFrame:
+    """The search among vectors of one size; see ``top_k``."""
+    spark = rows.sparkSession
+    cells = max(1, min(math.ceil(n / PART), CELLS, ROOT_BYTES // (8 * max(1, dim))))
+    root = Root(np.array([r.v for r in rows.select("v").orderBy(F.xxhash64("vec_id")).limit(cells).collect()], np.float64))
+    shared = spark.sparkContext.broadcast(root)
+
+    def assign(batches):
+        for b in _pieces(batches, 1000):
+            v = _matrix(b.column(1))
+            away = shared.value.away(v)
+            cell = away.argmin(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(away[np.arange(len(v)), cell]), pa.array((v**2).sum(1))], names=[*b.schema.names, "cell", "away", "norm"])
+
+    dealt = scratch.save(rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<long>, cell int, away double, norm double"), "dealt")
+    root.measure(dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm")).collect(), PART)  # one row a cell
+    shared = spark.sparkContext.broadcast(root)
+    parts = F.array(*map(F.lit, root.parts.tolist()))
+    place = F.expr("pmod(xxhash64(vec_id), parts)").cast("int")
+    dealt = dealt.withColumn("parts", F.element_at(parts, F.col("cell") + 1)).withColumn("part", place)
+
+    def build(t: pa.Table) -> pa.Table:
+        tree = MTree(t.column("vec_id").to_numpy(), _matrix(t.column("v").combine_chunks()))
+        return pa.table({"cell": t.column("cell")[:1], "part": t.column("part")[:1], "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
+
+    trees = scratch.save(dealt.select("vec_id", "v", "cell", "part").groupBy("cell", "part").applyInArrow(build, "cell int, part int, tree binary"), "trees")
+    asked = dealt.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "cell", "part", F.lit(None).cast("long").alias("best"))
+    first = _search(asked, trees, k, scratch, "first")
+
+    def elsewhere(batches):
+        root = shared.value
+        for b in _pieces(batches, 200):
+            v = _matrix(b.column(1))
+            best = b.column(4).to_numpy(zero_copy_only=False).astype(float)  # null: fewer than k so far
+            live = root.bounds(v, root.away(v)) >= np.where(np.isnan(best), -np.inf, best)[:, None]
+            q, c = np.nonzero(live)
+            of = root.parts[c]
+            q, c = np.repeat(q, of), np.repeat(c, of)
+            p = np.arange(len(c)) - np.repeat(np.cumsum(of) - of, of)
+            new = (c != b.column(2).to_numpy()[q]) | (p != b.column(3).to_numpy()[q])
+            for at in range(0, int(new.sum()), 10_000):
+                q_, c_, p_ = (x[new][at : at + 10_000] for x in (q, c, p))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(q_)), b.column(1).take(pa.array(q_)), pa.array(c_, pa.int32()), pa.array(p_, pa.int32()), b.column(4).take(pa.array(q_))], names=["query_id", "v", "cell", "part", "best"])
+
+    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("best")).select("query_id", F.when(F.col("n") >= k, F.col("best")).alias("best"))
+    more = asked.drop("best").join(kth, "query_id", "left").select("query_id", "v", "cell", "part", "best").mapInArrow(elsewhere, "query_id long, v array<long>, cell int, part int, best long")
+    out = first.unionByName(_search(more, trees, k, scratch, "second"))
+    scratch.drop(dealt)
+    return out
+
+
+def top_k(table: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by ``every``."""
+    spark = table.sparkSession
+    scratch = Scratch(spark, "mtree")
+    rows = scratch.save(integer_vectors(table, vec_id, vector).withColumn("dim", F.size("v")), "vectors")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("norm")).collect()  # one row a size
+    if any(s.norm >= 2**53 for s in sizes):
+        raise ValueError("a square norm reaches 2**53: scores would not be exact")
+    found = [_top_k(rows.where(F.col("dim") == s.dim), s.n, s.dim, k, every, scratch) for s in sizes]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
