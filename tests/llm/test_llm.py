@@ -282,6 +282,32 @@ def test_mtree_prunes_clusters():
     assert t.computed < 2000
 
 
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_top_k_matches_brute_force(spark, monkeypatch, kind):
+    """Many cells, of which some are cut into parts, with ties, equal vectors and queries in several blocks."""
+    monkeypatch.setattr(mtree, "PART", 40)
+    monkeypatch.setattr(mtree, "CELLS", 7)
+    monkeypatch.setattr(mtree, "BLOCK", 3)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(12, 1, 8)) + rng.normal(size=(12, 50, 8)) * (0.02 if kind == "clusters" else 5)
+    v = (v / np.linalg.norm(v, axis=2, keepdims=True)).reshape(-1, 8).astype(np.float32)
+    v[40:130] = v[40]
+    ids = [int(i) - 200 for i in rng.permutation(len(v))]
+    w = np.floor(1024 * v.astype(np.float64)).astype(np.int64)
+    d = spark.createDataFrame([(i, x.tolist(), 1) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>, cell int")
+    got = collections.defaultdict(list)
+    for r in mtree.top_k(d, 10, 20).sort("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    want = {q: sorted((-int(w[a] @ w[b]), i) for b, i in enumerate(ids) if i != q)[:10] for a, q in enumerate(ids) if q % 20 == 0}
+    assert got == want
+
+
+def test_top_k_refuses_scores_that_are_not_exact(spark):
+    e = spark.createDataFrame([(0, [1e6] * 8), (1, [1.0] * 8)], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="2\\*\\*53"):
+        mtree.top_k(e)
+
+
 def test_top_k_edges(spark):
     e = spark.createDataFrame([(0, [0.5, -0.5], 1), (100, [0.5, -0.5], 1), (1, [0.5, -0.5], 2), (2, [1.0, 1.0], 3), (2, [1.0, 1.0], 3), (3, None, 1), (4, [None, 1.0], 1), (5, [float("nan"), 1.0], 1), (6, [1.0, 0.0, 0.0], 1), (None, [0.1, 0.1], 1)], "vec_id long, embedding array<float>, rank int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(e).collect())
