@@ -1,15 +1,16 @@
 """WARC archives in Zstandard: written with a dictionary, and read back.
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, then has one frame per record.
-Archives are rows of a table (archive, data) in the shared folder, each of bounded size, so they can be on any store
-that Spark reads and a lost executor loses nothing. The reader loads the dictionary from the leading frame, decodes one frame per record, and
+Archives are written as rows of a table (archive, data) in the shared folder, each of bounded size, so they can be on any store
+that Spark reads and a lost executor loses nothing; they are read from such a table or from ``.warc.zst`` files. The reader loads the dictionary from the leading frame, decodes one frame per record, and
 checks the version line, the mandatory headers, the declared length and the digests of blocks and payloads.
 
 Records with equal payloads: the one with the largest id is the response, the others are revisits that refer to it and
 repeat its HTTP head (with the full payload's length) but no body. Payloads smaller than ``least`` bytes are always responses.
 
 Defined cases: null html is an empty payload; rows with the same id are records of their own (all rows
-with the largest id of a payload are responses); a null id or url is written as an empty field and read back as null; a row
+with the largest id of a payload are responses); a null id or an empty or null url is written as an empty field and read back as null; white space and control characters of a
+url, which no URI can hold, are percent-encoded and read back so; a row
 longer than an archive's bound has an archive of its own; extra columns are ignored.
 """
 
@@ -17,10 +18,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
@@ -35,6 +38,11 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def uri(url: str) -> str:
+    """The url with white space and control characters percent-encoded."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record(page_id, url, payload: bytes, kind: str, refers_to, date: str = "2024-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record; a revisit's block has the HTTP head only."""
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
@@ -42,7 +50,7 @@ def record(page_id, url, payload: bytes, kind: str, refers_to, date: str = "2024
     if kind == "response":
         block += payload
     head = {
-        "WARC-Type": kind, "WARC-Record-ID": name(page_id), "WARC-Date": date, "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC-Type": kind, "WARC-Record-ID": name(page_id), "WARC-Date": date, "WARC-Target-URI": uri(url or ""),
         "WARC-Payload-Digest": "sha1:" + sha1_base32(payload), "WARC-Block-Digest": "sha1:" + sha1_base32(block), "Content-Type": "application/http; msgtype=response",
     }
     if kind == "revisit":
@@ -125,9 +133,8 @@ def _page(name: str):
     return int(i) if i else None
 
 
-def unpack(data: bytes) -> list[tuple]:
-    """(page_id, url, payload or None, payload_bytes, payload_digest, record_type, refers_to) of each record."""
-    out = []
+def unpack(data: bytes) -> Iterator[tuple]:
+    """(page_id, url, payload or None, payload_bytes, payload_digest, record_type, refers_to) of each record, one after the other."""
     for raw in frames(data):
         h, block = parse(raw)
         http, gap, body = block.partition(b"\r\n\r\n")
@@ -140,17 +147,21 @@ def unpack(data: bytes) -> list[tuple]:
         back = h.get("warc-refers-to")
         if (h["warc-type"] == "revisit") != (back is not None):
             raise Malformed("only a revisit refers to a record")
-        out.append((_page(h["warc-record-id"]), h["warc-target-uri"] or None, body if h["warc-type"] == "response" else None, declared, digest, h["warc-type"], _page(back) if back is not None else None))
-    return out
+        yield _page(h["warc-record-id"]), h["warc-target-uri"] or None, body if h["warc-type"] == "response" else None, declared, digest, h["warc-type"], _page(back) if back is not None else None
 
 
 def plan(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, kind, refers_to) of each page. Payloads are compared by SHA-1 and length."""
+    """(page_id, url, text, kind, refers_to) of each page. Payloads are compared by SHA-1 and length.
+
+    Digests alone meet by payload; texts are moved by (id, digest), so one very common payload is spread over its pages.
+    """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.sha1(F.encode("text", "utf-8"))).withColumn("size", F.octet_length("text"))
-    last = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
-    out = rows.join(last, ["digest", "size"], "left")
-    return out.select("page_id", "url", "text", F.when(F.col("last").isNull() | F.col("last").eqNullSafe(F.col("page_id")), "response").otherwise("revisit").alias("kind"), F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
+    names = rows.where(F.col("size") >= least).select("page_id", "digest", "size")
+    last = names.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1 and last is not null").drop("copies")
+    back = names.join(last, ["digest", "size"]).where("not page_id <=> last").distinct().select(F.col("page_id").alias("id"), F.col("digest").alias("d"), F.col("size").alias("s"), "last")
+    out = rows.join(back, rows["page_id"].eqNullSafe(back["id"]) & (rows["digest"] == back["d"]) & (rows["size"] == back["s"]), "left")
+    return out.select("page_id", "url", "text", F.when(F.col("last").isNull(), "response").otherwise("revisit").alias("kind"), F.col("last").alias("refers_to"))
 
 
 def write(planned: DataFrame, scratch: Scratch) -> DataFrame:
@@ -178,19 +189,36 @@ def write(planned: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """The records of the archives; a malformed archive stops the job. html is null for a revisit."""
+    """The records of the archives in a column ``data``; a malformed archive stops the job. html is null for a revisit."""
+    names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def emit(rows):
+        cols = list(zip(*rows, strict=True))
+        cols[2] = [None if x is None else x.decode() for x in cols[2]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches):
         for b in batches:
             for data in b.column(b.schema.get_field_index("data")):
-                rows = unpack(data.as_py())
-                for at in range(0, len(rows), 500):
-                    cols = list(zip(*rows[at : at + 500], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array([None if x is None else x.decode() for x in cols[2]], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())], names=["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                rows, size = [], 0
+                for r in unpack(data.as_py()):
+                    rows.append(r)
+                    size += len(r[2] or b"")
+                    if len(rows) >= 500 or size >= ARCHIVE_BYTES:
+                        yield emit(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield emit(rows)
 
     return archives.select("data").mapInArrow(run, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all ``.warc.zst`` files in a folder; a file is one task's work and at most 2 GB."""
+    return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(F.col("content").alias("data")))
+
+
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes all pages to archives and reads them back."""
     scratch = Scratch(pages.sparkSession, "warc")
