@@ -527,6 +527,19 @@ def test_warc_round_trip(spark):
     assert warc_zstd.round_trip(p.where("false")).count() == 0
 
 
+def test_warc_files_and_urls(spark, tmp_path):
+    urls = [" ", "a b\t\u2028c", "http://x/%20y", "", None]
+    p = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    want = {0: "%20", 1: "a%20b%09%E2%80%A8c", 2: "http://x/%20y", 3: None, 4: None}
+    assert {r.page_id: r.url for r in warc_zstd.round_trip(p).collect()} == want
+    for k in range(3):
+        data = warc_zstd.pack([warc_zstd.record(10 * k + i, f"http://x/{i}", b"<p>%d</p>" % i * 50, "response", None) for i in range(40)])
+        (tmp_path / f"{k}.warc.zst").write_bytes(data)
+    (tmp_path / "other.txt").write_text("no archive")
+    got = warc_zstd.read_files(spark, str(tmp_path)).collect()
+    assert len(got) == 120 and all(r.html == "<p>%d</p>" % int(r.url[9:]) * 50 for r in got)
+
+
 def test_warc_rejects_damage():
     rec = [warc_zstd.record(i, f"http://x/{i}", b"<p>%d</p>" % i * 50, "response", None) for i in range(40)]
     data = warc_zstd.pack(rec)
