@@ -1,11 +1,14 @@
-"""Evaluation metrics over two fact tables: one row per note and code, and one row per note."""
+"""Evaluation metrics over two fact tables: one row per note and code of either side, and one row per note.
+
+Metrics that are means over notes take the table of all notes: one with neither gold nor predicted codes has no facts, but counts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import f1, safe_ratio
+from ..functions.columns import f1, safe_ratio, verbatim
 
 
 def facts(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -16,14 +19,15 @@ def facts(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return f.select("note", "code", F.coalesce("g", F.lit(False)).alias("in_gold"), F.coalesce("p", F.lit(False)).alias("in_pred"), "rank", "supported", "confidence")
 
 
-def counts(f: DataFrame) -> DataFrame:
+def counts(f: DataFrame, notes: DataFrame) -> DataFrame:
     """Contingency numbers of each note: tp, fp, fn; (un)supported and right sg, ug; (un)supported st, ut. No judgement counts as unsupported."""
     s = F.coalesce("supported", F.lit(False))
     g, p = F.col("in_gold"), F.col("in_pred")
-    return f.groupBy("note").agg(
+    c = f.groupBy("note").agg(
         F.count_if(g & p).alias("tp"), F.count_if(p & ~g).alias("fp"), F.count_if(g & ~p).alias("fn"),
         F.count_if(p & g & s).alias("sg"), F.count_if(p & s).alias("st"), F.count_if(p & g & ~s).alias("ug"), F.count_if(p & ~s).alias("ut"),
     )
+    return notes.select("note").join(c, "note", "left").fillna(0)
 
 
 def micro(f: DataFrame) -> list[Column]:
@@ -48,20 +52,39 @@ def set_metrics(c: DataFrame, n_labels: int | Column) -> DataFrame:
     return c.agg(F.round(F.sum(F.col("fp") + F.col("fn")) / (F.count("*") * F.max(m)), 8).alias("hamming"), F.round(F.avg((F.expr("fp = 0 and fn = 0")).cast("int")), 6).alias("exact_match"), F.round(F.avg(lrap), 6).alias("lrap"), F.count("*").alias("notes"))
 
 
-def at_k(f: DataFrame, ks: list[int]) -> DataFrame:
+def at_k(f: DataFrame, notes: DataFrame, ks: list[int]) -> DataFrame:
     """P@k over all notes (hits by what was emitted, 0 where nothing was) and R@k over notes with gold codes."""
     aggs, outs = [], []
     for k in ks:
         aggs += [F.count_if((F.col("rank") <= k) & F.col("in_gold")).alias(f"h{k}"), F.count_if(F.col("rank") <= k).alias(f"e{k}")]
         outs += [F.round(F.avg(safe_ratio(F.col(f"h{k}"), F.col(f"e{k}"))), 6).alias(f"p_at_{k}"), F.round(F.avg(F.when(F.col("g") > 0, F.col(f"h{k}") / F.col("g"))), 6).alias(f"r_at_{k}")]
-    return f.groupBy("note").agg(F.count_if("in_gold").alias("g"), *aggs).agg(*outs)
+    return notes.select("note").join(f.groupBy("note").agg(F.count_if("in_gold").alias("g"), *aggs), "note", "left").fillna(0).agg(*outs)
 
 
 def to_parents(f: DataFrame) -> DataFrame:
-    """The facts one level up: categories of three characters, the best rank of each."""
-    return f.groupBy("note", F.substring(F.replace("code", F.lit("."), F.lit("")), 1, 3).alias("code")).agg(
-        F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_pred").alias("in_pred"), F.min("rank").alias("rank"), F.bool_or("supported").alias("supported"), F.max("confidence").alias("confidence")
+    """The facts one level up: categories of three characters; predicted ones are ranked anew by the best rank of their codes."""
+    p = f.groupBy("note", F.substring(F.upper(F.replace("code", F.lit("."), F.lit(""))), 1, 3).alias("code")).agg(
+        F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_pred").alias("in_pred"), F.min("rank").alias("best"), F.bool_or("supported").alias("supported"), F.max("confidence").alias("confidence")
     )
+    rank = F.row_number().over(Window.partitionBy("note").orderBy(F.asc_nulls_last("best")))
+    return p.withColumn("rank", F.when(F.col("in_pred"), rank)).drop("best")
+
+
+def classification(f: DataFrame, notes: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """One row of all classification metrics; without a universe the labels are those of either side. Without notes or labels: Hamming loss 1, the rest 0."""
+    universe = f.select("code").distinct() if universe is None else universe.select("code").distinct()
+    inside = f.join(universe, "code", "left_semi")  # codes outside the universe don't count for the binary matrix
+    m = universe.agg(F.count("*").alias("m"))
+    seen = inside.where("in_pred").agg(F.countDistinct("code").alias("predicted"))
+    sets = set_metrics(counts(inside, notes).crossJoin(F.broadcast(m)), F.col("m"))
+    parts = [micro_macro(f, universe), sets, at_k(f, notes, [5, 10]), seen]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.crossJoin(x)  # one row each
+    out = out.withColumn("label_coverage", F.round(safe_ratio(F.col("predicted"), F.col("labels")), 6)).drop("predicted")
+    none = (F.col("notes") == 0) | (F.col("labels") == 0)
+    values = [c for c in out.columns if c not in ("notes", "labels")]
+    return out.select(*(F.when(none, F.lit(1.0 if c == "hamming" else 0.0)).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in values), "notes", "labels")
 
 
 def hierarchical_error(f: DataFrame) -> DataFrame:
@@ -72,16 +95,61 @@ def hierarchical_error(f: DataFrame) -> DataFrame:
     return wrong.agg(F.count("*").alias("wrong"), F.count_if("near").alias("near"), F.round(safe_ratio(F.count_if("near"), F.count("*")), 6).alias("hierarchical_error_rate"))
 
 
-def reliability(pred: DataFrame) -> DataFrame:
-    """Support over judged codes, confidence missing and weak shares; null where a base is empty."""
-    judged, n = F.count("supported"), F.count("*")
+def reliability(codes: DataFrame) -> DataFrame:
+    """One row of the reliability ratios of code records; fields that a run hasn't may be absent.
+
+    Support is a share of the judged codes, verbatim quotes of those that were checked (a stored verdict, else the quote against the preview; never for a mock model);
+    both are null where the base is empty. The others are shares of all codes, 0 without codes.
+    """
+    have = set(codes.columns)
+    col = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    text = lambda c: F.coalesce(col(c, "string"), F.lit(""))
+    flag = lambda c, v: F.coalesce(col(c, "boolean") == v, F.lit(False))
+    rejected = F.coalesce(F.size(col("rejected_similar_codes", "array<string>")), F.lit(0)) > 0
+    fallback, n, judged = flag("contrastive_fallback_used", True), F.count("*"), F.count("supported")
+    checked = F.when(~flag("mock_llm", True), F.coalesce(col("evidence_quote_verbatim", "boolean"), verbatim(col("evidence_quote", "string"), col("evidence_preview", "string"))))
+    shares = {
+        **{name: col("risk_flag", "string") == risk for name, risk in (("weak_evidence_rate", "weak_evidence"), ("ambiguous_code_rate", "ambiguous"), ("hallucination_flag_rate", "possible_hallucination"))},
+        "rationale_coverage_rate": text("rationale") != "", "evidence_quote_rate": (text("evidence_quote") != "") | (text("evidence_preview") != ""),
+        "contrastive_rationale_rate": text("contrastive_rationale") != "", "rejected_similar_codes_rate": rejected, "contrastive_fallback_rate": fallback,
+        "llm_contrastive_rate": ~fallback & (rejected | (text("contrastive_rationale") != "")), "schema_invalid_rate": flag("schema_valid", False), "json_parse_error_rate": flag("json_parse_error", True),
+        "confidence_missing_rate": F.col("confidence").isNull(),
+    }
     part = lambda a, b: F.round(F.when(b > 0, a / b), 6)
-    return pred.agg(
-        n.alias("codes"), judged.alias("judged"), part(F.count_if("supported"), judged).alias("evidence_supported_rate"), part(F.count_if(~F.col("supported")), judged).alias("unsupported_rate"),
-        part(F.count_if(F.col("confidence").isNull()), n).alias("confidence_missing_rate"), part(F.count_if(F.col("confidence") < 0.3), n).alias("weak_rate"),
+    return codes.withColumn("_checked", checked).agg(
+        n.alias("total_predicted_codes"), judged.alias("evidence_judged_codes"), part(F.count_if("supported"), judged).alias("evidence_support_rate"), part(F.count_if(~F.col("supported")), judged).alias("unsupported_code_rate"),
+        F.count("_checked").alias("evidence_quote_checked_codes"), part(F.count_if("_checked"), F.count("_checked")).alias("evidence_quote_verbatim_rate"),
+        *(F.coalesce(part(F.count_if(v), n), F.lit(0.0)).alias(k) for k, v in shares.items()),
     )
 
 
+def quote_compliance(codes: DataFrame, arm: Column) -> DataFrame:
+    """Exact-quote compliance of each arm: of the codes with a stored verdict, the share whose quote is verbatim. Mock codes don't count."""
+    real = codes.where(~F.coalesce("mock_llm", F.lit(False)))
+    v = F.col("evidence_quote_verbatim")
+    return real.groupBy(arm.alias("arm")).agg(F.countDistinct("note").alias("notes"), F.count("*").alias("codes"), F.count(v).alias("checked"), F.count_if(v).alias("verbatim"), F.round(F.when(F.count(v) > 0, F.count_if(v) / F.count(v)), 4).alias("rate"))
+
+
+def cost(records: DataFrame) -> DataFrame:
+    """One row of run times, tokens, memory and cost per right code (column ``correct``); 0 where a field is never given."""
+    n, right = F.count("*"), F.sum("correct")
+    zero = lambda x, d=6: F.coalesce(F.round(x, d), F.lit(0.0))
+    tokens = F.coalesce(F.sum("token_count_input"), F.lit(0)) + F.coalesce(F.sum("token_count_output"), F.lit(0))
+    out = [n.alias("n_samples"), zero(F.avg("runtime_sec")).alias("avg_runtime_sec"), zero(F.sum("runtime_sec"), 4).alias("total_runtime_sec"), zero(F.percentile("runtime_sec", F.lit(0.95))).alias("p95_runtime_sec")]
+    for k in ("input", "output"):
+        out += [zero(F.avg(f"token_count_{k}")).alias(f"avg_{k}_tokens"), zero(F.sum(f"token_count_{k}").cast("double")).alias(f"total_{k}_tokens")]
+    out += [zero(F.avg("gpu_memory_mb")).alias("avg_gpu_memory_mb"), zero(F.max("gpu_memory_mb")).alias("peak_gpu_memory_mb")]
+    return records.agg(*out, zero(F.when(right > 0, F.sum("runtime_sec") / right)).alias("runtime_per_correct_code"), zero(F.when(right > 0, tokens / right)).alias("tokens_per_correct_code"))
+
+
+def error_rates(records: DataFrame, json_errors: DataFrame) -> DataFrame:
+    """Shares of failed, out-of-memory, skipped and good records, and code records with JSON errors (one row: ``errors``) by sample."""
+    n, t = F.count("*"), lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    share = lambda x: F.round(x / n, 6)
+    one = records.agg(n.alias("n"), share(t("failed")).alias("failed_sample_rate"), share(t("cuda_oom")).alias("cuda_oom_rate"), share(t("skipped")).alias("skipped_rate"), share(n - t("failed") - t("skipped")).alias("success_rate"))
+    return one.crossJoin(json_errors).withColumn("json_parse_error_rate", F.round(F.col("errors") / F.greatest("n", F.lit(1)), 6)).drop("errors")
+
+
 def confusion_pairs(f: DataFrame) -> DataFrame:
     """(pred, gold, n): wrong codes with gold codes of the same category of the note."""
     wrong = f.where("in_pred and not in_gold").select("note", F.col("code").alias("pred"), F.substring("code", 1, 3).alias("cat"))

@@ -1,16 +1,28 @@
-"""Resampling statistics on note counts. Randomness is a hash of (seed, stream, replicate, position), so that runs repeat anywhere.
+"""Resampling statistics on note counts. Randomness is a hash, so that runs repeat anywhere.
 
-Resampling is B replicates of n draws. A replicate needs only sums, so each (replicate, draw) row is made, joined to its note's counts by
-position and summed at once; positions are dense numbers given in range partitions, without one global window.
+Statistics of a replicate follow from sums over its notes, so nothing but sums leaves a task. A bootstrap gives each note an
+independent Poisson(1) weight in each replicate, which is what n draws with replacement come to for large n; no draw is a row.
+
+- ``bootstrap`` and ``randomization`` hash (seed, stream, replicate, note), a form that SQL can state.
+- ``resample`` first merges notes with equal counts: the weight of m equal notes is Poisson(m), and of m equal notes Binomial(m, 1/2) change
+  sides. Its work follows the number of different count vectors, not of notes, so 10,000 replicates cost about as much at any size.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import f1, safe_ratio, u32
 
+#: Cumulative probabilities of Poisson(1) in units of 2**-32.
+POISSON = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+
 
 def number(df: DataFrame, by: str) -> DataFrame:
     """``pos`` from 0 in the order of the unique column ``by``: offsets of ranges plus the number inside a range."""
@@ -30,27 +42,100 @@ def number_small(df: DataFrame, by: str) -> DataFrame:
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Counts of both runs on their common notes, numbered."""
+    """Counts of both runs on their common notes."""
     x = a.select("note", *[F.col(c).alias(f"{c}_a") for c in a.columns if c != "note"])
     y = b.select("note", *[F.col(c).alias(f"{c}_b") for c in b.columns if c != "note"])
     return x.join(y, "note")
 
 
-def draws(n: int, replicates: int, seed: int, spark) -> DataFrame:
-    """(rep, pos): n draws with replacement for each replicate."""
-    ids = spark.range(0, n * replicates).select(F.expr(f"id div {n}").alias("rep"), F.expr(f"id % {n}").alias("i"))
-    return ids.select("rep", (u32(F.lit(str(seed)), F.lit("boot"), F.col("rep"), F.col("i")) % n).alias("pos"))
+def poisson(u: Column) -> Column:
+    """A Poisson(1) number from a uniform whole number below 2**32."""
+    out = F.lit(0)
+    for limit in POISSON:
+        out = out + (u >= limit).cast("int")
+    return out
 
 
-def bootstrap(numbered: DataFrame, replicates: int, seed: int, stats: dict[str, Column]) -> DataFrame:
-    """(rep, each statistic) from the summed columns of the drawn notes."""
-    n = numbered.count()
-    cols = [c for c in numbered.columns if c not in ("note", "pos")]
-    sums = draws(n, replicates, seed, numbered.sparkSession).groupBy("rep", "pos").agg(F.count("*").alias("times")).join(numbered.drop("note"), "pos")
-    sums = sums.groupBy("rep").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in cols])
+def bootstrap(rows: DataFrame, replicates: int, seed: int, stats: dict[str, Column]) -> DataFrame:
+    """(rep, each statistic) from the weighted sums of all columns but ``note``."""
+    cols = [c for c in rows.columns if c != "note"]
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    each = each.withColumn("w", poisson(u32(F.lit(str(seed)), F.lit("boot"), F.col("rep"), F.col("note"))))
+    sums = each.groupBy("rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols])
     return sums.select("rep", *[v.alias(k) for k, v in stats.items()])
 
 
+def _generator(seed: int, stream: str, values: tuple) -> np.random.Generator:
+    key = hashlib.blake2b(repr((seed, stream, values)).encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=np.frombuffer(key, np.uint64)))
+
+
+def resample(rows: DataFrame, replicates: int, seed: int, swaps: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
+    """(rep, the sum of each column but ``note``) of bootstrap replicates or, with ``swaps``, of randomised ones.
+
+    A swap is a pair of column lists that change sides note by note with probability 1/2, each pair by coins of its own.
+    """
+    cols = [c for c in rows.columns if c != "note"]
+    cells = rows.groupBy(*cols).agg(F.count("*").alias("_m"))
+
+    def run(batches):
+        total = np.zeros((len(cols), replicates), np.int64)
+        for b in batches:
+            for *x, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = dict(zip(cols, x, strict=True))
+                if swaps is None:
+                    total += np.array(x, np.int64)[:, None] * _generator(seed, "boot", tuple(x)).poisson(m, replicates)
+                    continue
+                coins = _generator(seed, "swap", tuple(x))
+                total += m * np.array(x, np.int64)[:, None]
+                for side, other in swaps:
+                    moved = coins.binomial(m, 0.5, replicates)
+                    for c, d in zip(side, other, strict=True):
+                        total[cols.index(c)] += moved * (own[d] - own[c])
+                        total[cols.index(d)] += moved * (own[c] - own[d])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int64()), *(pa.array(t) for t in total)], names=["rep", *cols])
+
+    sums = cells.select(*(F.col(c).cast("long") for c in cols), "_m").mapInArrow(run, "rep long, " + ", ".join(f"`{c}` long" for c in cols))
+    return sums.groupBy("rep").agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def contrasts(rows: DataFrame, stats: dict[str, Column], replicates: int, seed: int, tests: dict[str, list[tuple[list[str], list[str]]]]) -> DataFrame:
+    """One row a statistic: name, point, lo, hi (95 % percentile interval), defined (replicates in which it isn't null), verdict and p.
+
+    ``tests`` names the swaps under which a statistic's null hypothesis is exchangeable; p is the add-one share of randomised
+    replicates at least as far from 0 as the point, null for statistics without a test.
+    """
+    cols = [c for c in rows.columns if c != "note"]
+    long = lambda sums, names, by=(): sums.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), stats[k].cast("double").alias("v")) for k in names))).alias("x")).select(*by, "x.*")
+    point = long(rows.agg(*[F.sum(c).alias(c) for c in cols]), stats).withColumnRenamed("v", "point")
+    drawn = long(resample(rows, replicates, seed), stats).where("v is not null").groupBy("name").agg(F.array_sort(F.collect_list("v")).alias("v"))  # one number a replicate
+    at = lambda p: F.element_at("v", (F.least(F.floor(F.lit(p) * F.size("v")), F.size("v") - 1) + 1).cast("int"))
+    out = point.join(drawn.select("name", at(0.025).alias("lo"), at(0.975).alias("hi"), F.size("v").cast("long").alias("defined")), "name", "left")
+    out = out.withColumn("verdict", F.when((F.col("lo") > 0) | (F.col("hi") < 0), "excludes 0").otherwise("spans 0"))
+    extreme = None
+    for name, swaps in tests.items():
+        one = long(resample(rows, replicates, seed, swaps), [name]).join(F.broadcast(point), "name").where("abs(v) >= abs(point)").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.round((F.col("n") + 1) / (replicates + 1), 6).alias("p"))
+        extreme = one if extreme is None else extreme.unionByName(one)
+    out = out.withColumn("p", F.lit(None).cast("double")) if extreme is None else out.join(F.broadcast(extreme), "name", "left")
+    return out.select("name", *(F.round(c, 9).alias(c) for c in ("point", "lo", "hi")), F.coalesce("defined", F.lit(0).cast("long")).alias("defined"), "verdict", "p")
+
+
+def f1_of(cell: str) -> Column:
+    """F1 from the summed columns tp_, fp_ and fn_ of a cell."""
+    return f1(F.col(f"tp_{cell}"), F.col(f"fp_{cell}"), F.col(f"fn_{cell}"))
+
+
+def lift_of(cell: str) -> Column:
+    """How much likelier a supported code is right than an unsupported one; null where a base is 0."""
+    sg, st, ug, ut = (F.col(f"{c}_{cell}") for c in ("sg", "st", "ug", "ut"))
+    return F.when((st > 0) & (ut > 0) & (ug > 0), (sg / st) / (ug / ut))
+
+
+def sides(a: str, b: str) -> tuple[list[str], list[str]]:
+    """The columns of two cells that a swap exchanges."""
+    return [f"{c}_{a}" for c in ("tp", "fp", "fn")], [f"{c}_{b}" for c in ("tp", "fp", "fn")]
+
+
 def delta_f1() -> Column:
     side = lambda s: f1(F.col(f"tp_{s}"), F.col(f"fp_{s}"), F.col(f"fn_{s}"))
     return F.round(side("a") - side("b"), 9)
@@ -64,14 +149,14 @@ def interval(reps: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     return one.select(F.size("v").cast("long").alias("replicates"), at(lo).alias("lo"), at(hi).alias("hi"))
 
 
-def randomization(numbered: DataFrame, replicates: int, seed: int) -> DataFrame:
+def randomization(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Approximate randomisation of the F1 difference: sides are swapped per note by a hash bit."""
-    bit = u32(F.lit(str(seed)), F.lit("swap"), F.col("rep"), F.col("pos")) % 2 == 1
-    reps = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    bit = u32(F.lit(str(seed)), F.lit("swap"), F.col("rep"), F.col("note")) % 2 == 1
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     cols = ("tp", "fp", "fn")
     sums = reps.groupBy("rep").agg(*[F.sum(F.when(bit, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}"))).alias(f"{c}_{s}") for c in cols for s, o in (("a", "b"), ("b", "a"))])
     deltas = sums.select("rep", delta_f1().alias("d"))
-    seen = numbered.agg(*[F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in cols for s in "ab"]).select(delta_f1().alias("observed"))
+    seen = rows.agg(*[F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in cols for s in "ab"]).select(delta_f1().alias("observed"))
     return deltas.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs("d") >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 

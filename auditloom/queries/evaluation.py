@@ -16,7 +16,7 @@ def facts(spark, d, run="a"):
 
 
 def counts(spark, d, run="a"):
-    return ev.counts(facts(spark, d, run))
+    return ev.counts(facts(spark, d, run), fx.notes(spark, d))
 
 
 _PER = "per as (select l.code, count(*) filter (in_gold and in_pred) tp, count(*) filter (in_pred and not in_gold) fp, count(*) filter (in_gold and not in_pred) fn from (select distinct code from labels) l left join facts_a f on f.code = l.code group by l.code)"
@@ -44,7 +44,7 @@ def coverage(spark, d):
     return fx.labels(spark, d).agg(F.countDistinct("code").alias("labels")).crossJoin(p).select("predicted", "labels", F.round(F.col("predicted") / F.col("labels"), 6).alias("coverage"))
 
 
-_ATK = """select {outs} from (select note, count(*) filter (in_gold) g, {aggs} from {f} group by note)"""
+_ATK = """select {outs} from (select n.note, count(*) filter (in_gold) g, {aggs} from notes n left join {f} f on f.note = n.note group by n.note)"""
 
 
 def _atk(f, ks):
@@ -53,12 +53,40 @@ def _atk(f, ks):
     return _ATK.format(f=f, aggs=aggs, outs=outs)
 
 
-@query("ag_p_r_at_k", with_("facts_a", _atk("facts_a", [1, 3, 5])))
+@query("ag_p_r_at_k", with_("notes facts_a", _atk("facts_a", [1, 3, 5, 10])))
 def p_r_at_k(spark, d):
-    return ev.at_k(facts(spark, d), [1, 3, 5])
+    return ev.at_k(facts(spark, d), fx.notes(spark, d), [1, 3, 5, 10])
 
 
-_PARENTS = "pf as (select note, substr(replace(code,'.',''),1,3) code, bool_or(in_gold) in_gold, bool_or(in_pred) in_pred, min(\"rank\") \"rank\" from facts_a group by all)"
+_PARENTS = """pf as (select *, case when in_pred then row_number() over (partition by note order by best nulls last) end "rank" from (select note, upper(substr(replace(code,'.',''),1,3)) code, bool_or(in_gold) in_gold, bool_or(in_pred) in_pred, min("rank") best from facts_a group by 1, 2))"""
+
+
+def _all(f, labels):
+    """SQL of all classification metrics in one row over facts ``f`` and label query ``labels``."""
+    return f"""u as ({labels}), un as (select count(*) m from u), inside as (select * from {f} where code in (from u)),
+ per as (select u.code, count(*) filter (in_gold and in_pred) tp, count(*) filter (in_pred and not in_gold) fp, count(*) filter (in_gold and not in_pred) fn from u left join {f} f on f.code = u.code group by u.code),
+ cn as (select n.note, count(*) filter (in_gold and in_pred) tp, count(*) filter (in_pred and not in_gold) fp, count(*) filter (in_gold and not in_pred) fn from notes n left join inside i on i.note = n.note group by n.note),
+ a as (select coalesce(round(sum(tp)/nullif(sum(tp+fp),0),6),0) micro_p, coalesce(round(sum(tp)/nullif(sum(tp+fn),0),6),0) micro_r, coalesce(round(2*sum(tp)/nullif(2*sum(tp)+sum(fp)+sum(fn),0),6),0) micro_f1,
+  round(avg(case when tp+fp>0 then tp/(tp+fp) else 0 end),6) macro_p, round(avg(case when tp+fn>0 then tp/(tp+fn) else 0 end),6) macro_r, round(avg(case when tp+fp+fn>0 then 2*tp/(2*tp+fp+fn) else 0 end),6) macro_f1, count(*) labels from per),
+ b as (select round((sum(fp+fn)/(count(*)*max(m)))::double,8) hamming, round(avg((fp=0 and fn=0)::int),6) exact_match, round(avg(case when tp+fn=0 or tp+fn=m then 1.0::double else (case when tp>0 then tp*tp/(tp+fp)::double else 0 end + fn*((tp+fn)/m::double))/(tp+fn) end),6) lrap, count(*) notes from cn, un),
+ c as ({_atk(f, [5, 10])}), e as (select round(count(distinct code)/(select m from un),6) label_coverage from inside where in_pred)
+ select * from a, b, c, e"""
+
+
+@query("ag_classification", with_("notes labels facts_a", "with " + _all("facts_a", "select distinct code from labels")))
+def classification(spark, d):
+    return ev.classification(facts(spark, d), fx.notes(spark, d), fx.labels(spark, d))
+
+
+@query("ag_classification_empty", "select 0.0::double micro_p, 0.0::double micro_r, 0.0::double micro_f1, 0.0::double macro_p, 0.0::double macro_r, 0.0::double macro_f1, 1.0::double hamming, 0.0::double exact_match, 0.0::double lrap, 0.0::double p_at_5, 0.0::double r_at_5, 0.0::double p_at_10, 0.0::double r_at_10, 0.0::double label_coverage, 0::bigint notes, 0::bigint labels")
+def classification_empty(spark, d):
+    return ev.classification(facts(spark, d).where("false"), fx.notes(spark, d).where("false"))
+
+
+@query("ag_parent_classification", with_("notes facts_a", f"with {_PARENTS}, " + _all("pf", "select distinct code from pf")))
+def parent_classification(spark, d):
+    """Every classification metric one level up; the labels are the categories of either side."""
+    return ev.classification(ev.to_parents(facts(spark, d)), fx.notes(spark, d))
 
 
 @query("ag_parent_metrics", with_("facts_a", f"with {_PARENTS} select round(2*tp/(2*tp+fp+fn),6) parent_micro_f1, tp, fp, fn from (select count(*) filter (in_gold and in_pred) tp, count(*) filter (in_pred and not in_gold) fp, count(*) filter (in_gold and not in_pred) fn from pf)"))
@@ -68,9 +96,9 @@ def parent_metrics(spark, d):
     return c.select(F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("parent_micro_f1"), "tp", "fp", "fn")
 
 
-@query("ag_parent_p_r_at_k", with_("facts_a", f"with {_PARENTS} " + _atk("pf", [1, 3])))
+@query("ag_parent_p_r_at_k", with_("notes facts_a", f"with {_PARENTS} " + _atk("pf", [1, 3])))
 def parent_at_k(spark, d):
-    return ev.at_k(ev.to_parents(facts(spark, d)), [1, 3])
+    return ev.at_k(ev.to_parents(facts(spark, d)), fx.notes(spark, d), [1, 3])
 
 
 @query("ag_hier_error", with_("facts_a", """with w as (select f.*, bool_or(in_gold) over (partition by note, substr(code,1,3)) near from facts_a f)
@@ -79,17 +107,27 @@ def hier(spark, d):
     return ev.hierarchical_error(facts(spark, d))
 
 
-_REL = """select count(*) codes, count(supported) judged, round(count(*) filter (supported)/nullif(count(supported),0),6) evidence_supported_rate, round(count(*) filter (not supported)/nullif(count(supported),0),6) unsupported_rate,
- round(count(*) filter (confidence is null)/nullif(count(*),0),6) confidence_missing_rate, round(count(*) filter (confidence < 0.3)/nullif(count(*),0),6) weak_rate from {}"""
+_RISK = {"weak_evidence_rate": "risk_flag='weak_evidence'", "ambiguous_code_rate": "risk_flag='ambiguous'", "hallucination_flag_rate": "risk_flag='possible_hallucination'"}
+_SHARES = _RISK | {
+    "rationale_coverage_rate": "rationale<>''", "evidence_quote_rate": "evidence_quote<>'' or evidence_preview<>''", "contrastive_rationale_rate": "contrastive_rationale<>''", "rejected_similar_codes_rate": "n_rejected>0",
+    "contrastive_fallback_rate": "fallback", "llm_contrastive_rate": "not fallback and (n_rejected>0 or contrastive_rationale<>'')", "schema_invalid_rate": "not schema_valid", "json_parse_error_rate": "json_parse_error", "confidence_missing_rate": "confidence is null",
+}
+_JUDGED = "count(*) total_predicted_codes, count(supported) evidence_judged_codes, round(count(*) filter (supported)/nullif(count(supported),0),6) evidence_support_rate, round(count(*) filter (not supported)/nullif(count(supported),0),6) unsupported_code_rate"
+
 
+def _shares(shares):
+    return ", ".join(f"round(count(*) filter ({v})/count(*),6) {k}" for k, v in shares.items())
 
-@query("ag_reliability", with_("pred_a", _REL.format("pred_a")))
+
+@query("ag_reliability", with_("recs", f"""with v as (select *, case when not mock then coalesce(evidence_quote_verbatim, case when trim(evidence_quote)<>'' and trim(evidence_preview)<>'' then contains(lower(trim(regexp_replace(evidence_preview,'\\s+',' ','g'))), lower(trim(regexp_replace(evidence_quote,'\\s+',' ','g')))) end) end checked from recs)
+ select {_JUDGED}, count(checked) evidence_quote_checked_codes, round(count(*) filter (checked)/nullif(count(checked),0),6) evidence_quote_verbatim_rate, {_shares(_SHARES)} from v"""))
 def reliability(spark, d):
-    return ev.reliability(fx.predictions(spark, d))
+    return ev.reliability(fx.code_records(spark, d))
 
 
-@query("ag_reliability_unjudged", with_("pred_c", _REL.format("pred_c")))
+@query("ag_reliability_unjudged", with_("pred_c", f"select {_JUDGED}, 0::bigint evidence_quote_checked_codes, null::double evidence_quote_verbatim_rate, {_shares({k: 'confidence is null' if k == 'confidence_missing_rate' else 'false' for k in _SHARES})} from pred_c"))
 def reliability_c(spark, d):
+    """A run that makes no claim of evidence: only the share without confidence can be told."""
     return ev.reliability(fx.predictions(spark, d, "c"))
 
 
@@ -197,10 +235,17 @@ def cost(spark, d):
     return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg_runtime"), F.round(F.sum("value"), 4).alias("total_runtime"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95_runtime"), F.max("value").alias("peak"))
 
 
-@query("ag_error_rates", "select count(*) n, round(count(*) filter (event_type='error')/count(*),6) failed_rate, round(count(*) filter (event_type<>'error')/count(*),6) success_rate, round(count(*) filter (try_cast(json_extract_string(props,'$.k') as double) is null)/count(*),6) json_error_rate from events")
+@query("ag_cost", with_("samples counts_a", """with s as (select s.*, c.tp correct from samples s join counts_a c using (note)) select count(*) n_samples, round(avg(runtime),6) avg_runtime_sec, round(sum(runtime),4) total_runtime_sec, round(quantile_cont(runtime,0.95),6) p95_runtime_sec,
+ round(avg(ti),6) avg_input_tokens, sum(ti)::double total_input_tokens, round(avg(too),6) avg_output_tokens, sum(too)::double total_output_tokens, round(avg(gpu),6) avg_gpu_memory_mb, max(gpu) peak_gpu_memory_mb,
+ round(sum(runtime)/sum(correct),6) runtime_per_correct_code, round((sum(ti)+sum(too))/sum(correct),6) tokens_per_correct_code from s"""))
+def cost_all(spark, d):
+    return ev.cost(fx.sample_records(spark, d).join(counts(spark, d).select("note", F.col("tp").alias("correct")), "note"))
+
+
+@query("ag_error_rates", with_("samples recs", "select count(*) n, round(count(*) filter (failed)/count(*),6) failed_sample_rate, round(count(*) filter (oom)/count(*),6) cuda_oom_rate, round(count(*) filter (skipped)/count(*),6) skipped_rate, round((count(*)-count(*) filter (failed)-count(*) filter (skipped))/count(*),6) success_rate, round((select count(*) from recs where json_parse_error)/count(*),6) json_parse_error_rate from samples"))
 def errors(spark, d):
-    e, n = fx.table(spark, d, "events"), F.count("*")
-    return e.agg(n.alias("n"), F.round(F.count_if(F.col("event_type") == "error") / n, 6).alias("failed_rate"), F.round(F.count_if(F.col("event_type") != "error") / n, 6).alias("success_rate"), F.round(F.count_if(F.get_json_object("props", "$.k").try_cast("double").isNull()) / n, 6).alias("json_error_rate"))
+    bad = fx.code_records(spark, d).agg(F.count_if("json_parse_error").alias("errors"))
+    return ev.error_rates(fx.sample_records(spark, d), bad)
 
 
 @query("ag_run_summary", "select user_id % 10 run, count(*) records, count(*) filter (event_type='error') failed, round(count(*) filter (event_type='error')/count(*),6) error_rate, round(avg(value) filter (event_type<>'error'),6) mean_runtime, min(event_id) first_id from events group by 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..operators import evaluation as ev
 from ..operators import learners, scoring
 from ..sources import fixtures as fx
 from ..sources import readers
@@ -63,10 +64,10 @@ def similar(spark, d):
     return w.groupBy("note").agg(F.count_if("near").alias("n_similar"), F.count("*").alias("wrong"))
 
 
-@query("ag_quote_compliance", "select source, count(*) filter (doc_id%3=0 or contains(text, substr(text, 2, 9))) exact, count(*) n, round(count(*) filter (doc_id%3=0 or contains(text, substr(text, 2, 9)))/count(*),6) rate from documents group by source")
+@query("ag_quote_compliance", with_("recs", "select note % 2 arm, count(distinct note) notes, count(*) codes, count(evidence_quote_verbatim) checked, count(*) filter (evidence_quote_verbatim) verbatim, round(count(*) filter (evidence_quote_verbatim)/nullif(count(evidence_quote_verbatim),0),4) rate from recs where not mock group by 1"))
 def compliance(spark, d):
-    ok = (F.col("doc_id") % 3 == 0) | F.contains("text", F.substring("text", 2, 9))
-    return fx.table(spark, d, "documents").groupBy("source").agg(F.count_if(ok).alias("exact"), F.count("*").alias("n"), F.round(F.count_if(ok) / F.count("*"), 6).alias("rate"))
+    """Arms by parity of the note."""
+    return ev.quote_compliance(fx.code_records(spark, d), F.col("note") % 2)
 
 
 @query("txt_prompt", with_("kb pred_a", """with c as (select p.note, p."rank" r, p."rank"::varchar || '. ' || p.code || ' - ' || k.title || ': ' || substr(k.title || ' ' || k.parent, 1, 12) line from pred_a p join kb k using (code) where p."rank" <= 4)

@@ -14,26 +14,27 @@ from .registry import query
 
 REPS = 40  #: of the queries that have SQL
 FULL, FULL_METRIC = 10_000, 1_000  #: the reference's defaults: of contrasts, and of a metric's interval
-_PAIR = """pair as (select note, a.tp tp_a, a.fp fp_a, a.fn fn_a, b.tp tp_b, b.fp fp_b, b.fn fn_b, row_number() over (order by note)-1 pos from counts_a a join counts_b b using (note)), n as (select count(*) n from pair)"""
-_D = "round(2*sum(tp_a)/(2*sum(tp_a)+sum(fp_a)+sum(fn_a))-2*sum(tp_b)/(2*sum(tp_b)+sum(fp_b)+sum(fn_b)),9)"
-_BOOT = _PAIR + f""", draws as (select r rep, ('0x'||substr(md5('42:boot:'||r||':'||i),1,8))::bigint % n pos from n, range({REPS}) t(r), range(200000) u(i) where i < n),
- reps as (select rep, {_D} d from draws join pair using (pos) group by rep)"""
+_PAIR = """pair as (select note, a.tp tp_a, a.fp fp_a, a.fn fn_a, b.tp tp_b, b.fp fp_b, b.fn fn_b from counts_a a join counts_b b using (note))"""
+_D = "round(2*sum({w}tp_a)/(2*sum({w}tp_a)+sum({w}fp_a)+sum({w}fn_a))-2*sum({w}tp_b)/(2*sum({w}tp_b)+sum({w}fp_b)+sum({w}fn_b)),9)"
+_W = "(select *, " + "+".join(f"(u>={t})::int" for t in st.POISSON) + " w from (select *, r rep, ('0x'||substr(md5('{seed}:boot:'||r||':'||note),1,8))::bigint u from {t}, range({reps}) t(r)))"
+_BOOT = _PAIR + f""", reps as (select rep, {_D.format(w="w*")} d from {_W.format(seed=42, t="pair", reps=REPS)} group by rep)"""
 
 
-def numbered(spark, d):
-    return st.number(st.paired(counts(spark, d, "a").select("note", "tp", "fp", "fn"), counts(spark, d, "b").select("note", "tp", "fp", "fn")), "note").persist()
+def pairs(spark, d, *cols):
+    cols = cols or ("tp", "fp", "fn")
+    return st.paired(counts(spark, d, "a").select("note", *cols), counts(spark, d, "b").select("note", *cols))
 
 
 @query("st_bootstrap_delta", with_("counts_a counts_b", f"with {_BOOT} select count(*) replicates, list_sort(list(d))[least(floor(0.025*count(*)),count(*)-1)::int+1] lo, list_sort(list(d))[least(floor((1-0.025)*count(*)),count(*)-1)::int+1] hi from reps"))
 def bootstrap_delta(spark, d, reps=REPS):
-    return st.interval(st.bootstrap(numbered(spark, d), reps, 42, {"d": st.delta_f1()}), "d")
+    return st.interval(st.bootstrap(pairs(spark, d), reps, 42, {"d": st.delta_f1()}), "d")
 
 
-@query("st_randomization", with_("counts_a counts_b", f"""with {_PAIR}, sw as (select r rep, case when ('0x'||substr(md5('42:swap:'||r||':'||pos),1,8))::bigint % 2 = 1 then [tp_b,fp_b,fn_b,tp_a,fp_a,fn_a] else [tp_a,fp_a,fn_a,tp_b,fp_b,fn_b] end v from pair, range({REPS}) t(r)),
- o as (select {_D} o from pair), s as (select rep, round(2*sum(v[1])/(2*sum(v[1])+sum(v[2])+sum(v[3]))-2*sum(v[4])/(2*sum(v[4])+sum(v[5])+sum(v[6])),9) x from sw group by rep)
+@query("st_randomization", with_("counts_a counts_b", f"""with {_PAIR}, sw as (select r rep, case when ('0x'||substr(md5('42:swap:'||r||':'||note),1,8))::bigint % 2 = 1 then [tp_b,fp_b,fn_b,tp_a,fp_a,fn_a] else [tp_a,fp_a,fn_a,tp_b,fp_b,fn_b] end v from pair, range({REPS}) t(r)),
+ o as (select {_D.format(w="")} o from pair), s as (select rep, round(2*sum(v[1])/(2*sum(v[1])+sum(v[2])+sum(v[3]))-2*sum(v[4])/(2*sum(v[4])+sum(v[5])+sum(v[6])),9) x from sw group by rep)
  select max(o) observed, round((count(*) filter (abs(x)>=abs(o))+1)/(count(*)+1),6) p from s, o"""))
 def randomization(spark, d, reps=REPS):
-    return st.randomization(numbered(spark, d), reps, 42)
+    return st.randomization(pairs(spark, d), reps, 42)
 
 
 @query("st_note_counts", with_("counts_a", "select * from counts_a"))
@@ -41,43 +42,94 @@ def note_counts(spark, d):
     return counts(spark, d)
 
 
-_ARMS = """arm as (select a.note, a.tp tp1, a.fp fp1, a.fn fn1, b.tp tp2, b.fp fp2, b.fn fn2, a.note % 2 ctx from counts_a a join counts_b b using (note))"""
-_F = "2*sum({0}) filter (ctx={1})/(2*sum({0}) filter (ctx={1})+sum({2}) filter (ctx={1})+sum({3}) filter (ctx={1}))"
+#: Six cells on the same notes: capacity (small, middle, large) by context (with the note, without).
+CELLS = {"3_note": "b", "3_none": "c", "7_note": "a", "7_none": "d", "14_note": "e", "14_none": "f"}
+_CELL = ", ".join(f"sum({r}.{c})::bigint {c}_{k}" for k, r in CELLS.items() for c in ("tp", "fp", "fn"))
+_CELLS = f"s as (select count(*) notes, {_CELL} from counts_a a " + " ".join(f"join counts_{r} {r} using (note)" for r in "bcdef") + ")"
+_F = lambda k: f"2*tp_{k}/(2*tp_{k}+fp_{k}+fn_{k})"
+_RUNS = " ".join(f"counts_{r}" for r in "abcdef")
 
 
-@query("st_did", with_("counts_a counts_b", f"with {_ARMS} select round({_F.format('tp1', 1, 'fp1', 'fn1')}-{_F.format('tp2', 1, 'fp2', 'fn2')},9) effect_1, round({_F.format('tp1', 0, 'fp1', 'fn1')}-{_F.format('tp2', 0, 'fp2', 'fn2')},9) effect_0, round(({_F.format('tp1', 1, 'fp1', 'fn1')}-{_F.format('tp2', 1, 'fp2', 'fn2')})-({_F.format('tp1', 0, 'fp1', 'fn1')}-{_F.format('tp2', 0, 'fp2', 'fn2')}),8) interaction from arm"))
-def did(spark, d):
-    """2 x 2 contrast: run by context (parity of the note)."""
-    p = st.paired(counts(spark, d, "a"), counts(spark, d, "b"))
-    s = lambda c, x: F.sum(F.when(F.col("note") % 2 == x, F.col(c)).otherwise(0))
-    cell = lambda r, x: f1(s(f"tp_{r}", x), s(f"fp_{r}", x), s(f"fn_{r}", x))
-    e1, e0 = cell("a", 1) - cell("b", 1), cell("a", 0) - cell("b", 0)
-    return p.agg(F.round(e1, 9).alias("effect_1"), F.round(e0, 9).alias("effect_0"), F.round(e1 - e0, 8).alias("interaction"))
+def cells(spark, d, names=tuple(CELLS)):
+    """One row a note: its counts in each cell."""
+    out = None
+    for k in names:
+        one = counts(spark, d, CELLS[k]).select("note", *(F.col(c).alias(f"{c}_{k}") for c in ("tp", "fp", "fn")))
+        out = one if out is None else out.join(one, "note")
+    return out
 
 
-@query("st_capacity_curve", with_("counts_a counts_b", "with c as (select 'a' run, * from counts_a union all select 'b', * from counts_b) select run, note%3 capacity, count(*) notes, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),6) f1 from c group by 1, 2"))
+def did(low: str, high: str):
+    """Simple effects and interaction of a capacity step, and the swaps under which the interaction is exchangeable."""
+    e = {c: st.f1_of(f"{high}_{c}") - st.f1_of(f"{low}_{c}") for c in ("note", "none")}
+    return e["note"], e["none"], e["note"] - e["none"], [st.sides(f"{high}_{c}", f"{low}_{c}") for c in ("note", "none")]
+
+
+@query("st_did", with_(_RUNS, f"with {_CELLS} select notes shared_notes, round({_F('7_note')}-{_F('3_note')},9) effect_note, round({_F('7_none')}-{_F('3_none')},9) effect_none, round(({_F('7_note')}-{_F('3_note')})-({_F('7_none')}-{_F('3_none')}),8) interaction from s"))
+def did_points(spark, d):
+    """2 x 2 contrast, point estimates; ``st_did_full`` has the intervals and tests."""
+    note, none, both, _ = did("3", "7")
+    c = cells(spark, d, ("3_note", "3_none", "7_note", "7_none"))
+    sums = c.agg(F.count("*").alias("shared_notes"), *[F.sum(x).alias(x) for x in c.columns if x != "note"])
+    return sums.select("shared_notes", F.round(note, 9).alias("effect_note"), F.round(none, 9).alias("effect_none"), F.round(both, 8).alias("interaction"))
+
+
+@query("st_did_full")
+def did_full(spark, d, reps=FULL):
+    note, none, both, swaps = did("3", "7")
+    c = cells(spark, d, ("3_note", "3_none", "7_note", "7_none"))
+    return st.contrasts(c, {"effect_note": note, "effect_none": none, "interaction": both}, reps, 42, {"interaction": swaps})
+
+
+@query("st_capacity_curve", with_(_RUNS, f"with {_CELLS} " + " union all ".join(f"select '{k}' cell, notes, round({_F(k)},6) f1, round(tp_{k}/(tp_{k}+fp_{k}),6) p, round(tp_{k}/(tp_{k}+fn_{k}),6) r, round((tp_{k}+fp_{k})/notes,2) codes_per_note from s" for k in CELLS)))
 def capacity(spark, d):
-    one = lambda r: counts(spark, d, r).withColumn("run", F.lit(r))
-    c = one("a").unionByName(one("b")).groupBy("run", (F.col("note") % 3).alias("capacity"))
-    return c.agg(F.count("*").alias("notes"), F.round(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 6).alias("f1"))
+    c = cells(spark, d)
+    sums = c.agg(F.count("*").alias("notes"), *[F.sum(x).alias(x) for x in c.columns if x != "note"])
+    col = lambda x, k: F.col(f"{x}_{k}")
+    each = [F.struct(F.lit(k).alias("cell"), F.round(st.f1_of(k), 6).alias("f1"), F.round(safe_ratio(col("tp", k), col("tp", k) + col("fp", k)), 6).alias("p"), F.round(safe_ratio(col("tp", k), col("tp", k) + col("fn", k)), 6).alias("r"), F.round((col("tp", k) + col("fp", k)) / F.col("notes"), 2).alias("codes_per_note")) for k in CELLS]
+    return sums.select("notes", F.explode(F.array(*each)).alias("x")).select("x.cell", "notes", "x.f1", "x.p", "x.r", "x.codes_per_note")
+
+
+STEPS = [("3", "7"), ("7", "14"), ("3", "14")]
+
+
+@query("st_capacity_curve_full")
+def capacity_full(spark, d, reps=FULL):
+    """Simple effects of context and capacity with intervals, and the interaction of each capacity step with its test."""
+    effect = lambda hi, lo: st.f1_of(hi) - st.f1_of(lo)
+    stats = {f"context_at_{k}": effect(f"{k}_note", f"{k}_none") for k in ("3", "7", "14")}
+    stats |= {f"capacity_{a}_to_{b}_{c}": effect(f"{b}_{c}", f"{a}_{c}") for a, b in STEPS for c in ("note", "none")}
+    stats |= {f"interaction_{a}_to_{b}": did(a, b)[2] for a, b in STEPS}
+    return st.contrasts(cells(spark, d), stats, reps, 42, {f"interaction_{a}_to_{b}": did(a, b)[3] for a, b in STEPS})
+
+
+@query("st_paired_report_full")
+def paired_report(spark, d, reps=FULL):
+    """Differences b - a of F1 and of the discriminative lift on the shared notes."""
+    rows = pairs(spark, d, "tp", "fp", "fn", "sg", "st", "ug", "ut")
+    return st.contrasts(rows, {"delta_micro_f1": st.f1_of("b") - st.f1_of("a"), "delta_lift": st.lift_of("b") - st.lift_of("a")}, reps, 42, {"delta_micro_f1": [st.sides("a", "b")]})
 
 
-@query("st_ratio_bootstrap", with_("counts_a counts_b", f"""with pr as (select note, a.sg sg_a, a.st st_a, b.sg sg_b, b.st st_b, row_number() over (order by note)-1 pos from counts_a a join counts_b b using (note)), n as (select count(*) n from pr),
- draws as (select r rep, ('0x'||substr(md5('7:boot:'||r||':'||i),1,8))::bigint % n pos from n, range({REPS}) t(r), range(200000) u(i) where i < n), reps as (select rep, round(sum(sg_a)/sum(st_a)-sum(sg_b)/sum(st_b),9) d from draws join pr using (pos) group by rep),
- o as (select round(sum(sg_a)/sum(st_a)-sum(sg_b)/sum(st_b),9) o from pr)
+@query("st_ratio_bootstrap", with_("counts_a counts_b", f"""with pr as (select note, a.sg sg_a, a.st st_a, b.sg sg_b, b.st st_b from counts_a a join counts_b b using (note)),
+ reps as (select rep, round(sum(w*sg_a)/sum(w*st_a)-sum(w*sg_b)/sum(w*st_b),9) d from {_W.format(seed=7, t="pr", reps=REPS)} group by rep), o as (select round(sum(sg_a)/sum(st_a)-sum(sg_b)/sum(st_b),9) o from pr)
  select max(o) observed, round((count(*) filter (abs(d-o)>=abs(o))+1)/(count(*)+1),6) centred_p from reps, o"""))
-def ratio_bootstrap(spark, d, reps=REPS):
-    cols = ["note", "sg", "st"]
-    n = st.number(st.paired(counts(spark, d, "a").select(*cols), counts(spark, d, "b").select(*cols)), "note").persist()
+def ratio_bootstrap(spark, d):
+    return _centred(pairs(spark, d, "sg", "st"), lambda rows, stats: st.bootstrap(rows, REPS, 7, stats))
+
+
+def _centred(rows, draw):
     diff = F.round(safe_ratio(F.col("sg_a"), F.col("st_a")) - safe_ratio(F.col("sg_b"), F.col("st_b")), 9)
-    drawn = st.bootstrap(n, reps, 7, {"d": diff})
-    seen = n.agg(*[F.sum(c).alias(c) for c in ("sg_a", "st_a", "sg_b", "st_b")]).select(diff.alias("observed"))
+    seen = rows.agg(*[F.sum(c).alias(c) for c in ("sg_a", "st_a", "sg_b", "st_b")]).select(diff.alias("observed"))
+    drawn = draw(rows, {"d": diff})
     return drawn.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs(F.col("d") - F.col("observed")) >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("centred_p"))
 
 
 @query("st_metric_bootstrap", with_("counts_a counts_b", f"with {_BOOT} select round(avg(d),8) mean, round(stddev_pop(d),8) std, round(quantile_cont(d,0.025),8) lo, round(quantile_cont(d,0.975),8) hi from reps"))
-def metric_bootstrap(spark, d, reps=REPS):
-    r = st.bootstrap(numbered(spark, d), reps, 42, {"d": st.delta_f1()})
+def metric_bootstrap(spark, d):
+    return _spread(st.bootstrap(pairs(spark, d), REPS, 42, {"d": st.delta_f1()}))
+
+
+def _spread(r):
     return r.agg(F.round(F.avg("d"), 8).alias("mean"), F.round(F.stddev_pop("d"), 8).alias("std"), F.round(F.percentile("d", F.lit(0.025)), 8).alias("lo"), F.round(F.percentile("d", F.lit(0.975)), 8).alias("hi"))
 
 
@@ -102,13 +154,30 @@ def floor_grid(spark, d):
     return st.floor_scores(g.where("split = 'train'"), g.where("split = 'validation'"), GRID)
 
 
-@query("st_floor_contrast", with_("gold counts_a", """with top as (select code from gold group by code order by count(*) desc, code limit 8), g as (select note, count(*) g, count(*) filter (code in (from top)) h from gold group by note)
- select round(2*sum(h)/(2*sum(h)+sum(8-h)+sum(g-h)),6) floor_f1, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),6) run_f1, count(*) notes from g join counts_a using (note)"""))
+def _floor_pair(spark, d):
+    """Counts of the floor (K chosen on validation) and of run a on each test note."""
+    g = fx.gold(spark, d).withColumn("split", fx.split_of(F.col("subject")))
+    part = lambda s: g.where(F.col("split") == s)
+    k = st.best(st.floor_scores(part("train"), part("validation"), GRID), "f1", F.col("k")).select("k")
+    top = st.top_labels(part("train")).crossJoin(F.broadcast(k)).where("pos < k").select("code", F.lit(1).alias("hit"))
+    used = top.agg(F.count("*").alias("used"))
+    n = part("test").join(F.broadcast(top), "code", "left").groupBy("note").agg(F.count("*").alias("g"), F.count("hit").alias("h")).crossJoin(F.broadcast(used))
+    floor = n.select("note", F.col("h").alias("tp_b"), (F.col("used") - F.col("h")).alias("fp_b"), (F.col("g") - F.col("h")).alias("fn_b"))
+    return counts(spark, d).select("note", F.col("tp").alias("tp_a"), F.col("fp").alias("fp_a"), F.col("fn").alias("fn_a")).join(floor, "note")
+
+
+@query("st_floor_contrast", with_("gold splits counts_a", f"""with {_FLOOR}, bk as (select k from f where split='validation' order by f1 desc, k limit 1), fl as (select code from top, bk where pos<k),
+ n as (select note, count(*) g, count(*) filter (code in (from fl)) h from g where split='test' group by note)
+ select round(2*sum(h)/(2*sum(h)+sum((select count(*) from fl)-h)+sum(g-h)),6) floor_f1, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),6) run_f1, count(*) notes from n join counts_a using (note)"""))
 def floor_contrast(spark, d):
-    g = fx.gold(spark, d)
-    top = st.top_labels(g).where("pos < 8").select("code", F.lit(1).alias("hit"))
-    n = g.join(F.broadcast(top), "code", "left").groupBy("note").agg(F.count("*").alias("g"), F.count("hit").alias("h")).join(counts(spark, d), "note")
-    return n.agg(F.round(f1(F.sum("h"), F.sum(8 - F.col("h")), F.sum(F.col("g") - F.col("h"))), 6).alias("floor_f1"), F.round(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 6).alias("run_f1"), F.count("*").alias("notes"))
+    p = _floor_pair(spark, d)
+    return p.agg(F.count("*").alias("notes"), *[F.sum(c).alias(c) for c in p.columns if c != "note"]).select(F.round(st.f1_of("b"), 6).alias("floor_f1"), F.round(st.f1_of("a"), 6).alias("run_f1"), "notes")
+
+
+@query("st_floor_contrast_full")
+def floor_contrast_full(spark, d, reps=FULL):
+    """The floor's lead over run a on test notes, with interval and test."""
+    return st.contrasts(_floor_pair(spark, d), {"delta_micro_f1": st.f1_of("b") - st.f1_of("a")}, reps, 42, {"delta_micro_f1": [st.sides("a", "b")]})
 
 
 @query("st_oracle_random_null", with_("facts_b counts_a", """with p as (select f.*, tp+fp budget, row_number() over (partition by f.note order by in_gold desc, f."rank") o, row_number() over (partition by f.note order by ('0x'||substr(md5('42:null:'||f.note||':'||code),1,8))::bigint, code) r from facts_b f join counts_a a using (note) where in_pred), g as (select note, count(*) g from facts_b where in_gold group by note),
@@ -193,23 +262,26 @@ def label_thresholds(spark, d):
 
 
 @query("st_bootstrap_delta_full")
-def bootstrap_delta_full(spark, d):
-    return bootstrap_delta(spark, d, FULL)
+def bootstrap_delta_full(spark, d, reps=FULL):
+    return st.interval(st.resample(pairs(spark, d), reps, 42).select("rep", st.delta_f1().alias("d")), "d")
 
 
 @query("st_randomization_full")
-def randomization_full(spark, d):
-    return randomization(spark, d, FULL)
+def randomization_full(spark, d, reps=FULL):
+    rows = pairs(spark, d)
+    seen = rows.agg(*[F.sum(c).alias(c) for c in rows.columns if c != "note"]).select(st.delta_f1().alias("observed"))
+    drawn = st.resample(rows, reps, 42, [st.sides("a", "b")]).select(st.delta_f1().alias("v")).crossJoin(F.broadcast(seen))
+    return drawn.agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs("v") >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
 @query("st_ratio_bootstrap_full")
-def ratio_bootstrap_full(spark, d):
-    return ratio_bootstrap(spark, d, FULL)
+def ratio_bootstrap_full(spark, d, reps=FULL):
+    return _centred(pairs(spark, d, "sg", "st"), lambda rows, stats: st.resample(rows, reps, 7).select("rep", *[v.alias(k) for k, v in stats.items()]))
 
 
 @query("st_metric_bootstrap_full")
-def metric_bootstrap_full(spark, d):
-    return metric_bootstrap(spark, d, FULL_METRIC)
+def metric_bootstrap_full(spark, d, reps=FULL_METRIC):
+    return _spread(st.resample(pairs(spark, d), reps, 42).select("rep", st.delta_f1().alias("d")))
 
 
 @query("ml_label_thresholds_full")
