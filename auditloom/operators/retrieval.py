@@ -57,8 +57,9 @@ def normalised(table: DataFrame, vec: str = "embedding") -> DataFrame:
 def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query, doc, score) of every query with every document. ``queries``: (query, q); ``docs``: (doc, v); both normalised. A query set of checked size."""
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    few = queries.limit(10_001).count() <= 10_000
-    return docs.join(F.broadcast(queries) if few else queries).select("query", "doc", F.round(dot, 5).alias("score"))
+    if queries.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 queries: use dense_top_k, which works in blocks")
+    return docs.join(F.broadcast(queries)).select("query", "doc", F.round(dot, 5).alias("score"))
 
 
 def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", queries: int = 2048, docs: int = 8192) -> DataFrame:
@@ -125,7 +126,9 @@ def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embed
 
 def universe(queries: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores for every query and document, 0 where there was no hit: for small universes such as a label base."""
-    u = queries.select("query").join(F.broadcast(docs.select("doc"))) if docs.limit(100_001).count() <= 100_000 else queries.select("query").join(docs.select("doc"))
+    if docs.limit(100_001).count() > 100_000:
+        raise ValueError("more than 100,000 documents: use best_of_all, which makes no rows for documents without a hit")
+    u = queries.select("query").join(F.broadcast(docs.select("doc")))
     return u.join(scores, ["query", "doc"], "left").select("query", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -136,14 +139,63 @@ def min_max(scores: DataFrame, by: list[str] = ("query",)) -> DataFrame:  # noqa
     return scores.withColumn("mm", F.round(F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0), 6))
 
 
-def hybrid(lexical: DataFrame, dense: DataFrame, alpha: float) -> DataFrame:
-    """alpha * lexical + (1 - alpha) * dense after min-max over all documents; alpha 0 or 1 leaves the other side out of the plan."""
-    if alpha == 1.0:
-        return min_max(lexical).select("query", "doc", F.col("mm").alias("score"))
-    if alpha == 0.0:
-        return min_max(dense).select("query", "doc", F.col("mm").alias("score"))
-    a, b = min_max(lexical).select("query", "doc", F.col("mm").alias("x")), min_max(dense).select("query", "doc", F.col("mm").alias("y"))
-    return a.join(b, ["query", "doc"]).select("query", "doc", F.round(alpha * F.col("x") + (1 - alpha) * F.col("y"), 6).alias("score"))
+def min_max_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """``mm`` of the hits as over all documents: where a query misses some, the minimum is 0; documents without a hit have 0 and no row."""
+    n = docs.agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("query")
+    hi, lo = F.max("score").over(w), F.when(F.count("*").over(w) < F.col("_n"), F.lit(0.0)).otherwise(F.min("score").over(w))
+    return hits.crossJoin(F.broadcast(n)).withColumn("mm", F.round(F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0), 6)).drop("_n")
+
+
+def best_of_all(queries: DataFrame, docs: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The k best of all documents for each query, where documents without a hit score 0, ties by document.
+
+    Rows of score 0 are only made for queries with fewer than k hits, and for those of the first 2k documents, among which they have k at least.
+    """
+    few = queries.select("query").distinct().join(hits.groupBy("query").agg(F.count("*").alias("_h")), "query", "left").where(F.coalesce("_h", F.lit(0)) < k).select("query")
+    zero = few.crossJoin(F.broadcast(docs.select("doc").orderBy("doc").limit(2 * k))).join(hits.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(hits.select("query", "doc", "score").unionByName(zero), k)
+
+
+def bm25_of_distinct(queries: DataFrame, docs: DataFrame, **options) -> DataFrame:
+    """``bm25`` that scores equal query texts once and gives each query the scores of its text."""
+    q = queries.select("query", F.xxhash64("text").alias("_t"), "text")
+    once = q.groupBy("_t", "text").agg(F.min("query").alias("_first"))
+    scores = bm25(once.select(F.col("_first").alias("query"), "text"), docs, **options).withColumnRenamed("query", "_first")
+    return q.join(once, ["_t", "text"]).select("query", "_first").join(scores, "_first").drop("_first")
+
+
+def encode_with(table: DataFrame, encoder, text: str = "text", vec: str = "embedding", batch: int = 64) -> DataFrame:
+    """The slot for an encoder: ``encoder`` maps at most ``batch`` texts to as many vectors; null texts are encoded as empty ones."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            texts = b[text].fillna("").tolist()
+            made = [list(map(float, v)) for at in range(0, len(texts), batch) for v in encoder(texts[at : at + batch])]
+            yield b.assign(**{vec: pd.Series(made, index=b.index, dtype=object)})
+
+    rest = table.drop(vec)
+    return rest.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in rest.dtypes), f"`{vec}` array<double>"]))
+
+
+def hybrid(lexical: DataFrame | None, dense: DataFrame | None, alpha: float) -> DataFrame:
+    """(query, doc, score, skipped_dense): alpha * lexical + (1 - alpha) * dense after min-max over all documents that both sides have.
+
+    alpha 0 or 1 leaves the other side out of the plan; a side that is None is replaced by the other one. ``skipped_dense`` tells
+    that the dense side took no part. Without the side that alpha asks for alone, or without both, it is an error.
+    """
+    if (alpha == 1.0 and lexical is None) or (alpha == 0.0 and dense is None) or (lexical is None and dense is None):
+        raise ValueError("no index for this search")
+    one = lambda side, skipped: min_max(side).select("query", "doc", F.col("mm").alias("score"), F.lit(skipped).alias("skipped_dense"))
+    if alpha == 1.0 or dense is None:
+        return one(lexical, True)
+    if alpha == 0.0 or lexical is None:
+        return one(dense, False)
+    both = lexical.select("query", "doc", F.col("score").alias("x")).join(dense.select("query", "doc", F.col("score").alias("y")), ["query", "doc"])
+    w = Window.partitionBy("query")
+    norm = lambda c: F.round(F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.0), 6)
+    return both.withColumn("a", norm("x")).withColumn("b", norm("y")).select("query", "doc", F.round(alpha * F.col("a") + (1 - alpha) * F.col("b"), 6).alias("score"), F.lit(False).alias("skipped_dense"))
 
 
 def top_k(scores: DataFrame, k: int, by: list[str] = ("query",), mask: DataFrame | None = None, doc: str = "doc") -> DataFrame:  # noqa: B006

@@ -15,12 +15,31 @@ ITEM = "array<struct<code:string,supported:string,confidence:string,q:string,r:s
 FLAGS = ["none", "weak_evidence", "ambiguous", "unsupported", "similar_code"]  # fixed values
 
 
+def _stages(text: Column) -> Column:
+    """struct(stage, items) of the first parser stage that reads the answer (its fenced block, where it has one): the whole as a list or an object, the outermost list, the outermost object. Null where none does."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)```", 1)
+    body = F.regexp_replace(F.when(fenced != "", fenced).otherwise(text), r"^\s+|\s+$", "")
+    valid = lambda t: F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1  # one value and nothing behind it
+    many = lambda t: F.when(t.startswith("[") & valid(t), F.from_json(t, ITEM))
+    one = lambda t: F.when(t.startswith("{") & valid(t), F.array(F.from_json(t, ITEM.removeprefix("array<").removesuffix(">"))))
+    cut = lambda open_, close: F.regexp_extract(body, rf"(?s)(\{open_}.*\{close})", 1)
+    tries = [("whole", many(body)), ("whole", one(body)), ("list", many(cut("[", "]"))), ("object", one(cut("{", "}")))]
+    return F.coalesce(*(F.when(x.isNotNull(), F.struct(F.lit(k).alias("stage"), x.alias("items"))) for k, x in tries))
+
+
 def parse_items(text: Column) -> Column:
-    """The items of a scorer's answer: fenced block, then the whole, then the outermost list; null where none parses."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    listed = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    good = lambda t: F.when(t.rlike(r"(?s)^\s*\[.*\]\s*$"), F.from_json(t, ITEM))
-    return F.coalesce(good(fenced), good(text), good(listed))
+    """The items of a scorer's answer; null where no parser stage reads it."""
+    return _stages(text)["items"]
+
+
+def parse_answers(answers: DataFrame, text: str) -> DataFrame:
+    """The rows with ``stage`` and ``items``; only what no native stage reads is searched for complete objects (``salvage``). Without any: stage none and no items."""
+    x = answers.withColumn("_x", _stages(F.col(text)))
+    read = x.where("_x is not null").select(*answers.columns, "_x.stage", "_x.items")
+    rest = x.where("_x is null").drop("_x").withColumn("_o", salvage(text))
+    fields = [f.split(":")[0] for f in ITEM.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    items = F.transform("_o", lambda o: F.struct(*(o[f].alias(f) for f in fields)))
+    return read.unionByName(rest.select(*answers.columns, F.when(F.size("_o") > 0, "salvage").otherwise("none").alias("stage"), items.alias("items")))
 
 
 def salvage_objects(text: str) -> list[dict]:
@@ -85,7 +104,7 @@ def keep_threshold(pred: DataFrame, least: float, min_final: int, by: str = "not
 
 
 def constrain(pred: DataFrame, least: float, mode: str = "filter", score: str = "confidence") -> DataFrame:
-    """Weak or unsupported codes are dropped (``filter``) or marked unsupported with a risk flag (``flag``)."""
+    """``score`` is the column of the evidence score. Weak or unsupported codes are dropped (``filter``) or marked unsupported with a risk flag (``flag``)."""
     weak = F.coalesce(F.col(score) < least, F.lit(False))
     bad = weak | ~F.coalesce("supported", F.lit(False))
     if mode == "filter":
@@ -143,10 +162,20 @@ def score_with(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], sc
 
 
 def assemble(pred: DataFrame) -> DataFrame:
-    """(note, codes, confidence, risk_flags): codes in rank order, the highest confidence, the sorted distinct flags."""
+    """(note, codes, confidence, risk_flags, rationale): codes in rank order, the highest confidence, the sorted distinct flags, the first rationale that isn't blank ('' where there is none)."""
+    said = F.coalesce(F.col("rationale"), F.lit("")) if "rationale" in pred.columns else F.lit("")
     return pred.groupBy("note").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("codes"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.when(F.col("risk_flag") != "none", F.col("risk_flag")))).alias("risk_flags")
-    )
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("codes"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.when(F.col("risk_flag") != "none", F.col("risk_flag")))).alias("risk_flags"),
+        F.coalesce(F.min_by(said, F.when(F.trim(said) != "", F.col("rank"))), F.lit("")).alias("rationale"),
+    )
+
+
+def zero_shot(answers: DataFrame, text: str, labels: DataFrame | None = None, confidence: float = 0.8) -> DataFrame:
+    """(note, code, confidence, supported, rank): a model's list of codes as predictions of constant confidence, each code once in the order of its first mention; with ``labels`` (code) only those of the closed set."""
+    codes = answers.select("note", F.posexplode(verifier_codes(F.col(text))).alias("pos", "code")).groupBy("note", "code").agg(F.min("pos").alias("pos"))
+    if labels is not None:
+        codes = codes.join(labels.select("code").distinct(), "code", "left_semi")
+    return codes.select("note", "code", F.lit(confidence).alias("confidence"), F.lit(True).alias("supported"), F.row_number().over(Window.partitionBy("note").orderBy("pos")).alias("rank"))
 
 
 def verifier_codes(text: Column) -> Column:

@@ -13,9 +13,12 @@ from ..operators import scoring as sc
 def retrieval_only(notes: DataFrame, base: DataFrame, k: int = 15, mask: DataFrame | None = None) -> DataFrame:
     """(note, code, confidence, rank): the k best labels of each note by BM25. ``notes``: (note, text); ``base``: (code, text)."""
     q, b = notes.select(F.col("note").alias("query"), "text"), base.select(F.col("code").alias("doc"), "text")
-    m = None if mask is None else mask.select(F.col("code").alias("doc"))
-    t = rt.top_k(rt.min_max(rt.universe(q, b, rt.bm25(q, b))), k, mask=m)
-    return t.select(F.col("query").alias("note"), F.col("doc").alias("code"), F.col("mm").alias("confidence"), "rank")
+    hits = rt.min_max_hits(rt.bm25_of_distinct(q, b), b).select("query", "doc", F.col("mm").alias("score"))
+    if mask is not None:
+        m = mask.select(F.col("code").alias("doc")).distinct()
+        b, hits = b.join(m, "doc", "left_semi"), hits.join(m, "doc", "left_semi")
+    t = rt.best_of_all(q, b, hits, k)
+    return t.select(F.col("query").alias("note"), F.col("doc").alias("code"), F.col("score").alias("confidence"), "rank")
 
 
 def evidence(notes: DataFrame, candidates: DataFrame, base: DataFrame, k: int = 2, size: int = 256, overlap: int = 32) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..operators import evaluation as ev
-from ..operators import learners, scoring
+from ..operators import learners, reports, scoring
 from ..sources import fixtures as fx
 from ..sources import readers
 from ..sources.fixtures import with_
@@ -26,12 +26,19 @@ def records(spark, d):
 
 @query("src_last_success", f"with {_REC} select gsi global_sample_index, arg_max(v, o) v from rec where status='success' and gsi is not null group by gsi")
 def last_success(spark, d):
-    return readers.latest_success(records(spark, d), F.col("o")).select("global_sample_index", "v")
+    return readers.latest_success(records(spark, d), "o").select("global_sample_index", "v")
 
 
-@query("src_fallback_index", f"with {_REC}, f as (select o, v, coalesce(gsi, row_number() over (partition by gsi is null order by o)-1) g from rec where status='success') select g global_sample_index, arg_max(v, o) v from f group by g")
+@query("src_fallback_index", f"""with recursive {_REC}, ok as (select * from rec where status='success'), f as (select v, gsi k, min(o) first_o from ok where gsi is not null group by 1, 2),
+ n as (select v, o, row_number() over (partition by v order by o) i from ok where gsi is null), rc as (select n.v, n.o, n.i, count(f.k) r from n left join f on f.v=n.v and f.first_o<n.o group by all),
+ w as (select v, 0::bigint i, null::bigint g, []::struct(k bigint, fo bigint)[] fb from (select distinct v from n)
+  union all select x.v, x.i, x.g, case when list_contains(list_transform(x.fb, lambda e: e.k), x.g) then x.fb else list_append(x.fb, {{'k': x.g, 'fo': coalesce(f.first_o, 9223372036854775807)}}) end
+  from (select w.v, rc.i, (rc.r + len(list_filter(w.fb, lambda e: e.fo > rc.o)))::bigint g, w.fb from w join rc on rc.v=w.v and rc.i=w.i+1) x left join f on f.v=x.v and f.k=x.g),
+ al as (select v, gsi g, o from ok where gsi is not null union all select w.v, w.g, n.o from w join n on n.v=w.v and n.i=w.i)
+ select v run, g global_sample_index, max(o) o from al group by 1, 2""")
 def fallback_index(spark, d):
-    return readers.latest_success(records(spark, d), F.col("o"), fallback=True).select("global_sample_index", "v")
+    """Runs by event type."""
+    return readers.latest_success(records(spark, d), "o", fallback=True, run="v").select(F.col("v").alias("run"), "global_sample_index", "o")
 
 
 @query("src_shard_merge", f"with {_REC}, a as (select distinct gsi from rec where o%2=0 and gsi is not null), b as (select distinct gsi from rec where gsi is not null) select gsi global_sample_index from b where (select count(*) from b) >= (select count(*) from a)")
@@ -134,7 +141,9 @@ def verifier(spark, d):
     return g.select("note", F.concat(F.lit("["), F.array_join(codes, ", "), F.lit("]")).alias("codes"), "n")
 
 
-@query("rg_text_scan", "select doc_id % 10 shard, count(*) filter (regexp_matches(text, '(?i)\\b(idiot|moron|scum)\\b')) hits, count(*) filter (regexp_matches(text, '[0-9]{4,}')) with_numbers from documents group by 1")
+@query("rg_text_scan", r"""with p(name, pattern) as (values ('insult', '(?i)\b(idiot|moron|scum)\b'), ('long_number', '[0-9]{4,}'), ('placeholder', '(?i)\b(todo|tbd|xxx)\b'))
+ select name, count(*) filter (regexp_matches(text, pattern)) documents, coalesce(sum(len(regexp_extract_all(text, pattern))), 0)::bigint hits, min(doc_id) filter (regexp_matches(text, pattern)) first_id from documents, p group by name""")
 def text_scan(spark, d):
-    t = F.col("text")
-    return fx.table(spark, d, "documents").groupBy((F.col("doc_id") % 10).alias("shard")).agg(F.count_if(t.rlike(r"(?i)\b(idiot|moron|scum)\b")).alias("hits"), F.count_if(t.rlike("[0-9]{4,}")).alias("with_numbers"))
+    """Documents and hits of each pattern of a table of patterns."""
+    patterns = spark.createDataFrame([("insult", r"(?i)\b(idiot|moron|scum)\b"), ("long_number", "[0-9]{4,}"), ("placeholder", r"(?i)\b(todo|tbd|xxx)\b")], "name string, pattern string")
+    return reports.scan(fx.table(spark, d, "documents").select("doc_id", "text"), patterns)

@@ -35,13 +35,14 @@ def bm25_stats(spark, d):
 @query("ret_bm25_topk", f"with {_ALL} select query, doc, score, (row_number() over (partition by query order by score desc, doc))::int \"rank\" from al qualify \"rank\" <= 5")
 def bm25_topk(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    return rt.top_k(rt.universe(q, b, rt.bm25(q, b)), 5)
+    return rt.best_of_all(q, b, rt.bm25(q, b), 5)
 
 
 @query("ret_bm25_masked", f"with {_ALL} select query, doc, score, (row_number() over (partition by query order by score desc, doc))::int \"rank\" from al where doc % 3 = 0 qualify \"rank\" <= 3")
 def bm25_masked(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    return rt.top_k(rt.universe(q, b, rt.bm25(q, b)), 3, mask=b.where("doc % 3 = 0"))
+    m = b.where("doc % 3 = 0")
+    return rt.best_of_all(q, m, rt.bm25(q, b).where("doc % 3 = 0"), 3)
 
 
 @query("ret_minmax", f"with {_ALL}, {_MM.format('al')} select query, doc, mm from mm")
@@ -70,7 +71,7 @@ def hybrid_topk(spark, d):
     """Benchmark items as the label base of both sides; the vector of the same number stands for a text's embedding."""
     q, b = notes(spark, d).where("query < 20"), base(spark, d).where("doc < 40")
     lex = rt.universe(q, b, rt.bm25(q, base(spark, d))).where("doc < 40")
-    return rt.top_k(rt.hybrid(lex, dense(spark, d).where("doc < 40"), 0.6), 5)
+    return rt.top_k(rt.hybrid(lex, dense(spark, d).where("doc < 40"), 0.6).drop("skipped_dense"), 5)
 
 
 @query("ret_dense_topk_all")
@@ -86,7 +87,7 @@ def hybrid_topk_all(spark, d):
     labels = v.join(b.select(F.col("doc").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     asked = v.join(q.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
     near = rt.cosine(labels, asked).select(F.col("doc").alias("query"), F.col("query").alias("doc"), "score")  # cosine is symmetric; the label base is the small side
-    return rt.top_k(rt.hybrid(rt.universe(q, b, rt.bm25(q, b)), near, 0.6), 5)
+    return rt.top_k(rt.hybrid(rt.universe(q, b, rt.bm25(q, b)), near, 0.6).drop("skipped_dense"), 5)
 
 
 _CH = f"""w as (select doc_id, list_filter(string_split_regex(coalesce(text,''), '[ \\n\\t\\r\\f\\x0B]+'), lambda x: x <> '') t from documents), ch as (select doc_id note, i::int chunk, array_to_string(t[i*224+1:i*224+256], ' ') text from w, range(100000) r(i) where len(t) > 0 and i < greatest(1, ceil((len(t)-32)/224)))"""
@@ -124,7 +125,7 @@ def note_local_all(spark, d):
 @query("ret_leakage", f"with {_ALL}, t as (select query, doc, row_number() over (partition by query order by score desc, doc) r from al qualify r <= 2) select count(*) n, round(count(*) filter (query=doc)/count(*),6) own, round(count(*) filter (query<>doc)/count(*),6) cross_note, round(count(*) filter (query%7<>doc%7)/count(*),6) cross_subject from t")
 def leakage(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    t = rt.top_k(rt.universe(q, b, rt.bm25(q, b)), 2)
+    t = rt.best_of_all(q, b, rt.bm25_of_distinct(q, b), 2)
     return rt.leakage(t.select(F.col("query").alias("note"), (F.col("query") % 7).alias("subject"), F.col("doc").alias("from_note"), (F.col("doc") % 7).alias("from_subject")))
 
 
@@ -144,9 +145,10 @@ def squash_all(spark, d):
 
 
 _W = "('0x'||substr(h,{0}+7,2)||substr(h,{0}+5,2)||substr(h,{0}+3,2)||substr(h,{0}+1,2))::bigint % 10007 / 10007.0::double"
+_E = ", ".join("round((" + _W.format(str(8 * i)) + "),9)" for i in range(8))
 
 
-@query("ret_hash_embedding", "with s as (select item_id, sha256(text) h from benchmark) select item_id, " + ", ".join(f"round(({_W.format('0' if i == 0 else str(8 * i))}),9) e{i}" for i in range(3)) + " from s")
+@query("ret_hash_embedding", f"with s as (select item_id, sha256(text) h from benchmark), e as (select item_id, [{_E}] e from s) select item_id, list_concat(e,e,e,e,e,e,e,e) embedding from e")
 def embedding(spark, d):
     e = fx.table(spark, d, "benchmark").select("item_id", rt.hash_embedding(F.col("text")).alias("e"))
-    return e.select("item_id", *[F.round(F.col("e")[i], 9).alias(f"e{i}") for i in range(3)])
+    return e.select("item_id", F.transform("e", lambda x: F.round(x, 9)).alias("embedding"))

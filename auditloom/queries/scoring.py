@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import share_of, u32, words_longer_than
+from ..operators import reports
 from ..operators import scoring as sc
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_
@@ -29,7 +30,7 @@ def items(spark, d):
     return answers(spark, d).select("note", F.posexplode(sc.parse_items(F.col("j"))).alias("pos", "raw")).select("note", "pos", sc.coerce(F.col("raw")).alias("item"))
 
 
-_ITEMS = _JS + """, whole as (select note, case note%5 when 0 then j when 1 then regexp_extract(j, '(?s)```(?:json)?\\s*(.*?)```', 1) when 2 then regexp_extract(j, '(?s)(\\[.*\\])', 1) end k from js),
+_ITEMS = _JS + """, whole as (select note, case note%5 when 0 then j when 1 then regexp_extract(j, '(?s)```(?:json)?\\s*(.*?)```', 1) when 2 then regexp_extract(j, '(?s)(\\[.*\\])', 1) when 3 then case when json_valid(regexp_extract(j, '(?s)(\\{.*\\})', 1)) and contains(j, '}') then '[' || regexp_extract(j, '(?s)(\\{.*\\})', 1) || ']' end end k from js),
  it as (select note, i::int pos, json_extract(k, '$[' || i || ']') o from whole, range(64) r(i) where k is not null and i < json_array_length(k))"""
 
 
@@ -38,13 +39,20 @@ def json_scores(spark, d):
     return items(spark, d).select("note", "pos", "item.code", "item.supported", "item.confidence", "item.confidence_present", "item.evidence_quote")
 
 
-@query("txt_json_salvage")
+@query("txt_json_salvage", with_("pred_a", """select note, code, case when supported then 'true' else 'false' end supported from pred_a where note % 5 = 3 qualify "rank" < max("rank") over (partition by note)"""))
 def json_salvage(spark, d):
-    """Complete objects of the truncated answers; a stack machine, so no SQL form."""
+    """Complete objects of the truncated answers, a stack machine. The cut goes through the last object of each, so all but the last code of a note come back."""
     cut = answers(spark, d).where("note % 5 = 3")
     return cut.select("note", F.explode(sc.salvage("j")).alias("o")).select("note", F.col("o")["code"].alias("code"), F.col("o")["supported"].alias("supported"))
 
 
+@query("txt_json_stages", with_("pred_a", """select case note % 5 when 0 then 'whole' when 1 then 'whole' when 2 then 'list' when 3 then case n when 1 then 'none' when 2 then 'object' else 'salvage' end else 'none' end stage, count(*) answers, sum(case note % 5 when 3 then n - 1 when 4 then 0 else n end)::bigint items
+ from (select note, count(*) n from pred_a group by note) group by 1"""))
+def json_stages(spark, d):
+    """The parser stage that reads each answer, and how many items it finds."""
+    return sc.parse_answers(answers(spark, d), "j").groupBy("stage").agg(F.count("*").alias("answers"), F.sum(F.size("items")).cast("long").alias("items"))
+
+
 @query("txt_schema_coerce", with_("pred_a", f"with {_ITEMS} select count(*) items, count(*) filter (o->>'code' is not null and o->>'supported' is not null and try_cast(o->>'confidence' as double) is not null) valid, count(*) filter (try_cast(o->>'confidence' as double) is null) no_confidence from it"))
 def schema_coerce(spark, d):
     return items(spark, d).agg(F.count("*").alias("items"), F.count_if("item.schema_valid").alias("valid"), F.count_if(~F.col("item.confidence_present")).alias("no_confidence"))
@@ -69,14 +77,22 @@ def min_kept(spark, d):
     return sc.keep_threshold(fx.predictions(spark, d), 0.6, 2).select("note", "code", "rank")
 
 
-@query("scr_constraint_filter", with_("pred_a", "select note, code from pred_a where not coalesce(confidence<0.4,false) and coalesce(supported,false)"))
+def _scored(spark, d):
+    """Run a with an evidence score of its own for each code."""
+    return fx.predictions(spark, d).withColumn("evidence_score", (F.col("note") + 3 * F.col("rank")) % 10 / 10)
+
+
+_ES = "(select *, (note + 3*\"rank\") % 10 / 10.0::double es from pred_a)"
+
+
+@query("scr_constraint_filter", with_("pred_a", f"select note, code from {_ES} where es>=0.4 and coalesce(supported,false)"))
 def c_filter(spark, d):
-    return sc.constrain(fx.predictions(spark, d), 0.4).select("note", "code")
+    return sc.constrain(_scored(spark, d), 0.4, score="evidence_score").select("note", "code")
 
 
-@query("scr_constraint_flag", with_("pred_a", "select note, code, case when coalesce(confidence<0.4,false) or not coalesce(supported,false) then false else supported end supported, case when coalesce(confidence<0.4,false) then 'weak_evidence' when not coalesce(supported,false) then 'ambiguous' else 'none' end risk_flag from pred_a"))
+@query("scr_constraint_flag", with_("pred_a", f"select note, code, case when es<0.4 or not coalesce(supported,false) then false else supported end supported, case when es<0.4 then 'weak_evidence' when not coalesce(supported,false) then 'ambiguous' else 'none' end risk_flag from {_ES}"))
 def c_flag(spark, d):
-    return sc.constrain(fx.predictions(spark, d), 0.4, "flag").select("note", "code", "supported", "risk_flag")
+    return sc.constrain(_scored(spark, d), 0.4, "flag", score="evidence_score").select("note", "code", "supported", "risk_flag")
 
 
 _BORDER = "bl as (select note, family, code best, runner_up from (select note, substr(code,1,3) family, code, confidence, row_number() over w r, lead(code) over w runner_up, lead(confidence) over w c2 from pred_a window w as (partition by note, substr(code,1,3) order by confidence desc nulls last, code)) where r=1 and confidence is not null and c2 is not null and round(confidence-c2,9)<=0.2)"
@@ -125,11 +141,11 @@ def mock_all(spark, d):
     return n.crossJoin(F.broadcast(b)).select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))  # the label base
 
 
-@query("scr_assemble", with_("pred_a", "select note, string_agg(code, ',' order by \"rank\") codes, max(confidence) confidence, count(*) filter (coalesce(confidence<0.4,false) or not coalesce(supported,false)) flagged from pred_a group by note"))
+@query("scr_assemble", with_("pred_a", "select note, string_agg(code, ',' order by \"rank\") codes, max(confidence) confidence, count(*) filter (coalesce(confidence<0.4,false) or not coalesce(supported,false)) flagged, coalesce('because of ' || arg_min(code, \"rank\") filter (\"rank\" % 3 = 0), '') rationale from pred_a group by note"))
 def assemble(spark, d):
-    p = sc.constrain(fx.predictions(spark, d), 0.4, "flag")
+    p = sc.constrain(fx.predictions(spark, d), 0.4, "flag").withColumn("rationale", F.when(F.col("rank") % 3 == 0, F.concat(F.lit("because of "), "code")).otherwise(" "))
     n = p.groupBy("note").agg(F.count_if(F.col("risk_flag") != "none").alias("flagged"))
-    return sc.assemble(p).join(n, "note").select("note", F.array_join("codes", ",").alias("codes"), "confidence", "flagged")
+    return sc.assemble(p).join(n, "note").select("note", F.array_join("codes", ",").alias("codes"), "confidence", "flagged", "rationale")
 
 
 @query("rg_guard", with_("counts_a counts_b", "select run, n, f1, n < 1000 too_few, abs(f1-8/19.0::double) <= 1e-9 sentinel, case when n < 1000 or abs(f1-8/19.0::double) <= 1e-9 then 'reject' else 'pass' end verdict from (select 'a' run, count(*) n, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),9) f1 from counts_a union all select 'small', count(*), round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),9) from counts_b where note % 50 = 1)"))
@@ -143,23 +159,65 @@ def guard(spark, d):
     return t.select("run", "n", "f1", few.alias("too_few"), sentinel.alias("sentinel"), F.when(few | sentinel, "reject").otherwise("pass").alias("verdict"))
 
 
-@query("rg_schema_violations", with_("pred_a pred_c", """select 'confidence' field, count(*) filter (confidence is null) missing, count(*) n from pred_a union all select 'supported', count(*) filter (supported is null), count(*) from pred_c union all select 'code', count(*) filter (code is null or code = ''), count(*) from pred_a"""))
+_KEYS = {"subject_id": "note%10<>1", "hadm_id": "true", "experiment_id": "true", "seed": "note%10<>2", "gold_codes": "true", "runtime_sec": "note%10<>3", "config_hash": "note%10<>4"}
+_CODE_KEYS = {"code": "true", "confidence": "\"rank\"%5<>1", "supported": "true", "evidence_score": "true", "icd_description": "\"rank\"%5<>2", "rationale": "true", "risk_flag": "\"rank\"%5<>3"}
+
+
+def stored(spark, d):
+    """(run, json): run a as stored records of nine experiments, with keys left out of some."""
+    pair = lambda k, v, on: F.when(F.expr(on.replace('"', "`")), F.concat(F.lit(f'"{k}":'), v))
+    obj = lambda *p: F.concat(F.lit("{"), F.array_join(F.array(*p), ","), F.lit("}"))
+    p = fx.predictions(spark, d)
+    values = {"code": F.concat(F.lit('"'), "code", F.lit('"')), "confidence": F.coalesce(F.col("confidence").cast("string"), F.lit("null"))}
+    extra = pair("evidence_quote", F.when(F.col("rank") % 4 == 0, F.lit('""')).otherwise(F.lit('"q"')), "true")
+    contrast = [pair(k, F.lit("null"), "`rank` % 3 <> 1") for k in reports.CONTRASTIVE_FIELDS]
+    one = obj(*(pair(k, values.get(k, F.lit("null")), on) for k, on in _CODE_KEYS.items()), extra, *contrast)
+    g = p.groupBy("note").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("o")))), lambda x: x["o"]), ",").alias("codes"))
+    codes = F.when(F.col("note") % 10 == 5, F.lit('"none"')).otherwise(F.concat(F.lit("["), "codes", F.lit("]")))
+    run = F.concat(F.lit("E"), (F.col("note") % 9 + 9).cast("string"), F.lit("_seed42"))
+    return g.select(run.alias("run"), obj(*(pair(k, F.lit("1"), on) for k, on in _KEYS.items()), pair("predicted_codes", codes, "note % 10 <> 6")).alias("json"))
+
+
+def _violations_sql():
+    own = " union all ".join(f"select e, '{k}' field, not ({on}) bad from r" for k, on in _KEYS.items())
+    code = " union all ".join(f"select e, '{k}', not ({on}) from c" for k, on in _CODE_KEYS.items())
+    contrast = " union all ".join(f"select e, '{k}', \"rank\"%3=1 from c where e in ('E13','E14')" for k in reports.CONTRASTIVE_FIELDS)
+    return f"""with r as (select distinct note, 'E' || (note%9+9) e from pred_a), c as (select *, 'E' || (note%9+9) e from pred_a where note%10 not in (5,6)),
+ v as ({own} union all select e, 'predicted_codes', note%10=6 from r union all select e, 'predicted_codes is a list', note%10=5 from r union all {code} union all select e, 'evidence_preview/evidence_quote', "rank"%4=0 from c union all {contrast})
+ select e experiment, field, count(*) filter (bad) violations, count(*) checked from v group by 1, 2"""
+
+
+@query("rg_schema_violations", with_("pred_a", _violations_sql()))
 def violations(spark, d):
-    a, c = fx.predictions(spark, d), fx.predictions(spark, d, "c")
-    one = lambda f, df, bad: df.agg(F.count_if(bad).alias("missing"), F.count("*").alias("n")).withColumn("field", F.lit(f))
-    return one("confidence", a, F.col("confidence").isNull()).unionByName(one("supported", c, F.col("supported").isNull())).unionByName(one("code", a, F.col("code").isNull() | (F.col("code") == "")))
+    return reports.schema_violations(stored(spark, d))
+
+
+_CLAIMS = [("micro_f1", 0.6846, 4), ("micro_f1", 1.0, 0), ("codes_per_note", 9.99, 2), ("notes", 1500.0, 0), ("notes", 1.0, 0), ("absent", 1.0, 1)]
+_CLAIMED = ", ".join(f"('{m}', {v}::double, {k})" for m, v, k in _CLAIMS)
 
 
-@query("rg_number_check", with_("counts_a", """with m as (select 'micro_f1' metric, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),9) v from counts_a union all select 'codes_per_note', round(sum(tp+fp)/count(*),9) from counts_a union all select 'notes', count(*) from counts_a)
- select metric, stated, decimals, v is not null and (round(v, decimals) = stated or round_even(v, decimals) = stated) ok from (values ('micro_f1', 0.5::double, 0), ('codes_per_note', 9.99, 2), ('notes', 1.0, 0), ('absent', 1.0, 1)) c(metric, stated, decimals) left join m using (metric)"""))
+@query("rg_number_check", with_("counts_a", f"""with m as (select 'micro_f1' metric, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),9) v from counts_a union all select 'codes_per_note', round(sum(tp+fp)/count(*),9) from counts_a union all select 'notes', count(*) from counts_a)
+ select metric, stated, decimals, coalesce(abs(round(v*pow(10,decimals),0)/pow(10,decimals)-stated) < 0.1/pow(10,decimals) or abs(round_even(v*pow(10,decimals),0)/pow(10,decimals)-stated) < 0.1/pow(10,decimals), false) ok from (values {_CLAIMED}) c(metric, stated, decimals) left join m using (metric)"""))
 def number_check(spark, d):
-    """Stated numbers against metrics at the stated decimals, rounded half up or half even."""
+    """Stated numbers against metrics at the stated decimals, however many, rounded half up or half even."""
     c = counts(spark, d)
     tp, fp, fn, n = F.sum("tp"), F.sum("fp"), F.sum("fn"), F.count("*")
     m = c.agg(F.round(2 * tp / (2 * tp + fp + fn), 9).alias("micro_f1"), F.round((tp + fp) / n, 9).alias("codes_per_note"), n.cast("double").alias("notes")).unpivot([], ["micro_f1", "codes_per_note", "notes"], "metric", "v")
-    claims = spark.createDataFrame([("micro_f1", 0.5, 0), ("codes_per_note", 9.99, 2), ("notes", 1.0, 0), ("absent", 1.0, 1)], "metric string, stated double, decimals int")
-    at = lambda f: F.when(F.col("decimals") == 0, f("v", 0)).when(F.col("decimals") == 1, f("v", 1)).otherwise(f("v", 2))
-    return claims.join(m, "metric", "left").select("metric", "stated", "decimals", (F.col("v").isNotNull() & ((at(F.round) == F.col("stated")) | (at(F.bround) == F.col("stated")))).alias("ok"))
+    claims = spark.createDataFrame(_CLAIMS, "metric string, stated double, decimals int")
+    return claims.join(m, "metric", "left").select("metric", "stated", "decimals", reports.holds(F.col("v"), F.col("stated"), F.col("decimals")).alias("ok"))
+
+
+@query("rg_mean_std_table", with_("counts_a counts_b", """with v as (select 'a' run, note%3 seed, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),6) v from counts_a group by all union all select 'b', 0, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),6) from counts_b union all select 'c', 0, null)
+ select run, case when avg(v) is null then '—' when count(v)>1 then printf('%.4f ± %.4f', round(avg(v),6), round(stddev_samp(v),6)) else printf('%.4f', round(avg(v),6)) end cell from v group by run"""))
+def mean_std(spark, d):
+    """Runs of three seeds, of one, and without a value."""
+    from ..operators import evaluation as ev
+
+    a = counts(spark, d).groupBy((F.col("note") % 3).alias("seed")).agg(ev.micro(None)[2].alias("value")).select(F.lit("a").alias("run"), "value")
+    b = counts(spark, d, "b").agg(ev.micro(None)[2].alias("value")).select(F.lit("b").alias("run"), "value")
+    runs = spark.createDataFrame([("a",), ("b",), ("c",)], "run string")
+    stats = ev.seed_stats(a.unionByName(b).withColumn("metric", F.lit("micro_f1")))
+    return runs.join(stats, "run", "left").select("run", reports.cell(F.col("mean"), F.col("std"), F.col("n")).alias("cell"))
 
 
 @query("rg_pivot_table", with_("counts_a counts_b", "with c as (select 'a' run, * from counts_a union all select 'b', * from counts_b) select note % 5 grp, printf('%.4f', max(f) filter (run='a')) a, printf('%.4f', max(f) filter (run='b')) b from (select note % 5 note, run, round(2*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)),4) f from c group by all) group by note"))

@@ -70,16 +70,38 @@ def probe(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
     return json_lines(spark, path if there(path) else f"{path}.jsonl", schema)
 
 
-def latest_success(records: DataFrame, order: Column, index: str = "global_sample_index", fallback: bool = False) -> DataFrame:
-    """Successful records, the last of each index. ``fallback``: a missing index is replaced by the position in ``order``, else the record goes."""
+def with_fallback_index(records: DataFrame, order: str, index: str = "global_sample_index", run: str | None = None) -> DataFrame:
+    """The records with a missing index replaced by the number of distinct indices that the run has had so far, given or replaced.
+
+    Each index depends on all before it, so a run is read in its order by one task, row by row; it holds the run's distinct indices. Runs go to tasks of their own.
+    """
+    import pyarrow as pa
+
+    names, at, place = records.columns, records.columns.index(index), None if run is None else records.columns.index(run)
+
+    def number(batches):
+        now, seen = object(), set()
+        for b in batches:
+            runs = [None] * b.num_rows if place is None else b.column(place).to_pylist()
+            out = []
+            for r, i in zip(runs, b.column(at).to_pylist(), strict=True):
+                if r != now:
+                    now, seen = r, set()
+                i = len(seen) if i is None else i
+                seen.add(i)
+                out.append(i)
+            yield b.set_column(at, names[at], pa.array(out, b.schema.field(at).type))
+
+    dealt = records.coalesce(1).sortWithinPartitions(order) if run is None else records.repartition(run).sortWithinPartitions(run, order)
+    return dealt.mapInArrow(number, records.schema)
+
+
+def latest_success(records: DataFrame, order: str, index: str = "global_sample_index", fallback: bool = False, run: str | None = None) -> DataFrame:
+    """Successful records, the last of each index (of each run) by the column ``order``. ``fallback``: a missing index is replaced, see above, else the record goes."""
     ok = records.where(F.col("status") == "success")
-    if fallback:
-        ok = ok.withColumn("_o", order)
-        ok = ok.withColumn(index, F.coalesce(F.col(index), F.row_number().over(Window.partitionBy(F.col(index).isNull()).orderBy("_o")).cast("long") - 1))
-    else:
-        ok = ok.where(F.col(index).isNotNull()).withColumn("_o", order)
-    last = F.row_number().over(Window.partitionBy(index).orderBy(F.desc("_o")))
-    return ok.withColumn("_r", last).where("_r = 1").drop("_r", "_o")
+    ok = with_fallback_index(ok, order, index, run) if fallback else ok.where(F.col(index).isNotNull())
+    last = F.row_number().over(Window.partitionBy(*([run] if run else []), index).orderBy(F.desc(order)))
+    return ok.withColumn("_r", last).where("_r = 1").drop("_r")
 
 
 def merge_shards(sources: list[DataFrame], index: str = "global_sample_index") -> DataFrame:
