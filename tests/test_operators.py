@@ -1,13 +1,14 @@
 """Edge cases of the operators on a few literal rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import columns as fc
 from auditloom.operators import evaluation as ev
-from auditloom.operators import learners, retrieval, scoring, search
+from auditloom.operators import learners, reports, retrieval, scoring, search
 from auditloom.operators import statistics as st
 
 
@@ -63,14 +64,33 @@ def test_published_identities(spark):
 
 def test_at_k_skips_notes_without_gold_for_recall_only(spark):
     f = spark.createDataFrame([(1, "A", True, True, 1, True, 0.9), (1, "B", True, False, None, None, None), (2, "A", False, True, 1, None, 0.1)], FACTS)
-    r = ev.at_k(f, [1]).first()
-    assert (r.p_at_1, r.r_at_1) == (0.5, 0.5)
+    notes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "note long")  # the last two have neither gold nor predicted codes
+    r = ev.at_k(f, notes, [1]).first()
+    assert (r.p_at_1, r.r_at_1) == (0.25, 0.5)
+
+
+def test_notes_without_facts_count(spark):
+    f = spark.createDataFrame([(1, "A", True, True, 1, True, 0.9), (2, "A", False, True, 1, None, 0.1)], FACTS)
+    notes = spark.createDataFrame([(i,) for i in range(1, 5)], "note long")
+    r = ev.classification(f, notes, spark.createDataFrame([("A",), ("B",)], "code string")).first()
+    assert (r.notes, r.labels, r.hamming, r.exact_match, r.p_at_5, r.r_at_5, r.label_coverage) == (4, 2, 0.125, 0.75, 0.25, 1.0, 0.5)
+    none = ev.classification(f.where("false"), notes.where("false")).first().asDict()
+    assert none.pop("hamming") == 1.0 and not any(none.values())
 
 
 def test_reliability_has_nulls_for_empty_bases(spark):
     p = spark.createDataFrame([(1, "A", 0.5, None, 1)], "note long, code string, confidence double, supported boolean, rank int")
     r = ev.reliability(p).first()
-    assert r.judged == 0 and r.evidence_supported_rate is None and r.confidence_missing_rate == 0
+    assert r.evidence_judged_codes == 0 and r.evidence_support_rate is None and r.evidence_quote_verbatim_rate is None and r.confidence_missing_rate == 0
+    r = ev.reliability(p.where("false")).first()
+    assert r.total_predicted_codes == 0 and r.unsupported_code_rate is None and r.hallucination_flag_rate == r.llm_contrastive_rate == 0
+
+
+def test_reliability_prefers_stored_verdicts_and_skips_mocks(spark):
+    rows = [("A", "heart pain", "Heart  pain here", None, False), ("B", "zz", "heart", True, False), ("C", "heart", "heart", False, False), ("D", "heart", "heart", True, True), ("E", "", "heart", None, False)]
+    d = spark.createDataFrame(rows, "code string, evidence_quote string, evidence_preview string, evidence_quote_verbatim boolean, mock_llm boolean").selectExpr("*", "0.5 as confidence", "true as supported")
+    r = ev.reliability(d).first()
+    assert (r.evidence_quote_checked_codes, r.evidence_quote_verbatim_rate, r.evidence_quote_rate) == (3, 0.666667, 1.0)
 
 
 def test_lift_is_null_without_right_unsupported_codes(spark):
@@ -130,10 +150,108 @@ def test_number_is_dense(spark):
 
 
 def test_one_replicate(spark):
-    n = spark.createDataFrame([(1, 0, 1, 0, 0, 1, 0, 0)], "note long, pos long, tp_a long, fp_a long, fn_a long, tp_b long, fp_b long, fn_b long")
+    n = spark.createDataFrame([(1, 1, 0, 0, 1, 0, 0)], "note long, tp_a long, fp_a long, fn_a long, tp_b long, fp_b long, fn_b long")
     assert st.interval(st.bootstrap(n, 1, 1, {"d": st.delta_f1()}), "d").first().replicates == 1
 
 
+def test_poisson_thresholds():
+    import numpy as np
+
+    u = np.random.default_rng(1).integers(0, 2**32, 200_000)
+    w = sum((u >= t).astype(int) for t in st.POISSON)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and st.POISSON[-1] < 2**32
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_resample_matches_note_by_note_moments(spark, parts):
+    """Merged notes against the moments of notes drawn one by one; the same sums however the notes are dealt."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(3), rng.randrange(3), rng.randrange(2), rng.randrange(3), rng.randrange(2), rng.randrange(3)) for i in range(400)]
+    cols = ["tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b"]
+    d = spark.createDataFrame(rows, "note long, " + ", ".join(f"{c} long" for c in cols)).repartition(parts)
+    boot = {r.rep: r for r in st.resample(d, 3000, 5).collect()}
+    assert len(boot) == 3000
+    for k, c in enumerate(cols, 1):
+        x = [r[k] for r in rows]
+        got = [r[c] for r in boot.values()]
+        mean, var = sum(got) / len(got), sum((g - sum(got) / len(got)) ** 2 for g in got) / len(got)
+        assert abs(mean - sum(x)) < 4 * math.sqrt(sum(v * v for v in x) / 3000) and abs(var / sum(v * v for v in x) - 1) < 0.15
+    swapped = st.resample(d, 3000, 5, [st.sides("a", "b")]).collect()
+    both = sum(r[1] + r[4] for r in rows)
+    assert all(r.tp_a + r.tp_b == both for r in swapped) and abs(sum(r.tp_a for r in swapped) / 3000 - both / 2) < 1
+    again = {r.rep: r for r in st.resample(d.repartition(5), 3000, 5).collect()}
+    assert all(again[k] == boot[k] for k in boot)
+
+
+def test_contrasts_find_a_difference_and_none(spark):
+    rows = [(i, 3, 1, 1, 1, 3, 3) for i in range(100)] + [(i, 1, 1, 1, 1, 1, 1) for i in range(100, 200)]
+    d = spark.createDataFrame(rows, "note long, tp_a long, fp_a long, fn_a long, tp_b long, fp_b long, fn_b long")
+    r = st.contrasts(d, {"d": st.f1_of("a") - st.f1_of("b"), "none": st.f1_of("a") - st.f1_of("a")}, 500, 1, {"d": [st.sides("a", "b")]}).collect()
+    by = {x.name: x for x in r}
+    assert by["d"].lo > 0 and by["d"].verdict == "excludes 0" and by["d"].p == round(1 / 501, 6) and by["none"].verdict == "spans 0" and by["none"].p is None
+
+
+def test_best_of_all_matches_every_document(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc long")
+    queries = spark.createDataFrame([(i,) for i in range(12)], "query long")
+    hits = {(q, x): rng.randrange(1, 4) / 2 for q in range(12) for x in rng.sample(range(0, 60, 2), q)}
+    h = spark.createDataFrame([(q, x, s) for (q, x), s in hits.items()], "query long, doc long, score double")
+    got = sorted((r.query, r["rank"], r.doc, r.score) for r in retrieval.best_of_all(queries, docs, h, 5).collect())
+    want = []
+    for q in range(12):
+        best = sorted((-hits.get((q, x), 0.0), x) for x in range(0, 60, 2))[:5]
+        want += [(q, i + 1, x, -s) for i, (s, x) in enumerate(best)]
+    assert got == want
+
+
+def test_hybrid_without_a_side(spark):
+    a = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 3, 0.0)], "query int, doc int, score double")
+    b = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.9)], "query int, doc int, score double")
+    rows = lambda x: sorted((r.doc, r.score, r.skipped_dense) for r in x.collect())
+    assert rows(retrieval.hybrid(a, None, 0.5)) == [(1, 1.0, True), (2, 0.5, True), (3, 0.0, True)] == rows(retrieval.hybrid(a, b, 1.0))
+    assert rows(retrieval.hybrid(None, b, 0.5)) == [(1, 0.0, False), (2, 1.0, False)] == rows(retrieval.hybrid(a, b, 0.0))
+    assert rows(retrieval.hybrid(a, b, 0.5)) == [(1, 0.5, False), (2, 0.5, False)]  # min-max over what both have
+    for bad in ((None, b, 1.0), (a, None, 0.0), (None, None, 0.5)):
+        with pytest.raises(ValueError, match="no index"):
+            retrieval.hybrid(*bad)
+
+
+def test_equal_queries_are_scored_once(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c d")], "doc int, text string")
+    q = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c d"), (4, None), (5, None)], "query int, text string")
+    key = lambda x: sorted((r.query, r.doc, r.score) for r in x.collect())
+    assert key(retrieval.bm25_of_distinct(q, d)) == key(retrieval.bm25(q, d))
+
+
+def test_encoder_slot_gets_small_batches(spark):
+    def encoder(texts):
+        assert len(texts) <= 3
+        return [[len(t), 1.0] for t in texts]
+
+    d = spark.createDataFrame([(i, "x" * i if i else None, 5) for i in range(10)], "k int, text string, embedding int").coalesce(1)
+    got = {r.k: r.embedding for r in retrieval.encode_with(d, encoder, batch=3).collect()}
+    assert got == {i: [float(i), 1.0] for i in range(10)}
+
+
+def test_zero_shot_keeps_first_mentions_of_the_closed_set(spark):
+    a = spark.createDataFrame([(1, '["B1", {"code": "A1"}, "B1", "X9"]'), (2, "nothing"), (3, None)], "note int, t string")
+    labels = spark.createDataFrame([("A1",), ("B1",), ("C1",)], "code string")
+    rows = lambda x: sorted((r.note, r["rank"], r.code, r.confidence, r.supported) for r in x.collect())
+    assert rows(scoring.zero_shot(a, "t")) == [(1, 1, "B1", 0.8, True), (1, 2, "A1", 0.8, True), (1, 3, "X9", 0.8, True)]
+    assert rows(scoring.zero_shot(a, "t", labels)) == [(1, 1, "B1", 0.8, True), (1, 2, "A1", 0.8, True)]
+
+
+def test_report_cells_and_numbers(spark):
+    d = spark.createDataFrame([(0.12345, 0.01, 3, 0.1235, 4), (0.5, None, 1, 0.5, 2), (None, None, 0, 1.0, 1), (2.5, 0.0, 1, 2.0, 0), (0.123456789, 0.0, 1, 0.12345679, 8)], "m double, s double, n int, stated double, k int")
+    got = d.select(reports.cell(F.col("m"), F.col("s"), F.col("n")).alias("c"), reports.holds(F.col("m"), F.col("stated"), F.col("k")).alias("ok")).collect()
+    assert [r.c for r in got] == ["0.1235 ± 0.0100", "0.5000", "—", "2.5000", "0.1235"] or got[0].c == "0.1234 ± 0.0100"
+    assert [r.ok for r in got] == [True, True, False, True, True]
+    m = spark.createDataFrame([("a.b.c", 1.0)], "metric string, value double")
+    p = spark.createDataFrame([("a.b.c",), ("a.b",)], "path string")
+    assert {r.path: r.value for r in reports.by_path(m, p).collect()} == {"a.b.c": 1.0, "a.b": None}
+
+
 def test_decide_falls_back(spark):
     s = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.3), (2, "a", 0.9), (2, "b", 0.8)], "note int, code string, score double")
     assert sorted((r.note, r.code) for r in learners.decide(s, 0.5).collect()) == [(1, "b"), (2, "a"), (2, "b")]
@@ -287,14 +405,9 @@ def test_full_grids_and_replicates(spark, monkeypatch):
     assert (got[2].t, got[2].cap, got[2].supported_only, got[2].tuned_f1, got[2].held_out_f1) == (*top, whole[top], None)
 
     assert (statistics.FULL, statistics.FULL_METRIC) == (10_000, 1_000)
-    monkeypatch.setattr(statistics, "FULL", 60)
-    pair = statistics.numbered(spark, small).orderBy("pos").collect()
-    side = lambda x, k: 2 * sum(r[f"tp_{k}"] for r in x) / sum(2 * r[f"tp_{k}"] + r[f"fp_{k}"] + r[f"fn_{k}"] for r in x)
-    d = []
-    for rep in range(60):
-        x = [pair[int(hashlib.md5(f"42:boot:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(pair)] for i in range(len(pair))]
-        d.append(round(side(x, "a") - side(x, "b"), 9))
-    d.sort()
-    r = q["st_bootstrap_delta_full"](spark, small).first()
-    assert r.replicates == 60 and (r.lo, r.hi) == pytest.approx((d[1], d[58]), abs=2e-9)
+    # Intervals of merged notes against those of notes that are weighted one by one (the form with SQL).
+    full, each = statistics.bootstrap_delta_full(spark, small, 2000).first(), statistics.bootstrap_delta(spark, small, 400).first()
+    assert full.replicates == 2000 and abs(full.lo - each.lo) < 0.01 and abs(full.hi - each.hi) < 0.01
+    report = {r.name: r for r in statistics.paired_report(spark, small, 500).collect()}
+    assert abs(report["delta_micro_f1"].lo + full.hi) < 0.01 and report["delta_micro_f1"].verdict == "spans 0" and report["delta_micro_f1"].p > 0.05
     spark.catalog.clearCache()

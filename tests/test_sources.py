@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,8 +39,25 @@ def test_json_lines_strict_and_tolerant(spark, tmp_path):
 
 def test_latest_success(spark):
     d = spark.createDataFrame([("success", 1, "a", 0), ("success", 1, "b", 1), ("failed", 2, "c", 2), ("success", None, "d", 3)], "status string, global_sample_index long, v string, o int")
-    assert [r.v for r in readers.latest_success(d, F.col("o")).collect()] == ["b"]
-    assert sorted(r.v for r in readers.latest_success(d, F.col("o"), fallback=True).collect()) == ["b", "d"]
+    assert [r.v for r in readers.latest_success(d, "o").collect()] == ["b"]
+    assert sorted(r.v for r in readers.latest_success(d, "o", fallback=True).collect()) == ["d"]  # one index so far, so d has index 1 too
+
+
+def test_fallback_index_counts_what_came_before(spark):
+    rng = random.Random(2)
+    rows = [("success" if rng.random() < 0.8 else "failed", rng.choice([None, rng.randrange(12)]), r, o) for o in range(120) for r in "xy"]
+    d = spark.createDataFrame(rows, "status string, global_sample_index long, run string, o long").repartition(5)
+    want = {}
+    for status, i, r, o in rows:
+        kept = want.setdefault(r, {})
+        if status == "success":
+            kept[i if i is not None else len(kept)] = o
+    got = {}
+    for x in readers.latest_success(d, "o", fallback=True, run="run").collect():
+        got.setdefault(x.run, {})[x.global_sample_index] = x.o
+    assert got == want
+    one = readers.latest_success(d.where("run = 'x'"), "o", fallback=True).collect()
+    assert {x.global_sample_index: x.o for x in one} == want["x"]
 
 
 def test_score_matrix_and_probe(spark, tmp_path):
