@@ -3,13 +3,13 @@
 Entities (e-mail and IP addresses, phone and card numbers, account and social-security numbers, secrets, and names: after a
 title, or a known given name with a family name) are found by one pattern. Each is made of units: a name of its given names and its family name, an address of the
 whole and its domain, others of one. A unit has a canonical form (digits of a number, lower case of a name or an address) and a
-keyed surrogate of that form: letters become letters of the same script, digits become digits, and everything else
+keyed surrogate of that form (a given name's depends on the family name too, so it is one person's): letters become letters of the same script, digits become digits, and everything else
 stays; card numbers and IBANs keep right check digits, IP addresses stay in range, given names are drawn from lists of the
 title's gender (or the given name's own) and the script. A mention is written by laying its units' surrogates over its format and case.
 
 The surrogate is a function of the key and the unit, so all mentions agree across documents: whatever the format of a number, and with or without the
 given name of a person. The distinct units of the whole corpus are
-checked together, whatever their kind: where the surrogates of two units are equal, or a surrogate is itself a unit (given names excepted, as lists hold real ones), all but
+checked together, whatever their kind (given names within their family name): where the surrogates of two units are equal, or a surrogate is itself a unit (given names excepted, as lists hold real ones), all but
 one take the next attempt, until none clashes. Only those exceptions are joined back to documents, by the hash of the text, so null and
 repeated ids take part like others; the other units need no lookup.
 
@@ -43,10 +43,10 @@ _GIVEN = {g: sorted({n for k, v in NAMES.items() if k.endswith(g) for n in v}) f
 _TITLE = "|".join(sorted({t.replace(".", "\\.") for v in TITLES.values() for t in v}, key=len, reverse=True))
 _KNOWN = "|".join(sorted({*_GIVEN["m"], *_GIVEN["f"]}, key=len, reverse=True))
 _WORD = r"(?:\p{Lu}[\p{Ll}\x{2019}']+(?:-\p{Lu}?\p{Ll}+)*|\p{Lu}{3,})"
-_BEFORE = r"(?<![\p{L}\p{N}_])"
+_BEFORE = r"(?=[\p{Lu}гκ])(?<![\p{L}\p{N}_])"  #: a word begins, with a letter that titles and names begin with
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|(?:AKIA|ghp_|sk-)[0-9A-Za-z]{16,48})(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|token|api_key)[=:])[0-9A-Za-z]{6,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|(?:AKIA|ghp_|sk-)[0-9A-Za-z]{16,48})(?![0-9A-Za-z])|(?<=[=:])(?<=(?:password|passwd|secret|token|api_key)[=:])[0-9A-Za-z]{6,64}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
@@ -56,7 +56,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Text that can hold an entity has a digit, an address, a title or a known name; others are left alone without a search.
-HINT = rf"\d|@|{_BEFORE}(?:{_TITLE}|{_KNOWN}) \p{{Lu}}|[=:][0-9A-Za-z]{{6}}"
+HINT = rf"[\d@]|[=:][0-9A-Za-z]{{6}}|{_BEFORE}(?:{_TITLE}|{_KNOWN}) \p{{Lu}}"
 LONGER = 6  #: from this attempt on names and addresses, whose space may be small, get letters more
 
 # The alphabets from which letters and digits are drawn.
@@ -94,7 +94,7 @@ def units(e: Column, kind: Column) -> Column:
     one = F.when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("ssn", "card"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
     last = F.size(words) - 1
     return (
-        F.when(kind == "name", F.transform(words, lambda w, i: unit(F.when(i < last, F.concat(F.lit("given "), _gender(e))).otherwise(F.lit("family")), F.lower(w))))
+        F.when(kind == "name", F.transform(words, lambda w, i: F.when(i < last, unit(F.concat(F.lit("given "), _gender(e)), F.concat(F.lower(w), F.lit(" "), F.lower(F.element_at(words, -1))))).otherwise(unit("family", F.lower(w)))))
         .when(kind == "email", F.array(unit("email", F.lower(e)), unit("domain", F.regexp_extract(F.lower(e), "@(.*)$", 1))))
         .otherwise(F.array(unit(kind, one)))
     )
@@ -251,7 +251,7 @@ def attempts(mentions: DataFrame, key: str, scratch: Scratch, patience: int = 8)
     while True:
         u = F.array(F.struct("kind", "canon"))
         made = ents.withColumn("s", F.element_at(_surrogates_of(u, F.lit(key), lambda _: F.col("attempt")), 1)["s"])
-        made = scratch.save(made.withColumn("space", F.when(given, "given").otherwise("")), "made")
+        made = scratch.save(made.withColumn("space", F.when(given, F.concat(F.lit("given "), F.substring_index("canon", " ", -1))).otherwise("")), "made")
         taken = made.groupBy("space", "s").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "kind", "canon")).alias("keep")).where("n > 1")
         again = made.join(taken, ["space", "s"]).where("kind <> keep.kind or canon <> keep.canon").select("kind", "canon")
         again = again.unionByName(made.where("space = ''").join(real, F.col("s") == F.col("real"), "left_semi").select("kind", "canon")).distinct()
