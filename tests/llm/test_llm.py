@@ -678,10 +678,10 @@ def test_surrogates_are_injective_over_all_kinds_and_forms(spark):
     for x, y in got.items():
         parts = list(zip(*((z.lower().split()[1:] if z.startswith(("Mr.", "Frau")) else [z.lower()]) for z in (x, y)), strict=True))
         for k, (u, v) in enumerate(parts):
-            u, v = ((len(parts) > 1 and k == 0, z) for z in (u, v))
+            u, v = ((parts[1][i] if len(parts) > 1 and k == 0 else "", z) for i, z in enumerate((u, v)))  # a given name is its person's
             assert mapped.setdefault(u, v) == v
     assert len(set(mapped.values())) == len(mapped)
-    assert not {v for v in mapped.values() if not v[0]} & set(mapped)
+    assert not {v for _, v in mapped.values() if not _} & {u for _, u in mapped if not _}
 
 
 # pipeline -----------------------------------------------------------------------------------------------------------
