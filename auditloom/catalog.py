@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import evaluation, more, relational, retrieval, scoring, search, statistics  # noqa: F401  (they register)
+from .queries import coding, evaluation, more, relational, retrieval, scoring, search, statistics  # noqa: F401  (they register)
 from .queries.registry import ORACLES, QUERIES
 
 

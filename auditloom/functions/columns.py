@@ -70,6 +70,32 @@ def chunks(text: Column, size: int = 256, overlap_: int = 32) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(t, i * step + 1, F.lit(size)), " "))
 
 
+def sections(text: Column, headings: list[str]) -> Column:
+    """array<struct<name, text>>: the text cut at lines that begin with one of the headings and a colon; what stands before the first has no name. Blank sections are left out."""
+    any_ = "|".join("\\Q" + h + "\\E" for h in sorted(headings, key=len, reverse=True))
+    names = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(rf"(?mi)^[ \t]*({any_})[ \t]*:"), F.lit(1)))
+    parts = F.transform(F.split(text, rf"(?mi)^[ \t]*(?:{any_})[ \t]*:", -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(F.zip_with(names, parts, lambda n, p: F.struct(n.alias("name"), p.alias("text"))), lambda s: F.coalesce(s["text"], F.lit("")) != "")
+
+
+# The two sentences around a batch prompt's candidates, by template; only the request for quotes differs between the first two.
+TEMPLATES = {
+    "default": ("Judge each candidate code by the evidence given with it.\n\nCandidates:\n", "\n\nAnswer with a JSON list of one object a candidate: code, supported, confidence, q (a few words of the evidence), r."),
+    "copy": ("Judge each candidate code by the evidence given with it.\n\nCandidates:\n", "\n\nAnswer with a JSON list of one object a candidate: code, supported, confidence, q (copied letter by letter from the evidence), r."),
+    "note": ("Judge each candidate code by the note.\n\nNote:\n", "\n\nAnswer with a JSON list of one object a candidate: code, supported, confidence, q (a few words of the note), r."),
+}
+
+
+def prompt(candidates: Column, template: str = "default", note: Column | None = None, snippet_cap: int = 0, note_cap: int = 6000, cap: int = 0) -> Column:
+    """A batch prompt from an array of (code, title, evidence): numbered candidates with evidence cut to ``snippet_cap`` characters, in template ``note`` after the first ``note_cap`` characters of the note, all cut to ``cap``. A cap of 0 is none."""
+    cut = lambda c, n: F.substring(c, 1, n) if n else c
+    none = F.lit("")
+    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(x["code"], none), F.lit(" ("), F.coalesce(x["title"], none), F.lit(")\n   Evidence: "), cut(F.coalesce(x["evidence"], none), snippet_cap))
+    head, foot = TEMPLATES[template]
+    parts = [F.lit(head), *([cut(F.coalesce(note, none), note_cap), F.lit("\n\nCandidates:\n")] if template == "note" else []), F.array_join(F.transform(candidates, line), "\n"), F.lit(foot)]
+    return cut(F.concat(*parts), cap)
+
+
 def section_key(name: Column) -> Column:
     return F.lower(F.translate(name, " -", "__"))
 

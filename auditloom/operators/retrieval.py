@@ -165,6 +165,26 @@ def bm25_of_distinct(queries: DataFrame, docs: DataFrame, **options) -> DataFram
     return q.join(once, ["_t", "text"]).select("query", "_first").join(scores, "_first").drop("_first")
 
 
+def note_local(queries: DataFrame, chunks: DataFrame, k: int, alpha: float = 1.0, encode=None) -> DataFrame:
+    """(note, query, doc, score, rank, skipped_dense): the max(1, k) best chunks of the query's own note, all statistics those of the note.
+
+    ``queries``: (note, query, text); ``chunks``: (note, doc, text). BM25 and, with ``encode`` (a function of a text column to a vector column) and alpha below 1,
+    cosine, each min-max scaled over the note's chunks. Pairs are those of a query with its own note's chunks only.
+    """
+    pairs = queries.select("note", "query", F.col("text").alias("_q")).join(chunks.select("note", "doc", F.col("text").alias("_d")), "note")
+    scored = pairs.join(bm25(queries, chunks, within=["note"]), ["note", "query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    keys = ["note", "query"]
+    out = min_max(scored, keys).withColumn("score", F.col("mm"))
+    if encode is not None and alpha < 1.0:
+        norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-9))
+        x = out.withColumn("_u", encode(F.col("_q"))).withColumn("_v", encode(F.col("_d"))).withColumnRenamed("mm", "_lex")
+        dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+        x = min_max(x.withColumn("score", F.round(dot / (norm(F.col("_u")) * norm(F.col("_v"))), 6)), keys)
+        out = x.withColumn("score", F.round(alpha * F.col("_lex") + (1 - alpha) * F.col("mm"), 6))
+    best = top_k(out.select("note", "query", "doc", "score"), max(1, k), by=keys)
+    return best.withColumn("skipped_dense", F.lit(encode is None))
+
+
 def encode_with(table: DataFrame, encoder, text: str = "text", vec: str = "embedding", batch: int = 64) -> DataFrame:
     """The slot for an encoder: ``encoder`` maps at most ``batch`` texts to as many vectors; null texts are encoded as empty ones."""
     import pandas as pd

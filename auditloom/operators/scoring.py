@@ -103,10 +103,10 @@ def keep_threshold(pred: DataFrame, least: float, min_final: int, by: str = "not
     return pred.withColumn("_p", passes).withColumn("_k", kept).where(F.col("_p") & (F.col("_k") >= min_final) | (F.col("_k") < min_final) & (F.col("rank") <= min_final)).drop("_p", "_k")
 
 
-def constrain(pred: DataFrame, least: float, mode: str = "filter", score: str = "confidence") -> DataFrame:
-    """``score`` is the column of the evidence score. Weak or unsupported codes are dropped (``filter``) or marked unsupported with a risk flag (``flag``)."""
+def constrain(pred: DataFrame, least: float, mode: str = "filter", score: str = "confidence", judged: bool = True) -> DataFrame:
+    """Without ``judged`` only weak evidence counts, not the scorer's judgement. ``score`` is the column of the evidence score. Weak or unsupported codes are dropped (``filter``) or marked unsupported with a risk flag (``flag``)."""
     weak = F.coalesce(F.col(score) < least, F.lit(False))
-    bad = weak | ~F.coalesce("supported", F.lit(False))
+    bad = weak | ~F.coalesce("supported", F.lit(False)) if judged else weak
     if mode == "filter":
         return pred.where(~bad)
     return pred.withColumn("risk_flag", F.when(weak, "weak_evidence").when(bad, "ambiguous").otherwise("none")).withColumn("supported", F.when(bad, False).otherwise(F.col("supported")))

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import chunks
+from ..functions.columns import chunks, evidence_query, preview
 from ..operators import retrieval as rt
 from ..operators import scoring as sc
 
 
+def knowledge_base(codes: DataFrame, version: int, order: str = "title") -> DataFrame:
+    """(code, title, searchable_text, parent, siblings) of one version of a code list (code, title, version): the first title of each code by ``order``, the other codes of its category."""
+    one = codes.where(F.col("version") == version).groupBy("code").agg(F.min_by("title", order).alias("title")).withColumn("parent", F.substring("code", 1, 3))
+    family = F.array_sort(F.collect_set("code").over(Window.partitionBy("parent")))
+    return one.select("code", "title", F.concat_ws(" ", "code", "title").alias("searchable_text"), "parent", F.array_except(family, F.array("code")).alias("siblings"))
+
+
 def retrieval_only(notes: DataFrame, base: DataFrame, k: int = 15, mask: DataFrame | None = None) -> DataFrame:
     """(note, code, confidence, rank): the k best labels of each note by BM25. ``notes``: (note, text); ``base``: (code, text)."""
     q, b = notes.select(F.col("note").alias("query"), "text"), base.select(F.col("code").alias("doc"), "text")
@@ -21,21 +28,38 @@ def retrieval_only(notes: DataFrame, base: DataFrame, k: int = 15, mask: DataFra
     return t.select(F.col("query").alias("note"), F.col("doc").alias("code"), F.col("score").alias("confidence"), "rank")
 
 
-def evidence(notes: DataFrame, candidates: DataFrame, base: DataFrame, k: int = 2, size: int = 256, overlap: int = 32) -> DataFrame:
-    """(note, code, evidence): the best chunks of the note itself for each candidate, joined."""
+def evidence(notes: DataFrame, candidates: DataFrame, base: DataFrame, k: int = 2, size: int = 256, overlap: int = 32, alpha: float = 1.0, encode=None, snippet: int = 0) -> DataFrame:
+    """(note, code, evidence, evidence_preview, evidence_chunk_id, evidence_score): the best chunks of the note itself for each candidate, joined; '' and 0 for a note without text."""
     c = notes.select("note", F.posexplode(chunks(F.col("text"), size, overlap)).alias("doc", "text"))
-    q = candidates.select("note", "code").join(base.select("code", "text"), "code").select("note", F.col("code").alias("query"), "text")
-    best = rt.top_k(rt.bm25(q, c, within=["note"]), k, by=["note", "query"]).join(c.select("note", "doc", F.col("text").alias("chunk")), ["note", "doc"])
-    g = best.groupBy("note", F.col("query").alias("code")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n").alias("evidence"))
-    return candidates.select("note", "code").join(g, ["note", "code"], "left").select("note", "code", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    q = candidates.select("note", "code").join(base.select("code", "text"), "code").select("note", F.col("code").alias("query"), evidence_query(F.col("code"), F.col("text")).alias("text"))
+    best = rt.note_local(q, c, k, alpha, encode).join(c.select("note", "doc", F.col("text").alias("chunk")), ["note", "doc"])
+    g = best.groupBy("note", F.col("query").alias("code")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n").alias("evidence"), F.min_by("doc", "rank").alias("doc"), F.max("score").alias("evidence_score")
+    )
+    text = F.coalesce("evidence", F.lit(""))
+    text = F.substring(text, 1, snippet) if snippet else text
+    out = candidates.select("note", "code").join(g, ["note", "code"], "left").withColumn("evidence", text)
+    return out.select("note", "code", "evidence", preview(F.col("evidence")).alias("evidence_preview"), F.coalesce(F.concat(F.lit("chunk_"), F.col("doc").cast("string")), F.lit("")).alias("evidence_chunk_id"), F.coalesce("evidence_score", F.lit(0.0)).alias("evidence_score"))
+
 
+def coded(notes: DataFrame, base: DataFrame, k: int = 15, least: float = 0.3, mode: str = "filter", min_final: int = 1, cap: int = 10, contrast: bool = False, legacy: bool = False, threshold: float = 0.0, alpha: float = 1.0, encode=None) -> DataFrame:
+    """(note, code, confidence, supported, evidence..., risk_flag, rank): the whole pipeline with the deterministic scorer.
 
-def coded(notes: DataFrame, base: DataFrame, k: int = 15, least: float = 0.3, mode: str = "filter", min_final: int = 1, cap: int = 10) -> DataFrame:
-    """The whole pipeline with the deterministic scorer: candidates, evidence, scores, constraint, rank, threshold, cap."""
-    cand = retrieval_only(notes, base, k).withColumnRenamed("confidence", "retrieval_score")
-    e = evidence(notes, cand, base).join(base.select("code", F.col("text").alias("title")), "code")
+    Candidates, note-local evidence, scores, evidence constraint (mode ``off``, ``flag`` or ``filter``), contrastive step, null-aware rank, threshold with ``min_final`` kept, cap.
+    ``contrast``: in families of borderline codes the verifier (here: the better score) rejects the runner-up. ``legacy``: the constraint
+    looks at the evidence score alone, and every code of a family but the best is verified against it, borderline or not.
+    """
+    cand = retrieval_only(notes, base, k).withColumnRenamed("confidence", "retrieval_score").withColumnRenamed("rank", "candidate_rank")
+    e = evidence(notes, cand, base, alpha=alpha, encode=encode).join(base.select("code", F.col("text").alias("title")), "code")
     conf, ok = sc.mock_score(F.col("title"), F.col("evidence"))
-    p = e.select("note", "code", conf.alias("confidence"), ok.alias("supported")).join(cand.select("note", "code", "rank"), ["note", "code"])
-    p = sc.constrain(p, least, mode)
+    p = e.withColumn("confidence", conf).withColumn("supported", ok).withColumn("evidence_quote", F.substring("evidence", 1, 80)).withColumn("risk_flag", F.when(ok, "none").otherwise("weak_evidence"))
+    p = p.drop("evidence", "title").join(cand.select("note", "code", "candidate_rank", "retrieval_score"), ["note", "code"]).withColumn("rank", F.col("candidate_rank"))
+    if mode != "off":
+        p = sc.constrain(p, least, mode, score="evidence_score", judged=not legacy)
+    if contrast:
+        pairs = sc.borderline(p, margin=1.0 if legacy else 0.2).select("note", F.col("runner_up").alias("rejected"))
+        p = sc.drop_rejected(p, pairs)
     p = p.withColumn("rank", sc.null_aware_rank())
-    return sc.keep_threshold(p, least, min_final).where(F.col("rank") <= cap)
+    if threshold:
+        p = sc.keep_threshold(p, threshold, min_final)
+    return p.where(F.col("rank") <= cap)

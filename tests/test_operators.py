@@ -411,3 +411,39 @@ def test_full_grids_and_replicates(spark, monkeypatch):
     report = {r.name: r for r in statistics.paired_report(spark, small, 500).collect()}
     assert abs(report["delta_micro_f1"].lo + full.hi) < 0.01 and report["delta_micro_f1"].verdict == "spans 0" and report["delta_micro_f1"].p > 0.05
     spark.catalog.clearCache()
+
+
+def test_sections_and_prompts(spark):
+    t = "before\nChief Complaint: pain\n in chest\nFOLLOW-UP :\nnone: a\nHospital Course:\n \nx Follow-up: no heading"
+    heads = ["Chief Complaint", "Follow-up", "Hospital Course"]
+    got = spark.createDataFrame([(t,), ("",), (None,), ("no heading",)], "t string").select(fc.sections(F.col("t"), heads).alias("s")).collect()
+    assert [tuple(x) for x in got[0].s] == [("", "before"), ("Chief Complaint", "pain\n in chest"), ("FOLLOW-UP", "none: a"), ("Hospital Course", "x Follow-up: no heading")]
+    assert got[1].s == [] and got[2].s is None and [tuple(x) for x in got[3].s] == [("", "no heading")]
+    c = F.array(F.struct(F.lit("A1").alias("code"), F.lit("title").alias("title"), F.lit("abcdef").alias("evidence")), F.struct(F.lit("B1").alias("code"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("evidence")))
+    p = one(spark, fc.prompt(c, "note", F.lit("n" * 50), snippet_cap=3, note_cap=10))
+    assert "1. A1 (title)\n   Evidence: abc\n2. B1 ()\n   Evidence: \n" in p and "n" * 10 in p and "n" * 11 not in p
+    assert len(one(spark, fc.prompt(c, cap=40))) == 40
+
+
+def test_note_local_scores_stay_in_the_note(spark):
+    q = spark.createDataFrame([(1, "a", "heart pain"), (2, "a", "heart pain"), (2, "b", "zzz"), (3, "a", "heart")], "note int, query string, text string")
+    c = spark.createDataFrame([(1, 0, "heart rate"), (1, 1, "pain in heart pain"), (2, 0, "nothing here"), (2, 1, "pain"), (4, 0, "heart")], "note int, doc int, text string")
+    got = {(r.note, r.query, r["rank"]): (r.doc, r.score, r.skipped_dense) for r in retrieval.note_local(q, c, 0).collect()}  # one chunk at least
+    assert got == {(1, "a", 1): (1, 1.0, True), (2, "a", 1): (1, 1.0, True), (2, "b", 1): (0, 0.0, True)}
+    both = retrieval.note_local(q, c, 2, 0.5, lambda t: F.transform(F.array(F.length(t), F.lit(1)), lambda x: x.cast("double"))).collect()
+    assert len(both) == 6 and all(0 <= r.score <= 1 and not r.skipped_dense for r in both)
+
+
+def test_whole_plans(spark):
+    from auditloom.plans import coding
+
+    notes = spark.createDataFrame([(1, "chest pain and a broken leg bone"), (2, ""), (3, "unrelated words only")], "note int, text string")
+    base = spark.createDataFrame([("A01", "chest pain"), ("A02", "chest pressure"), ("B01", "broken bone"), ("C01", "zebra fever")], "code string, text string")
+    p = coding.coded(notes, base, k=4, mode="off")
+    assert p.where("note = 1").count() == 4 and p.where("note = 1 and rank = 1").first().supported
+    kept = {r.code for r in coding.coded(notes, base, k=4).where("note = 1").collect()}
+    assert {"A01", "B01"} <= kept and "C01" not in kept
+    flagged = {r.code: r for r in coding.coded(notes, base, k=4, mode="flag").where("note = 1").collect()}
+    assert flagged["C01"].supported is False and flagged["C01"].risk_flag == "weak_evidence"
+    fewer = {r.code for r in coding.coded(notes, base, k=4, mode="off", contrast=True, legacy=True).where("note = 1").collect()}
+    assert "A02" not in fewer and "A01" in fewer  # the family's runner-up is rejected
