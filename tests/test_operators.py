@@ -437,13 +437,13 @@ def test_note_local_scores_stay_in_the_note(spark):
 def test_whole_plans(spark):
     from auditloom.plans import coding
 
-    notes = spark.createDataFrame([(1, "chest pain and a broken leg bone"), (2, ""), (3, "unrelated words only")], "note int, text string")
-    base = spark.createDataFrame([("A01", "chest pain"), ("A02", "chest pressure"), ("B01", "broken bone"), ("C01", "zebra fever")], "code string, text string")
+    notes = spark.createDataFrame([(1, "chest pain and a broken leg bone" + " filler" * 300), (2, ""), (3, "unrelated words only")], "note int, text string")
+    base = spark.createDataFrame([("A01.1", "chest pain"), ("A01.2", "chest pressure"), ("B01.1", "broken bone"), ("C01.1", "zebra fever")], "code string, text string")
     p = coding.coded(notes, base, k=4, mode="off")
     assert p.where("note = 1").count() == 4 and p.where("note = 1 and rank = 1").first().supported
     kept = {r.code for r in coding.coded(notes, base, k=4).where("note = 1").collect()}
-    assert {"A01", "B01"} <= kept and "C01" not in kept
+    assert {"A01.1", "B01.1"} <= kept and "C01.1" not in kept
     flagged = {r.code: r for r in coding.coded(notes, base, k=4, mode="flag").where("note = 1").collect()}
-    assert flagged["C01"].supported is False and flagged["C01"].risk_flag == "weak_evidence"
+    assert flagged["C01.1"].supported is False and flagged["C01.1"].risk_flag == "weak_evidence"
     fewer = {r.code for r in coding.coded(notes, base, k=4, mode="off", contrast=True, legacy=True).where("note = 1").collect()}
-    assert "A02" not in fewer and "A01" in fewer  # the family's runner-up is rejected
+    assert "A01.2" not in fewer and "A01.1" in fewer  # the family's runner-up is rejected
