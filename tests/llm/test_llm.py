@@ -698,8 +698,9 @@ def test_pipeline_matches_brute_force(spark, table, texts, tmp_path):
     kept = {i: t for i, t in small if t and re.search(r"[^\W\d_]", t)}
     want = {i for i, (_, c) in brute_components(kept).items() if c == i}
     assert set(out) == want
-    plain = {i: hashlib.sha256(kept[i].encode()).hexdigest() for i in want if not re.search(pii_surrogates.HINT.replace(r"\p{Lu}", "[A-Z]"), kept[i])}
-    assert plain and all(out[i].decoded_sha256 == h for i, h in plain.items())
+    left = spark.createDataFrame([(i, kept[i], "en", "s", None) for i in sorted(want)], table.schema)
+    written = {r.doc_id: r.text for r in pii_surrogates.replace(left, corpus_pipeline.PII_KEY).collect()}
+    assert any(written[i] != kept[i] for i in want) and all(out[i].decoded_sha256 == hashlib.sha256(written[i].encode()).hexdigest() for i in want)
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
 
 
@@ -720,6 +721,32 @@ def test_pipeline_returns_the_mix(spark, texts, table, tmp_path, monkeypatch):
     assert set(out.columns) - set(bare.columns) == {"slot", "place", "exact"} and bare.count() == 60
 
 
+def test_near_duplicates_keep_one_row_of_a_repeated_id(spark, table):
+    import corpus_pipeline
+
+    words_ = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, words_ + " b", "en", "y", 2), (7, words_ + " a", "en", "z", 1), (7, words_ + " a", "en", "x", 1), (9, words_, "en", "s", 3), (None, words_, "en", "s", 4), (None, words_, "en", "s", 4), (20, None, "en", "s", None)]
+    d = spark.createDataFrame(rows, table.schema)
+    got = sorted(corpus_pipeline.drop_near_duplicates(spark, d, "").collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(7, words_ + " a", "en", "x", 1), (None, words_, "en", "s", 4), (None, words_, "en", "s", 4), (20, None, "en", "s", None)], key=lambda r: str(d.sparkSession.createDataFrame([r], table.schema).first()))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    df = queries.queries()[name](spark, DIR)
+    cols = sorted(df.columns)
+    rel = con.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in rel.description]
+    assert sorted(names) == cols
+    key = lambda rows, at: sorted((tuple(r[k] for k in at) for r in rows), key=repr)
+    assert key(df.collect(), cols) == key(rel.fetchall(), [names.index(c) for c in cols])
+
+
 def test_registered_queries():
     names = queries.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
