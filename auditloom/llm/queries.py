@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mtree, ngram_jaccard, pfair_mix, pii_surrogates, prefix_hash, toxicity, unigram_lm, warc_zstd
+from . import byte_bpe, language_id, mtree, ngram_jaccard, pfair_mix, pii_surrogates, prefix_hash, source_divergence, toxicity, unigram_lm, url_automaton, walsh_audit, warc_zstd
 from .common import held_out
 from .oracles import ORACLES
 
@@ -70,6 +70,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.expr("int(score >= 0.3)").alias("predicted"))
 
 
+def op11_walsh_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_automaton.judge(_table(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
