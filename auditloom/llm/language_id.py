@@ -9,11 +9,12 @@ A tree is kept sparse: the sorted codes of the byte strings seen in each order w
 the contexts with the cost of an escape. A byte's cost depends only on the ``order`` bytes before it, so each distinct string of
 a batch of whole texts is looked up once for each language.
 
-The sample: of each language the documents with the smallest hashes of their ids, SAMPLE_DOCS documents and SAMPLE_BYTES bytes at most
-(one document, however long, always counts). All contexts of the sample are kept.
+The sample: of each language the different documents with the smallest hashes of id and text, SAMPLE_DOCS documents and SAMPLE_BYTES bytes at most
+(one document, however long, always counts; equal rows count once, so null or equal ids and repeated rows neither crowd nor empty it). All contexts of the sample are kept.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; ties go to the smallest language name;
-no learnable language gives ``und`` everywhere; repeated rows give equal rows; extra columns are ignored.
+no learnable language gives ``und`` everywhere; repeated rows give equal rows; texts of any length are scored whole, CHUNK bytes at a time; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,18 +116,18 @@ def fit(samples: dict[str, list[bytes]], order: int = 3) -> Trees:
 def learn(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (3, 1)) -> Trees:
     """Trees from a bounded sample of the labelled rows outside the held-out fold; see the module."""
     rows = docs.where(~held_out(doc_id, *fold)).where(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("x"), F.octet_length(F.col(text)).alias("size"), F.col(text).cast("string").alias("text"))
-    share = {r.lang: min(1.0, 1.5 * (SAMPLE_DOCS + 20) / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("x"), F.octet_length(F.col(text)).alias("size"), F.col(text).cast("string").alias("text"))
+    share = {r.lang: min(1.0, 1.5 * (SAMPLE_DOCS + 20) / max(1, r.n)) for r in rows.groupBy("lang").agg(F.approx_count_distinct("x").alias("n")).collect()}  # one row a language
     if not share:
         return fit({}, order)
 
     def below(limits: dict[str, int]):
         return F.col("x") <= F.create_map(*(F.lit(v) for kv in limits.items() for v in kv))[F.col("lang")]
 
-    sizes = rows.where(below({k: int((v - 0.5) * (2**64 - 1)) if v < 1 else 2**63 - 1 for k, v in share.items()})).select("lang", "x", "size").collect()  # about 1.5 * SAMPLE_DOCS rows a language
+    sizes = rows.where(below({k: int((v - 0.5) * (2**64 - 1)) if v < 1 else 2**63 - 1 for k, v in share.items()})).groupBy("lang", "x").agg(F.min("size")).collect()  # about 1.5 * SAMPLE_DOCS rows a language
     last = sample_ends(sizes, dict.fromkeys(share, SAMPLE_DOCS), SAMPLE_BYTES)
     samples: dict[str, list[bytes]] = {}
-    for r in rows.where(below(last)).select("lang", "text").collect():
+    for r in rows.where(below(last)).groupBy("lang", "x").agg(F.first("text").alias("text")).collect() if last else []:
         samples.setdefault(r.lang, []).append(r.text.encode())
     return fit(samples, order)
 
@@ -155,14 +156,16 @@ def predict(trees: Trees, column) -> tuple[list, list, list]:
     return lang, score, rate
 
 
-def keep_identified(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns."""
+def keep_identified(docs: DataFrame, trees: Trees, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns; ``lang`` becomes the language that was found."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
         for b in slices(batches, 1 << 20, text):
-            lang = predict(shared.value, b.column(b.schema.get_field_index(text)))[0]
-            yield b.filter(pa.array([x != "und" for x in lang]))
+            found = predict(shared.value, b.column(b.schema.get_field_index(text)))[0]
+            at = b.schema.get_field_index(lang)
+            b = b.set_column(at, b.schema.field(at), pa.array(found, pa.string()).cast(b.schema.field(at).type))
+            yield b.filter(pa.array([x != "und" for x in found]))
 
     return docs.mapInArrow(run, docs.schema)
 

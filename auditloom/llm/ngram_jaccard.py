@@ -24,7 +24,8 @@ by the parity bits of the suffixes (those of the whole set, with the prefix up t
 n-gram that is in one suffix only flips one bit.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer words than n form one n-gram; repeated
-rows of one id give one result row each, and where their texts differ the id has the links of all its texts; a null id is allowed and takes part like any other row of its class only when
+rows of one id give one result row each; where their texts differ the id's component is that of all its texts, and each row has class and links
+of its own text; an empty table gives no rows; a null id is allowed and takes part like any other row of its class only when
 its class has a non-null id, else it stays alone with a null component; extra columns are ignored.
 """
 
@@ -54,6 +55,12 @@ def shingle_sets(batch, n: int = 5) -> list[np.ndarray]:
     return sets_of(words, bound, n)
 
 
+def digest_of(grams: np.ndarray) -> tuple[int, int]:
+    """(key, check) of a sorted set: 128 bits that stand for it."""
+    d = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def sets_of(words: np.ndarray, bound: np.ndarray, n: int) -> list[np.ndarray]:
     runs = max(0, len(words) - n + 1)
     grams = mix(words[:runs] ^ U(n))
@@ -124,13 +131,13 @@ def _profiles(texts: DataFrame, table, n: int, percent: int) -> DataFrame:
             size, key, check, prefix, cold, sig = [], [], [], [], [], []
             for s in shingle_sets(b, n):
                 m = len(s)
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                k, d = digest_of(s)
                 c = counts[(s >> U(64 - BITS)).astype(np.int64)].astype(np.uint64)
                 p = m - (percent * m + 99) // 100 + 1 if m else 0
                 first = np.argsort((np.minimum(c, U((1 << 24) - 1)) << U(40)) | (s & U((1 << 40) - 1)), kind="stable")[:p]
                 size.append(m)
-                key.append(int.from_bytes(d[:8], "little", signed=True))
-                check.append(int.from_bytes(d[8:], "little", signed=True))
+                key.append(k)
+                check.append(d)
                 prefix.append(s[first].view(np.int64))
                 cold.append(int((c[first] <= HOT).sum()))
                 sig.append(parity(s, words_for(m)))
@@ -225,7 +232,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     final = scratch.save(components(spark, _union(links), scratch), "components")
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     if count:
-        named = named.join(_count_links(texts, final, n, percent), "rep", "left")
+        named = named.join(_count_links(texts, classes, final, n, percent), ["key", "check"], "left")
     named = named.select("key", "check", "n", "rep", F.coalesce("component", "rep").alias("component"), *([F.coalesce("links", F.lit(0)).cast("long").alias("links")] if count else []))
     out = prof.select("doc_id", "n", "key", "check").join(named, ["key", "check", "n"], "left")
     alone = (F.col("n") == 0) | F.col("rep").isNull()
@@ -242,18 +249,25 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out
 
 
-def _count_links(texts: DataFrame, comp: DataFrame, n: int, percent: int) -> DataFrame:
-    """(rep, links): the exact number of links of each class in ``comp`` (node, component)."""
-    large = comp.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("component", F.ceil(F.col("k") / BLOCK).cast("long").alias("of"))
-    place = comp.join(large, "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("of", F.lit(1)).alias("of"))
-    used = texts.join(place.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+def _count_links(texts: DataFrame, classes: DataFrame, comp: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, check, links): the exact number of links of each class whose representative is in ``comp`` (node, component).
+
+    An id with several texts may represent several classes, so classes go by their digests, not by their ids.
+    """
+    known = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep").select("key", "check", "rep", "component")
+    large = known.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("component", F.ceil(F.col("k") / BLOCK).cast("long").alias("of"))
+    place = known.join(large, "component", "left").select("key", "check", "component", F.coalesce("of", F.lit(1)).alias("of"))
+    used = texts.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").distinct()
 
     def sets(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array([x.tobytes() for x in shingle_sets(b, n)], pa.binary())], names=["doc_id", "grams"])
+            all_ = shingle_sets(b, n)
+            both = [digest_of(x) for x in all_]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), pa.array([x.tobytes() for x in all_], pa.binary())], names=["key", "check", "grams"])
 
-    own = used.select("doc_id", "text").mapInArrow(sets, "doc_id long, grams binary").join(place, "doc_id").withColumn("block", F.expr("pmod(xxhash64(doc_id), of)"))
-    blocks = own.groupBy("component", "of", "block").agg(F.collect_list(F.struct("doc_id", "grams")).alias("s"))
+    own = used.mapInArrow(sets, "key long, check long, grams binary").groupBy("key", "check").agg(F.first("grams").alias("grams"))  # equal digests, equal sets
+    own = own.join(place, ["key", "check"]).withColumn("block", F.expr("pmod(xxhash64(key, check), of)"))
+    blocks = own.groupBy("component", "of", "block").agg(F.collect_list(F.struct("key", "check", "grams")).alias("s"))
     left = blocks.select("component", "s", F.col("block").alias("i"), F.explode(F.expr("sequence(block, of - 1)")).alias("block"))
     right = blocks.select("component", "block", F.col("s").alias("t"))
     pairs = left.join(right, ["component", "block"]).select("s", F.when(F.col("i") < F.col("block"), F.col("t")).alias("t"))
@@ -262,16 +276,17 @@ def _count_links(texts: DataFrame, comp: DataFrame, n: int, percent: int) -> Dat
         for b in batches:
             for k in range(b.num_rows):
                 s, t = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                rep, links = _links_between([(x["doc_id"], x["grams"]) for x in s], None if t is None else [(x["doc_id"], x["grams"]) for x in t], percent)
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64())], names=["rep", "links"])
+                links = _links_between([x["grams"] for x in s], None if t is None else [x["grams"] for x in t], percent)
+                rows = s + (t or [])
+                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in rows], pa.int64()), pa.array([x["check"] for x in rows], pa.int64()), pa.array(links, pa.int64())], names=["key", "check", "links"])
 
-    return pairs.mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    return pairs.mapInArrow(run, "key long, check long, links long").groupBy("key", "check").agg(F.sum("links").alias("links"))
 
 
-def _links_between(s: list[tuple[int, bytes]], t: list[tuple[int, bytes]] | None, percent: int) -> tuple[list[int], list[int]]:
+def _links_between(s: list[bytes], t: list[bytes] | None, percent: int) -> list[int]:
     """Links of each set of ``s`` and ``t`` across both, or within ``s`` where ``t`` is none. No set is empty."""
     rows = s + (t or [])
-    grams = [np.frombuffer(x, np.uint64) for _, x in rows]
+    grams = [np.frombuffer(x, np.uint64) for x in rows]
     size = np.array([len(x) for x in grams], np.int64)
     word = np.unique(np.concatenate(grams), return_inverse=True)[1]
     bound = np.concatenate([[0], np.cumsum(size)])
@@ -287,7 +302,7 @@ def _links_between(s: list[tuple[int, bytes]], t: list[tuple[int, bytes]] | None
             links[a] += hit.sum()
             links[first:] += hit
         mark[own] = 0
-    return [i for i, _ in rows], links.tolist()
+    return links.tolist()
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -42,7 +42,8 @@ NAMES = {
 _GIVEN = {g: sorted({n for k, v in NAMES.items() if k.endswith(g) for n in v}) for g in "mf"}
 _TITLE = "|".join(sorted({t.replace(".", "\\.") for v in TITLES.values() for t in v}, key=len, reverse=True))
 _KNOWN = "|".join(sorted({*_GIVEN["m"], *_GIVEN["f"]}, key=len, reverse=True))
-_WORD = r"(?:\p{Lu}[\p{Ll}\x{2019}']+(?:-\p{Lu}?\p{Ll}+)*|\p{Lu}{3,})"
+#: A name's word: capital first, letters, apostrophes and hyphens (also with capitals inside, as in O'Neil, McDonald, DeVries), a small letter last; or capitals only. A possessive 's isn't part of it.
+_WORD = r"(?:\p{Lu}(?:(?!['\x{2019}]s(?!\p{L}))[\p{L}\x{2019}'-])*\p{Ll}|\p{Lu}(?:['\x{2019}-]?\p{Lu}){2,})"
 _BEFORE = r"(?=[\p{Lu}гκ])(?<![\p{L}\p{N}_])"  #: a word begins, with a letter that titles and names begin with
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",

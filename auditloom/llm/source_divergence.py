@@ -64,12 +64,12 @@ def distinct_terms(text: bytes) -> set[bytes]:
     return out
 
 
-def cells(lang: bytes, terms) -> np.ndarray:
+def cells(lang: bytes, terms, bits: int = BITS) -> np.ndarray:
     """(ROWS, terms): the places of (lang, term) in the sketch, laid out as one array."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(lang + b"\0" + t) for t in terms), np.uint64, len(terms))
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     r = np.arange(ROWS, dtype=np.uint64)[:, None]
-    return (((low + r * high) & np.uint64((1 << BITS) - 1)) + (r << np.uint64(BITS))).astype(np.int64)
+    return (((low + r * high) & np.uint64((1 << bits) - 1)) + (r << np.uint64(bits))).astype(np.int64)
 
 
 def _columns(b):
@@ -77,17 +77,18 @@ def _columns(b):
     return zip(*(b.column(k).cast(pa.binary()).to_pylist() for k in range(3)), strict=True)
 
 
-def sketch(docs: DataFrame, least: int = LEAST) -> np.ndarray:
+def sketch(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int = HELD) -> np.ndarray:
     """The merged sketch of (lang, term) document frequencies up to ``least``."""
-    width, kind = (ROWS << BITS) // PARTS, np.uint8 if least < 256 else np.uint32
+    parts = min(PARTS, ROWS << bits)
+    width, kind = (ROWS << bits) // parts, np.uint8 if least < 256 else np.uint32
 
     def count(batches):
-        table, held = np.zeros(ROWS << BITS, np.uint32), {}
+        table, held = np.zeros(ROWS << bits, np.uint32), {}
 
         def put():
             for lang, c in held.items():
                 n = np.minimum(np.fromiter(c.values(), np.int64, len(c)), least).astype(np.uint32)
-                np.add.at(table, cells(lang, c).ravel(), np.tile(n, ROWS))
+                np.add.at(table, cells(lang, c, bits).ravel(), np.tile(n, ROWS))
                 np.minimum(table, least, out=table)
             held.clear()
 
@@ -95,11 +96,11 @@ def sketch(docs: DataFrame, least: int = LEAST) -> np.ndarray:
             for lang, _, text in _columns(b):
                 c = held.setdefault(lang, Counter())
                 c.update(distinct_terms(text))
-            if sum(map(len, held.values())) > HELD:
+            if sum(map(len, held.values())) > most:
                 put()
         put()
-        blocks = [table[k * width : (k + 1) * width] for k in range(PARTS)]
-        some = [k for k in range(PARTS) if blocks[k].any()]
+        blocks = [table[k * width : (k + 1) * width] for k in range(parts)]
+        some = [k for k in range(parts) if blocks[k].any()]
         yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "cells": pa.array([zlib.compress(blocks[k].astype(kind).tobytes(), 1) for k in some], pa.binary())})
 
     def add(batches):
@@ -111,15 +112,15 @@ def sketch(docs: DataFrame, least: int = LEAST) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "cells": pa.array([zlib.compress(v.astype(kind).tobytes(), 1) for v in sums.values()], pa.binary())})
 
     schema = "part int, cells binary"
-    out = np.zeros(ROWS << BITS, kind)
-    for r in docs.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect():  # PARTS rows, 16 MB at most
+    out = np.zeros(ROWS << bits, kind)
+    for r in docs.mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, schema).collect():  # PARTS rows, 16 MB at most
         out[r.part * width : (r.part + 1) * width] = np.frombuffer(zlib.decompress(bytes(r.cells)), kind)
     return out
 
 
-def survivors(docs: DataFrame, table: np.ndarray, least: int = LEAST) -> DataFrame:
+def survivors(docs: DataFrame, table: np.ndarray, least: int = LEAST, most: int = HELD) -> DataFrame:
     """(lang, source, term, n, df) of the terms that may be frequent, exact; a row of null term for each (lang, source)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(table), (len(table) // ROWS).bit_length() - 1
 
     def count(batches):
         known, held, wide = shared.value, {}, 0
@@ -129,7 +130,7 @@ def survivors(docs: DataFrame, table: np.ndarray, least: int = LEAST) -> DataFra
             for (lang, source), (n, df) in held.items():
                 out.append((lang, source, None, 0, 0))
                 if n:
-                    may = (known[cells(lang, n)] >= least).all(axis=0)
+                    may = (known[cells(lang, n, bits)] >= least).all(axis=0)
                     out += [(lang, source, t, c, df[t]) for (t, c), keep in zip(n.items(), may.tolist(), strict=True) if keep]
             held.clear()
             names = zip("lang source term".split(), range(3))
@@ -145,7 +146,7 @@ def survivors(docs: DataFrame, table: np.ndarray, least: int = LEAST) -> DataFra
                     seen.update(terms)
                 df.update(seen)
                 wide += len(n) + 1
-            if wide > HELD:
+            if wide > most:
                 yield rows()
                 wide = 0
         if held:
@@ -165,12 +166,15 @@ def _both(a: Column, b: Column, forth: Column, back: Column) -> Column:
     return F.explode(F.array(F.struct(a.alias("source"), b.alias("item"), forth.alias("value")), F.struct(b.alias("source"), a.alias("item"), back.alias("value")))).alias("x")
 
 
-def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, top: int = TOP) -> DataFrame:
-    """(lang, source, part, item, value, rank): part ``pair`` for the other sources of the language, ``term`` for the terms above its share."""
+def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, top: int = TOP, bits: int = BITS, most: int = HELD) -> DataFrame:
+    """(lang, source, part, item, value, rank): part ``pair`` for the other sources of the language, ``term`` for the terms above its share.
+
+    ``bits`` and ``most`` (terms that a task holds) change the work, not the result.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "divergence")
     d = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))))
-    counted = scratch.save(survivors(d, sketch(d, least), least), "counts")
+    counted = scratch.save(survivors(d, sketch(d, least, bits, most), least, most), "counts")
     terms = counted.where("term is not null")
     kept = terms.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n_lang")).where(F.col("df") >= least).drop("df")
     own = scratch.save(terms.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"), "kept")
