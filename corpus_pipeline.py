@@ -18,7 +18,10 @@ POSITION = ["slot", "place", "exact"]  #: the mix's columns that later stages ke
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language (null text, or no letter in it)."""
+    """Gives each document the language of the shortest code as its ``lang``, and drops those without one (null text, or no letter in it).
+
+    Repeated rows, null ids and texts of any length are judged like others; an empty table stays empty.
+    """
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
@@ -35,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by surrogates; n_chars follows the text."""
+    """Replaces personal data by surrogates; n_chars follows the text. Null texts stay null, repeated rows stay equal, an empty table stays empty."""
     out = pii_surrogates.replace(docs, PII_KEY).drop("n_entities")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -43,7 +46,8 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their position in the mix: blocks of the sources by their target weights.
 
-    The order of rows doesn't outlive a stage's files, so ``slot``, ``place`` and ``exact`` stay as columns.
+    The order of rows doesn't outlive a stage's files, so ``slot``, ``place`` and ``exact`` stay as columns; columns of these names that the
+    input has give way to them. Null sources are one source, every row (repeated ones too) has a place of its own, an empty table stays empty.
     """
     mixed = pfair_mix.mix(docs)
     own = [c for c in docs.columns if c not in POSITION]
@@ -51,10 +55,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document's ids and of the bytes that they decode to, at its position in the mix."""
+    """Token counts and digests of each document's ids and of the bytes that they decode to, with its language and its position in the mix.
+
+    Null texts are empty, each repeated row gives a row, an empty table gives none.
+    """
     import public_tokenizers
 
-    keep = [c for c in POSITION if c in docs.columns]
+    keep = [c for c in ("lang", *POSITION) if c in docs.columns]
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
 
 
