@@ -1,11 +1,13 @@
 """Resampling statistics on note counts. Randomness is a hash, so that runs repeat anywhere.
 
-Statistics of a replicate follow from sums over its notes, so nothing but sums leaves a task. A bootstrap gives each note an
-independent Poisson(1) weight in each replicate, which is what n draws with replacement come to for large n; no draw is a row.
-
-- ``bootstrap`` and ``randomization`` hash (seed, stream, replicate, note), a form that SQL can state.
-- ``resample`` first merges notes with equal counts: the weight of m equal notes is Poisson(m), and of m equal notes Binomial(m, 1/2) change
-  sides. Its work follows the number of different count vectors, not of notes, so 10,000 replicates cost about as much at any size.
+Statistics of a replicate follow from sums over its notes, so nothing but sums leaves a task, and no draw is a row.
+
+- ``bootstrap`` and ``randomization`` hash (seed, stream, replicate, note), a form that SQL can state. A note has an independent Poisson(1)
+  weight in each replicate, which is what n draws with replacement come to for large n.
+- ``resample`` draws n of the n notes with replacement, exactly. Notes with equal counts are one cell (``cells_of``, written once and read by every
+  contrast); a hash deals cells to buckets. A replicate's n draws are split over the buckets by one multinomial draw, which every task repeats from the same key, and a
+  bucket's share over its cells inside its task: so the weights of a replicate sum to n, though no task sees more than its buckets. In randomised replicates
+  Binomial(m, 1/2) of m equal notes change sides. The work follows the different count vectors where notes are many, and the draws where they are few.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import f1, safe_ratio, u32
+from ..scratch import Scratch
 
 #: Cumulative probabilities of Poisson(1) in units of 2**-32.
 POISSON = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(13)]
@@ -65,56 +68,115 @@ def bootstrap(rows: DataFrame, replicates: int, seed: int, stats: dict[str, Colu
     return sums.select("rep", *[v.alias(k) for k, v in stats.items()])
 
 
-def _generator(seed: int, stream: str, values: tuple) -> np.random.Generator:
-    key = hashlib.blake2b(repr((seed, stream, values)).encode(), digest_size=16).digest()
-    return np.random.Generator(np.random.Philox(key=np.frombuffer(key, np.uint64)))
+CELLS_A_BUCKET = 4096  #: cells of a bucket, on average
+AT_ONCE = 512  #: replicates that are drawn at once
+
+
+def _generator(*key) -> np.random.Generator:
+    digest = hashlib.blake2b(repr(key).encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=np.frombuffer(digest, np.uint64)))
+
+
+def cells_of(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(columns..., m): the different count vectors of ``rows`` and how many notes have each. ``rows`` may be cells themselves."""
+    cols = columns or [c for c in rows.columns if c not in ("note", "m")]
+    n = F.sum("m") if "m" in rows.columns else F.count("*")
+    return rows.groupBy(*(F.col(c).cast("long").alias(c) for c in cols)).agg(n.alias("m"))
+
+
+def draws_of(n: np.ndarray, m: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """(replicates, cells): how the n draws of each replicate fall on cells of m notes. Index draws where notes are few, else binomial splits."""
+    if m.sum() > 8 * len(m):
+        return rng.multinomial(n, m / m.sum())
+    owner, cells, reps = np.repeat(np.arange(len(m)), m), len(m), np.repeat(np.arange(len(n)), n)
+    return np.bincount(reps * cells + owner[rng.integers(0, len(owner), len(reps))], minlength=len(n) * cells).reshape(len(n), cells)
 
 
 def resample(rows: DataFrame, replicates: int, seed: int, swaps: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
-    """(rep, the sum of each column but ``note``) of bootstrap replicates or, with ``swaps``, of randomised ones.
+    """(rep, the sum of each column, drawn) of bootstrap replicates or, with ``swaps``, of randomised ones. ``rows``: notes or cells.
 
-    A swap is a pair of column lists that change sides note by note with probability 1/2, each pair by coins of its own.
+    A swap is a pair of column lists that change sides note by note with probability 1/2, each pair by coins of its own. ``drawn``: the notes of
+    a replicate, always as many as there are. The same seed gives the same sums, however the rows are dealt.
     """
-    cols = [c for c in rows.columns if c != "note"]
-    cells = rows.groupBy(*cols).agg(F.count("*").alias("_m"))
+    cells = cells_of(rows)
+    cols = [c for c in cells.columns if c != "m"]
+    buckets = max(1, -(-cells.count() // CELLS_A_BUCKET))
+    cells = cells.select(*cols, "m", F.expr(f"int(pmod(xxhash64({', '.join(f'`{c}`' for c in cols)}), {buckets}))").alias("_b"))
+    sizes = np.zeros(buckets, np.int64)
+    for r in cells.groupBy("_b").agg(F.sum("m").alias("m")).collect():  # one row a bucket
+        sizes[r["_b"]] = r.m
+    notes = int(sizes.sum())
+
+    def own(x: np.ndarray, m: np.ndarray, b: int) -> np.ndarray:
+        """(replicates, columns): the sums of a bucket."""
+        out = np.zeros((replicates, len(cols) + 1), np.int64)
+        x1 = np.c_[x, np.ones(len(x), np.int64)].astype(float)
+        for k, at in enumerate(range(0, replicates, AT_ONCE)):
+            size = min(AT_ONCE, replicates - at)
+            if swaps is None:
+                share = _generator(seed, "split", k).multinomial(notes, sizes / notes, size)[:, b]
+                out[at : at + size] = np.rint(draws_of(share, m, _generator(seed, "boot", b, k)) @ x1)
+                continue
+            rng, total = _generator(seed, "swap", b, k), np.tile(m @ x1, (size, 1))
+            for side, other in swaps:
+                coins = np.zeros((size, len(m)))
+                one = m == 1
+                coins[:, one] = rng.integers(0, 2, (size, int(one.sum())), np.int8)
+                coins[:, ~one] = rng.binomial(m[~one], 0.5, (size, int((~one).sum())))
+                i, j = [cols.index(c) for c in side], [cols.index(c) for c in other]
+                moved = coins @ (x1[:, j] - x1[:, i])
+                total[:, i] += moved
+                total[:, j] -= moved
+            out[at : at + size] = np.rint(total)
+        return out
 
     def run(batches):
-        total = np.zeros((len(cols), replicates), np.int64)
-        for b in batches:
-            for *x, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = dict(zip(cols, x, strict=True))
-                if swaps is None:
-                    total += np.array(x, np.int64)[:, None] * _generator(seed, "boot", tuple(x)).poisson(m, replicates)
-                    continue
-                coins = _generator(seed, "swap", tuple(x))
-                total += m * np.array(x, np.int64)[:, None]
-                for side, other in swaps:
-                    moved = coins.binomial(m, 0.5, replicates)
-                    for c, d in zip(side, other, strict=True):
-                        total[cols.index(c)] += moved * (own[d] - own[c])
-                        total[cols.index(d)] += moved * (own[c] - own[d])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int64()), *(pa.array(t) for t in total)], names=["rep", *cols])
-
-    sums = cells.select(*(F.col(c).cast("long") for c in cols), "_m").mapInArrow(run, "rep long, " + ", ".join(f"`{c}` long" for c in cols))
-    return sums.groupBy("rep").agg(*[F.sum(c).alias(c) for c in cols])
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            a = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(cols) + 2)], axis=1).astype(np.int64)
+            for b in np.unique(a[:, -1]).tolist():
+                held.setdefault(b, []).append(a[a[:, -1] == b, :-1])
+        total = np.zeros((replicates, len(cols) + 1), np.int64)
+        for b, parts in held.items():
+            a = np.concatenate(parts)
+            a = a[np.lexsort(a.T[::-1])]  # the order in which cells came doesn't matter
+            total += own(a[:, :-1], a[:, -1], b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int64()), *(pa.array(t) for t in total.T)], names=["rep", *cols, "drawn"])
+
+    sums = cells.repartition(min(buckets, 4096), "_b").mapInArrow(run, "rep long, " + ", ".join(f"`{c}` long" for c in [*cols, "drawn"]))
+    return sums.groupBy("rep").agg(*[F.sum(c).alias(c) for c in [*cols, "drawn"]])
+
+
+def aligned(rows: DataFrame, runs: list[str]) -> DataFrame:
+    """Contingency numbers of all runs on the same notes, and which runs have a note, from one shuffle by note.
+
+    ``rows``: (note, code, mask), any number for a pair; bit 0 of the mask: the code is gold, bit k: run k predicts it (k from 1, in the order of
+    ``runs``). A null code stands for a note without codes. One row a note: note, runs (mask of the runs with a code, gold as bit 0) and tp_, fp_, fn_ of each run.
+    """
+    has = lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
+    pairs = rows.repartition("note").groupBy("note", "code").agg(F.bit_or("mask").alias("mask"))  # both aggregates keep the partitioning by note
+    each = [F.count_if(c).alias(f"{name}_{r}") for k, r in enumerate(runs, 1) for name, c in (("tp", has(0) & has(k)), ("fp", ~has(0) & has(k)), ("fn", has(0) & ~has(k)))]
+    return pairs.groupBy("note").agg(F.bit_or("mask").alias("runs"), *each)
 
 
 def contrasts(rows: DataFrame, stats: dict[str, Column], replicates: int, seed: int, tests: dict[str, list[tuple[list[str], list[str]]]]) -> DataFrame:
     """One row a statistic: name, point, lo, hi (95 % percentile interval), defined (replicates in which it isn't null), verdict and p.
 
-    ``tests`` names the swaps under which a statistic's null hypothesis is exchangeable; p is the add-one share of randomised
+    ``tests`` names the swaps under which a statistic's null hypothesis is exchangeable, and which have all of its columns; p is the add-one share of randomised
     replicates at least as far from 0 as the point, null for statistics without a test.
     """
-    cols = [c for c in rows.columns if c != "note"]
+    rows = Scratch(rows.sparkSession, "contrasts").save(cells_of(rows), "cells")  # derived once, read by the point, the bootstrap and every test
+    cols = [c for c in rows.columns if c != "m"]
     long = lambda sums, names, by=(): sums.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), stats[k].cast("double").alias("v")) for k in names))).alias("x")).select(*by, "x.*")
-    point = long(rows.agg(*[F.sum(c).alias(c) for c in cols]), stats).withColumnRenamed("v", "point")
+    point = long(rows.agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in cols]), stats).withColumnRenamed("v", "point")
     drawn = long(resample(rows, replicates, seed), stats).where("v is not null").groupBy("name").agg(F.array_sort(F.collect_list("v")).alias("v"))  # one number a replicate
     at = lambda p: F.element_at("v", (F.least(F.floor(F.lit(p) * F.size("v")), F.size("v") - 1) + 1).cast("int"))
     out = point.join(drawn.select("name", at(0.025).alias("lo"), at(0.975).alias("hi"), F.size("v").cast("long").alias("defined")), "name", "left")
     out = out.withColumn("verdict", F.when((F.col("lo") > 0) | (F.col("hi") < 0), "excludes 0").otherwise("spans 0"))
     extreme = None
     for name, swaps in tests.items():
-        one = long(resample(rows, replicates, seed, swaps), [name]).join(F.broadcast(point), "name").where("abs(v) >= abs(point)").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.round((F.col("n") + 1) / (replicates + 1), 6).alias("p"))
+        need = sorted({c for side in swaps for half in side for c in half}, key=cols.index)
+        one = long(resample(cells_of(rows, need), replicates, seed, swaps), [name]).join(F.broadcast(point), "name").where("abs(v) >= abs(point)").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.round((F.col("n") + 1) / (replicates + 1), 6).alias("p"))
         extreme = one if extreme is None else extreme.unionByName(one)
     out = out.withColumn("p", F.lit(None).cast("double")) if extreme is None else out.join(F.broadcast(extreme), "name", "left")
     return out.select("name", *(F.round(c, 9).alias(c) for c in ("point", "lo", "hi")), F.coalesce("defined", F.lit(0).cast("long")).alias("defined"), "verdict", "p")

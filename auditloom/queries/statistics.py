@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -52,11 +54,7 @@ _RUNS = " ".join(f"counts_{r}" for r in "abcdef")
 
 def cells(spark, d, names=tuple(CELLS)):
     """One row a note: its counts in each cell."""
-    out = None
-    for k in names:
-        one = counts(spark, d, CELLS[k]).select("note", *(F.col(c).alias(f"{c}_{k}") for c in ("tp", "fp", "fn")))
-        out = one if out is None else out.join(one, "note")
-    return out
+    return st.aligned(fx.run_masks(spark, d, {k: CELLS[k] for k in names}), list(names)).drop("runs")
 
 
 def did(low: str, high: str):
@@ -90,6 +88,19 @@ def capacity(spark, d):
     return sums.select("notes", F.explode(F.array(*each)).alias("x")).select("x.cell", "notes", "x.f1", "x.p", "x.r", "x.codes_per_note")
 
 
+_BITS = " + ".join(f"max(case when {k} then {2 << i} else 0 end)" for i, k in enumerate(fx.KEEP.values()))
+_SUBSETS = [sum(2 << i for i in c) for n in (2, 4, 6) for c in itertools.combinations(range(6), n)]
+
+
+@query("jn_run_masks", with_("lines", f"with m as (select note, ({_BITS})::int runs from lines group by note) select s::int subset, bit_count(s::int)::int runs, count(*) notes from m, (values {', '.join(f'({x})' for x in _SUBSETS)}) t(s) where runs & s = s group by s"))
+def run_masks(spark, d):
+    """How many notes the runs of each pair, each four and all six have in common: one shuffle by note, then sums over masks."""
+    own = {r: r for r in fx.KEEP}
+    m = st.aligned(fx.run_masks(spark, d, own), list(own)).groupBy("runs").agg(F.count("*").alias("n"))  # 128 masks at most
+    s = m.select("runs", "n", F.explode(F.array(*map(F.lit, _SUBSETS))).alias("subset")).where("runs & subset = subset")
+    return s.groupBy("subset").agg(F.sum("n").alias("notes")).select("subset", F.bit_count("subset").alias("runs"), "notes")
+
+
 STEPS = [("3", "7"), ("7", "14"), ("3", "14")]
 
 

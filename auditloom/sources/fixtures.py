@@ -60,6 +60,14 @@ def predictions(spark: SparkSession, d: str, run: str = "a") -> DataFrame:
     return rows.withColumn("rank", rank)
 
 
+def run_masks(spark: SparkSession, d: str, runs: dict[str, str]) -> DataFrame:
+    """(note, code, mask) of the gold codes (bit 0) and of the runs a to f that ``runs`` names (bits 1 and on), and a row without code for each note."""
+    keep = ["l_discount <= 0.06", *(KEEP[r] for r in runs.values())]
+    mask = F.expr(" + ".join(f"if({k}, {1 << i}, 0)" for i, k in enumerate(keep)))
+    none = notes(spark, d).select("note", F.lit(None).cast("string").alias("code"), F.lit(0).alias("mask"))
+    return lines(spark, d).select("note", "code", mask.alias("mask")).unionByName(none)
+
+
 def code_records(spark: SparkSession, d: str) -> DataFrame:
     """The codes of run a with the fields of stored records; ``x`` deals them to kinds."""
     r = predictions(spark, d).join(knowledge_base(spark, d).select("code", "title"), "code").withColumn("x", (F.col("note") * 7 + F.col("rank") * 3) % 20)

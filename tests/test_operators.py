@@ -175,7 +175,9 @@ def test_resample_matches_note_by_note_moments(spark, parts):
         x = [r[k] for r in rows]
         got = [r[c] for r in boot.values()]
         mean, var = sum(got) / len(got), sum((g - sum(got) / len(got)) ** 2 for g in got) / len(got)
-        assert abs(mean - sum(x)) < 4 * math.sqrt(sum(v * v for v in x) / 3000) and abs(var / sum(v * v for v in x) - 1) < 0.15
+        wide = sum(v * v for v in x) - sum(x) ** 2 / len(x)  # of the sum of n draws
+        assert abs(mean - sum(x)) < 4 * math.sqrt(wide / 3000) and abs(var / wide - 1) < 0.15
+    assert all(r.drawn == 400 for r in boot.values())
     swapped = st.resample(d, 3000, 5, [st.sides("a", "b")]).collect()
     both = sum(r[1] + r[4] for r in rows)
     assert all(r.tp_a + r.tp_b == both for r in swapped) and abs(sum(r.tp_a for r in swapped) / 3000 - both / 2) < 1
