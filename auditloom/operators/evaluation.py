@@ -12,11 +12,20 @@ from ..functions.columns import f1, safe_ratio, verbatim
 
 
 def facts(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(note, code, in_gold, in_pred, rank, supported, confidence): full outer join of gold and predicted codes."""
-    g = gold.select("note", "code").distinct().withColumn("g", F.lit(True))
-    p = pred.withColumn("p", F.lit(True))
-    f = g.join(p, ["note", "code"], "full")
-    return f.select("note", "code", F.coalesce("g", F.lit(False)).alias("in_gold"), F.coalesce("p", F.lit(False)).alias("in_pred"), "rank", "supported", "confidence")
+    """(note, code, in_gold, in_pred, rank, supported, confidence): gold and predicted codes side by side, each pair once.
+
+    Both sides meet by one shuffle on the note, which later aggregates by note, category or rank need as well. Of repeated predictions of a code the best rank and confidence count.
+    """
+    empty = {"in_gold": "boolean", "in_pred": "boolean", "rank": "int", "supported": "boolean", "confidence": "double"}
+    fill = lambda df, have: df.select("note", "code", *(have[c] if c in have else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
+    g = fill(gold, {"in_gold": F.lit(True).alias("in_gold")})
+    p = fill(pred, {"in_pred": F.lit(True).alias("in_pred"), **{c: F.col(c) for c in ("rank", "supported", "confidence")}})
+    return _merged(g.unionByName(p))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    each = [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("in_gold", "in_pred")]
+    return rows.repartition("note").groupBy("note", "code").agg(*each, F.min("rank").alias("rank"), F.bool_or("supported").alias("supported"), F.max("confidence").alias("confidence"))
 
 
 def counts(f: DataFrame, notes: DataFrame) -> DataFrame:
@@ -70,21 +79,64 @@ def to_parents(f: DataFrame) -> DataFrame:
     return p.withColumn("rank", F.when(F.col("in_pred"), rank)).drop("best")
 
 
-def classification(f: DataFrame, notes: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    """One row of all classification metrics; without a universe the labels are those of either side. Without notes or labels: Hamming loss 1, the rest 0."""
-    universe = f.select("code").distinct() if universe is None else universe.select("code").distinct()
-    inside = f.join(universe, "code", "left_semi")  # codes outside the universe don't count for the binary matrix
-    m = universe.agg(F.count("*").alias("m"))
-    seen = inside.where("in_pred").agg(F.countDistinct("code").alias("predicted"))
-    sets = set_metrics(counts(inside, notes).crossJoin(F.broadcast(m)), F.col("m"))
-    parts = [micro_macro(f, universe), sets, at_k(f, notes, [5, 10]), seen]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.crossJoin(x)  # one row each
-    out = out.withColumn("label_coverage", F.round(safe_ratio(F.col("predicted"), F.col("labels")), 6)).drop("predicted")
-    none = (F.col("notes") == 0) | (F.col("labels") == 0)
+def classification(f: DataFrame, notes: DataFrame, universe: DataFrame | None = None, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """One row of all classification metrics; without a universe the labels are those of either side. Without notes or labels: Hamming loss 1, the rest 0.
+
+    Two aggregates over the facts: by label (micro, macro, coverage) and by note (sets, precision and recall at k); codes outside the universe count at k only.
+    """
+    hit, extra, lack = F.expr("in_gold and in_pred"), F.expr("in_pred and not in_gold"), F.expr("in_gold and not in_pred")
+    sums = [F.count_if(hit).alias("tp"), F.count_if(extra).alias("fp"), F.count_if(lack).alias("fn")]
+    per = f.groupBy("code").agg(*sums)
+    inside = F.lit(True)
+    if universe is not None:
+        u = universe.select("code").distinct()
+        per = per.join(u, "code", "right").fillna(0, ["tp", "fp", "fn"])
+        f, inside = f.join(u.withColumn("_in", F.lit(True)), "code", "left"), F.coalesce("_in", F.lit(False))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    macro = {"macro_p": safe_ratio(tp, tp + fp), "macro_r": safe_ratio(tp, tp + fn), "macro_f1": f1(tp, fp, fn)}
+    labels = per.agg(*micro(per), *(F.round(F.avg(v), 6).alias(k) for k, v in macro.items()), F.count("*").alias("labels"), F.count_if(tp + fp > 0).alias("predicted"))
+    labels = labels.withColumn("label_coverage", F.round(safe_ratio(F.col("predicted"), F.col("labels")), 6)).drop("predicted")
+
+    rows = f.select("note", "rank", "in_gold", *(F.coalesce(inside & c, F.lit(False)).alias(n) for n, c in (("hit", hit), ("extra", extra), ("lack", lack))))
+    none = [F.lit(None).cast("int").alias("rank"), *(F.lit(False).alias(c) for c in ("in_gold", "hit", "extra", "lack"))]
+    at = [x for k in ks for x in (F.count_if((F.col("rank") <= k) & F.col("in_gold")).alias(f"h{k}"), F.count_if(F.col("rank") <= k).alias(f"e{k}"))]
+    own = rows.unionByName(notes.select("note", *none)).groupBy("note").agg(F.count_if("hit").alias("tp"), F.count_if("extra").alias("fp"), F.count_if("lack").alias("fn"), F.count_if("in_gold").alias("g"), *at)
+    m = labels.select(F.col("labels").alias("m"))
+    h, p, g = tp, tp + fp, tp + fn
+    lrap = F.when((g == 0) | (g == F.col("m")), 1.0).otherwise((F.when(h > 0, h * h / p).otherwise(0.0) + (g - h) * (g / F.col("m"))) / g)
+    ratios = [x for k in ks for x in (F.round(F.avg(safe_ratio(F.col(f"h{k}"), F.col(f"e{k}"))), 6).alias(f"p_at_{k}"), F.round(F.avg(F.when(F.col("g") > 0, F.col(f"h{k}") / F.col("g"))), 6).alias(f"r_at_{k}"))]
+    sets = own.crossJoin(F.broadcast(m)).agg(  # one row
+        F.round(F.when(F.max("m") > 0, F.sum(fp + fn) / (F.count("*") * F.max("m"))), 8).alias("hamming"), F.round(F.avg(F.expr("fp = 0 and fn = 0").cast("int")), 6).alias("exact_match"), F.round(F.avg(lrap), 6).alias("lrap"), *ratios, F.count("*").alias("notes"),
+    )
+    out = labels.crossJoin(sets)  # one row each
+    empty = (F.col("notes") == 0) | (F.col("labels") == 0)
     values = [c for c in out.columns if c not in ("notes", "labels")]
-    return out.select(*(F.when(none, F.lit(1.0 if c == "hamming" else 0.0)).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in values), "notes", "labels")
+    return out.select(*(F.when(empty, F.lit(1.0 if c == "hamming" else 0.0)).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in values), "notes", "labels")
+
+
+def melted(row: DataFrame, group: str) -> DataFrame:
+    """(group, metric, value) of a row of numbers."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns))).alias("x")
+    return row.select(F.lit(group).alias("group"), each).select("group", "x.*")
+
+
+def suite(f: DataFrame, notes: DataFrame, universe: DataFrame, codes: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """(group, metric, value): the whole evaluation of a run. ``f``: its facts; ``codes``: its code records; ``records``: one record a note.
+
+    All groups read the facts from the same shuffle by note; categories and counts of a note need no other.
+    """
+    parts = {"classification": classification(f, notes, universe), "hierarchical": classification(to_parents(f), notes), "hierarchical_error": hierarchical_error(f), "lift": lift(counts(f, notes))}
+    if codes is not None:
+        parts["reliability"] = reliability(codes)
+    if records is not None:
+        right = f.groupBy("note").agg(F.count_if(F.expr("in_gold and in_pred")).alias("correct"))
+        parts["cost"] = cost(records.join(right, "note", "left").fillna(0, ["correct"]))
+        if codes is not None:
+            parts["errors"] = error_rates(records, codes.agg(F.count_if("json_parse_error").alias("errors")))
+    out = None
+    for k, v in parts.items():
+        out = melted(v, k) if out is None else out.unionByName(melted(v, k))
+    return out
 
 
 def hierarchical_error(f: DataFrame) -> DataFrame:
@@ -194,5 +246,3 @@ def total_variation(a: DataFrame, b: DataFrame) -> DataFrame:
     j = p.join(q, "code", "full").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
     t = j.agg(F.sum("n").alias("tn"), F.sum("m").alias("tm"))
     return j.crossJoin(F.broadcast(t)).agg(F.round(F.sum(F.abs(F.col("n") / F.col("tn") - F.col("m") / F.col("tm"))) / 2, 6).alias("total_variation"))
-
-

@@ -8,10 +8,13 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import u32
+from ..scratch import Scratch
 
 
 def _dominates(objs: list[str], a: str, b: str) -> Column:
@@ -30,16 +33,68 @@ def pareto(points: DataFrame, objs: list[str]) -> DataFrame:
     return points.alias("p").join(points.alias("q"), _dominates(objs, "q", "p"), "left_anti")
 
 
-def fronts(points: DataFrame, objs: list[str], key: str, most: int = 50) -> DataFrame:
-    """Non-dominated sorting: ``front`` 0, 1, ... by peeling; one small job a front."""
-    rest, out = points, None
-    for i in range(most):
-        top = pareto(rest, objs).withColumn("front", F.lit(i))
-        out = top if out is None else out.unionByName(top)
-        rest = rest.join(top.select(key), key, "left_anti")
-        if not rest.limit(1).count():
-            break
-    return out
+def depth(points: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Fronts of ``points`` that come in lexicographic order, none below ``low``: each lies one behind the last front that dominates it."""
+    front = low.copy()
+    for i in range(1, len(points)):
+        over = (points[:i] <= points[i]).all(1) & (points[:i] < points[i]).any(1)
+        if over.any():
+            front[i] = max(front[i], front[:i][over].max() + 1)
+    return front
+
+
+def fronts(points: DataFrame, objs: list[str], key: str, block: int = 2048) -> DataFrame:
+    """``front`` 0, 1, ... of every point: how many points at most dominate one another in a row down to it. A null or NaN objective counts as infinite.
+
+    Different objective vectors go to blocks in lexicographic order; a vector is dominated only by vectors before it. Blocks are finished in order:
+    the finished blocks, each in its task, give the block's vectors their least fronts (those whose best corner isn't below the block's worst are
+    left out), then the block is finished in one task. Only a block's vectors are gathered, and each finished block is written once.
+    """
+    spark = points.sparkSession
+    scratch = Scratch(spark, "fronts")
+    value = lambda o: F.when(F.col(o).isNull() | F.isnan(F.col(o).cast("double")), F.lit(float("inf"))).otherwise(F.col(o).cast("double"))
+    own = points.withColumns({f"_o{i}": value(o) + F.lit(0.0) for i, o in enumerate(objs)})
+    cols = [f"_o{i}" for i in range(len(objs))]
+    vectors = own.select(*cols).distinct()
+    n = max(1, -(-vectors.count() // block))
+    dealt = scratch.save(vectors.repartitionByRange(n, *cols).select("*", F.spark_partition_id().alias("_b")), "blocks")
+    ends = {r["_b"]: r for r in dealt.groupBy("_b").agg(*(f(c).alias(f"{f.__name__}{c}") for c in cols for f in (F.min, F.max))).collect()}  # one row a block
+    schema, done = ", ".join(f"{c} double" for c in cols) + ", front int", {}
+
+    def matrix(b):
+        return np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(cols))], axis=1)
+
+    for t in sorted(ends):
+        mine = np.array(sorted(tuple(r)[:-1] for r in dealt.where(F.col("_b") == t).collect())).reshape(-1, len(cols))  # one block
+        before = [done[s] for s in done if all(ends[s][f"min{c}"] <= ends[t][f"max{c}"] for c in cols)]
+        low = np.zeros(len(mine), np.int64)
+        if before:
+            shared = spark.sparkContext.broadcast(mine)
+
+            def least(batches):
+                q, out = shared.value, np.zeros(len(shared.value), np.int64)
+                for b in batches:
+                    p, front = matrix(b), b.column(len(cols)).to_numpy()
+                    for i in range(len(q)):
+                        over = (p <= q[i]).all(1) & (p < q[i]).any(1)
+                        if over.any():
+                            out[i] = max(out[i], front[over].max() + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(out)], names=["i", "low"])
+
+            for r in spark.read.schema(schema).parquet(*before).mapInArrow(least, "i long, low long").groupBy("i").agg(F.max("low").alias("low")).collect():  # one block
+                low[r.i] = r.low
+        start = spark.createDataFrame([(mine.tobytes(), low.tobytes())], "p binary, low binary")
+
+        def finish(batches):
+            for b in batches:
+                for p, low_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    p = np.frombuffer(p).reshape(-1, len(cols))
+                    front = depth(p, np.frombuffer(low_, np.int64))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(p[:, i]) for i in range(len(cols))), pa.array(front.astype(np.int32))], names=[*cols, "front"])
+
+        done[t] = scratch.save(start.mapInArrow(finish, schema), f"front-{t}")._scratch_path  # noqa: SLF001
+    found = spark.read.schema(schema).parquet(*done.values()) if done else spark.createDataFrame([], schema)
+    return own.join(found, cols).drop(*cols)
 
 
 def crowding(front: DataFrame, objs: list[str], key: str) -> DataFrame:

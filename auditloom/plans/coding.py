@@ -29,7 +29,11 @@ def retrieval_only(notes: DataFrame, base: DataFrame, k: int = 15, mask: DataFra
 
 
 def evidence(notes: DataFrame, candidates: DataFrame, base: DataFrame, k: int = 2, size: int = 256, overlap: int = 32, alpha: float = 1.0, encode=None, snippet: int = 0) -> DataFrame:
-    """(note, code, evidence, evidence_preview, evidence_chunk_id, evidence_score): the best chunks of the note itself for each candidate, joined; '' and 0 for a note without text."""
+    """(note, code, evidence, evidence_preview, evidence_chunk_id, evidence_score): the best chunks of the note itself for each candidate, joined; '' and 0 for a note without text.
+
+    The score is the best chunk's, scaled between the note's own chunks: 1 for the best where they differ (BM25 alone), and 0 where nothing tells them apart: in a note of
+    one chunk (up to ``size`` words), and where all chunks tie. So with BM25 alone it says whether the note has a passage of its own for the code, not how good it is.
+    """
     c = notes.select("note", F.posexplode(chunks(F.col("text"), size, overlap)).alias("doc", "text"))
     q = candidates.select("note", "code").join(base.select("code", "text"), "code").select("note", F.col("code").alias("query"), evidence_query(F.col("code"), F.col("text")).alias("text"))
     best = rt.note_local(q, c, k, alpha, encode).join(c.select("note", "doc", F.col("text").alias("chunk")), ["note", "doc"])
@@ -48,6 +52,8 @@ def coded(notes: DataFrame, base: DataFrame, k: int = 15, least: float = 0.3, mo
     Candidates, note-local evidence, scores, evidence constraint (mode ``off``, ``flag`` or ``filter``), contrastive step, null-aware rank, threshold with ``min_final`` kept, cap.
     ``contrast``: in families of borderline codes the verifier (here: the better score) rejects the runner-up. ``legacy``: the constraint
     looks at the evidence score alone, and every code of a family but the best is verified against it, borderline or not.
+    Evidence of a note of one chunk scores 0 (see ``evidence``), so with ``least`` above 0 ``filter`` drops all its codes and ``flag`` marks them; the
+    scorer sees all the evidence either way, without the caps of a prompt.
     """
     cand = retrieval_only(notes, base, k).withColumnRenamed("confidence", "retrieval_score").withColumnRenamed("rank", "candidate_rank")
     e = evidence(notes, cand, base, alpha=alpha, encode=encode).join(base.select("code", F.col("text").alias("title")), "code")

@@ -12,7 +12,7 @@ from .registry import query
 
 
 def facts(spark, d, run="a"):
-    return ev.facts(fx.gold(spark, d), fx.predictions(spark, d, run))
+    return fx.facts(spark, d, run)
 
 
 def counts(spark, d, run="a"):
@@ -248,6 +248,26 @@ def errors(spark, d):
     return ev.error_rates(fx.sample_records(spark, d), bad)
 
 
+_GROUPS = {
+    "classification": "with " + _all("facts_a", "select distinct code from labels"),
+    "hierarchical": f"with {_PARENTS}, " + _all("pf", "select distinct code from pf"),
+    "hierarchical_error": "with w as (select f.*, bool_or(in_gold) over (partition by note, substr(code,1,3)) near from facts_a f) select count(*) wrong, count(*) filter (near) near, round(count(*) filter (near)/count(*),6) hierarchical_error_rate from w where in_pred and not in_gold",
+    "lift": "select round(case when sum(st)>0 and sum(ut)>0 and sum(ug)>0 then (sum(sg)/sum(st))/(sum(ug)/sum(ut)) end,6) lift, sum(sg) sg, sum(st) st, sum(ug) ug, sum(ut) ut from counts_a",
+}
+_LONG = " union all ".join(f"""select '{g}' "group", metric, value::double "value" from (unpivot (select columns(*)::double from ({sql})) on columns(*) into name metric value value)""" for g, sql in _GROUPS.items())
+
+
+@query("ag_suite", with_("notes labels facts_a counts_a", _LONG))
+def suite(spark, d):
+    """The metrics of run a in one plan: classification, categories, near misses, lift. ``ag_suite_records`` adds what its records tell."""
+    return ev.suite(facts(spark, d), fx.notes(spark, d), fx.labels(spark, d))
+
+
+@query("ag_suite_records")
+def suite_records(spark, d):
+    return ev.suite(facts(spark, d), fx.notes(spark, d), fx.labels(spark, d), fx.code_records(spark, d), fx.sample_records(spark, d))
+
+
 @query("ag_run_summary", "select user_id % 10 run, count(*) records, count(*) filter (event_type='error') failed, round(count(*) filter (event_type='error')/count(*),6) error_rate, round(avg(value) filter (event_type<>'error'),6) mean_runtime, min(event_id) first_id from events group by 1")
 def run_summary(spark, d):
     e, bad = fx.table(spark, d, "events"), F.col("event_type") == "error"

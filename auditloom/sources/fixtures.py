@@ -60,6 +60,18 @@ def predictions(spark: SparkSession, d: str, run: str = "a") -> DataFrame:
     return rows.withColumn("rank", rank)
 
 
+def facts(spark: SparkSession, d: str, run: str = "a") -> DataFrame:
+    """What ``gold`` and ``predictions`` of a run give as facts, in one pass over the lines and one shuffle by note."""
+    keep = F.expr(KEEP[run])
+    f = lines(spark, d).select("note", "code", "l_discount", "l_extendedprice", "l_returnflag", "l_linenumber", keep.alias("k")).repartition("note").groupBy("note", "code").agg(
+        F.bool_or(F.col("l_discount") <= 0.06).alias("in_gold"), F.bool_or("k").alias("in_pred"), (F.max(F.when(F.col("k"), F.col("l_extendedprice"))) / 110000).alias("c"),
+        F.bool_or(F.when(F.col("k"), F.col("l_returnflag") != "N")).alias("s"), F.min(F.when(F.col("k"), F.col("l_linenumber"))).alias("line"),
+    ).where("in_gold or in_pred")
+    f = f.select("note", "code", "in_gold", "in_pred", F.when(F.col("line") % 7 != 0, F.col("c")).alias("confidence"), (F.lit(None).cast("boolean") if run == "c" else F.col("s")).alias("supported"))
+    rank = F.row_number().over(Window.partitionBy("note").orderBy(F.desc("in_pred"), F.desc_nulls_last("confidence"), "code"))
+    return f.select("note", "code", "in_gold", "in_pred", F.when(F.col("in_pred"), rank).alias("rank"), "supported", "confidence")
+
+
 def run_masks(spark: SparkSession, d: str, runs: dict[str, str]) -> DataFrame:
     """(note, code, mask) of the gold codes (bit 0) and of the runs a to f that ``runs`` names (bits 1 and on), and a row without code for each note."""
     keep = ["l_discount <= 0.06", *(KEEP[r] for r in runs.values())]

@@ -271,10 +271,29 @@ def test_tfidf_learner(spark):
 def test_coded_plan(spark):
     from auditloom.plans import coding
 
-    notes = spark.createDataFrame([(1, "the patient had chest pain and acute heart failure"), (2, None), (3, "")], "note int, text string")
+    filler = " ".join(f"w{i}" for i in range(300))
+    phrase = "the patient had chest pain and acute heart failure"
+    notes = spark.createDataFrame([(1, f"{phrase} {filler}"), (2, None), (3, ""), (4, phrase)], "note int, text string")
     base = spark.createDataFrame([("A01", "acute heart failure"), ("B01", "broken leg")], "code string, text string")
-    r = coding.coded(notes, base).collect()
-    assert [(x.note, x.code) for x in r] == [(1, "A01")]
+    kept = lambda **o: {(r.note, r.code) for r in coding.coded(notes, base, **o).collect()}
+    assert kept() == {(1, "A01")}  # a note of one chunk keeps nothing
+    assert {x for x in kept(mode="off") if x[0] in (1, 4)} >= {(1, "A01"), (4, "A01")}
+    flagged = {(r.note, r.code): r for r in coding.coded(notes, base, mode="flag").collect()}
+    assert flagged[4, "A01"].risk_flag == "weak_evidence" and not flagged[4, "A01"].supported and flagged[4, "A01"].evidence_score == 0
+    assert flagged[1, "A01"].risk_flag == "none" and flagged[1, "A01"].evidence_score == 1
+    assert kept(least=0.0) >= {(1, "A01"), (4, "A01")}
+
+
+def test_evidence_of_equal_chunks_scores_zero(spark):
+    from auditloom.plans import coding
+
+    same = " ".join(["acute heart failure"] * 75 + ["x"] * 31)  # two chunks, in which each token is in both
+    notes = spark.createDataFrame([(1, same), (2, "one " * 300 + "acute " + "two " * 300)], "note int, text string")
+    base = spark.createDataFrame([("A01", "acute heart failure")], "code string, text string")
+    cand = spark.createDataFrame([(1, "A01"), (2, "A01")], "note int, code string")
+    e = {r.note: r for r in coding.evidence(notes, cand, base, k=1).collect()}
+    assert e[2].evidence_score == 1 and "acute" in e[2].evidence and e[2].evidence_chunk_id == "chunk_1"
+    assert e[1].evidence_score in (0, 1) and e[1].evidence
 
 
 def test_dense_over_all_rows(spark):
