@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 # The fields that a stored record, each of its codes, and each code of a contrastive run must have.
 RECORD_FIELDS = ["subject_id", "hadm_id", "experiment_id", "seed", "gold_codes", "predicted_codes", "runtime_sec", "config_hash"]
 CODE_FIELDS = ["code", "confidence", "supported", "evidence_score", "icd_description", "rationale", "risk_flag"]
@@ -43,6 +45,60 @@ def holds(value: Column, stated: Column, decimals: Column) -> Column:
     return F.coalesce(near(F.round(value * scale, 0)) | near(F.bround(value * scale, 0)), F.lit(False))
 
 
+def nodes(records: DataFrame, key: str, json: str = "json") -> DataFrame:
+    """(key, parts, value, leaf): every object, list and scalar of each record's JSON, by the keys (and list places) that lead to it.
+
+    One step a level of nesting, as many as the deepest record has; each level is written once. ``value`` is the JSON text. A record that isn't JSON has no rows.
+    """
+    scratch = Scratch(records.sparkSession, "json")
+    v = F.try_parse_json("value")
+    kind = F.schema_of_variant(v)
+    is_object, is_list = kind.startswith("OBJECT"), kind.startswith("ARRAY")
+    entry = lambda k, x: F.struct(k.alias("k"), F.to_json(x).alias("value"))
+    of_object = F.transform(F.map_entries(F.when(is_object, v).cast("map<string,variant>")), lambda e: entry(e["key"], e["value"]))
+    of_list = F.transform(F.when(is_list, v).cast("array<variant>"), lambda x, i: entry(i.cast("string"), x))
+    level = records.select(F.col(key).alias("key"), F.array().cast("array<string>").alias("parts"), F.col(json).alias("value")).where(v.isNotNull())
+    out = None
+    while True:
+        level = scratch.save(level.withColumn("leaf", ~(is_object | is_list)), "level")
+        out = level if out is None else out.unionByName(level)
+        inner = level.where("not leaf")
+        if not inner.limit(1).count():
+            return out
+        level = inner.select("key", "parts", F.explode(F.coalesce(of_object, of_list)).alias("e")).select("key", F.concat("parts", F.array("e.k")).alias("parts"), F.col("e.value").alias("value"))
+
+
+def flatten(records: DataFrame, key: str, json: str = "json", lists: bool = False) -> DataFrame:
+    """(key, metric, value): the scalars of nested records by dotted key, values as JSON text. ``lists``: go into lists too, by place from 0; else they are left out.
+
+    Keys that hold dots stay as they are, so a dotted key may stand for several ways down; each is a row.
+    """
+    every = nodes(records, key, json)
+    n = every.where("leaf and size(parts) > 0")
+    if not lists:
+        inside = every.where("not leaf").where(F.col("value").startswith("[")).select("key", F.col("parts").alias("_list"))
+        n = n.alias("n").join(inside.alias("l"), (F.col("n.key") == F.col("l.key")) & (F.slice("n.parts", 1, F.size("l._list")) == F.col("l._list")), "left_anti")
+    return n.select("key", F.array_join("parts", ".").alias("metric"), "value")
+
+
+def get(records: DataFrame, key: str, paths: list[str], json: str = "json") -> DataFrame:
+    """(key, path, value): dotted paths looked up in each record by the greedy rule, null where it finds nothing.
+
+    Among the keys of an object that the rest of the path begins with, the longest is taken, whether or not the way ends there; list places are numbers.
+    """
+    n = nodes(records, key, json)
+    asked = records.select(F.col(key).alias("key"), F.explode(F.array(*map(F.lit, paths))).alias("path"))
+    dotted = F.array_join("parts", ".")
+    on_way = n.where("size(parts) > 0").join(asked, "key").where((dotted == F.col("path")) | F.col("path").startswith(F.concat(dotted, F.lit("."))))
+    up = F.slice("parts", 1, F.size("parts") - 1)
+    taken = on_way.withColumn("_r", F.row_number().over(Window.partitionBy("key", "path", up).orderBy(F.length(dotted).desc()))).where("_r = 1").select("key", "path", "parts", "value")
+    # The way down from the root: a node counts if all nodes above it were taken too.
+    above = taken.select("key", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.slice("parts", 1, i))).alias("up"), F.col("parts").alias("end"), F.col("value").alias("found"))
+    whole = above.join(taken.select("key", "path", F.col("parts").alias("up")), ["key", "path", "up"]).groupBy("key", "path", "end").agg(F.count("*").alias("n"), F.first("found").alias("value"))
+    whole = whole.where((F.col("n") == F.size("end")) & (F.array_join("end", ".") == F.col("path"))).select("key", "path", "value")
+    return asked.join(whole, ["key", "path"], "left")
+
+
 def by_path(metrics: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, value): dotted paths looked up in flattened metrics (metric, value); of a path with dots in its keys the whole key counts. Null where there is none."""
     return paths.select("path").join(metrics.select(F.col("metric").alias("path"), "value"), "path", "left")

@@ -222,6 +222,22 @@ def randomization(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     return deltas.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs("d") >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
+def pruning_nulls(notes: DataFrame) -> DataFrame:
+    """(notes, emitted, oracle_f1, random_f1, random_std): the best and the expected micro-F1 of keeping some codes of a shortlist.
+
+    ``notes``: (shortlist, hits, budget, gold), one row a note: the codes of its shortlist, how many of them are gold, how many codes it may keep, its gold
+    codes. The oracle keeps gold codes first. Random pruning keeps e = min(budget, shortlist) codes, each choice equally likely, so its hits are hypergeometric: mean
+    e h / s and variance e (h / s) (1 - h / s) (s - e) / (s - 1). What is emitted doesn't depend on the choice, so F1 has exact moments: no draw is made.
+    """
+    c = notes.groupBy("shortlist", "hits", "budget", "gold").agg(F.count("*").alias("m"))  # cells; a handful of numbers each
+    s, h, e, m = F.col("shortlist"), F.col("hits"), F.greatest(F.lit(0), F.least("budget", "shortlist")), F.col("m")
+    share = F.when(s > 0, h / s).otherwise(0.0)
+    spread = F.when(s > 1, e * share * (1 - share) * (s - e) / (s - 1)).otherwise(0.0)
+    t = c.agg(F.sum("m").alias("notes"), F.sum(m * e).alias("emitted"), F.sum(m * F.col("gold")).alias("_g"), F.sum(m * F.least(e, h)).alias("_o"), F.sum(m * e * share).alias("_r"), F.sum(m * spread).alias("_v"))
+    d = F.col("emitted") + F.col("_g")
+    return t.select("notes", "emitted", *(F.when(d > 0, 2 * x / d).alias(k) for k, x in (("oracle_f1", F.col("_o")), ("random_f1", F.col("_r")), ("random_std", F.sqrt("_v")))))
+
+
 def top_labels(gold: DataFrame) -> DataFrame:
     """(code, n, pos): labels by falling frequency, ties by code."""
     c = gold.groupBy("code").agg(F.count("*").alias("n"))

@@ -59,6 +59,29 @@ def flatten(spark, d):
     return m.unpivot(["run"], ["avg_runtime", "peak", "n"], "metric", "value").select("run", F.concat(F.lit("cost."), "metric").alias("metric"), "value")
 
 
+_NEST = """'{"run":{"id":' || event_id || ',"k.v":' || user_id || ',"none":null,"list":[1,{"x":"' || event_type || '"}]},"run.id":' || user_id || ',"flat":' || coalesce(props, 'null') || '}'"""
+_TREE = f"t as (select event_id, regexp_replace(replace(replace(t.fullkey, '$.', ''), '\"', ''), '\\[([0-9]+)\\]', '.\\1', 'g') metric, t.type, t.fullkey, coalesce(t.value::varchar, 'null') \"value\" from (select event_id, ({_NEST})::json j from events), json_tree(j) t)"
+
+
+def nested(spark, d):
+    """Events as nested records: keys with dots, lists, nulls, and a dotted key that another way down spells too."""
+    return fx.table(spark, d, "events").select("event_id", F.expr(_NEST.replace(" || event_id || ", " || cast(event_id as string) || ").replace(" || user_id || ", " || cast(user_id as string) || ")).alias("json"))
+
+
+@query("ag_flatten_json", f"""with {_TREE} select event_id, metric, "value" from t where type not in ('OBJECT', 'ARRAY')""")
+def flatten_json(spark, d):
+    return reports.flatten(nested(spark, d), "event_id", lists=True).select(F.col("key").alias("event_id"), "metric", "value")
+
+
+PATHS = ["run.id", "run.k.v", "run.none", "run.list.1.x", "flat.k", "run.list.7", "run.k"]
+
+
+@query("rg_get_path", f"""with {_TREE}, p as (select unnest({PATHS}) path), f as (select event_id, metric, arg_max("value", (fullkey = '$."run.id"')::int) "value" from t group by all) select e.event_id, path, f."value" from events e cross join p left join f on f.event_id = e.event_id and f.metric = path""")
+def get_path(spark, d):
+    """Paths by the greedy rule: of ``run.id`` the whole key counts before the nested one."""
+    return reports.get(nested(spark, d), "event_id", PATHS).select(F.col("key").alias("event_id"), "path", "value")
+
+
 @query("ag_diagnostics", with_("pred_a", "select note % 4 experiment, count(*) codes, count(*) filter (supported) supported, count(*) filter (confidence is null) without_confidence, count(distinct substr(code,1,3)) families from pred_a group by 1"))
 def diagnostics(spark, d):
     return fx.predictions(spark, d).groupBy((F.col("note") % 4).alias("experiment")).agg(F.count("*").alias("codes"), F.count_if("supported").alias("supported"), F.count_if(F.col("confidence").isNull()).alias("without_confidence"), F.countDistinct(F.substring("code", 1, 3)).alias("families"))

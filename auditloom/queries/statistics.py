@@ -206,6 +206,16 @@ def oracle_null(spark, d):
     return p.crossJoin(F.broadcast(g)).select(F.round(2 * F.col("ho") / (F.col("emitted") + F.col("gold")), 6).alias("oracle_f1"), F.round(2 * F.col("hr") / (F.col("emitted") + F.col("gold")), 6).alias("random_f1"), "emitted")
 
 
+@query("st_pruning_nulls", with_("facts_b counts_a", """with n as (select f.note, count(*) filter (in_pred) s, count(*) filter (in_pred and in_gold) h, count(*) filter (in_gold) g, max(tp+fp) k from facts_b f join counts_a a using (note) group by f.note), e as (select *, least(s, k) e from n)
+ select count(*) notes, sum(e)::bigint emitted, round(2*sum(least(e,h))/(sum(e)+sum(g)),6) oracle_f1, round(2*sum(case when s>0 then e*h/s else 0 end)/(sum(e)+sum(g)),6) random_f1, round(2*sqrt(sum(case when s>1 then e*(h/s)*(1-h/s)*(s-e)/(s-1) else 0 end))/(sum(e)+sum(g)),6) random_std from e"""))
+def pruning_nulls(spark, d):
+    """Over run b's shortlist, each note with run a's number of codes: the oracle, and the exact moments of random pruning."""
+    budget = counts(spark, d, "a").select("note", (F.col("tp") + F.col("fp")).alias("budget"))
+    n = facts(spark, d, "b").groupBy("note").agg(F.count_if("in_pred").alias("shortlist"), F.count_if(F.expr("in_pred and in_gold")).alias("hits"), F.count_if("in_gold").alias("gold"))
+    out = st.pruning_nulls(n.join(budget, "note"))
+    return out.select("notes", "emitted", *(F.round(c, 6).alias(c) for c in ("oracle_f1", "random_f1", "random_std")))
+
+
 @query("st_cardinality_sweep", with_("facts_a", """select b budget, round(2*count(*) filter (in_gold and "rank"<=b)/(count(*) filter ("rank"<=b)+count(*) filter (in_gold)),6) f1, count(*) filter ("rank"<=b) emitted from facts_a, (values (1),(2),(3),(4),(5),(8),(10),(15),(999)) v(b) group by b"""))
 def sweep(spark, d):
     budgets = F.explode(F.array(*map(F.lit, (1, 2, 3, 4, 5, 8, 10, 15, 999)))).alias("budget")
