@@ -62,14 +62,15 @@ def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(queries)).select("query", "doc", F.round(dot, 5).alias("score"))
 
 
-def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", queries: int = 2048, docs: int = 8192) -> DataFrame:
-    """(query, doc, score, rank): the k best rows by cosine of every row of ``table``, itself included, ties by doc.
+def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", queries: int = 2048, docs: int = 8192, asked: str | None = None) -> DataFrame:
+    """(query, doc, score, rank): the k best rows by cosine of every row of ``table``, itself included, ties by doc. ``asked``: a condition on ``id`` that the queries meet.
 
     Rows are dealt to blocks; a query block meets the document blocks one after the other and holds its k best so far,
     so pairs of rows never become rows. Rows without a vector are no query and no document.
     """
     rows = table.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    n = rows.count()
+    wanted = rows if asked is None else rows.where(asked)
+    n, n_asked = rows.count(), wanted.count()
 
     def pack(batches):
         for b in batches:
@@ -77,9 +78,9 @@ def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embed
                 ids, flat = b.column(1)[i].values.field("id"), b.column(1)[i].values.field("v")
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b.column(0)[i].as_py()], pa.int64()), "ids": pa.array([ids.to_numpy().tobytes()], pa.binary()), "vs": pa.array([flat.flatten().to_numpy().astype(np.float64).tobytes()], pa.binary())})
 
-    def blocks(size: int) -> DataFrame:
+    def blocks(of: DataFrame, n: int, size: int) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).cast("long")
-        return rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("x")).mapInArrow(pack, "block long, ids binary, vs binary")
+        return of.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("x")).mapInArrow(pack, "block long, ids binary, vs binary")
 
     def unit(b, ids: str, vs: str, i: int):
         at = lambda c: b.column(b.schema.get_field_index(c))[i].as_py()
@@ -118,10 +119,10 @@ def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embed
         if held is not None:
             yield emit()
 
-    q, d = blocks(queries), blocks(docs)
+    q, d = blocks(wanted, n_asked, queries), blocks(rows, n, docs)
     each = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // docs)) - 1)).cast("array<bigint>")))  # a Cartesian product would make a task of each two partitions
     pairs = each.join(d.select(F.col("block").alias("other"), F.col("ids").alias("ids_d"), F.col("vs").alias("vs_d")), "other").select("block", "ids", "vs", "ids_d", "vs_d")
-    return pairs.repartition(max(1, -(-n // queries)), "block").sortWithinPartitions("block").mapInArrow(run, "query long, doc long, score double, rank int")
+    return pairs.repartition(max(1, -(-n_asked // queries)), "block").sortWithinPartitions("block").mapInArrow(run, "query long, doc long, score double, rank int")
 
 
 def universe(queries: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:

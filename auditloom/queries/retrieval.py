@@ -52,38 +52,36 @@ def minmax(spark, d):
 
 
 _DENSE = """nv as (select vec_id, label, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double*y::double))), 1e-9)) v from embeddings),
- dn as (select a.vec_id query, b.vec_id doc, round(list_dot_product(a.v,b.v),5) score from nv a join nv b on true where a.vec_id < 20)"""
-
-
-def dense(spark, d):
-    v = rt.normalised(fx.table(spark, d, "embeddings"))
-    return rt.cosine(v.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")))
+ dn as (select a.vec_id query, b.vec_id doc, round(list_dot_product(a.v,b.v),5) score from nv a join nv b on true where a.vec_id % 20 = 0)"""
 
 
 @query("ret_dense_topk", f"with {_DENSE} select query, doc, score, (row_number() over (partition by query order by score desc, doc))::int \"rank\" from dn qualify \"rank\" <= 10")
 def dense_topk(spark, d):
-    return rt.top_k(dense(spark, d), 10)
+    """The vectors whose id is divisible by 20 against all."""
+    return rt.dense_top_k(fx.table(spark, d, "embeddings"), 10, asked="id % 20 = 0")
 
 
-@query("ret_hybrid_topk", f"""with {_ALL}, {_DENSE}, lex as (select * from al where query < 20 and doc < 40), {_MM.format('lex')}, d2 as (select * from dn where doc < 40), {_MM.format('d2').replace('mm as', 'mn as')}
+@query("ret_hybrid_topk", f"""with {_ALL}, {_DENSE}, lex as (select * from al where query % 20 = 0), {_MM.format('lex')}, d2 as (select * from dn where doc in (select doc from kb)), {_MM.format('d2').replace('mm as', 'mn as')}
  select query, doc, round(0.6*mm.mm+(1-0.6)*mn.mm,6) score, (row_number() over (partition by query order by round(0.6*mm.mm+(1-0.6)*mn.mm,6) desc, doc))::int \"rank\" from mm join mn using (query, doc) qualify \"rank\" <= 5""")
 def hybrid_topk(spark, d):
-    """Benchmark items as the label base of both sides; the vector of the same number stands for a text's embedding."""
-    q, b = notes(spark, d).where("query < 20"), base(spark, d).where("doc < 40")
-    lex = rt.universe(q, b, rt.bm25(q, base(spark, d))).where("doc < 40")
-    return rt.top_k(rt.hybrid(lex, dense(spark, d).where("doc < 40"), 0.6).drop("skipped_dense"), 5)
+    """The documents whose id is divisible by 20 and that have a vector against the whole label base; the vector of the same number stands for a text's embedding."""
+    return _hybrid(spark, d, notes(spark, d).where("query % 20 = 0"))
 
 
 @query("ret_dense_topk_all")
 def dense_topk_all(spark, d):
-    """Every vector against every vector; ``ret_dense_topk`` and its SQL take 20 of them as queries."""
+    """Every vector against every vector; ``ret_dense_topk`` and its SQL take those with ids divisible by 20 as queries."""
     return rt.dense_top_k(fx.table(spark, d, "embeddings"), 10)
 
 
 @query("ret_hybrid_topk_all")
 def hybrid_topk_all(spark, d):
-    """Every document that has a vector against the whole label base; ``ret_hybrid_topk`` and its SQL take 20 documents and 40 labels."""
-    q, b, v = notes(spark, d), base(spark, d), rt.normalised(fx.table(spark, d, "embeddings"))
+    """Every document that has a vector against the whole label base; ``ret_hybrid_topk`` and its SQL take those with ids divisible by 20."""
+    return _hybrid(spark, d, notes(spark, d))
+
+
+def _hybrid(spark, d, q):
+    b, v = base(spark, d), rt.normalised(fx.table(spark, d, "embeddings"))
     labels = v.join(b.select(F.col("doc").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     asked = v.join(q.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
     near = rt.cosine(labels, asked).select(F.col("doc").alias("query"), F.col("query").alias("doc"), "score")  # cosine is symmetric; the label base is the small side
@@ -99,25 +97,26 @@ def txt_chunks(spark, d):
     return c.select("note", "chunk", F.md5("text").alias("h"))
 
 
-_LOCAL = f"""{_CH}, ct as (select note, chunk doc, {TOK.format('text')} t from ch), p as (select note, doc, len(t) dl, token, count(*) tf from (select note, doc, t, unnest(t) token from ct) group by all),
+_LOCAL = f"""{_CH}, ct as (select note, chunk doc, {TOK.format('text')} t from ch where note % 20 = 0), p as (select note, doc, len(t) dl, token, count(*) tf from (select note, doc, t, unnest(t) token from ct) group by all),
  s as (select note, count(*) n, avg(len(t)) avgdl from ct group by note), idf as (select p.note, token, ln(1+(n-count(*)+0.5)/(count(*)+0.5)) idf from p join s using (note) group by p.note, token, n),
- q as (select item_id query, unnest(list_distinct({TOK.format('text')})) token from benchmark where item_id < 5),
+ q as (select item_id query, unnest(list_distinct({TOK.format('text')})) token from benchmark),
  hit as (select p.note, query, doc, round(sum(idf*tf*2.5/(tf+1.5*(1-0.75+0.75*dl/avgdl))),6) score from p join idf using (note, token) join s using (note) join q using (token) where idf >= 1e-4 group by 1,2,3)"""
 
 
 @query("ret_note_local_evidence", f"with {_LOCAL} select note, query, doc, score, (row_number() over (partition by note, query order by score desc, doc))::int \"rank\" from hit qualify \"rank\" <= 2")
 def note_local(spark, d):
-    """Five labels against the chunks of each note; every statistic is the note's own."""
-    c = fx.table(spark, d, "documents").select(F.col("doc_id").alias("note"), F.posexplode(chunks(F.col("text"))).alias("doc", "text"))
-    labels = fx.table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query"), "text")
-    q = c.select("note").distinct().join(F.broadcast(labels))  # five rows
-    return rt.top_k(rt.bm25(q, c, within=["note"]), 2, by=["note", "query"])
+    """All labels against the chunks of the notes whose id is divisible by 20; every statistic is the note's own."""
+    return _note_local(spark, d, fx.table(spark, d, "documents").where("doc_id % 20 = 0"))
 
 
 @query("ret_note_local_evidence_all")
 def note_local_all(spark, d):
-    """All labels against the chunks of each note; ``ret_note_local_evidence`` and its SQL take five of them."""
-    c = fx.table(spark, d, "documents").select(F.col("doc_id").alias("note"), F.posexplode(chunks(F.col("text"))).alias("doc", "text"))
+    """All labels against the chunks of each note; ``ret_note_local_evidence`` and its SQL take the notes with ids divisible by 20."""
+    return _note_local(spark, d, fx.table(spark, d, "documents"))
+
+
+def _note_local(spark, d, documents):
+    c = documents.select(F.col("doc_id").alias("note"), F.posexplode(chunks(F.col("text"))).alias("doc", "text"))
     labels = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
     return rt.top_k(rt.bm25(labels, c, within=["note"]), 2, by=["note", "query"])
 
@@ -129,19 +128,17 @@ def leakage(spark, d):
     return rt.leakage(t.select(F.col("query").alias("note"), (F.col("query") % 7).alias("subject"), F.col("doc").alias("from_note"), (F.col("doc") % 7).alias("from_subject")))
 
 
-@query("ret_squash", f"with {_BASE} select query, doc, round(case when score > 0 then least(1, score/(1+score)) else 0 end,6) squashed from hit where doc < 3")
+@query("ret_squash", f"with {_BASE} select query, doc, round(case when score > 0 then least(1, score/(1+score)) else 0 end,6) squashed from hit")
 def squash(spark, d):
     from ..functions.columns import squash as f
 
-    return rt.bm25(notes(spark, d), base(spark, d)).where("doc < 3").select("query", "doc", F.round(f(F.col("score")), 6).alias("squashed"))
+    return rt.bm25(notes(spark, d), base(spark, d)).select("query", "doc", F.round(f(F.col("score")), 6).alias("squashed"))
 
 
 @query("ret_squash_all")
 def squash_all(spark, d):
-    """All labels; ``ret_squash`` and its SQL take three of them."""
-    from ..functions.columns import squash as f
-
-    return rt.bm25(notes(spark, d), base(spark, d)).select("query", "doc", F.round(f(F.col("score")), 6).alias("squashed"))
+    """``ret_squash``, which takes all labels by now."""
+    return squash(spark, d)
 
 
 _W = "('0x'||substr(h,{0}+7,2)||substr(h,{0}+5,2)||substr(h,{0}+3,2)||substr(h,{0}+1,2))::bigint % 10007 / 10007.0::double"

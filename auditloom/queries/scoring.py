@@ -123,22 +123,24 @@ def pool(spark, d):
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 
 
-@query("scr_mock_scores", f"""with p as (select b.item_id, d.doc_id, {_WORDS.format('b.text')} h, {_WORDS.format('d.text')} n from benchmark b, documents d where d.doc_id % 20 = b.item_id % 20), o as (select item_id, doc_id, case when len(h)>0 then len(list_intersect(h,n))/len(h) else 0 end o from p)
+@query("scr_mock_scores", f"""with p as (select b.item_id, d.doc_id, {_WORDS.format('b.text')} h, {_WORDS.format('d.text')} n from benchmark b, documents d where d.doc_id % 20 = 0), o as (select item_id, doc_id, case when len(h)>0 then len(list_intersect(h,n))/len(h) else 0 end o from p)
  select item_id, doc_id, round(least(0.95, 0.35+0.8*o),3) confidence, o>=0.15 supported from o""")
 def mock(spark, d):
-    b = fx.table(spark, d, "benchmark").select("item_id", F.col("text").alias("title"), (F.col("item_id") % 20).alias("k"))
-    n = fx.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 20).alias("k"))
-    c, s = sc.mock_score(F.col("title"), F.col("text"))
-    return b.join(n, "k").select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))
+    """The notes with ids divisible by 20 with every label."""
+    return _mock(spark, d, fx.table(spark, d, "documents").where("doc_id % 20 = 0"))
 
 
 @query("scr_mock_scores_all")
 def mock_all(spark, d):
-    """Every note with every label; ``scr_mock_scores`` and its SQL pair ids of equal remainder only. Words are found once a text, not once a pair."""
+    """Every note with every label; ``scr_mock_scores`` and its SQL take the notes with ids divisible by 20. Words are found once a text, not once a pair."""
+    return _mock(spark, d, fx.table(spark, d, "documents"))
+
+
+def _mock(spark, d, documents):
     b = fx.table(spark, d, "benchmark").select("item_id", words_longer_than(F.col("text")).alias("h"))
-    n = fx.table(spark, d, "documents").select("doc_id", words_longer_than(F.col("text")).alias("n"))
+    n = documents.select("doc_id", words_longer_than(F.col("text")).alias("n"))
     c, s = sc.mock_score_of(share_of(F.col("h"), F.col("n")))
-    return n.crossJoin(F.broadcast(b)).select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))  # the label base
+    return n.crossJoin(b).select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))  # the label base: Spark broadcasts it up to its own bound
 
 
 @query("scr_assemble", with_("pred_a", "select note, string_agg(code, ',' order by \"rank\") codes, max(confidence) confidence, count(*) filter (coalesce(confidence<0.4,false) or not coalesce(supported,false)) flagged, coalesce('because of ' || arg_min(code, \"rank\") filter (\"rank\" % 3 = 0), '') rationale from pred_a group by note"))

@@ -273,13 +273,10 @@ def threshold_grid(spark, d):
     return st.best(s.select("t", F.round(2 * F.col("tp") / (F.col("e") + F.col("g")), 9).alias("f1")), "f1", F.col("t"))
 
 
-@query("ml_label_thresholds", with_("facts_a", """with s as (select code, t, count(*) filter (in_pred and in_gold and confidence>=t) tp, count(*) filter (in_pred and confidence>=t) e, count(*) filter (in_gold) g from facts_a, (values (0.1::double),(0.3),(0.5),(0.7)) v(t) group by 1,2),
+@query("ml_label_thresholds", with_("facts_a", """with s as (select code, t, count(*) filter (in_pred and in_gold and confidence>=t) tp, count(*) filter (in_pred and confidence>=t) e, count(*) filter (in_gold) g from facts_a, (select i/100.0::double t from range(5, 71) x(i)) group by 1,2),
  f as (select code, t, case when g=0 then null when e+g>0 then round(2*tp/(e+g),9) else 0 end f1 from s) select code, case when max(f1) is null then 0.5 else arg_max(t, (f1, -t)) end threshold from f group by code"""))
 def label_thresholds(spark, d):
-    x = facts(spark, d).select("*", F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7)))).alias("t"))
-    s = x.groupBy("code", "t").agg(F.count_if(F.expr("in_pred and in_gold and confidence >= t")).alias("tp"), F.count_if(F.expr("in_pred and confidence >= t")).alias("e"), F.count_if("in_gold").alias("g"))
-    f = s.withColumn("f1", F.when(F.col("g") > 0, F.round(2 * F.col("tp") / (F.col("e") + F.col("g")), 9)))
-    return f.groupBy("code").agg(F.when(F.max("f1").isNull(), F.lit(0.5)).otherwise(F.max_by("t", F.when(F.col("f1").isNotNull(), F.struct("f1", -F.col("t"))))).alias("threshold"))
+    return label_thresholds_full(spark, d)
 
 
 @query("st_bootstrap_delta_full")
