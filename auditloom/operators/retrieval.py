@@ -3,6 +3,9 @@
 BM25 counts each distinct query token once. Scores cover all documents of the universe: those without a hit have 0, and
 minimum and maximum are taken over the whole universe before any label mask. Zero-score documents are only made where
 the caller wants them; the minimum over all documents follows from the number of hits.
+
+Scores come as they are. ``digits`` rounds them before anything is ranked or scaled, for results that are to be compared with those of
+another engine; without it a score is added by size of its parts, so that equal documents tie wherever their rows come from.
 """
 
 from __future__ import annotations
@@ -33,7 +36,11 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, within: list[str] | None = None, query: str = "query", doc: str = "doc") -> DataFrame:
+def rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, within: list[str] | None = None, query: str = "query", doc: str = "doc", digits: int | None = None) -> DataFrame:
     """(within..., query, doc, score) of the documents that share a token with the query. ``within``: keys inside which documents form a corpus of their own; queries without these keys are asked of each."""
     w = within or []
     p = postings(docs, doc, "text", w)
@@ -44,7 +51,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, with
     q = queries.select(*own, query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = p.join(terms.select(*w, "token", "idf", "avgdl"), [*w, "token"]).join(q, [*own, "token"])
-    return hits.groupBy(*w, query, doc).agg(F.round(F.sum(weight), 6).alias("score"))
+    total = F.aggregate(F.array_sort(F.collect_list(weight)), F.lit(0.0), lambda s, x: s + x) if digits is None else F.round(F.sum(weight), digits)
+    return hits.groupBy(*w, query, doc).agg(total.alias("score"))
 
 
 def normalised(table: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -54,12 +62,12 @@ def normalised(table: DataFrame, vec: str = "embedding") -> DataFrame:
     return table.withColumn(vec, F.transform(x, lambda v: v / norm))
 
 
-def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def cosine(queries: DataFrame, docs: DataFrame, digits: int | None = None) -> DataFrame:
     """(query, doc, score) of every query with every document. ``queries``: (query, q); ``docs``: (doc, v); both normalised. A query set of checked size."""
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     if queries.limit(10_001).count() > 10_000:
         raise ValueError("more than 10,000 queries: use dense_top_k, which works in blocks")
-    return docs.join(F.broadcast(queries)).select("query", "doc", F.round(dot, 5).alias("score"))
+    return docs.join(F.broadcast(queries)).select("query", "doc", rounded(dot, digits).alias("score"))
 
 
 def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", queries: int = 2048, docs: int = 8192, asked: str | None = None) -> DataFrame:
@@ -133,19 +141,19 @@ def universe(queries: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFram
     return u.join(scores, ["query", "doc"], "left").select("query", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def min_max(scores: DataFrame, by: list[str] = ("query",)) -> DataFrame:  # noqa: B006
+def min_max(scores: DataFrame, by: list[str] = ("query",), digits: int | None = None) -> DataFrame:  # noqa: B006
     """``mm``: scores between 0 and 1 within each query; a constant vector becomes 0."""
     w = Window.partitionBy(*by)
     lo, hi = F.min("score").over(w), F.max("score").over(w)
-    return scores.withColumn("mm", F.round(F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0), 6))
+    return scores.withColumn("mm", rounded(F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0), digits))
 
 
-def min_max_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
+def min_max_hits(hits: DataFrame, docs: DataFrame, digits: int | None = None) -> DataFrame:
     """``mm`` of the hits as over all documents: where a query misses some, the minimum is 0; documents without a hit have 0 and no row."""
     n = docs.agg(F.count("*").alias("_n"))
     w = Window.partitionBy("query")
     hi, lo = F.max("score").over(w), F.when(F.count("*").over(w) < F.col("_n"), F.lit(0.0)).otherwise(F.min("score").over(w))
-    return hits.crossJoin(F.broadcast(n)).withColumn("mm", F.round(F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0), 6)).drop("_n")
+    return hits.crossJoin(F.broadcast(n)).withColumn("mm", rounded(F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0), digits)).drop("_n")
 
 
 def best_of_all(queries: DataFrame, docs: DataFrame, hits: DataFrame, k: int) -> DataFrame:
@@ -180,8 +188,8 @@ def note_local(queries: DataFrame, chunks: DataFrame, k: int, alpha: float = 1.0
         norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-9))
         x = out.withColumn("_u", encode(F.col("_q"))).withColumn("_v", encode(F.col("_d"))).withColumnRenamed("mm", "_lex")
         dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-        x = min_max(x.withColumn("score", F.round(dot / (norm(F.col("_u")) * norm(F.col("_v"))), 6)), keys)
-        out = x.withColumn("score", F.round(alpha * F.col("_lex") + (1 - alpha) * F.col("mm"), 6))
+        x = min_max(x.withColumn("score", dot / (norm(F.col("_u")) * norm(F.col("_v")))), keys)
+        out = x.withColumn("score", alpha * F.col("_lex") + (1 - alpha) * F.col("mm"))
     best = top_k(out.select("note", "query", "doc", "score"), max(1, k), by=keys)
     return best.withColumn("skipped_dense", F.lit(encode is None))
 
@@ -200,7 +208,7 @@ def encode_with(table: DataFrame, encoder, text: str = "text", vec: str = "embed
     return rest.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in rest.dtypes), f"`{vec}` array<double>"]))
 
 
-def hybrid(lexical: DataFrame | None, dense: DataFrame | None, alpha: float) -> DataFrame:
+def hybrid(lexical: DataFrame | None, dense: DataFrame | None, alpha: float, digits: int | None = None) -> DataFrame:
     """(query, doc, score, skipped_dense): alpha * lexical + (1 - alpha) * dense after min-max over all documents that both sides have.
 
     alpha 0 or 1 leaves the other side out of the plan; a side that is None is replaced by the other one. ``skipped_dense`` tells
@@ -208,15 +216,15 @@ def hybrid(lexical: DataFrame | None, dense: DataFrame | None, alpha: float) ->
     """
     if (alpha == 1.0 and lexical is None) or (alpha == 0.0 and dense is None) or (lexical is None and dense is None):
         raise ValueError("no index for this search")
-    one = lambda side, skipped: min_max(side).select("query", "doc", F.col("mm").alias("score"), F.lit(skipped).alias("skipped_dense"))
+    one = lambda side, skipped: min_max(side, digits=digits).select("query", "doc", F.col("mm").alias("score"), F.lit(skipped).alias("skipped_dense"))
     if alpha == 1.0 or dense is None:
         return one(lexical, True)
     if alpha == 0.0 or lexical is None:
         return one(dense, False)
     both = lexical.select("query", "doc", F.col("score").alias("x")).join(dense.select("query", "doc", F.col("score").alias("y")), ["query", "doc"])
     w = Window.partitionBy("query")
-    norm = lambda c: F.round(F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.0), 6)
-    return both.withColumn("a", norm("x")).withColumn("b", norm("y")).select("query", "doc", F.round(alpha * F.col("a") + (1 - alpha) * F.col("b"), 6).alias("score"), F.lit(False).alias("skipped_dense"))
+    norm = lambda c: rounded(F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.0), digits)
+    return both.withColumn("a", norm("x")).withColumn("b", norm("y")).select("query", "doc", rounded(alpha * F.col("a") + (1 - alpha) * F.col("b"), digits).alias("score"), F.lit(False).alias("skipped_dense"))
 
 
 def top_k(scores: DataFrame, k: int, by: list[str] = ("query",), mask: DataFrame | None = None, doc: str = "doc") -> DataFrame:  # noqa: B006

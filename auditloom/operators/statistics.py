@@ -198,9 +198,11 @@ def sides(a: str, b: str) -> tuple[list[str], list[str]]:
     return [f"{c}_{a}" for c in ("tp", "fp", "fn")], [f"{c}_{b}" for c in ("tp", "fp", "fn")]
 
 
-def delta_f1() -> Column:
+def delta_f1(digits: int | None = None) -> Column:
+    """F1 of a - F1 of b from summed columns."""
     side = lambda s: f1(F.col(f"tp_{s}"), F.col(f"fp_{s}"), F.col(f"fn_{s}"))
-    return F.round(side("a") - side("b"), 9)
+    d = side("a") - side("b")
+    return d if digits is None else F.round(d, digits)
 
 
 def interval(reps: DataFrame, column: str, level: float = 0.95) -> DataFrame:
@@ -211,14 +213,14 @@ def interval(reps: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     return one.select(F.size("v").cast("long").alias("replicates"), at(lo).alias("lo"), at(hi).alias("hi"))
 
 
-def randomization(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+def randomization(rows: DataFrame, replicates: int, seed: int, digits: int | None = None) -> DataFrame:
     """Approximate randomisation of the F1 difference: sides are swapped per note by a hash bit."""
     bit = u32(F.lit(str(seed)), F.lit("swap"), F.col("rep"), F.col("note")) % 2 == 1
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     cols = ("tp", "fp", "fn")
     sums = reps.groupBy("rep").agg(*[F.sum(F.when(bit, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}"))).alias(f"{c}_{s}") for c in cols for s, o in (("a", "b"), ("b", "a"))])
-    deltas = sums.select("rep", delta_f1().alias("d"))
-    seen = rows.agg(*[F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in cols for s in "ab"]).select(delta_f1().alias("observed"))
+    deltas = sums.select("rep", delta_f1(digits).alias("d"))
+    seen = rows.agg(*[F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in cols for s in "ab"]).select(delta_f1(digits).alias("observed"))
     return deltas.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs("d") >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 

@@ -9,6 +9,7 @@ from ..operators import retrieval as rt
 from ..sources import fixtures as fx
 from .registry import query
 
+DIGITS = 6  #: of scores, here and in the SQL
 TOK = "list_filter(string_split_regex(lower(coalesce({}, '')), '[ \\n\\t\\r\\f\\x0B]+'), lambda x: x <> '')"
 _BASE = f"""kb as (select item_id doc, {TOK.format('text')} t from benchmark), p as (select doc, len(t) dl, token, count(*) tf from (select doc, t, unnest(t) token from kb) group by all),
  s as (select count(*) n, avg(len(t)) avgdl from kb), idf as (select token, ln(1+(n-count(*)+0.5)/(count(*)+0.5)) idf from p, s group by token, n),
@@ -35,20 +36,20 @@ def bm25_stats(spark, d):
 @query("ret_bm25_topk", f"with {_ALL} select query, doc, score, (row_number() over (partition by query order by score desc, doc))::int \"rank\" from al qualify \"rank\" <= 5")
 def bm25_topk(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    return rt.best_of_all(q, b, rt.bm25(q, b), 5)
+    return rt.best_of_all(q, b, rt.bm25(q, b, digits=DIGITS), 5)
 
 
 @query("ret_bm25_masked", f"with {_ALL} select query, doc, score, (row_number() over (partition by query order by score desc, doc))::int \"rank\" from al where doc % 3 = 0 qualify \"rank\" <= 3")
 def bm25_masked(spark, d):
     q, b = notes(spark, d), base(spark, d)
     m = b.where("doc % 3 = 0")
-    return rt.best_of_all(q, m, rt.bm25(q, b).where("doc % 3 = 0"), 3)
+    return rt.best_of_all(q, m, rt.bm25(q, b, digits=DIGITS).where("doc % 3 = 0"), 3)
 
 
 @query("ret_minmax", f"with {_ALL}, {_MM.format('al')} select query, doc, mm from mm")
 def minmax(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    return rt.min_max(rt.universe(q, b, rt.bm25(q, b))).select("query", "doc", "mm")
+    return rt.min_max(rt.universe(q, b, rt.bm25(q, b, digits=DIGITS)), digits=DIGITS).select("query", "doc", "mm")
 
 
 _DENSE = """nv as (select vec_id, label, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double*y::double))), 1e-9)) v from embeddings),
@@ -84,8 +85,8 @@ def _hybrid(spark, d, q):
     b, v = base(spark, d), rt.normalised(fx.table(spark, d, "embeddings"))
     labels = v.join(b.select(F.col("doc").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     asked = v.join(q.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
-    near = rt.cosine(labels, asked).select(F.col("doc").alias("query"), F.col("query").alias("doc"), "score")  # cosine is symmetric; the label base is the small side
-    return rt.top_k(rt.hybrid(rt.universe(q, b, rt.bm25(q, b)), near, 0.6).drop("skipped_dense"), 5)
+    near = rt.cosine(labels, asked, digits=5).select(F.col("doc").alias("query"), F.col("query").alias("doc"), "score")  # cosine is symmetric; the label base is the small side
+    return rt.top_k(rt.hybrid(rt.universe(q, b, rt.bm25(q, b, digits=DIGITS)), near, 0.6, digits=DIGITS).drop("skipped_dense"), 5)
 
 
 _CH = f"""w as (select doc_id, list_filter(string_split_regex(coalesce(text,''), '[ \\n\\t\\r\\f\\x0B]+'), lambda x: x <> '') t from documents), ch as (select doc_id note, i::int chunk, array_to_string(t[i*224+1:i*224+256], ' ') text from w, range(100000) r(i) where len(t) > 0 and i < greatest(1, ceil((len(t)-32)/224)))"""
@@ -118,13 +119,13 @@ def note_local_all(spark, d):
 def _note_local(spark, d, documents):
     c = documents.select(F.col("doc_id").alias("note"), F.posexplode(chunks(F.col("text"))).alias("doc", "text"))
     labels = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return rt.top_k(rt.bm25(labels, c, within=["note"]), 2, by=["note", "query"])
+    return rt.top_k(rt.bm25(labels, c, within=["note"], digits=DIGITS), 2, by=["note", "query"])
 
 
 @query("ret_leakage", f"with {_ALL}, t as (select query, doc, row_number() over (partition by query order by score desc, doc) r from al qualify r <= 2) select count(*) n, round(count(*) filter (query=doc)/count(*),6) own, round(count(*) filter (query<>doc)/count(*),6) cross_note, round(count(*) filter (query%7<>doc%7)/count(*),6) cross_subject from t")
 def leakage(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    t = rt.best_of_all(q, b, rt.bm25_of_distinct(q, b), 2)
+    t = rt.best_of_all(q, b, rt.bm25_of_distinct(q, b, digits=DIGITS), 2)
     return rt.leakage(t.select(F.col("query").alias("note"), (F.col("query") % 7).alias("subject"), F.col("doc").alias("from_note"), (F.col("doc") % 7).alias("from_subject")))
 
 
@@ -132,7 +133,7 @@ def leakage(spark, d):
 def squash(spark, d):
     from ..functions.columns import squash as f
 
-    return rt.bm25(notes(spark, d), base(spark, d)).select("query", "doc", F.round(f(F.col("score")), 6).alias("squashed"))
+    return rt.bm25(notes(spark, d), base(spark, d), digits=DIGITS).select("query", "doc", F.round(f(F.col("score")), 6).alias("squashed"))
 
 
 @query("ret_squash_all")

@@ -29,14 +29,14 @@ def pairs(spark, d, *cols):
 
 @query("st_bootstrap_delta", with_("counts_a counts_b", f"with {_BOOT} select count(*) replicates, list_sort(list(d))[least(floor(0.025*count(*)),count(*)-1)::int+1] lo, list_sort(list(d))[least(floor((1-0.025)*count(*)),count(*)-1)::int+1] hi from reps"))
 def bootstrap_delta(spark, d, reps=REPS):
-    return st.interval(st.bootstrap(pairs(spark, d), reps, 42, {"d": st.delta_f1()}), "d")
+    return st.interval(st.bootstrap(pairs(spark, d), reps, 42, {"d": st.delta_f1(9)}), "d")
 
 
 @query("st_randomization", with_("counts_a counts_b", f"""with {_PAIR}, sw as (select r rep, case when ('0x'||substr(md5('42:swap:'||r||':'||note),1,8))::bigint % 2 = 1 then [tp_b,fp_b,fn_b,tp_a,fp_a,fn_a] else [tp_a,fp_a,fn_a,tp_b,fp_b,fn_b] end v from pair, range({REPS}) t(r)),
  o as (select {_D.format(w="")} o from pair), s as (select rep, round(2*sum(v[1])/(2*sum(v[1])+sum(v[2])+sum(v[3]))-2*sum(v[4])/(2*sum(v[4])+sum(v[5])+sum(v[6])),9) x from sw group by rep)
  select max(o) observed, round((count(*) filter (abs(x)>=abs(o))+1)/(count(*)+1),6) p from s, o"""))
 def randomization(spark, d, reps=REPS):
-    return st.randomization(pairs(spark, d), reps, 42)
+    return st.randomization(pairs(spark, d), reps, 42, 9)
 
 
 @query("st_note_counts", with_("counts_a", "select * from counts_a"))
@@ -137,7 +137,7 @@ def _centred(rows, draw):
 
 @query("st_metric_bootstrap", with_("counts_a counts_b", f"with {_BOOT} select round(avg(d),8) mean, round(stddev_pop(d),8) std, round(quantile_cont(d,0.025),8) lo, round(quantile_cont(d,0.975),8) hi from reps"))
 def metric_bootstrap(spark, d):
-    return _spread(st.bootstrap(pairs(spark, d), REPS, 42, {"d": st.delta_f1()}))
+    return _spread(st.bootstrap(pairs(spark, d), REPS, 42, {"d": st.delta_f1(9)}))
 
 
 def _spread(r):
@@ -281,14 +281,14 @@ def label_thresholds(spark, d):
 
 @query("st_bootstrap_delta_full")
 def bootstrap_delta_full(spark, d, reps=FULL):
-    return st.interval(st.resample(pairs(spark, d), reps, 42).select("rep", st.delta_f1().alias("d")), "d")
+    return st.interval(st.resample(pairs(spark, d), reps, 42).select("rep", st.delta_f1(9).alias("d")), "d")
 
 
 @query("st_randomization_full")
 def randomization_full(spark, d, reps=FULL):
     rows = pairs(spark, d)
-    seen = rows.agg(*[F.sum(c).alias(c) for c in rows.columns if c != "note"]).select(st.delta_f1().alias("observed"))
-    drawn = st.resample(rows, reps, 42, [st.sides("a", "b")]).select(st.delta_f1().alias("v")).crossJoin(F.broadcast(seen))
+    seen = rows.agg(*[F.sum(c).alias(c) for c in rows.columns if c != "note"]).select(st.delta_f1(9).alias("observed"))
+    drawn = st.resample(rows, reps, 42, [st.sides("a", "b")]).select(st.delta_f1(9).alias("v")).crossJoin(F.broadcast(seen))
     return drawn.agg(F.max("observed").alias("observed"), F.round((F.count_if(F.abs("v") >= F.abs("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
@@ -299,7 +299,7 @@ def ratio_bootstrap_full(spark, d, reps=FULL):
 
 @query("st_metric_bootstrap_full")
 def metric_bootstrap_full(spark, d, reps=FULL_METRIC):
-    return _spread(st.resample(pairs(spark, d), reps, 42).select("rep", st.delta_f1().alias("d")))
+    return _spread(st.resample(pairs(spark, d), reps, 42).select("rep", st.delta_f1(9).alias("d")))
 
 
 @query("ml_label_thresholds_full")
