@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import coding, evaluation, global_index, learned, more, relational, retrieval, runs, scoring, search, statistics  # noqa: F401  (they register)
+from .queries import coding, evaluation, files, global_index, learned, more, relational, retrieval, runs, scoring, search, statistics  # noqa: F401  (they register)
 from .queries.registry import ORACLES, QUERIES
 
 

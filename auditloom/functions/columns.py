@@ -141,6 +141,12 @@ def u32(*parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
 
 
+def config_hash(items: dict[str, Column], n: int = 8) -> Column:
+    """The first ``n`` digits of the MD5 of a configuration's JSON with sorted keys; ``items``: the JSON text of each key's value."""
+    parts = [F.concat(F.lit(f'"{k}": '), items[k]) for k in sorted(items)]
+    return F.substring(F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))), 1, n)
+
+
 def sample_id(*parts: Column, n: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, n)
 

@@ -120,6 +120,22 @@ def pool(spark, d):
     return sc.fallback_pool(best, [fam, kin, b.select("note", "code", F.col("rank").alias("order"))])
 
 
+@query("scr_fallback_sources", with_("kb pred_a pred_b", """with best as (select note, code, substr(code,1,3) f from pred_a where "rank"=1), a as (select p.*, b.f, b.code own from pred_a p join best b using (note)),
+ src as (select note, code, 0 s, "rank" o from a where substr(code,1,3)=f union all select note, code, 1, "rank" from a where substr(code,1,3)=f union all select b.note, k.code, 2, row_number() over (partition by b.note order by k.code) from best b join kb k on k.parent=b.f
+ union all select note, code, 3, "rank" from pred_b union all select note, code, 4, row_number() over (partition by note order by coalesce(confidence,0) desc, code) from a),
+ once as (select note, code, min((s, o)) place from src group by 1, 2) select o.note, o.code, (row_number() over (partition by o.note order by place, o.code))::int pool_rank from once o anti join best b on o.note=b.note and o.code=b.code qualify pool_rank<=8"""))
+def pool_of_five(spark, d):
+    """All five sources in their order: same parent, same prefix, siblings of the label base, the group's other candidates, best retrieval scores."""
+    a, b = fx.predictions(spark, d), fx.predictions(spark, d, "b")
+    best = a.where("rank = 1").select("note", "code", F.substring("code", 1, 3).alias("f"))
+    kin = fx.knowledge_base(spark, d).select(F.col("parent").alias("f"), F.col("code").alias("sibling"))
+    own = a.withColumn("f", F.substring("code", 1, 3))
+    sources = [own.join(best.select("note", "f"), ["note", "f"]).withColumnRenamed("rank", "order")] * 2
+    sib = best.join(kin, "f").select("note", F.col("sibling").alias("code"), F.row_number().over(Window.partitionBy("note").orderBy("sibling")).alias("order"))
+    high = a.select("note", "code", F.row_number().over(Window.partitionBy("note").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "code")).alias("order"))
+    return sc.fallback_pool(best, [*sources, sib, b.withColumnRenamed("rank", "order"), high], most=8)
+
+
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 
 
