@@ -78,7 +78,7 @@ def sections(text: Column, headings: list[str]) -> Column:
     return F.filter(F.zip_with(names, parts, lambda n, p: F.struct(n.alias("name"), p.alias("text"))), lambda s: F.coalesce(s["text"], F.lit("")) != "")
 
 
-# The two sentences around a batch prompt's candidates, by template; only the request for quotes differs between the first two.
+#: Two sentences of our own around a batch prompt's candidates, by template; only the request for quotes differs between the first two.
 TEMPLATES = {
     "default": ("Judge each candidate code by the evidence given with it.\n\nCandidates:\n", "\n\nAnswer with a JSON list of one object a candidate: code, supported, confidence, q (a few words of the evidence), r."),
     "copy": ("Judge each candidate code by the evidence given with it.\n\nCandidates:\n", "\n\nAnswer with a JSON list of one object a candidate: code, supported, confidence, q (copied letter by letter from the evidence), r."),

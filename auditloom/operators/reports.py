@@ -105,8 +105,10 @@ def by_path(metrics: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def scan(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(name, documents, hits, first_id) of each pattern (name, pattern) over texts (doc_id, text). The patterns are a small table, collected to build one pass over the texts."""
-    rows = patterns.collect()
+    """(name, documents, hits, first_id) of each pattern (name, pattern) over texts (doc_id, text). The patterns are a small table, collected to build one pass over the texts; more than 1,000 are refused."""
+    rows = patterns.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a scan takes at most 1000 patterns")
     found = [F.struct(F.lit(r.name).alias("name"), F.size(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).alias("k")) for r in rows]
     x = texts.select("doc_id", F.explode(F.array(*found)).alias("x")).select("doc_id", "x.name", F.greatest("x.k", F.lit(0)).alias("k"))
     return x.groupBy("name").agg(F.count_if(F.col("k") > 0).alias("documents"), F.sum("k").cast("long").alias("hits"), F.min(F.when(F.col("k") > 0, F.col("doc_id"))).alias("first_id"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from ..scratch import Scratch
 
 K1, B, LEAST_IDF = 1.5, 0.75, 1e-4
 
@@ -159,11 +160,13 @@ def min_max_hits(hits: DataFrame, docs: DataFrame, digits: int | None = None) ->
 def best_of_all(queries: DataFrame, docs: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """The k best of all documents for each query, where documents without a hit score 0, ties by document.
 
-    Rows of score 0 are only made for queries with fewer than k hits, and for those of the first 2k documents, among which they have k at least.
+    ``hits`` is worked out once: its k best of each query are written. Rows of score 0 are only made for queries with fewer than k hits, all of which are among
+    those written, and for those of the first 2k documents, among which such a query has k at least.
     """
-    few = queries.select("query").distinct().join(hits.groupBy("query").agg(F.count("*").alias("_h")), "query", "left").where(F.coalesce("_h", F.lit(0)) < k).select("query")
-    zero = few.crossJoin(F.broadcast(docs.select("doc").orderBy("doc").limit(2 * k))).join(hits.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(hits.select("query", "doc", "score").unionByName(zero), k)
+    best = Scratch(queries.sparkSession, "best").save(top_k(hits.select("query", "doc", "score"), k).drop("rank"), "hits")
+    few = queries.select("query").distinct().join(best.groupBy("query").agg(F.count("*").alias("_h")), "query", "left").where(F.coalesce("_h", F.lit(0)) < k).select("query")
+    zero = few.crossJoin(F.broadcast(docs.select("doc").orderBy("doc").limit(2 * k))).join(best.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.unionByName(zero), k)
 
 
 def bm25_of_distinct(queries: DataFrame, docs: DataFrame, **options) -> DataFrame:

@@ -31,8 +31,8 @@ def number(df: DataFrame, by: str) -> DataFrame:
     """``pos`` from 0 in the order of the unique column ``by``: offsets of ranges plus the number inside a range."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds are sampled anew by every execution: kept, the rows and the offsets see the same ranges.
-    r = df.repartitionByRange(n, by).withColumn("_r", F.spark_partition_id()).persist()
+    # Range bounds are sampled anew by every execution: written, the rows and the offsets see the same ranges, also after a loss.
+    r = Scratch(spark, "number").save(df.repartitionByRange(n, by).withColumn("_r", F.spark_partition_id()), "ranges")
     local = F.row_number().over(Window.partitionBy("_r").orderBy(by))
     sizes = r.groupBy("_r").agg(F.count("*").alias("_n"))
     offset = sizes.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # one row a range

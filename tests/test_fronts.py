@@ -17,7 +17,7 @@ def peel(rows):
     return out
 
 
-@pytest.mark.parametrize(("block", "chain"), [(2048, False), (9, False), (11, True)])
+@pytest.mark.parametrize(("block", "chain"), [(2048, False), (31, False), (40, True)])
 def test_every_point_has_its_front(spark, block, chain):
     rng = random.Random(block)
     rows = {i: [i // 2, i // 2, 0] if chain else [rng.randrange(9), rng.random(), rng.randrange(4)] for i in range(90)}  # a chain has more fronts than blocks

@@ -28,7 +28,7 @@ def brute(docs, query, k, k1=1.5, b=0.75):
     return [(i, -s) for s, i in sorted(out)[:k]]
 
 
-@pytest.mark.parametrize(("per_block", "first"), [(1, 1), (7, 2), (1000, 4)])
+@pytest.mark.parametrize(("per_block", "first"), [(1, 1), (7, 2)])
 def test_search_is_exact(spark, tmp_path, per_block, first):
     rng = random.Random(per_block)
     docs = {i: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 12))) for i in range(150)}

@@ -55,16 +55,16 @@ def test_matches_a_slow_solver(spark, monkeypatch, kind):
     codes = {i: {k for k in "ABCDE" if rng.random() < 0.2 or f"word{ord(k) - 65} " in (t or "")} for i, t in enumerate(texts)}
     docs = spark.createDataFrame(list(enumerate(texts)), "note long, text string").repartition(3)
     labels = spark.createDataFrame([(i, c) for i, cs in codes.items() for c in cs] * 2 + [(999, "Z"), (1, None)], "note long, code string")
-    m = multilabel.MultiLabelLinear(kind, features=30, c=2.0, tolerance=1e-7, iterations=300, stop={"the", "and"}).fit(docs, labels)
+    m = multilabel.MultiLabelLinear(kind, features=30, c=2.0, tolerance=1e-6, iterations=300, stop={"the", "and"}).fit(docs, labels)
     vocabulary, x = features(texts, {"the", "and"}, 30)
     assert list(m.vocabulary) == vocabulary and m.codes == list("ABCDEZ")
     want = np.array([slow(kind, x, np.array([1.0 if c in codes[i] else -1.0 for i in range(len(texts))]), 2.0) for c in m.codes]).T
-    assert np.abs(m.weights - want).max() < 2e-4
+    assert np.abs(m.weights - want).max() < 1e-3
     z = x @ want
     z = 1 / (1 + np.exp(-z)) if kind == "logistic" else (z - z.min(1, keepdims=True)) / (z.max(1, keepdims=True) - z.min(1, keepdims=True))
     got = {(r.note, r.code): r for r in m.scores(docs).collect()}
     assert len(got) == len(texts) * 6
-    assert max(abs(got[i, c].score - z[i, k]) for i in range(len(texts)) for k, c in enumerate(m.codes)) < 2e-4
+    assert max(abs(got[i, c].score - z[i, k]) for i in range(len(texts)) for k, c in enumerate(m.codes)) < 1e-3
     top = m.scores(docs, 2).collect()
     assert len(top) == 2 * len(texts) and all(got[r.note, r.code]["rank"] == r["rank"] for r in top)
 
