@@ -5,7 +5,7 @@ score; the normaliser is the identity. Sentencepiece then merges the best-scored
 order of the ranks. Every match of the split pattern is encoded on its own; ids decode by the inverse mapping.
 
 Defined cases: null or empty text has no ids (the digests are those of the empty string); texts of any length are
-encoded piece by piece; repeated rows give equal rows; extra columns are ignored. A text that holds unpaired surrogates can't
+encoded piece by piece; repeated rows give equal rows; an empty table gives no rows; extra columns are ignored. A text that holds unpaired surrogates can't
 occur in a Spark string.
 """
 

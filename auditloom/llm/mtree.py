@@ -13,7 +13,7 @@ score that it has for its k-th then decides, by the same bound, which other part
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; an
 id that is repeated takes part once, with its greatest vector; only vectors of the same number of components are compared (each number is a search of its own); ties in the score go to
-the smaller id; fewer than k candidates give fewer rows. Vectors whose square norm reaches 2**53, where scores would not be exact, are refused. Extra columns are ignored.
+the smaller id; fewer than k candidates give fewer rows; an empty table gives no rows. Vectors whose square norm reaches 2**53, where scores would not be exact, are refused. Extra columns are ignored.
 """
 
 from __future__ import annotations

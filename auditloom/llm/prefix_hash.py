@@ -17,7 +17,7 @@ ranges of its own by the hash of the text.
 
 Defined cases: null text is empty; the empty text has a fingerprint of its own, with likeness 1 to itself and 0 to any other;
 a null id comes first; rows with the same id are ordered by their text, or by its hash first where they are more than a range; equal rows
-that follow one another are compared once; a table of one row is its own next document; extra columns are ignored.
+that follow one another are compared once; a table of one row is its own next document; an empty table gives no rows; texts of any length are hashed whole; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ The sample: of each label the documents with the smallest hashes of their ids, S
 most; of their texts all is read. Equal texts count once.
 
 Defined cases: null or blank text scores 0; texts of any length are read window by window; without both labels in the
-sample every score is 0; repeated rows give equal rows; extra columns are ignored.
+sample every score is 0; repeated rows give equal rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ asks once for the counts of its distinct words, so what is moved follows the num
 tokens, and no vocabulary is broadcast; only the piece table (fixed size) is.
 
 Defined cases: null text is empty and scores its end alone; a null id is a training row; repeated rows give equal rows
-(and count as often as they occur); without training rows nothing is re-estimated; extra columns are ignored.
+(and count as often as they occur); without training rows nothing is re-estimated; a word of any length is one lattice, in a batch of its own where it is
+very long; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ repeat its HTTP head (with the full payload's length) but no body. Payloads smal
 Defined cases: null html is an empty payload; rows with the same id are records of their own (all rows
 with the largest id of a payload are responses); a null id or an empty or null url is written as an empty field and read back as null; white space and control characters of a
 url, which no URI can hold, are percent-encoded and read back so; a row
-longer than an archive's bound has an archive of its own; extra columns are ignored.
+longer than an archive's bound has an archive of its own; an empty table gives no archive and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

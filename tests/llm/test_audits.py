@@ -272,3 +272,25 @@ def test_names_with_capitals_inside(spark):
     family = out[1].split()[1]
     assert family in out[2] and f"{family}'s house" in out[2] and family.upper() in out[3] and out[4].endswith(family)
     assert "’s son" in out[3]
+
+
+def test_mix_gives_its_columns_way(spark):
+    """Columns of the mix's own names are replaced, others stay; an empty table stays empty."""
+    from auditloom.llm import pfair_mix
+
+    rows = [(i, f"t{i}", "s" if i % 3 else None, -1, "x", -2, True) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, slot long, place string, release long, exact boolean")
+    got = pfair_mix.mix(d).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40)) and len({(r.slot, r.place) for r in got}) == 40
+    assert min(r.slot for r in got) == 0 and all(r.release >= 0 for r in got) and {r.text for r in got} == {f"t{i}" for i in range(40)}
+    assert pfair_mix.mix(d.where("false")).collect() == []
+
+
+def test_toxicity_of_empty_and_repeated(spark):
+    from auditloom.llm import toxicity
+
+    y = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    d = docs(spark, [(1, "bad words here", "en", "s"), (2, "good words here", "en", "s"), (2, "good words here", "en", "s")])
+    m = toxicity.learn(d, y, fold=(4, 9))
+    assert len(toxicity.score(d, m).collect()) == 3 and toxicity.score(d.where("false"), m).collect() == []
+    assert toxicity.learn(d.where("false"), y).toxic == b""
