@@ -736,7 +736,7 @@ def test_query_matches_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df = queries.queries()[name](spark, DIR)
     cols = sorted(df.columns)
@@ -749,4 +749,4 @@ def test_query_matches_its_sql(spark, name):
 
 def test_registered_queries():
     names = queries.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13
