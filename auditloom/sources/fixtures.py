@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from ..functions.columns import u32
 
 KINDS = {"ECONOMY": "0", "LARGE": "1", "MEDIUM": "2", "PROMO": "3", "SMALL": "4", "STANDARD": "5"}
+TASK_ROWS = 250_000  #: lines that a task sorts, aggregates and ranks by note
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(df: DataFrame, rows: int | None = None) -> int:
+    """Partitions of ``rows`` rows of a stored table (its count comes from the files' footers), so that a task's memory doesn't follow the table; small tables are dealt over the cores."""
+    n, rows = df.count(), rows or TASK_ROWS
+    return max(1, -(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-n * 10 // rows)))
+
+
 def labels(spark: SparkSession, d: str) -> DataFrame:
     """(p_partkey, code, title) of each part."""
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.split_part("p_type", F.lit(" "), F.lit(1))]
@@ -37,10 +44,16 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_orderkey", "note")
 
 
+def by_note(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+    """``df`` dealt by note to as many tasks as the lines need; joins, windows and aggregates by note keep that."""
+    return df.repartition(tasks_for(table(spark, d, "lineitem")), "note")
+
+
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (note, subject, code)."""
+    """Distinct (note, subject, code), dealt by note."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("note"), F.col("o_custkey").alias("subject"))
-    return lines(spark, d).where("l_discount <= 0.06").select("note", "code").join(orders, "note").select("note", "subject", "code").distinct()
+    codes = by_note(spark, d, lines(spark, d).where("l_discount <= 0.06").select("note", "code"))
+    return codes.join(by_note(spark, d, orders), "note").select("note", "subject", "code").distinct()
 
 
 KEEP = {"a": "l_quantity >= 15", "b": "l_tax <= 0.05", "c": "l_quantity < 30", "d": "l_tax >= 0.02", "e": "l_quantity >= 8", "f": "l_extendedprice >= 20000"}
@@ -54,7 +67,7 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 def predictions(spark: SparkSession, d: str, run: str = "a") -> DataFrame:
     """(note, code, confidence, supported, rank) of run a to f; c has no judgements."""
     keep = KEEP[run]
-    rows = lines(spark, d).where(keep).groupBy("note", "code").agg((F.max("l_extendedprice") / 110000).alias("confidence"), F.bool_or(F.col("l_returnflag") != "N").alias("supported"), F.min("l_linenumber").alias("line"))
+    rows = by_note(spark, d, lines(spark, d).where(keep).select("note", "code", "l_extendedprice", "l_returnflag", "l_linenumber")).groupBy("note", "code").agg((F.max("l_extendedprice") / 110000).alias("confidence"), F.bool_or(F.col("l_returnflag") != "N").alias("supported"), F.min("l_linenumber").alias("line"))
     rows = rows.select("note", "code", F.when(F.col("line") % 7 != 0, F.col("confidence")).alias("confidence"), (F.lit(None).cast("boolean") if run == "c" else F.col("supported")).alias("supported"))
     rank = F.row_number().over(Window.partitionBy("note").orderBy(F.desc_nulls_last("confidence"), "code"))
     return rows.withColumn("rank", rank)
@@ -63,7 +76,7 @@ def predictions(spark: SparkSession, d: str, run: str = "a") -> DataFrame:
 def facts(spark: SparkSession, d: str, run: str = "a") -> DataFrame:
     """What ``gold`` and ``predictions`` of a run give as facts, in one pass over the lines and one shuffle by note."""
     keep = F.expr(KEEP[run])
-    f = lines(spark, d).select("note", "code", "l_discount", "l_extendedprice", "l_returnflag", "l_linenumber", keep.alias("k")).repartition("note").groupBy("note", "code").agg(
+    f = by_note(spark, d, lines(spark, d).select("note", "code", "l_discount", "l_extendedprice", "l_returnflag", "l_linenumber", keep.alias("k"))).groupBy("note", "code").agg(
         F.bool_or(F.col("l_discount") <= 0.06).alias("in_gold"), F.bool_or("k").alias("in_pred"), (F.max(F.when(F.col("k"), F.col("l_extendedprice"))) / 110000).alias("c"),
         F.bool_or(F.when(F.col("k"), F.col("l_returnflag") != "N")).alias("s"), F.min(F.when(F.col("k"), F.col("l_linenumber"))).alias("line"),
     ).where("in_gold or in_pred")
