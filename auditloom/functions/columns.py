@@ -63,11 +63,15 @@ def verbatim(quote: Column, source: Column) -> Column:
 
 def chunks(text: Column, size: int = 256, overlap_: int = 32) -> Column:
     """Word windows of ``size`` tokens, ``size - overlap_`` apart; the last may be short. (Own design.)"""
-    t = F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda x: x != "")
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda x: x != "")
     step = size - overlap_
-    n = F.greatest(F.lit(1), F.ceil((F.size(t) - overlap_) / step).cast("int"))
-    starts = F.when(F.size(t) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i * step + 1, F.lit(size)), " "))
+
+    def cut(t: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil((F.size(t) - overlap_) / step).cast("int"))
+        starts = F.when(F.size(t) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i * step + 1, F.lit(size)), " "))
+
+    return F.transform(F.array(words), cut)[0]  # bound once: the text would be split anew for every chunk
 
 
 def sections(text: Column, headings: list[str]) -> Column:

@@ -19,6 +19,7 @@ from ..functions.columns import tokens
 from ..scratch import Scratch
 
 K1, B, LEAST_IDF = 1.5, 0.75, 1e-4
+TASK_ROWS = 1_000  #: notes of a task that scores them against a label base
 
 
 def postings(docs: DataFrame, doc: str = "doc", text: str = "text", within: list[str] | None = None) -> DataFrame:
@@ -56,6 +57,75 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, with
     return hits.groupBy(*w, query, doc).agg(total.alias("score"))
 
 
+def dealt(df: DataFrame, by: str, rows: int = TASK_ROWS, tasks: int | None = None) -> DataFrame:
+    """``df`` dealt by a key to tasks of about ``rows`` rows, so that a task's memory doesn't follow the input; aggregates and windows by the key and more keep that."""
+    return df.repartition(tasks or max(1, -(-df.count() // rows)), by)
+
+
+def bm25_of_base(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, digits: int | None = None, zeros: bool = False, tasks: int | None = None) -> DataFrame:
+    """``bm25`` over a label base: its weights are broadcast and only the queries' texts are shuffled, by query, which later windows by query keep. ``zeros``: also the pairs without a hit.
+
+    A base of more than 10,000 documents goes through the shuffle joins of ``bm25``.
+    """
+    if docs.limit(10_001).count() > 10_000:
+        hits = bm25(queries, docs, k1, b, digits=digits)
+        return universe(queries, docs, hits) if zeros else hits
+    p = postings(docs)
+    terms = p.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(docs))).withColumn("idf", idf(F.col("df"), F.col("n"))).where(F.col("idf") >= LEAST_IDF)  # one row
+    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weights = p.join(terms, "token").select("token", "doc", w.alias("w"))
+    words = F.array_distinct(tokens(F.col("text")))
+    if zeros:  # the empty token, which no text has, pairs everything at weight 0
+        weights, words = weights.unionByName(docs.select(F.lit("").alias("token"), "doc", F.lit(0.0).alias("w"))), F.concat(words, F.array(F.lit("")))
+    q = dealt(queries.select("query", "text"), "query", tasks=tasks).select("query", F.explode(words).alias("token"))
+    return q.join(F.broadcast(weights), "token").groupBy("query", "doc").agg(_sum("w", digits).alias("score"))
+
+
+def _sum(w: str, digits: int | None) -> Column:
+    return F.aggregate(F.array_sort(F.collect_list(w)), F.lit(0.0), lambda s, x: s + x) if digits is None else F.round(F.sum(w), digits)
+
+
+def bm25_of_notes(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, digits: int | None = None, zeros: bool = False, encode=None, tasks: int | None = None) -> DataFrame:
+    """(note, query, doc, score) as by ``bm25`` within notes, with one shuffle of texts by note; what follows by note needs no other.
+
+    ``queries``: (note, query, text), asked of their note, or (query, text), a label base that is broadcast up to 10,000 labels and asked of every note. ``zeros``: also the pairs without a hit;
+    ``encode`` (with ``zeros``): also ``cosine`` of each pair, every text encoded once. A query meets the chunks where they share a token, in the aggregate of a note's token; the empty
+    token, which no text has, pairs everything at weight 0.
+    """
+    own = "note" in queries.columns
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    rows = chunks.select("note", "doc", none(queries, "query"), "text", F.lit(True).alias("_d"))
+    if own:
+        rows = rows.unionByName(queries.select("note", none(chunks, "doc"), "query", "text", F.lit(False).alias("_d")))
+    if tasks is None:
+        tasks = max(1, -(-chunks.select("note").distinct().count() // TASK_ROWS))
+    vector = lambda: encode(F.col("text")) if encode else F.lit(None).cast("array<double>")
+    words = lambda t: F.concat(F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(None).cast("array<double>").alias("v"))), F.array(F.struct(F.lit("").alias("token"), vector().alias("v")))) if zeros else F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(None).cast("array<double>").alias("v")))
+    note = Window.partitionBy("note")
+    t = rows.repartition(tasks, "note").withColumn("_t", tokens(F.col("text")))
+    t = t.withColumn("n", F.count_if("_d").over(note)).withColumn("avgdl", F.avg(F.when(F.col("_d"), F.size("_t"))).over(note))
+    t = t.select("note", "doc", "query", "_d", "n", "avgdl", F.size("_t").alias("dl"), F.explode(words(F.col("_t"))).alias("x")).select("*", "x.token")
+    vec = [F.max("x.v").alias("v")] if encode else []
+    p = t.groupBy("note", "doc", "query", "_d", "n", "avgdl", "dl", "token").agg(F.count("*").alias("tf"), *vec)
+    v = ["v"] if encode else []
+    met = p.groupBy("note", "token").agg(F.collect_list(F.when(F.col("_d"), F.struct("doc", "tf", "dl", "n", "avgdl", *v))).alias("ds"), *([F.collect_list(F.when(~F.col("_d"), F.struct("query", *v))).alias("qs")] if own else []))
+    if not own:
+        asked = queries.select("query", F.explode(words(F.array_distinct(tokens(F.col("text"))))).alias("x")).select("x.token", F.struct("query", *([F.col("x.v").alias("v")] if encode else [])).alias("q"))
+        asked = asked.groupBy("token").agg(F.collect_list("q").alias("qs"))
+        few = queries.limit(10_001).count() <= 10_000
+        met = met.join(F.broadcast(asked) if few else asked, "token")
+    idf_ = idf(F.size("ds"), F.col("d.n"))
+    weight = F.when(F.col("token") == "", 0.0).otherwise(idf_ * F.col("d.tf") * (k1 + 1) / (F.col("d.tf") + k1 * (1 - b + b * F.col("d.dl") / F.col("d.avgdl"))))
+    hits = met.where((F.size("ds") > 0) & (F.size("qs") > 0)).select("note", "token", "ds", "qs", F.explode("ds").alias("d")).where((F.col("token") == "") | (idf_ >= LEAST_IDF)).select("note", "token", "d", weight.alias("w"), F.explode("qs").alias("q"))
+    dense = []
+    if encode:
+        norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-9))
+        dot = F.aggregate(F.zip_with("q.v", "d.v", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+        hits = hits.withColumn("c", F.when(F.col("token") == "", dot / (norm(F.col("q.v")) * norm(F.col("d.v")))))
+        dense = [F.max("c").alias("cosine")]
+    return hits.select("note", "q.query", "d.doc", "w", *(["c"] if encode else [])).groupBy("note", "query", "doc").agg(_sum("w", digits).alias("score"), *dense)
+
+
 def normalised(table: DataFrame, vec: str = "embedding") -> DataFrame:
     """Vectors divided by max(norm, 1e-9)."""
     x = F.transform(vec, lambda v: v.cast("double"))
@@ -177,21 +247,16 @@ def bm25_of_distinct(queries: DataFrame, docs: DataFrame, **options) -> DataFram
     return q.join(once, ["_t", "text"]).select("query", "_first").join(scores, "_first").drop("_first")
 
 
-def note_local(queries: DataFrame, chunks: DataFrame, k: int, alpha: float = 1.0, encode=None) -> DataFrame:
+def note_local(queries: DataFrame, chunks: DataFrame, k: int, alpha: float = 1.0, encode=None, tasks: int | None = None) -> DataFrame:
     """(note, query, doc, score, rank, skipped_dense): the max(1, k) best chunks of the query's own note, all statistics those of the note.
 
-    ``queries``: (note, query, text); ``chunks``: (note, doc, text). BM25 and, with ``encode`` (a function of a text column to a vector column) and alpha below 1,
+    ``queries``: (note, query, text), or (query, text) to ask every note; ``chunks``: (note, doc, text). BM25 and, with ``encode`` (a function of a text column to a vector column) and alpha below 1,
     cosine, each min-max scaled over the note's chunks. Pairs are those of a query with its own note's chunks only.
     """
-    pairs = queries.select("note", "query", F.col("text").alias("_q")).join(chunks.select("note", "doc", F.col("text").alias("_d")), "note")
-    scored = pairs.join(bm25(queries, chunks, within=["note"]), ["note", "query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    keys = ["note", "query"]
-    out = min_max(scored, keys).withColumn("score", F.col("mm"))
-    if encode is not None and alpha < 1.0:
-        norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-9))
-        x = out.withColumn("_u", encode(F.col("_q"))).withColumn("_v", encode(F.col("_d"))).withColumnRenamed("mm", "_lex")
-        dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-        x = min_max(x.withColumn("score", dot / (norm(F.col("_u")) * norm(F.col("_v")))), keys)
+    keys, both = ["note", "query"], encode is not None and alpha < 1.0
+    out = min_max(bm25_of_notes(queries, chunks, zeros=True, encode=encode if both else None, tasks=tasks), keys).withColumn("score", F.col("mm"))
+    if both:
+        x = min_max(out.withColumnRenamed("mm", "_lex").withColumn("score", F.col("cosine")), keys)
         out = x.withColumn("score", alpha * F.col("_lex") + (1 - alpha) * F.col("mm"))
     best = top_k(out.select("note", "query", "doc", "score"), max(1, k), by=keys)
     return best.withColumn("skipped_dense", F.lit(encode is None))

@@ -129,5 +129,4 @@ def note_local_hybrid(spark, d):
     """All labels against the chunks of each note by BM25 and the cosine of a stand-in encoder."""
     notes, base = _inputs(spark, d)
     c = notes.select("note", F.posexplode(fc.chunks(F.col("text"))).alias("doc", "text"))
-    q = c.select("note").distinct().crossJoin(F.broadcast(base.select(F.col("code").alias("query"), "text")))  # the label base
-    return rt.note_local(q, c, 2, 0.5, rt.hash_embedding)
+    return rt.note_local(base.select(F.col("code").alias("query"), "text"), c, 2, 0.5, rt.hash_embedding, tasks=fx.tasks_for(notes, rt.TASK_ROWS))

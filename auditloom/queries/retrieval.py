@@ -49,7 +49,7 @@ def bm25_masked(spark, d):
 @query("ret_minmax", f"with {_ALL}, {_MM.format('al')} select query, doc, mm from mm")
 def minmax(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    return rt.min_max(rt.universe(q, b, rt.bm25(q, b, digits=DIGITS)), digits=DIGITS).select("query", "doc", "mm")
+    return rt.min_max(rt.bm25_of_base(q, b, digits=DIGITS, zeros=True), digits=DIGITS).select("query", "doc", "mm")
 
 
 _DENSE = """nv as (select vec_id, label, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double*y::double))), 1e-9)) v from embeddings),
@@ -119,13 +119,13 @@ def note_local_all(spark, d):
 def _note_local(spark, d, documents):
     c = documents.select(F.col("doc_id").alias("note"), F.posexplode(chunks(F.col("text"))).alias("doc", "text"))
     labels = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return rt.top_k(rt.bm25(labels, c, within=["note"], digits=DIGITS), 2, by=["note", "query"])
+    return rt.top_k(rt.bm25_of_notes(labels, c, digits=DIGITS, tasks=fx.tasks_for(documents, rt.TASK_ROWS)), 2, by=["note", "query"])
 
 
 @query("ret_leakage", f"with {_ALL}, t as (select query, doc, row_number() over (partition by query order by score desc, doc) r from al qualify r <= 2) select count(*) n, round(count(*) filter (query=doc)/count(*),6) own, round(count(*) filter (query<>doc)/count(*),6) cross_note, round(count(*) filter (query%7<>doc%7)/count(*),6) cross_subject from t")
 def leakage(spark, d):
     q, b = notes(spark, d), base(spark, d)
-    t = rt.best_of_all(q, b, rt.bm25_of_distinct(q, b, digits=DIGITS), 2)
+    t = rt.best_of_all(q, b, rt.bm25_of_base(q, b, digits=DIGITS), 2)
     return rt.leakage(t.select(F.col("query").alias("note"), (F.col("query") % 7).alias("subject"), F.col("doc").alias("from_note"), (F.col("doc") % 7).alias("from_subject")))
 
 
