@@ -120,6 +120,14 @@ def borderline(pred: DataFrame, margin: float = 0.2) -> DataFrame:
     return two.where(F.col("confidence").isNotNull() & F.col("c2").isNotNull() & (F.round(F.col("confidence") - F.col("c2"), 9) <= margin)).select("note", "family", F.col("code").alias("best"), "runner_up")
 
 
+def drop_runner_ups(pred: DataFrame, margin: float = 0.2) -> DataFrame:
+    """``drop_rejected`` of the runners-up of ``borderline``, by one window of a note's families."""
+    w = Window.partitionBy("note", F.substring("code", 1, 3)).orderBy(F.desc_nulls_last("confidence"), "code")
+    ranked = pred.withColumn("_r", F.row_number().over(w)).withColumn("_best", F.lag("confidence").over(w))
+    close = (F.col("_r") == 2) & F.col("_best").isNotNull() & F.col("confidence").isNotNull() & (F.round(F.col("_best") - F.col("confidence"), 9) <= margin)
+    return ranked.where(~F.coalesce(close, F.lit(False))).drop("_r", "_best")
+
+
 def drop_rejected(pred: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Predictions without the codes that a verifier rejected. ``verdicts``: (note, rejected)."""
     return pred.join(verdicts.select("note", F.col("rejected").alias("code")).distinct(), ["note", "code"], "left_anti")

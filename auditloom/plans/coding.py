@@ -17,10 +17,10 @@ def knowledge_base(codes: DataFrame, version: int, order: str = "title") -> Data
     return one.select("code", "title", F.concat_ws(" ", "code", "title").alias("searchable_text"), "parent", F.array_except(family, F.array("code")).alias("siblings"))
 
 
-def retrieval_only(notes: DataFrame, base: DataFrame, k: int = 15, mask: DataFrame | None = None) -> DataFrame:
+def retrieval_only(notes: DataFrame, base: DataFrame, k: int = 15, mask: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """(note, code, confidence, rank): the k best labels of each note by BM25. ``notes``: (note, text); ``base``: (code, text)."""
     q, b = notes.select(F.col("note").alias("query"), "text"), base.select(F.col("code").alias("doc"), "text")
-    hits = rt.min_max_hits(rt.bm25_of_distinct(q, b), b).select("query", "doc", F.col("mm").alias("score"))
+    hits = rt.min_max_hits(rt.bm25_of_base(q, b, tasks=tasks), b).select("query", "doc", F.col("mm").alias("score"))
     if mask is not None:
         m = mask.select(F.col("code").alias("doc")).distinct()
         b, hits = b.join(m, "doc", "left_semi"), hits.join(m, "doc", "left_semi")
@@ -28,22 +28,27 @@ def retrieval_only(notes: DataFrame, base: DataFrame, k: int = 15, mask: DataFra
     return t.select(F.col("query").alias("note"), F.col("doc").alias("code"), F.col("score").alias("confidence"), "rank")
 
 
-def evidence(notes: DataFrame, candidates: DataFrame, base: DataFrame, k: int = 2, size: int = 256, overlap: int = 32, alpha: float = 1.0, encode=None, snippet: int = 0) -> DataFrame:
-    """(note, code, evidence, evidence_preview, evidence_chunk_id, evidence_score): the best chunks of the note itself for each candidate, joined; '' and 0 for a note without text.
+def evidence(notes: DataFrame, candidates: DataFrame, base: DataFrame, k: int = 2, size: int = 256, overlap: int = 32, alpha: float = 1.0, encode=None, snippet: int = 0, tasks: int | None = None) -> DataFrame:
+    """(note, code, evidence, evidence_preview, evidence_chunk_id, evidence_score) and further columns of the candidates: the best chunks of the note itself for each candidate, joined; '' and 0 for a note without text.
 
     The score is the best chunk's, scaled between the note's own chunks: 1 for the best where they differ (BM25 alone), and 0 where nothing tells them apart: in a note of
     one chunk (up to ``size`` words), and where all chunks tie. So with BM25 alone it says whether the note has a passage of its own for the code, not how good it is.
     """
+    tasks = tasks or max(1, -(-notes.count() // rt.TASK_ROWS))
     c = notes.select("note", F.posexplode(chunks(F.col("text"), size, overlap)).alias("doc", "text"))
     q = candidates.select("note", "code").join(base.select("code", "text"), "code").select("note", F.col("code").alias("query"), evidence_query(F.col("code"), F.col("text")).alias("text"))
-    best = rt.note_local(q, c, k, alpha, encode).join(c.select("note", "doc", F.col("text").alias("chunk")), ["note", "doc"])
-    g = best.groupBy("note", F.col("query").alias("code")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n").alias("evidence"), F.min_by("doc", "rank").alias("doc"), F.max("score").alias("evidence_score")
-    )
-    text = F.coalesce("evidence", F.lit(""))
+    best = rt.note_local(q, c, k, alpha, encode, tasks=tasks).groupBy("note").agg(F.array_sort(F.collect_list(F.struct("query", "rank", "doc", "score"))).alias("best"))
+    # Candidates, best chunks and text of a note meet once, by the note, and the evidence is cut from the text in place.
+    own = candidates.repartition(tasks, "note").groupBy("note").agg(F.collect_list(F.struct(*(x for x in candidates.columns if x != "note"))).alias("own"))
+    met = own.join(best, "note", "left").join(notes.select("note", "text").repartition(tasks, "note"), "note", "left")
+    met = met.select("note", "best", chunks(F.col("text"), size, overlap).alias("chunks"), "own").select("note", "best", "chunks", F.explode("own").alias("own"))
+    got = F.filter(F.coalesce("best", F.array()), lambda x: x["query"] == F.col("own.code"))
+    met = met.withColumn("got", got)
+    text = F.array_join(F.transform("got", lambda x: F.get("chunks", x["doc"])), "\n")
     text = F.substring(text, 1, snippet) if snippet else text
-    out = candidates.select("note", "code").join(g, ["note", "code"], "left").withColumn("evidence", text)
-    return out.select("note", "code", "evidence", preview(F.col("evidence")).alias("evidence_preview"), F.coalesce(F.concat(F.lit("chunk_"), F.col("doc").cast("string")), F.lit("")).alias("evidence_chunk_id"), F.coalesce("evidence_score", F.lit(0.0)).alias("evidence_score"))
+    doc = F.get("got", F.lit(0))["doc"]
+    out = met.select("note", "own.*", text.alias("evidence"), F.coalesce(F.concat(F.lit("chunk_"), doc.cast("string")), F.lit("")).alias("evidence_chunk_id"), F.coalesce(F.array_max(F.transform("got", lambda x: x["score"])), F.lit(0.0)).alias("evidence_score"))
+    return out.withColumn("evidence_preview", preview(F.col("evidence"))).select("note", "code", "evidence", "evidence_preview", "evidence_chunk_id", "evidence_score", *(x for x in candidates.columns if x not in ("note", "code")))
 
 
 def coded(notes: DataFrame, base: DataFrame, k: int = 15, least: float = 0.3, mode: str = "filter", min_final: int = 1, cap: int = 10, contrast: bool = False, legacy: bool = False, threshold: float = 0.0, alpha: float = 1.0, encode=None) -> DataFrame:
@@ -55,16 +60,16 @@ def coded(notes: DataFrame, base: DataFrame, k: int = 15, least: float = 0.3, mo
     Evidence of a note of one chunk scores 0 (see ``evidence``), so with ``least`` above 0 ``filter`` drops all its codes and ``flag`` marks them; the
     scorer sees all the evidence either way, without the caps of a prompt.
     """
-    cand = retrieval_only(notes, base, k).withColumnRenamed("confidence", "retrieval_score").withColumnRenamed("rank", "candidate_rank")
-    e = evidence(notes, cand, base, alpha=alpha, encode=encode).join(base.select("code", F.col("text").alias("title")), "code")
+    tasks = max(1, -(-notes.count() // rt.TASK_ROWS))
+    cand = retrieval_only(notes, base, k, tasks=tasks).withColumnRenamed("confidence", "retrieval_score").withColumnRenamed("rank", "candidate_rank")
+    e = evidence(notes, cand.join(base.select("code", F.col("text").alias("title")), "code").select("note", "code", "candidate_rank", "retrieval_score", "title"), base, alpha=alpha, encode=encode, tasks=tasks)
     conf, ok = sc.mock_score(F.col("title"), F.col("evidence"))
     p = e.withColumn("confidence", conf).withColumn("supported", ok).withColumn("evidence_quote", F.substring("evidence", 1, 80)).withColumn("risk_flag", F.when(ok, "none").otherwise("weak_evidence"))
-    p = p.drop("evidence", "title").join(cand.select("note", "code", "candidate_rank", "retrieval_score"), ["note", "code"]).withColumn("rank", F.col("candidate_rank"))
+    p = p.select("note", "code", "evidence_preview", "evidence_chunk_id", "evidence_score", "confidence", "supported", "evidence_quote", "risk_flag", "candidate_rank", "retrieval_score", F.col("candidate_rank").alias("rank"))
     if mode != "off":
         p = sc.constrain(p, least, mode, score="evidence_score", judged=not legacy)
     if contrast:
-        pairs = sc.borderline(p, margin=1.0 if legacy else 0.2).select("note", F.col("runner_up").alias("rejected"))
-        p = sc.drop_rejected(p, pairs)
+        p = sc.drop_runner_ups(p, margin=1.0 if legacy else 0.2)
     p = p.withColumn("rank", sc.null_aware_rank())
     if threshold:
         p = sc.keep_threshold(p, threshold, min_final)
