@@ -47,10 +47,11 @@ _ASKED = "asked as (select note, subject, code from (select g.note, g.subject, c
 
 def order_notes(spark, d):
     """(note, subject, text): the titles of an order's parts in line order stand for its note; the customer is the subject."""
-    lines = fx.lines(spark, d).join(fx.labels(spark, d).select(F.col("p_partkey").alias("_k"), "title"), F.col("l_partkey") == F.col("_k"))
+    titles = fx.labels(spark, d).select(F.col("p_partkey").alias("_k"), "title")
+    lines = fx.table(spark, d, "lineitem").join(titles, F.col("l_partkey") == F.col("_k")).select(F.col("l_orderkey").alias("note"), "l_linenumber", "l_partkey", "title")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "title"))), lambda x: x["title"]), " ")
     orders = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("note"), F.col("o_custkey").alias("subject"))
-    return lines.groupBy("note").agg(text.alias("text")).join(orders, "note")
+    return fx.by_note(spark, d, lines).groupBy("note").agg(text.alias("text")).join(fx.by_note(spark, d, orders), "note")
 
 
 @query("ret_evidence_leakage", with_("gold splits kb", f"""with {_ASKED}, {_sql(_NOTE, "select code query, 'ICD-10 ' || code || ': ' || title text from kb", 5)},
