@@ -86,17 +86,22 @@ def get(records: DataFrame, key: str, paths: list[str], json: str = "json") -> D
 
     Among the keys of an object that the rest of the path begins with, the longest is taken, whether or not the way ends there; list places are numbers.
     """
-    n = nodes(records, key, json)
-    asked = records.select(F.col(key).alias("key"), F.explode(F.array(*map(F.lit, paths))).alias("path"))
-    dotted = F.array_join("parts", ".")
-    on_way = n.where("size(parts) > 0").join(asked, "key").where((dotted == F.col("path")) | F.col("path").startswith(F.concat(dotted, F.lit("."))))
-    up = F.slice("parts", 1, F.size("parts") - 1)
-    taken = on_way.withColumn("_r", F.row_number().over(Window.partitionBy("key", "path", up).orderBy(F.length(dotted).desc()))).where("_r = 1").select("key", "path", "parts", "value")
-    # The way down from the root: a node counts if all nodes above it were taken too.
-    above = taken.select("key", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.slice("parts", 1, i))).alias("up"), F.col("parts").alias("end"), F.col("value").alias("found"))
-    whole = above.join(taken.select("key", "path", F.col("parts").alias("up")), ["key", "path", "up"]).groupBy("key", "path", "end").agg(F.count("*").alias("n"), F.first("found").alias("value"))
-    whole = whole.where((F.col("n") == F.size("end")) & (F.array_join("end", ".") == F.col("path"))).select("key", "path", "value")
-    return asked.join(whole, ["key", "path"], "left")
+    v, rest = F.col("_v"), F.col("_rest")
+    kind = F.schema_of_variant(v)
+    entry = lambda k, x: F.struct(k.alias("k"), x.alias("v"))
+    of_object = F.transform(F.map_entries(F.when(kind.startswith("OBJECT"), v).cast("map<string,variant>")), lambda e: entry(e["key"], e["value"]))
+    of_list = F.transform(F.when(kind.startswith("ARRAY"), v).cast("array<variant>"), lambda x, i: entry(i.cast("string"), x))
+    on_way = F.filter("_e", lambda e: (e["k"] == rest) | rest.startswith(F.concat(e["k"], F.lit("."))))
+    # One step a level down, as many as the longest path has parts; each record is parsed once and stays in its row.
+    at = records.select(F.col(key).alias("key"), F.try_parse_json(json).alias("_v")).withColumn("_e", F.coalesce(of_object, of_list))
+    at = at.select("key", "_e", F.explode(F.array(*map(F.lit, paths))).alias("path")).withColumn("_rest", F.col("path")).withColumn("value", F.lit(None).cast("string"))
+    for level in range(max((p.count(".") for p in paths), default=0) + 1):
+        if level:
+            at = at.withColumn("_e", F.when(rest.isNotNull(), F.coalesce(of_object, of_list)))
+        most = F.array_max(F.transform("_w", lambda e: F.length(e["k"])))
+        at = at.withColumn("_w", on_way).withColumn("_t", F.get(F.filter("_w", lambda e: F.length(e["k"]) == most), F.lit(0)))
+        at = at.select("key", "path", F.col("_t.v").alias("_v"), F.when(F.col("_t.k") == rest, F.to_json("_t.v")).otherwise(F.col("value")).alias("value"), F.when(F.col("_t.k") != rest, F.substring(rest, F.length("_t.k") + 2, F.length(rest))).alias("_rest"))
+    return at.select("key", "path", "value")
 
 
 def by_path(metrics: DataFrame, paths: DataFrame) -> DataFrame:

@@ -65,7 +65,9 @@ _TREE = f"t as (select event_id, regexp_replace(replace(replace(t.fullkey, '$.',
 
 def nested(spark, d):
     """Events as nested records: keys with dots, lists, nulls, and a dotted key that another way down spells too."""
-    return fx.table(spark, d, "events").select("event_id", F.expr(_NEST.replace(" || event_id || ", " || cast(event_id as string) || ").replace(" || user_id || ", " || cast(user_id as string) || ")).alias("json"))
+    e = fx.table(spark, d, "events")
+    e = e.select("event_id", "user_id", "event_type", "props").repartition(fx.tasks_for(e))  # many records fit a block of a file
+    return e.select("event_id", F.expr(_NEST.replace(" || event_id || ", " || cast(event_id as string) || ").replace(" || user_id || ", " || cast(user_id as string) || ")).alias("json"))
 
 
 @query("ag_flatten_json", f"""with {_TREE} select event_id, metric, "value" from t where type not in ('OBJECT', 'ARRAY')""")

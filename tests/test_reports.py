@@ -66,3 +66,13 @@ def test_pruning_moments_by_enumeration(spark, notes):
     r = st.pruning_nulls(spark.createDataFrame(notes, "shortlist int, hits int, budget int, gold int")).first()
     assert (r.notes, r.emitted) == (len(notes), emitted)
     assert abs(r.random_f1 - pystat.fmean(f)) < 1e-12 and abs(r.random_std - pystat.pstdev(f)) < 1e-12 and abs(r.oracle_f1 - max(f)) < 1e-12
+
+
+def test_paths_are_looked_up_in_place(spark):
+    """Records aren't shuffled, and those with equal keys keep to themselves; keys that are empty or end with a dot are keys too."""
+    d = spark.createDataFrame([(1, '{"a": 1}'), (1, '{"a": {"b": [5, {"c": null}]}}'), (2, '{"": {"a": 3}, "a.": {"b": 4}, "a": "x"}'), (3, "no json"), (4, None)], "id int, json string")
+    found = reports.get(d, "id", ["a", "a.b.0", "a.b.1.c", ".a", "a..b"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.key, r.path, r.value) for r in found.collect() if r.value is not None)
+    assert got == [(1, "a", "1"), (1, "a", '{"b":[5,{"c":null}]}'), (1, "a.b.0", "5"), (1, "a.b.1.c", "null"), (2, ".a", "3"), (2, "a", '"x"'), (2, "a..b", "4")]
+    assert found.count() == 25
