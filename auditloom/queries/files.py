@@ -47,7 +47,7 @@ def corpus(spark, d):
     texts = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"), F.concat(F.lit("note "), "o_orderkey").alias("text"))
     n = readers.csv(spark, _csv(texts, _folder(spark, "notes")), readers.NOTES)
     c = readers.diagnoses(spark, _csv(ten.unionByName(nine), _folder(spark, "diagnoses")))
-    return readers.corpus(n, c).select("subject_id", "hadm_id", "text", F.array_join("gold_codes", ",").alias("codes"))
+    return readers.corpus(n, c, fx.tasks_for(fx.table(spark, d, "lineitem"))).select("subject_id", "hadm_id", "text", F.array_join("gold_codes", ",").alias("codes"))
 
 
 @query("src_json_lines", "select event_id, event_type, value from events")

@@ -39,8 +39,10 @@ def diagnoses(spark: SparkSession, path: str, version: int = 10, rows: int | Non
     return df.select("subject_id", "hadm_id", num("seq_num").alias("seq_num"), "icd_code", num("icd_version").alias("icd_version")).where(F.col("icd_version") == version)
 
 
-def corpus(notes: DataFrame, codes: DataFrame) -> DataFrame:
-    """(subject_id, hadm_id, text, gold_codes): notes with their codes in sequence order, numbers last where they are missing; notes without codes go."""
+def corpus(notes: DataFrame, codes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(subject_id, hadm_id, text, gold_codes): notes with their codes in sequence order, numbers last where they are missing; notes without codes go. ``tasks``: deal both by note to so many."""
+    if tasks:
+        notes, codes = (x.repartition(tasks, "subject_id", "hadm_id") for x in (notes, codes))
     order = F.struct(F.col("seq_num").isNull().alias("n"), "seq_num", "icd_code")
     lists = codes.where(F.col("icd_code").isNotNull()).groupBy("subject_id", "hadm_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["icd_code"]).alias("gold_codes"))
     return notes.join(lists, ["subject_id", "hadm_id"]).select("subject_id", "hadm_id", "text", "gold_codes")
