@@ -19,6 +19,7 @@ from ..functions.columns import tokens
 from ..scratch import Scratch
 
 K1, B, LEAST_IDF = 1.5, 0.75, 1e-4
+MEET = 16  #: blocks of documents that a task of ``dense_top_k`` reads
 TASK_ROWS = 1_000  #: notes of a task that scores them against a label base
 
 
@@ -141,21 +142,24 @@ def cosine(queries: DataFrame, docs: DataFrame, digits: int | None = None) -> Da
     return docs.join(F.broadcast(queries)).select("query", "doc", rounded(dot, digits).alias("score"))
 
 
-def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", queries: int = 2048, docs: int = 8192, asked: str | None = None) -> DataFrame:
+def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", queries: int = 16384, docs: int = 8192, asked: str | None = None) -> DataFrame:
     """(query, doc, score, rank): the k best rows by cosine of every row of ``table``, itself included, ties by doc. ``asked``: a condition on ``id`` that the queries meet.
 
-    Rows are dealt to blocks; a query block meets the document blocks one after the other and holds its k best so far,
-    so pairs of rows never become rows. Rows without a vector are no query and no document.
+    Rows are dealt to blocks; a query block meets up to ``MEET`` document blocks one after the other in a task, which holds its k best so far,
+    so pairs of rows never become rows; the k best of its tasks are merged. Every row is sent once to each query block, and a query block once to each of its tasks. Rows without a vector are no query and no document.
     """
-    rows = table.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    single = table.schema[vec].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
+    rows = table.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>" if single else "array<double>").alias("v"))
     wanted = rows if asked is None else rows.where(asked)
     n, n_asked = rows.count(), wanted.count()
+    queries = min(queries, max(1024, -(-n_asked // table.sparkSession.sparkContext.defaultParallelism)))  # few queries are dealt over the cores
 
     def pack(batches):
         for b in batches:
             for i in range(b.num_rows):
                 ids, flat = b.column(1)[i].values.field("id"), b.column(1)[i].values.field("v")
-                yield pa.RecordBatch.from_pydict({"block": pa.array([b.column(0)[i].as_py()], pa.int64()), "ids": pa.array([ids.to_numpy().tobytes()], pa.binary()), "vs": pa.array([flat.flatten().to_numpy().astype(np.float64).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b.column(0)[i].as_py()], pa.int64()), "ids": pa.array([ids.to_numpy().tobytes()], pa.binary()), "vs": pa.array([flat.flatten().to_numpy().astype(kind).tobytes()], pa.binary())})
 
     def blocks(of: DataFrame, n: int, size: int) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).cast("long")
@@ -165,7 +169,7 @@ def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embed
         at = lambda c: b.column(b.schema.get_field_index(c))[i].as_py()
         ids_ = np.frombuffer(at(ids), np.int64)
         sort = np.argsort(ids_, kind="stable")
-        v = np.frombuffer(at(vs), np.float64).reshape(len(ids_), -1)[sort]
+        v = np.frombuffer(at(vs), kind).reshape(len(ids_), -1)[sort].astype(np.float64)
         return ids_[sort], v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
 
     def best(q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,14 +187,16 @@ def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embed
 
         for b in batches:
             for i in range(b.num_rows):
-                block = b.column(0)[i].as_py()
-                if block != held:
+                if b.column(1)[i].as_py() < 0:  # the queries come first
                     if held is not None:
                         yield emit()
-                    held = block
+                    held = b.column(0)[i].as_py()
                     ids, q = unit(b, "ids", "vs", i)
                     score, doc = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-                others, v = unit(b, "ids_d", "vs_d", i)
+                    continue
+                if b.column(0)[i].as_py() != held:
+                    continue  # no query fell into that block
+                others, v = unit(b, "ids", "vs", i)
                 parts = [best(q[at : at + 256], others, v) for at in range(0, len(ids), 256)]
                 score, doc = (np.concatenate([old, np.concatenate([p[c] for p in parts])], 1) for c, old in enumerate((score, doc)))
                 first = np.lexsort((doc, -score), axis=1)[:, :k]
@@ -199,9 +205,13 @@ def dense_top_k(table: DataFrame, k: int, key: str = "vec_id", vec: str = "embed
             yield emit()
 
     q, d = blocks(wanted, n_asked, queries), blocks(rows, n, docs)
-    each = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // docs)) - 1)).cast("array<bigint>")))  # a Cartesian product would make a task of each two partitions
-    pairs = each.join(d.select(F.col("block").alias("other"), F.col("ids").alias("ids_d"), F.col("vs").alias("vs_d")), "other").select("block", "ids", "vs", "ids_d", "vs_d")
-    return pairs.repartition(max(1, -(-n_asked // queries)), "block").sortWithinPartitions("block").mapInArrow(run, "query long, doc long, score double, rank int")
+    q_blocks, d_blocks = max(1, -(-n_asked // queries)), max(1, -(-n // docs))
+    slices = -(-d_blocks // MEET)
+    to = lambda f, m: F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>"), f))
+    one = q.select(to(lambda s: F.col("block") * slices + s, slices).alias("unit"), F.lit(-1).cast("long").alias("other"), "ids", "vs")
+    met = d.select(to(lambda b: b * slices + F.pmod(F.col("block"), F.lit(slices)), q_blocks).alias("unit"), F.col("block").alias("other"), "ids", "vs")
+    found = one.unionByName(met).repartition(q_blocks * slices, "unit").sortWithinPartitions("unit", "other").mapInArrow(run, "query long, doc long, score double, rank int")
+    return found if slices == 1 else top_k(found.drop("rank"), k).select("query", "doc", "score", "rank")
 
 
 def universe(queries: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
@@ -290,6 +300,11 @@ def hybrid(lexical: DataFrame | None, dense: DataFrame | None, alpha: float, dig
     if alpha == 0.0 or lexical is None:
         return one(dense, False)
     both = lexical.select("query", "doc", F.col("score").alias("x")).join(dense.select("query", "doc", F.col("score").alias("y")), ["query", "doc"])
+    return blended(both, alpha, digits)
+
+
+def blended(both: DataFrame, alpha: float, digits: int | None = None) -> DataFrame:
+    """``hybrid`` of (query, doc, x, y), the lexical and the dense score of each pair."""
     w = Window.partitionBy("query")
     norm = lambda c: rounded(F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.0), digits)
     return both.withColumn("a", norm("x")).withColumn("b", norm("y")).select("query", "doc", rounded(alpha * F.col("a") + (1 - alpha) * F.col("b"), digits).alias("score"), F.lit(False).alias("skipped_dense"))
