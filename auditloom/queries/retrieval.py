@@ -82,11 +82,17 @@ def hybrid_topk_all(spark, d):
 
 
 def _hybrid(spark, d, q):
-    b, v = base(spark, d), rt.normalised(fx.table(spark, d, "embeddings"))
-    labels = v.join(b.select(F.col("doc").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    asked = v.join(q.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
-    near = rt.cosine(labels, asked, digits=5).select(F.col("doc").alias("query"), F.col("query").alias("doc"), "score")  # cosine is symmetric; the label base is the small side
-    return rt.top_k(rt.hybrid(rt.universe(q, b, rt.bm25(q, b, digits=DIGITS)), near, 0.6, digits=DIGITS).drop("skipped_dense"), 5)
+    """Texts and vectors meet by one shuffle each, by document; a pair's two scores are worked out in its row."""
+    t = fx.table(spark, d, "embeddings")
+    b, v, tasks = base(spark, d), rt.normalised(t), fx.tasks_for(t, rt.TASK_ROWS)
+    labels = v.join(b.select(F.col("doc").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("q"))
+    asked = v.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    q = q.join(t.select(F.col("vec_id").alias("query")), "query", "left_semi")  # the others have no vector
+    lexical = rt.bm25_of_base(q, b, digits=DIGITS, zeros=True, tasks=tasks)
+    both = lexical.join(rt.dealt(asked, "query", tasks=tasks), "query").join(F.broadcast(labels) if labels.limit(10_001).count() <= 10_000 else labels, "doc")
+    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = both.select("query", "doc", F.col("score").alias("x"), rt.rounded(dot, 5).alias("y"))
+    return rt.top_k(rt.blended(both, 0.6, digits=DIGITS).drop("skipped_dense"), 5)
 
 
 _CH = f"""w as (select doc_id, list_filter(string_split_regex(coalesce(text,''), '[ \\n\\t\\r\\f\\x0B]+'), lambda x: x <> '') t from documents), ch as (select doc_id note, i::int chunk, array_to_string(t[i*224+1:i*224+256], ' ') text from w, range(100000) r(i) where len(t) > 0 and i < greatest(1, ceil((len(t)-32)/224)))"""

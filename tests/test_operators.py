@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -468,3 +469,25 @@ def test_whole_plans(spark):
     assert flagged["C01.1"].supported is False and flagged["C01.1"].risk_flag == "weak_evidence"
     fewer = {r.code for r in coding.coded(notes, base, k=4, mode="off", contrast=True, legacy=True).where("note = 1").collect()}
     assert "A01.2" not in fewer and "A01.1" in fewer  # the family's runner-up is rejected
+
+
+def test_dense_blocks_are_dealt_once_to_each_query_block(spark, monkeypatch):
+    """Vectors of query and document blocks aren't joined; the k best of several tasks are merged."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    t = spark.createDataFrame([(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(60)], "vec_id long, embedding array<float>").cache()
+    whole = retrieval.dense_top_k(t, 5)
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r) for r in whole.collect()}
+    monkeypatch.setattr(retrieval, "MEET", 1)
+    got = retrieval.dense_top_k(t, 5, queries=9, docs=7)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 300
+
+
+def test_hybrid_pairs_are_not_shuffled(spark):
+    """Texts and vectors meet by document; no pair of document and label goes through a shuffle."""
+    from auditloom.queries.retrieval import hybrid_topk_all
+
+    plan = hybrid_topk_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query" in plan and not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
