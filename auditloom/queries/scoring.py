@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import share_of, u32, words_longer_than
+from ..functions.columns import u32, words_longer_than
 from ..operators import reports
+from ..operators import retrieval as rt
 from ..operators import scoring as sc
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_
@@ -153,10 +154,15 @@ def mock_all(spark, d):
 
 
 def _mock(spark, d, documents):
-    b = fx.table(spark, d, "benchmark").select("item_id", words_longer_than(F.col("text")).alias("h"))
-    n = documents.select("doc_id", words_longer_than(F.col("text")).alias("n"))
-    c, s = sc.mock_score_of(share_of(F.col("h"), F.col("n")))
-    return n.crossJoin(b).select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))  # the label base: Spark broadcasts it up to its own bound
+    """The labels' words are broadcast and met by the notes' words; a note's pairs are counted in its task, and the empty word, which no text has, pairs it with every label."""
+    of = lambda t: F.coalesce(words_longer_than(F.col(t)), F.array().cast("array<string>"))
+    plus = lambda t: F.explode(F.concat(of(t), F.array(F.lit("")))).alias("word")
+    b = fx.table(spark, d, "benchmark").select("item_id", "text", F.monotonically_increasing_id().alias("_i")).select("item_id", "_i", F.size(of("text")).alias("_n"), plus("text"))
+    b = F.broadcast(b) if fx.table(spark, d, "benchmark").limit(10_001).count() <= 10_000 else b
+    n = rt.dealt(documents.select("doc_id", "text"), "doc_id", tasks=fx.tasks_for(documents, rt.TASK_ROWS)).select("doc_id", "text", F.monotonically_increasing_id().alias("_d")).select("doc_id", "_d", plus("text"))
+    met = n.join(b, "word").groupBy("doc_id", "_d", "item_id", "_i", "_n").agg(F.count_if(F.col("word") != "").alias("_h"))  # keeps the dealing by note
+    c, s = sc.mock_score_of(F.when(F.col("_n") > 0, F.col("_h") / F.col("_n")).otherwise(0.0))
+    return met.select("item_id", "doc_id", c.alias("confidence"), s.alias("supported"))
 
 
 @query("scr_assemble", with_("pred_a", "select note, string_agg(code, ',' order by \"rank\") codes, max(confidence) confidence, count(*) filter (coalesce(confidence<0.4,false) or not coalesce(supported,false)) flagged, coalesce('because of ' || arg_min(code, \"rank\") filter (\"rank\" % 3 = 0), '') rationale from pred_a group by note"))

@@ -491,3 +491,15 @@ def test_hybrid_pairs_are_not_shuffled(spark):
 
     plan = hybrid_topk_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query" in plan and not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
+
+
+def test_mock_scores_meet_by_words(spark):
+    """Every note with every label, counted by words where the note lies; no Cartesian product of texts."""
+    from auditloom.queries.scoring import mock_all
+
+    d = "/root/testdata/sf0.001"
+    got = mock_all(spark, d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    notes, labels = (spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("documents", "benchmark"))
+    assert got.count() == got.select("item_id", "doc_id").distinct().count() == notes * labels
