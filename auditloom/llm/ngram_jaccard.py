@@ -12,7 +12,7 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of word 5-
    Each document proposes the leader it shares most prefix n-grams with; links that verify give labels. A round costs
    one verification a document, and rounds go on while they reduce the pairs that are left.
 4. All remaining pairs between different labels meet on a prefix n-gram and pass the length, positional and suffix
-   filters inside the join's condition; what is left is verified once each on the whole texts. Of an n-gram's postings only those outside its most frequent label
+   filters inside the join's condition (postings without a possible partner are gone before); what is left is verified once each on the whole texts. Of an n-gram's postings only those outside its most frequent label
    start pairs, so a merged group costs nothing; a frequent n-gram's postings are dealt to cells. No cap on partners or candidates anywhere.
 5. Where links are counted, the classes of each component are dealt to blocks, and each two blocks of a component are
    compared in one row, all sets with all: every link lies inside a component, so none is missed, and pairs of
@@ -35,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, U, components, mix, slices, utf8, word_hashes
@@ -197,14 +197,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     table = spark.sparkContext.broadcast(frequency_table(texts, n))
     prof = scratch.save(_profiles(texts, table, n, percent), "profiles")
     table.destroy()
+    scratch.release()
     known = prof.where("n > 0 and doc_id is not null")
     classes = scratch.save(known.groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = prof.join(classes.select("key", "check", "n", F.col("rep").alias("doc_id")), ["key", "check", "n", "doc_id"], "left_semi")
     post = reps.select(F.col("doc_id").alias("rep"), "n", "cold", F.posexplode("prefix").alias("pos", "h")).withColumn("salt", F.expr(f"if(pos >= cold, pmod(rep, {SALTS}), -1)"))
-    met = F.count("*").over(Window.partitionBy("h", "salt"))
-    post = scratch.save(post.select("h", "salt", "rep", "n", "pos", met.alias("k")).where("k > 1 or salt >= 0").select("h", "rep", "n", "pos"), "postings")
+    met = Observation()
+    post = scratch.save(_met(post, percent).observe(met, F.count_if(F.expr("salt >= 0 or before1_n is not null or behind1_n is not null")).alias("n")).where("salt >= 0 or partner").select("h", "rep", "n", "pos"), "postings")
     scratch.release()
-    total, sig = post.count(), prof.select(F.col("doc_id").alias("rep"), "n", "sig")
+    total, sig = met.get["n"], prof.select(F.col("doc_id").alias("rep"), "n", "sig")
 
     # The links of ids with several texts: each of their classes is reached.
     several = known.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id")
@@ -224,8 +225,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         scratch.release()
     rows = scratch.save(_suffixes(cur.join(cells.select("h", "most", "cells"), "h"), prof), "suffixes")
     scratch.drop(post, label)
+    scratch.release()
     pairs = scratch.save(_cross_pairs(rows, percent), "pairs")
     scratch.drop(rows)
+    scratch.release()
     links.append(scratch.save(_verify(texts, pairs, n, percent), "links"))
     scratch.drop(pairs)
     scratch.release()
@@ -319,6 +322,24 @@ def _labelled(post: DataFrame, label: DataFrame | None) -> DataFrame:
     return post.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
 
 
+def _near(na: str, pa_: str, nb: str, pb: str, percent: int) -> str:
+    """The length and positional filters of two postings of an n-gram."""
+    return f"""(100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})
+               and {pa_} + {pb} + abs(({na} - {pa_}) - ({nb} - {pb})) <= {na} + {nb} - 2 * (({percent} * ({na} + {nb}) + {99 + percent}) div {100 + percent}))"""
+
+
+def _met(post: DataFrame, percent: int) -> DataFrame:
+    """``post`` with the neighbours of each posting among its n-gram's, by size, and ``partner``: may another one pass the filters with it?
+
+    Of two postings each is the other's only partner, so both filters decide; of more, one whose neighbours on both sides fail the length filter has none.
+    """
+    w = Window.partitionBy("h", "salt").orderBy("n")
+    post = post.select("h", "salt", "rep", "n", "pos", *(f(c, k).over(w).alias(f"{x}{k}_{c}") for f, x in ((F.lag, "before"), (F.lead, "behind")) for c, k in (("n", 1), ("pos", 1), ("n", 2))))
+    length = f"(100 * before1_n >= {percent} * n or 100 * n >= {percent} * behind1_n)"
+    only = lambda x: _near("n", "pos", f"{x}1_n", f"{x}1_pos", percent)
+    return post.withColumn("partner", F.expr(f"case when before1_n is null and behind2_n is null then {only('behind')} when behind1_n is null and before2_n is null then {only('before')} else {length} end"))
+
+
 def _cells(cur: DataFrame) -> DataFrame:
     """(h, k, most, others, cells) of the n-grams that meet in several labels: postings, the most frequent label, postings of other labels, cells."""
     by = cur.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("x"))
@@ -354,11 +375,19 @@ def _leader_pairs(cur: DataFrame, sig: DataFrame, round_: int, percent: int) ->
     return both.where(_apart("sa", "sb") <= F.col("na") + F.col("nb") - 2 * _alpha("na", "nb", percent)).select("a", "b").distinct()
 
 
+def folded(sig: np.ndarray) -> np.ndarray:
+    """The parity bits of a set in SUFFIX_WORDS words at most."""
+    return np.bitwise_xor.reduce(sig.reshape(-1, min(len(sig), SUFFIX_WORDS)), 0)
+
+
 def suffix_parity(prefix: np.ndarray, sig: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """(len(pos), words) parity bits of what comes behind each position of the prefix; ``sig`` are those of the whole set. At most SUFFIX_WORDS words, to which longer ones are folded."""
-    words = min(len(sig), SUFFIX_WORDS)
-    now = np.bitwise_xor.reduce(sig.view(np.uint64).reshape(-1, words), 0)
-    bit = prefix.view(np.uint64) & U(64 * words - 1)
+    """(len(pos), words) parity bits of what comes behind each position of the prefix; ``sig`` are those of the whole set. At most SUFFIX_WORDS words, to which longer ones are folded.
+
+    Of an n-gram only the low 16 bits count, so ``prefix`` may hold no more of them.
+    """
+    now = folded(sig).view(np.uint64)
+    words = len(now)
+    bit = prefix.astype(np.int64).view(np.uint64) & U(64 * words - 1)
     word, flip = (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63))
     out, at = np.empty((len(pos), words), np.uint64), 0
     for i in np.argsort(pos, kind="stable").tolist():
@@ -373,6 +402,15 @@ def _suffixes(cur: DataFrame, prof: DataFrame) -> DataFrame:
 
     names = ["h", "rep", "n", "pos", "c", "most", "cells", "sig"]
 
+    def pack(batches):
+        """What suffix_parity looks at: the low 16 bits of the n-grams and the folded parity bits, a fifth of the profile."""
+        for b in batches:
+            prefix, sig = (b.column(b.schema.get_field_index(c)) for c in ("prefix", "sig"))
+            (po, pv), (so, sv) = ((np.asarray(x.offsets), x.values.to_numpy(zero_copy_only=False)) for x in (prefix, sig))
+            low = [pv[po[i] : po[i + 1]].astype(np.int16).tobytes() for i in range(b.num_rows)]
+            bits = [folded(sv[so[i] : so[i + 1]]).tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("rep", "n", "key")), pa.array(low, pa.binary()), pa.array(bits, pa.binary())], names=["rep", "n", "key", "prefix", "sig"])
+
     def emit(got):
         *flat, bits = zip(*got, strict=True)
         size = np.concatenate([np.full(len(x), x.shape[1]) for x in bits])
@@ -383,13 +421,14 @@ def _suffixes(cur: DataFrame, prof: DataFrame) -> DataFrame:
         got, held = [], 0
         for b in batches:
             prefix, sig, own = (b.column(b.schema.get_field_index(c)) for c in ("prefix", "sig", "own"))
-            (po, pv), (so, sv), oo = *((np.asarray(x.offsets), x.values.to_numpy(zero_copy_only=False)) for x in (prefix, sig)), np.asarray(own.offsets)
+            oo = np.asarray(own.offsets)
             field = {k: own.values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "pos", "c", "most", "cells")}
             rep, n = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rep", "n"))
             for i in range(b.num_rows):
-                at, p = slice(oo[i], oo[i + 1]), pv[po[i] : po[i + 1]]
-                keep = p[np.minimum(field["pos"][at], len(p) - 1)] == field["h"][at]  # an id may have several texts of one size
-                bits = suffix_parity(p, sv[so[i] : so[i + 1]], field["pos"][at][keep])
+                at, p = slice(oo[i], oo[i + 1]), np.frombuffer(prefix[i].as_py(), np.int16)
+                # An id may have several texts of one size. A posting that gets the bits of the wrong one as well only adds pairs, which are verified.
+                keep = p[np.minimum(field["pos"][at], len(p) - 1)] == field["h"][at].astype(np.int16)
+                bits = suffix_parity(p, np.frombuffer(sig[i].as_py(), np.int64), field["pos"][at][keep])
                 k = len(bits)
                 got.append((field["h"][at][keep], np.full(k, rep[i]), np.full(k, n[i]), *(field[x][at][keep] for x in names[3:7]), bits))
                 held += k
@@ -400,7 +439,8 @@ def _suffixes(cur: DataFrame, prof: DataFrame) -> DataFrame:
             yield emit(got)
 
     own = cur.groupBy("rep", "n").agg(F.collect_list(F.struct("h", "pos", "c", "most", "cells")).alias("own"))  # no more than a document's prefix
-    rows = own.join(prof.select(F.col("doc_id").alias("rep"), "n", "key", "prefix", "sig"), ["rep", "n"]).dropDuplicates(["rep", "n", "key"])
+    packed = prof.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "key", "prefix", "sig").mapInArrow(pack, "rep long, n long, key long, prefix binary, sig binary")
+    rows = own.join(packed, ["rep", "n"]).dropDuplicates(["rep", "n", "key"])
     rows = rows.select("rep", "n", "prefix", "sig", "own")
     return rows.mapInArrow(cut, "h long, rep long, n long, pos int, c long, most long, cells int, sig array<long>")
 
@@ -413,8 +453,7 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     # Of a linked pair's common n-grams the first in the common order passes all filters. They are in the join's
     # condition, so that only pairs that pass them leave it.
     apart = f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
-    cond = f"""c_a <> c_b and (c_b = most or rep_a < rep_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
-               and pos_a + pos_b + abs((n_a - pos_a) - (n_b - pos_b)) <= {apart}"""
+    cond = f"c_a <> c_b and (c_b = most or rep_a < rep_b) and {_near('n_a', 'pos_a', 'n_b', 'pos_b', percent)}"
     suffix = _apart("sig_a", "sig_b") <= F.expr(f"{apart} - pos_a - pos_b")
     pairs = x.join(y, (x["h"] == y["h"]) & (x["cell"] == y["cell"]) & F.expr(cond) & suffix)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()

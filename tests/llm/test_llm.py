@@ -110,6 +110,25 @@ def test_links_match_brute_force(spark, monkeypatch, block, most):
     assert {r.doc_id: r.links for r in got} == want and max(want.values()) > 10
 
 
+def test_postings_without_partner_leave(spark):
+    """A posting stays if some other of its n-gram passes the length filter with it, of two postings both filters; all others go before anything else reads them."""
+    rng = np.random.default_rng(7)
+    rows = [(int(h), -1, i, int(n), int(n * rng.random() / 4)) for i, (h, n) in enumerate(zip(rng.integers(0, 150, 400), np.exp(rng.normal(4, 1, 400)) + 4, strict=True))]
+    got = {r.rep for r in ngram_jaccard._met(spark.createDataFrame(rows, "h long, salt long, rep long, n long, pos int"), 75).where("partner").collect()}
+    group = {}
+    for h, _, *x in rows:
+        group.setdefault(h, []).append(x)
+    want, first = set(), set()
+    for g in group.values():
+        for r, n, p in g:
+            for q, m, o in g:
+                if q != r and 100 * min(n, m) >= 75 * max(n, m):
+                    both = p + o + abs((n - p) - (m - o)) <= n + m - 2 * ((75 * (n + m) + 174) // 175)
+                    first |= {r} if both else set()
+                    want |= {r} if both or len(g) > 2 else set()
+    assert first <= got == want and len(got) < len(rows) / 2
+
+
 def test_suffix_parity_bounds_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 40, 200, 3000):
