@@ -4,8 +4,8 @@
   idf = ln((1 + n) / (1 + df)) + 1, unit length. The vocabulary is a table of bounded size, so a note's vector needs no shuffle.
 - For each label the model minimises |w|^2 / 2 + c * sum of losses, logistic or squared hinge, over its notes against all others; a constant
   feature of 1 is the bias and is penalised like the rest.
-- All labels go through limited-memory BFGS side by side. A step reads the saved vectors once: a task multiplies a batch with the weights of all
-  labels, keeps one block of gradients of features by labels, and blocks of equal place are added by shuffle, so a task sends features x labels numbers,
+- All labels go through limited-memory BFGS side by side. The vectors are saved as sparse blocks of BLOCK notes at most, by note and by feature, so that a step
+  sorts, unpacks and fills nothing. It reads them once: a task multiplies a block with the weights of all labels, keeps one block of gradients of features by labels, and blocks of equal place are added by shuffle, so a task sends features x labels numbers,
   however many notes it has read. Labels keep steps of their own; those that have converged stand still.
 
 The weights (features x AT_ONCE labels) are what the driver holds and broadcasts; more labels go in several runs.
@@ -27,6 +27,9 @@ from ..scratch import Scratch
 AT_ONCE = 256  #: labels of a run
 PARTS = 32  #: places in which a gradient is added
 BATCH = 256  #: notes that are multiplied at once
+BLOCK = 512  #: notes of a saved block
+NUMBERS = 1 << 21  #: products that a block makes at once
+_TYPES = (np.int32, np.int32, np.int32, np.float32, np.int32, np.int32, np.float32, np.int32)  #: of a block's columns behind ``notes``
 WORD = re.compile(r"\b\w\w+\b")
 
 
@@ -63,7 +66,7 @@ class MultiLabelLinear:
         for at in range(0, len(self.codes), AT_ONCE):
             group = self.codes[at : at + AT_ONCE]
             y = labels.where(F.col("code").isin(group)).groupBy("note").agg(F.collect_set("code").alias("codes"))
-            rows = scratch.save(x.join(y, "note", "left").select("idx", "val", F.coalesce("codes", F.array().cast("array<string>")).alias("codes")), "rows")
+            rows = scratch.save(self._blocks(x.join(y, "note", "left").select("idx", "val", F.coalesce("codes", F.array().cast("array<string>")).alias("codes")), group), "blocks")
             weights.append(self._minimise(rows, group))
             scratch.drop(rows)
         scratch.drop(x)
@@ -77,9 +80,11 @@ class MultiLabelLinear:
             for b in batches:
                 n, df = Counter(), Counter()
                 for t in b.column(0).to_pylist():
-                    own = Counter(w for w in WORD.findall((t or "").lower()) if w not in stop)
+                    own = WORD.findall((t or "").lower())
                     n.update(own)
-                    df.update(own.keys())
+                    df.update(set(own))
+                for w in stop:
+                    n.pop(w, None)
                 yield pa.RecordBatch.from_pydict({"word": pa.array(list(n), pa.string()), "n": pa.array(n.values(), pa.int64()), "df": pa.array([df[w] for w in n], pa.int64())})
 
         words = docs.select("text").mapInArrow(count, "word string, n long, df long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
@@ -97,7 +102,8 @@ class MultiLabelLinear:
             for b in batches:
                 idx, val = [], []
                 for t in b.column(1).to_pylist():
-                    own = Counter(place[w] for w in WORD.findall((t or "").lower()) if w in place)
+                    own = Counter(map(place.get, WORD.findall((t or "").lower())))
+                    own.pop(None, None)
                     i = np.array(sorted(own), np.int32)
                     v = np.array([own[k] for k in i.tolist()]) * idf[i] if len(i) else np.zeros(0)
                     idx.append(i.tobytes())
@@ -116,23 +122,61 @@ class MultiLabelLinear:
         m[:, -1] = 1
         return np.append(used, bias), m
 
-    def _evaluate(self, rows: DataFrame, group: list[str], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _blocks(rows: DataFrame, group: list[str]) -> DataFrame:
+        """Sparse blocks of (idx, val, codes): ``val`` and the place ``idx`` of each feature in ``used``, note by note from ``start``; ``note`` and ``by`` are notes and values feature
+        by feature from ``first``; ``label``: places in notes by labels that are 1. All as bytes."""
+        place, size = {k: j for j, k in enumerate(group)}, len(group)
+        names = ["notes", "used", "start", "idx", "val", "first", "note", "by", "label"]
+
+        def block(idx, val, codes):
+            i, v = [np.frombuffer(x, np.int32) for x in idx], np.concatenate([np.frombuffer(x, np.float32) for x in val])
+            length = np.array([len(x) for x in i])
+            used, at, count = np.unique(np.concatenate(i), return_inverse=True, return_counts=True)
+            turn = np.argsort(at, kind="stable")
+            note = np.repeat(np.arange(len(i), dtype=np.int32), length)
+            label = np.array([r * size + place[c] for r, own in enumerate(codes) for c in own], np.int32)
+            start = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            return [len(i), *(x.tobytes() for x in (used, start(length), at.astype(np.int32), v, start(count), note[turn], v[turn], label))]
+
+        def run(batches):
+            for b in batches:
+                for k in range(0, b.num_rows, BLOCK):
+                    made = block(*(b.column(c).slice(k, BLOCK).to_pylist() for c in range(3)))
+                    yield pa.RecordBatch.from_arrays([pa.array([made[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in made[1:])], names=names)
+
+        return rows.mapInArrow(run, "notes int, " + ", ".join(f"{x} binary" for x in names[1:]))
+
+    @staticmethod
+    def _times(start: np.ndarray, at: np.ndarray, val: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The rows of a sparse matrix (values ``val`` in columns ``at``, rows from ``start``) times ``w``, NUMBERS products at once."""
+        out, most = np.zeros((len(start) - 1, w.shape[1])), max(1, NUMBERS // max(1, w.shape[1]))
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(start, start[a] + most, "right")) - 1)
+            full = np.flatnonzero(start[a + 1 : b + 1] > start[a:b]) + a  # reduceat gives empty rows the next one's first product
+            if len(full):
+                x = slice(start[a], start[b])
+                out[full] = np.add.reduceat(val[x, None] * w[at[x]], start[full] - start[a], axis=0)
+            a = b
+        return out
+
+    def _evaluate(self, blocks: DataFrame, group: list[str], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Objective and gradient of every label of ``group`` at ``w``."""
-        shared = rows.sparkSession.sparkContext.broadcast(w)
-        kind, place, size, bias = self.kind, {k: j for j, k in enumerate(group)}, len(group), len(w) - 1
+        shared = blocks.sparkSession.sparkContext.broadcast(w)
+        kind, size = self.kind, len(group)
         bounds = np.linspace(0, len(w) + 1, PARTS + 1).astype(int)  # the row behind the gradient is the loss
 
         def run(batches):
             at, total = shared.value, np.zeros((len(shared.value) + 1, size))
             for b in batches:
-                for k in range(0, b.num_rows, BATCH):
-                    idx, val, codes = (b.column(c).slice(k, BATCH).to_pylist() for c in range(3))
-                    used, m = self._dense(idx, val, bias)
-                    y = np.full((len(idx), size), -1.0)
-                    for r, own in enumerate(codes):
-                        y[r, [place[c] for c in own]] = 1
-                    loss, slope = _loss(kind, m @ at[used], y)
-                    total[used] += m.T @ slope
+                for k in range(b.num_rows):
+                    used, start, idx, val, first, note, by, label = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in enumerate(_TYPES, 1))
+                    y = np.full((b.column(0)[k].as_py(), size), -1.0)
+                    y.ravel()[label] = 1
+                    loss, slope = _loss(kind, self._times(start, idx, val, at[used]) + at[-1], y)
+                    total[used] += self._times(first, note, by, slope)
+                    total[-2] += slope.sum(0)
                     total[-1] += loss.sum(0)
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "sums": pa.array([total[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())})
 
@@ -145,7 +189,7 @@ class MultiLabelLinear:
                 yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "sums": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
         schema, total = "part int, sums binary", np.zeros((len(w) + 1, size))
-        for r in rows.mapInArrow(run, schema).repartition(min(PARTS, 8), "part").mapInArrow(add, schema).collect():  # PARTS rows, features x labels numbers
+        for r in blocks.mapInArrow(run, schema).repartition(min(PARTS, 8), "part").mapInArrow(add, schema).collect():  # PARTS rows, features x labels numbers
             total[bounds[r.part] : bounds[r.part + 1]] = np.frombuffer(bytes(r.sums)).reshape(-1, size)
         shared.destroy()
         return 0.5 * (w * w).sum(0) + self.c * total[-1], w + self.c * total[:-1]

@@ -69,6 +69,27 @@ def test_matches_a_slow_solver(spark, monkeypatch, kind):
     assert len(top) == 2 * len(texts) and all(got[r.note, r.code]["rank"] == r["rank"] for r in top)
 
 
+def test_sparse_blocks(spark, monkeypatch):
+    """A step's objective and gradient come from saved sparse blocks (notes without features and codes among them) and are those of the dense matrix."""
+    monkeypatch.setattr(multilabel, "BLOCK", 3)
+    monkeypatch.setattr(multilabel, "NUMBERS", 5)  # several cuts a block
+    rng, x = np.random.default_rng(3), np.zeros((11, 9))
+    rows, y = [], np.full((11, 2), -1.0)
+    for r in range(11):
+        i = np.sort(rng.choice(8, r % 4, replace=False)).astype(np.int32)
+        v = rng.random(len(i)).astype(np.float32)
+        own = [c for j, c in enumerate("AB") if (r >> j) % 3 == 0]
+        x[r, i], x[r, 8], y[r, ["AB".index(c) for c in own]] = v, 1, 1
+        rows.append((bytearray(i.tobytes()), bytearray(v.tobytes()), own))
+    blocks = multilabel.MultiLabelLinear._blocks(spark.createDataFrame(rows, "idx binary, val binary, codes array<string>").coalesce(1), ["A", "B"])
+    assert blocks.count() == 4
+    for kind in ("logistic", "squared_hinge"):
+        w = rng.normal(size=(9, 2))
+        f, g = multilabel.MultiLabelLinear(kind, c=2.0)._evaluate(blocks, ["A", "B"], w)
+        loss, slope = multilabel._loss(kind, x @ w, y)
+        assert np.allclose(f, (w * w).sum(0) / 2 + 2 * loss.sum(0)) and np.allclose(g, w + 2 * x.T @ slope)
+
+
 def test_learners_without_labels_or_notes(spark):
     docs = spark.createDataFrame([(1, "some words here")], "note long, text string")
     none = spark.createDataFrame([], "note long, code string")
