@@ -11,8 +11,9 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of word 5-
    order: in a group of near copies that is the copy with the fewest n-grams of its own, to which most others link.
    Each document proposes the leader it shares most prefix n-grams with; links that verify give labels. A round costs
    one verification a document, and rounds go on while they reduce the pairs that are left.
-4. All remaining pairs between different labels meet on a prefix n-gram and pass the length, positional and suffix
-   filters inside the join's condition (postings without a possible partner are gone before); what is left is verified once each on the whole texts. Of an n-gram's postings only those outside its most frequent label
+4. All remaining pairs between different labels meet on a prefix n-gram and pass the length and positional
+   filters inside the join's condition (postings without a possible partner are gone before), then the suffix filter, for which the parity bits of only their
+   documents are moved; what is left is verified once each on the whole texts. Of an n-gram's postings only those outside its most frequent label
    start pairs, so a merged group costs nothing; a frequent n-gram's postings are dealt to cells. No cap on partners or candidates anywhere.
 5. Where links are counted, the classes of each component are dealt to blocks, and each two blocks of a component are
    compared in one row, all sets with all: every link lies inside a component, so none is missed, and pairs of
@@ -44,7 +45,8 @@ BITS = 20  #: log2 of the buckets of the frequency table: 4 MB, at every input s
 PARTS = 64  #: the table is summed in so many parts
 HOT = 50_000  #: an n-gram in a bucket over this count is dealt to SALTS groups
 SALTS = 64
-SUFFIX_WORDS = 16  #: 64-bit words of a posting's parity bits at most; fewer bits prune less
+SUFFIX_WORDS = 1024  #: 64-bit words of a suffix's parity bits at most, all that the low 16 bits of an n-gram address; fewer bits prune less
+KEY = 40  #: bits of an n-gram's hash by which postings meet; where two n-grams share them more pairs are verified
 CELL = 20_000  #: postings of an n-gram in a cell of the join, pairs of a leader in a cell of the verification
 BLOCK = 128  #: classes of a component in a block, on average, when links are counted
 
@@ -223,12 +225,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         old, label = label, scratch.save(components(spark, _union(links[1:]), scratch, steps=2), "labels")
         scratch.drop(pairs, old)
         scratch.release()
-    rows = scratch.save(_suffixes(cur.join(cells.select("h", "most", "cells"), "h"), prof), "suffixes")
+    rows = scratch.save(cur.join(cells.select("h", "most", "cells"), "h"), "apart")
     scratch.drop(post, label)
     scratch.release()
-    pairs = scratch.save(_cross_pairs(rows, percent), "pairs")
+    met_at = scratch.save(_cross_pairs(rows, percent), "met")
     scratch.drop(rows)
     scratch.release()
+    pairs = scratch.save(_behind(met_at, prof, percent), "pairs")
+    scratch.drop(met_at)
+    scratch.release()
     links.append(scratch.save(_verify(texts, pairs, n, percent), "links"))
     scratch.drop(pairs)
     scratch.release()
@@ -333,11 +338,15 @@ def _met(post: DataFrame, percent: int) -> DataFrame:
 
     Of two postings each is the other's only partner, so both filters decide; of more, one whose neighbours on both sides fail the length filter has none.
     """
-    w = Window.partitionBy("h", "salt").orderBy("n")
-    post = post.select("h", "salt", "rep", "n", "pos", *(f(c, k).over(w).alias(f"{x}{k}_{c}") for f, x in ((F.lag, "before"), (F.lead, "behind")) for c, k in (("n", 1), ("pos", 1), ("n", 2))))
+    # An n-gram and its salt travel as one number, size and position as another: the exchange of all postings is the widest of the join.
+    w = Window.partitionBy("key").orderBy("x")
+    post = post.select(F.expr(f"(h & {(1 << KEY) - 1}) | shiftleft(salt + 1, {KEY})").alias("key"), "rep", F.expr("shiftleft(bigint(n), 32) | pos").alias("x"))
+    post = post.select("*", *(f("x", k).over(w).alias(f"{x}{k}") for f, x in ((F.lag, "before"), (F.lead, "behind")) for k in (1, 2)))
+    part = lambda x, at: [F.shiftright(x, 32).alias(f"{at}n"), F.expr(f"int({x} & {(1 << 31) - 1})").alias(f"{at}pos")]
+    post = post.select(F.expr(f"key & {(1 << KEY) - 1}").alias("h"), (F.shiftright("key", KEY) - 1).alias("salt"), "rep", *part("x", ""), *part("before1", "before1_"), *part("behind1", "behind1_"), "before2", "behind2")
     length = f"(100 * before1_n >= {percent} * n or 100 * n >= {percent} * behind1_n)"
     only = lambda x: _near("n", "pos", f"{x}1_n", f"{x}1_pos", percent)
-    return post.withColumn("partner", F.expr(f"case when before1_n is null and behind2_n is null then {only('behind')} when behind1_n is null and before2_n is null then {only('before')} else {length} end"))
+    return post.withColumn("partner", F.expr(f"case when before1_n is null and behind2 is null then {only('behind')} when behind1_n is null and before2 is null then {only('before')} else {length} end"))
 
 
 def _cells(cur: DataFrame) -> DataFrame:
@@ -397,13 +406,32 @@ def suffix_parity(prefix: np.ndarray, sig: np.ndarray, pos: np.ndarray) -> np.nd
     return out.view(np.int64)
 
 
-def _suffixes(cur: DataFrame, prof: DataFrame) -> DataFrame:
-    """The postings with the parity bits of what comes behind them in the common order."""
+def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, na, b, nb, at) of all documents with postings of an n-gram that have different labels and pass the length and positional filters; ``at``: these n-grams (their low 16 bits) and both positions.
+
+    Bits don't travel here: of many postings that meet few documents are left.
+    """
+    side = lambda d, k: d.select("h", "cell", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "c")), *["most"] * (k == "b"))
+    x = side(rows.where("c <> most").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))), "a")
+    y = side(rows.withColumn("cell", F.expr("int(pmod(xxhash64(rep), cells))")), "b")
+    # Of a linked pair's common n-grams the first in the common order passes all filters. They are in the join's
+    # condition, so that only pairs that pass them leave it.
+    cond = f"c_a <> c_b and (c_b = most or rep_a < rep_b) and {_near('n_a', 'pos_a', 'n_b', 'pos_b', percent)}"
+    pairs = x.join(y, ["h", "cell"]).where(cond)
+    turned = lambda c, d: F.when(F.col("rep_a") < F.col("rep_b"), F.col(c)).otherwise(F.col(d))
+    at = F.struct(F.expr("h & 65535").cast("int").alias("h"), turned("pos_a", "pos_b").alias("pa"), turned("pos_b", "pos_a").alias("pb"))
+    pairs = pairs.select(turned("rep_a", "rep_b").alias("a"), turned("n_a", "n_b").alias("na"), turned("rep_b", "rep_a").alias("b"), turned("n_b", "n_a").alias("nb"), at.alias("at"))
+    return pairs.groupBy("a", "na", "b", "nb").agg(F.collect_list("at").alias("at"))  # no more than a document's prefix
+
+
+def _behind(met: DataFrame, prof: DataFrame, percent: int, small: int = 300_000) -> DataFrame:
+    """The pairs (a, b) of ``met`` that pass the suffix filter at some n-gram. Saved ``met`` is read twice.
 
-    names = ["h", "rep", "n", "pos", "c", "most", "cells", "sig"]
+    Only what ids in ``met`` have is moved; their list is broadcast where it has at most ``small`` rows (2.4 MB).
+    """
 
     def pack(batches):
-        """What suffix_parity looks at: the low 16 bits of the n-grams and the folded parity bits, a fifth of the profile."""
+        """What suffix_parity looks at: the low 16 bits of the n-grams and the folded parity bits."""
         for b in batches:
             prefix, sig = (b.column(b.schema.get_field_index(c)) for c in ("prefix", "sig"))
             (po, pv), (so, sv) = ((np.asarray(x.offsets), x.values.to_numpy(zero_copy_only=False)) for x in (prefix, sig))
@@ -411,49 +439,31 @@ def _suffixes(cur: DataFrame, prof: DataFrame) -> DataFrame:
             bits = [folded(sv[so[i] : so[i + 1]]).tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("rep", "n", "key")), pa.array(low, pa.binary()), pa.array(bits, pa.binary())], names=["rep", "n", "key", "prefix", "sig"])
 
-    def emit(got):
-        *flat, bits = zip(*got, strict=True)
-        size = np.concatenate([np.full(len(x), x.shape[1]) for x in bits])
-        sig = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate([x.ravel() for x in bits]), pa.int64()))
-        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in flat), sig], names=names)
-
-    def cut(batches):
-        got, held = [], 0
+    def check(batches):
         for b in batches:
-            prefix, sig, own = (b.column(b.schema.get_field_index(c)) for c in ("prefix", "sig", "own"))
-            oo = np.asarray(own.offsets)
-            field = {k: own.values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "pos", "c", "most", "cells")}
-            rep, n = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rep", "n"))
+            at = b.column(b.schema.get_field_index("at"))
+            off, (h, *pos) = np.asarray(at.offsets), (at.values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "pa", "pb"))
+            text = {c: b.column(b.schema.get_field_index(c)) for c in ("pre_a", "sig_a", "pre_b", "sig_b")}
+            na, nb = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("na", "nb"))
+            ok = []
             for i in range(b.num_rows):
-                at, p = slice(oo[i], oo[i + 1]), np.frombuffer(prefix[i].as_py(), np.int16)
-                # An id may have several texts of one size. A posting that gets the bits of the wrong one as well only adds pairs, which are verified.
-                keep = p[np.minimum(field["pos"][at], len(p) - 1)] == field["h"][at].astype(np.int16)
-                bits = suffix_parity(p, np.frombuffer(sig[i].as_py(), np.int64), field["pos"][at][keep])
-                k = len(bits)
-                got.append((field["h"][at][keep], np.full(k, rep[i]), np.full(k, n[i]), *(field[x][at][keep] for x in names[3:7]), bits))
-                held += k
-                if held >= 10_000:
-                    yield emit(got)
-                    got, held = [], 0
-        if got:
-            yield emit(got)
-
-    own = cur.groupBy("rep", "n").agg(F.collect_list(F.struct("h", "pos", "c", "most", "cells")).alias("own"))  # no more than a document's prefix
-    packed = prof.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "key", "prefix", "sig").mapInArrow(pack, "rep long, n long, key long, prefix binary, sig binary")
-    rows = own.join(packed, ["rep", "n"]).dropDuplicates(["rep", "n", "key"])
-    rows = rows.select("rep", "n", "prefix", "sig", "own")
-    return rows.mapInArrow(cut, "h long, rep long, n long, pos int, c long, most long, cells int, sig array<long>")
-
+                own = slice(off[i], off[i + 1])
+                pre = [np.frombuffer(text[c][i].as_py(), np.int16) for c in ("pre_a", "pre_b")]
+                sig = [np.frombuffer(text[c][i].as_py(), np.int64) for c in ("sig_a", "sig_b")]
+                # An id may have several texts of one size: an n-gram counts where both texts have it there. The bits of the wrong text only add pairs, which are verified.
+                keep = np.logical_and(*(p[np.minimum(q[own], len(p) - 1)] == h[own].astype(np.int16) for p, q in zip(pre, pos, strict=True)))
+                p, q = (x[own][keep] for x in pos)
+                s, t = suffix_parity(pre[0], sig[0], p), suffix_parity(pre[1], sig[1], q)
+                words = min(s.shape[1], t.shape[1])
+                s, t = (np.bitwise_xor.reduce(x.reshape(len(x), x.shape[1] // words, words), 1) for x in (s, t))
+                most = na[i] + nb[i] - 2 * ((percent * (na[i] + nb[i]) + 99 + percent) // (100 + percent))
+                ok.append(bool((np.bitwise_count((s ^ t).view(np.uint64)).sum(1, dtype=np.int64) <= most - p - q).any()))
+            m = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(m) for c in ("a", "b")], names=["a", "b"])
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of postings with different labels that pass the length, positional and suffix filters."""
-    side = lambda d, k: d.select("h", "cell", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "c", "sig")), *["most"] * (k == "b"))
-    x = side(rows.where("c <> most").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))), "a")
-    y = side(rows.withColumn("cell", F.expr("int(pmod(xxhash64(rep), cells))")), "b")
-    # Of a linked pair's common n-grams the first in the common order passes all filters. They are in the join's
-    # condition, so that only pairs that pass them leave it.
-    apart = f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
-    cond = f"c_a <> c_b and (c_b = most or rep_a < rep_b) and {_near('n_a', 'pos_a', 'n_b', 'pos_b', percent)}"
-    suffix = _apart("sig_a", "sig_b") <= F.expr(f"{apart} - pos_a - pos_b")
-    pairs = x.join(y, (x["h"] == y["h"]) & (x["cell"] == y["cell"]) & F.expr(cond) & suffix)
-    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    ids = met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    few = ids.limit(small + 1).count() <= small
+    own = prof.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "key", "prefix", "sig").join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    own = own.mapInArrow(pack, "rep long, n long, key long, prefix binary, sig binary").dropDuplicates(["rep", "n", "key"])
+    by = lambda k: own.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"pre_{k}"), F.col("sig").alias(f"sig_{k}"))
+    return met.join(by("a"), ["a", "na"]).join(by("b"), ["b", "nb"]).mapInArrow(check, "a long, b long").distinct()

@@ -129,6 +129,18 @@ def test_postings_without_partner_leave(spark):
     assert first <= got == want and len(got) < len(rows) / 2
 
 
+def test_long_texts_are_told_apart_by_all_their_bits(spark):
+    """Sets of thousands that share one n-gram don't come to be verified, those that link do, also where an id has a second text of the size."""
+    rng = np.random.default_rng(5)
+    x, z, other = (rng.integers(0, 2**63, 5000).astype(np.uint64) for _ in range(3))
+    y, z[0] = np.concatenate([x[:4700], rng.integers(0, 2**63, 300).astype(np.uint64)]), x[0]
+    rows = [(i, 5000, k, s[:1251].view(np.int64).tolist(), ngram_jaccard.parity(s, ngram_jaccard.words_for(5000)).tolist()) for k, (i, s) in enumerate([(0, x), (0, other), (1, y), (2, z)])]
+    prof = spark.createDataFrame(rows, "doc_id long, n long, key long, prefix array<long>, sig array<long>")
+    at = [(int(x[0] & np.uint64(65535)), 0, 0)]
+    met = spark.createDataFrame([(0, 5000, 1, 5000, at), (0, 5000, 2, 5000, at), (1, 5000, 2, 5000, at)], "a long, na long, b long, nb long, at array<struct<h int, pa int, pb int>>")
+    assert [tuple(r) for r in ngram_jaccard._behind(met, prof, 75).collect()] == [(0, 1)]
+
+
 def test_suffix_parity_bounds_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 40, 200, 3000):
