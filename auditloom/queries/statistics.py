@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import f1, safe_ratio, u32
 from ..operators import statistics as st
+from ..scratch import Scratch
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_
 from .evaluation import counts, facts
@@ -57,10 +58,10 @@ def cells(spark, d, names=tuple(CELLS)):
     return st.aligned(fx.run_masks(spark, d, {k: CELLS[k] for k in names}), list(names)).drop("runs")
 
 
-def did(low: str, high: str):
+def did(low: str, high: str, f=st.f1_of, cols=("tp", "fp", "fn")):
     """Simple effects and interaction of a capacity step, and the swaps under which the interaction is exchangeable."""
-    e = {c: st.f1_of(f"{high}_{c}") - st.f1_of(f"{low}_{c}") for c in ("note", "none")}
-    return e["note"], e["none"], e["note"] - e["none"], [st.sides(f"{high}_{c}", f"{low}_{c}") for c in ("note", "none")]
+    e = {c: f(f"{high}_{c}") - f(f"{low}_{c}") for c in ("note", "none")}
+    return e["note"], e["none"], e["note"] - e["none"], [st.sides(f"{high}_{c}", f"{low}_{c}", cols) for c in ("note", "none")]
 
 
 @query("st_did", with_(_RUNS, f"with {_CELLS} select notes shared_notes, round({_F('7_note')}-{_F('3_note')},9) effect_note, round({_F('7_none')}-{_F('3_none')},9) effect_none, round(({_F('7_note')}-{_F('3_note')})-({_F('7_none')}-{_F('3_none')}),8) interaction from s"))
@@ -74,8 +75,9 @@ def did_points(spark, d):
 
 @query("st_did_full")
 def did_full(spark, d, reps=FULL):
-    note, none, both, swaps = did("3", "7")
-    c = cells(spark, d, ("3_note", "3_none", "7_note", "7_none"))
+    note, none, both, swaps = did("3", "7", st.f1_by_errors, ("tp", "e"))
+    names = ("3_note", "3_none", "7_note", "7_none")
+    c = st.errors(cells(spark, d, names), names)
     return st.contrasts(c, {"effect_note": note, "effect_none": none, "interaction": both}, reps, 42, {"interaction": swaps})
 
 
@@ -106,12 +108,21 @@ STEPS = [("3", "7"), ("7", "14"), ("3", "14")]
 
 @query("st_capacity_curve_full")
 def capacity_full(spark, d, reps=FULL):
-    """Simple effects of context and capacity with intervals, and the interaction of each capacity step with its test."""
-    effect = lambda hi, lo: st.f1_of(hi) - st.f1_of(lo)
-    stats = {f"context_at_{k}": effect(f"{k}_note", f"{k}_none") for k in ("3", "7", "14")}
-    stats |= {f"capacity_{a}_to_{b}_{c}": effect(f"{b}_{c}", f"{a}_{c}") for a, b in STEPS for c in ("note", "none")}
-    stats |= {f"interaction_{a}_to_{b}": did(a, b)[2] for a, b in STEPS}
-    return st.contrasts(cells(spark, d), stats, reps, 42, {f"interaction_{a}_to_{b}": did(a, b)[3] for a, b in STEPS})
+    """Simple effects of context and capacity with intervals, and the interaction of each capacity step with its test.
+
+    Each step is drawn on its own four cells, which far fewer notes tell apart than all six.
+    """
+    effect = lambda hi, lo: st.f1_by_errors(hi) - st.f1_by_errors(lo)
+    c = Scratch(spark, "capacity").save(st.cells_of(st.errors(cells(spark, d), list(CELLS))), "cells")  # one pass over the lines
+    out, seen = None, set()
+    for a, b in STEPS:
+        *_, both, swaps = did(a, b, st.f1_by_errors, ("tp", "e"))
+        stats = {f"context_at_{k}": effect(f"{k}_note", f"{k}_none") for k in (a, b) if k not in seen}
+        stats |= {f"capacity_{a}_to_{b}_{x}": effect(f"{b}_{x}", f"{a}_{x}") for x in ("note", "none")} | {f"interaction_{a}_to_{b}": both}
+        own = c.select("m", *(f"{x}_{k}_{y}" for k in (a, b) for y in ("note", "none") for x in ("tp", "e")))
+        one = st.contrasts(own, stats, reps, 42, {f"interaction_{a}_to_{b}": swaps})
+        out, seen = one if out is None else out.unionByName(one), seen | {a, b}
+    return out
 
 
 @query("st_paired_report_full")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from auditloom.operators import statistics as st
 
@@ -46,6 +47,20 @@ def test_swaps_move_whole_notes(spark):
     assert abs(got.a.mean() - both / 2) < 0.7 and abs(got.a.var() / sum((r[1] - r[2]) ** 2 / 4 for r in rows) - 1) < 0.1
 
 
+def test_swaps_draw_differences_not_notes(spark):
+    """A randomised replicate's work follows the different differences of one swap, not the different notes: 4,000 notes, all different, have 3 and 2."""
+    rows = [(i, i, i + i % 3 - 1, 2 * i, 2 * i + 5 * (i % 2)) for i in range(4000)]
+    d = spark.createDataFrame(rows, "note long, a long, b long, c long, e long")
+    swaps = [(["a"], ["b"]), (["c"], ["e"])]
+    moves = {(r["_s"], r["_d0"]): r.m for r in st.differences(st.cells_of(d), swaps).collect()}
+    assert moves == {(0, -1): 1334, (0, 1): 1333, (1, 5): 2000}
+    got = st.resample(d, 3000, 3, swaps).toPandas()
+    assert len(got) == 3000 and (got.drawn == 4000).all() and (got.a + got.b == sum(r[1] + r[2] for r in rows)).all() and (got.c + got.e == sum(r[3] + r[4] for r in rows)).all()
+    assert abs(got.a.var() / (2667 / 4) - 1) < 0.1 and abs(got.c.var() / (25 * 2000 / 4) - 1) < 0.1 and abs(np.corrcoef(got.a, got.c)[0, 1]) < 0.07
+    still = st.resample(d.select("note", "a", F.col("a").alias("b")), 50, 3, [(["a"], ["b"])]).toPandas()
+    assert len(still) == 50 and (still.a == sum(range(4000))).all()
+
+
 def test_resample_of_no_notes(spark):
     d = spark.createDataFrame([], "note long, x long")
     assert st.resample(d, 5, 1).where("drawn <> 0 or x <> 0").collect() == []
