@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chunks, evidence_query, preview
+from ..operators import label_base as lb
 from ..operators import retrieval as rt
 from ..operators import scoring as sc
 
@@ -51,6 +52,30 @@ def evidence(notes: DataFrame, candidates: DataFrame, base: DataFrame, k: int =
     return out.withColumn("evidence_preview", preview(F.col("evidence"))).select("note", "code", "evidence", "evidence_preview", "evidence_chunk_id", "evidence_score", *(x for x in candidates.columns if x not in ("note", "code")))
 
 
+def _held(notes: DataFrame, base: DataFrame, k: int) -> DataFrame | None:
+    """Candidates with note-local evidence by BM25 and deterministic scores, worked out note by note against a base that every task holds; None for a base that is too large for it. ``notes``: one row a note."""
+    of = lb.held(base, "code", evidence_query(F.col("code"), F.col("text"))) if base.schema["code"].dataType.simpleString() == "string" else None
+    if of is None:
+        return None
+    text = F.coalesce("text", F.lit(""))
+    n = notes.count()
+    tasks = max(2, -(-n // rt.TASK_ROWS), min(2 * notes.sparkSession.sparkContext.defaultParallelism, n // 100))  # few notes are dealt over the cores
+    own = notes.select("note", "text").repartition(tasks, "note").select("note", lb.candidates(of, k)(text.cast("binary"), F.lower(text).cast("binary")).alias("own"))
+    own = own.repartition(tasks, "note")  # a Python step forgets how its rows were dealt; the windows by note keep this
+    conf, ok = sc.mock_score_of(F.col("share"))
+    p = own.select("note", F.explode("own").alias("own")).select("note", "own.*").withColumn("confidence", conf).withColumn("supported", ok)
+    return p.withColumn("evidence_preview", F.translate("head", "\n", " ")).withColumn("evidence_quote", F.substring("head", 1, 80)).withColumn("evidence_chunk_id", F.coalesce(F.concat(F.lit("chunk_"), F.col("doc").cast("string")), F.lit("")))
+
+
+def _joined(notes: DataFrame, base: DataFrame, k: int, alpha: float, encode) -> DataFrame:
+    """``_held`` by joins, for any base and encoder."""
+    tasks = max(1, -(-notes.count() // rt.TASK_ROWS))
+    cand = retrieval_only(notes, base, k, tasks=tasks).withColumnRenamed("confidence", "retrieval_score").withColumnRenamed("rank", "candidate_rank")
+    e = evidence(notes, cand.join(base.select("code", F.col("text").alias("title")), "code").select("note", "code", "candidate_rank", "retrieval_score", "title"), base, alpha=alpha, encode=encode, tasks=tasks)
+    conf, ok = sc.mock_score(F.col("title"), F.col("evidence"))
+    return e.withColumn("confidence", conf).withColumn("supported", ok).withColumn("evidence_quote", F.substring("evidence", 1, 80))
+
+
 def coded(notes: DataFrame, base: DataFrame, k: int = 15, least: float = 0.3, mode: str = "filter", min_final: int = 1, cap: int = 10, contrast: bool = False, legacy: bool = False, threshold: float = 0.0, alpha: float = 1.0, encode=None) -> DataFrame:
     """(note, code, confidence, supported, evidence..., risk_flag, rank): the whole pipeline with the deterministic scorer.
 
@@ -60,12 +85,9 @@ def coded(notes: DataFrame, base: DataFrame, k: int = 15, least: float = 0.3, mo
     Evidence of a note of one chunk scores 0 (see ``evidence``), so with ``least`` above 0 ``filter`` drops all its codes and ``flag`` marks them; the
     scorer sees all the evidence either way, without the caps of a prompt.
     """
-    tasks = max(1, -(-notes.count() // rt.TASK_ROWS))
-    cand = retrieval_only(notes, base, k, tasks=tasks).withColumnRenamed("confidence", "retrieval_score").withColumnRenamed("rank", "candidate_rank")
-    e = evidence(notes, cand.join(base.select("code", F.col("text").alias("title")), "code").select("note", "code", "candidate_rank", "retrieval_score", "title"), base, alpha=alpha, encode=encode, tasks=tasks)
-    conf, ok = sc.mock_score(F.col("title"), F.col("evidence"))
-    p = e.withColumn("confidence", conf).withColumn("supported", ok).withColumn("evidence_quote", F.substring("evidence", 1, 80)).withColumn("risk_flag", F.when(ok, "none").otherwise("weak_evidence"))
-    p = p.select("note", "code", "evidence_preview", "evidence_chunk_id", "evidence_score", "confidence", "supported", "evidence_quote", "risk_flag", "candidate_rank", "retrieval_score", F.col("candidate_rank").alias("rank"))
+    p = _held(notes, base, k) if alpha == 1.0 or encode is None else None
+    p = _joined(notes, base, k, alpha, encode) if p is None else p
+    p = p.select("note", "code", "evidence_preview", "evidence_chunk_id", "evidence_score", "confidence", "supported", "evidence_quote", F.when(F.col("supported"), "none").otherwise("weak_evidence").alias("risk_flag"), "candidate_rank", "retrieval_score", F.col("candidate_rank").alias("rank"))
     if mode != "off":
         p = sc.constrain(p, least, mode, score="evidence_score", judged=not legacy)
     if contrast:
