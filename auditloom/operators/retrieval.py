@@ -323,14 +323,14 @@ def threshold(scores: DataFrame, least: float) -> DataFrame:
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A stand-in encoder: the eight little-endian words of the SHA-256 digest, modulo 10007, repeated to ``dim`` numbers."""
-    h = F.sha2(text, 256)
 
-    def word(i: Column) -> Column:
-        part = F.substr(h, (i * 8 + 1).cast("int"), F.lit(8))
+    def word(h: Column, i: int) -> Column:
+        part = F.substr(h, F.lit(i * 8 + 1), F.lit(8))
         swapped = F.concat(*[F.substr(part, F.lit(k), F.lit(2)) for k in (7, 5, 3, 1)])
         return (F.conv(swapped, 16, 10).cast("long") % 10007) / 10007
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: word(i % 8))
+    eight = F.transform(F.array(F.sha2(text, 256)), lambda h: F.array(*[word(h, i) for i in range(8)]))[0]  # the text is digested once
+    return F.slice(F.flatten(F.array_repeat(eight, -(-dim // 8))), 1, dim)
 
 
 def leakage(evidence: DataFrame) -> DataFrame:

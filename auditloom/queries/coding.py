@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..operators import label_base as lb
 from ..operators import retrieval as rt
 from ..plans import coding
 from ..sources import fixtures as fx
@@ -128,5 +129,9 @@ def plan_legacy(spark, d):
 def note_local_hybrid(spark, d):
     """All labels against the chunks of each note by BM25 and the cosine of a stand-in encoder."""
     notes, base = _inputs(spark, d)
+    labels, tasks = base.select(F.col("code").alias("query"), "text"), fx.tasks_for(notes, rt.TASK_ROWS)
+    out = lb.note_local_of_base(notes, labels, 2, 0.5, rt.hash_embedding, tasks=tasks)
+    if out is not None:
+        return out
     c = notes.select("note", F.posexplode(fc.chunks(F.col("text"))).alias("doc", "text"))
-    return rt.note_local(base.select(F.col("code").alias("query"), "text"), c, 2, 0.5, rt.hash_embedding, tasks=fx.tasks_for(notes, rt.TASK_ROWS))
+    return rt.note_local(labels, c, 2, 0.5, rt.hash_embedding, tasks=tasks)

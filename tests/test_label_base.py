@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from auditloom.functions.columns import chunks
 from auditloom.operators import label_base as lb
+from auditloom.operators import retrieval
 from auditloom.plans import coding
 
 
@@ -42,6 +46,17 @@ def test_coded_makes_rows_of_candidates_only(spark, tables):
         assert plan.count("Exchange hashpartitioning(note") == 2  # texts, then what is left of them
 
 
+@pytest.mark.parametrize(("alpha", "encode"), [(0.5, retrieval.hash_embedding), (0.0, retrieval.hash_embedding), (1.0, retrieval.hash_embedding), (1.0, None)])
+def test_note_local_of_a_held_base_gives_the_rows_of_joins(spark, tables, alpha, encode):
+    notes, base = tables
+    labels = base.withColumnRenamed("code", "query")
+    c = notes.select("note", F.posexplode(chunks(F.col("text"))).alias("doc", "text"))
+    want, got = retrieval.note_local(labels, c, 2, alpha, encode, tasks=2), lb.note_local_of_base(notes, labels, 2, alpha, encode)
+    assert {f.name: f.dataType for f in got.schema} == {f.name: f.dataType for f in want.schema}
+    assert rows(got) == rows(want)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_other_bases_go_through_joins(spark, tables, monkeypatch):
     notes, base = tables
     assert coding._held(notes, base.union(base.limit(1)), 3) is None  # a label twice
@@ -49,3 +64,30 @@ def test_other_bases_go_through_joins(spark, tables, monkeypatch):
     monkeypatch.setattr(lb, "LABELS", 7)
     assert coding._held(notes, base, 3) is None and lb.note_local_of_base(notes, base.withColumnRenamed("code", "query"), 2) is None
     assert coding.coded(notes, base, k=3, mode="off").where("note = 9").count() == 3
+
+
+def test_parts_and_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(60)]
+    texts = [b" ".join(rng.choice(words, 8)) for _ in range(23)]
+    vectors = rng.integers(-3, 4, (23, 5)).astype(float).tolist()
+    make = lambda: lb.Base(list(range(23)), texts, texts, [[]] * 23, [*vectors[:-1], None], 1.5, 0.75)
+    base = make()
+    ids = base.ids(rng.choice([*words, b"unknown"], 900).tolist())
+    v = rng.integers(-3, 4, (lb.count(900, 64, 56), 5)).astype(float)
+    (_, want), cosines = *base.chunk_scores(ids, len(v), 64, 56), base.cosines(0, 23, v)
+    assert np.isnan(cosines[-1]).all() and want.any()
+    monkeypatch.setattr(lb, "PART", 4)
+    monkeypatch.setattr(lb, "BLOCK", 3)
+    monkeypatch.setattr(lb, "CELLS", 100)
+    base = make()
+    parts = list(base.chunk_scores(ids, len(v), 64, 56))
+    assert [f for f, _ in parts] == list(range(0, 23, 4)) and np.array_equal(np.concatenate([x for _, x in parts]), want)
+    assert np.array_equal(base.cosines(0, 23, v), cosines, equal_nan=True)
+
+
+def test_hash_embedding_digests_a_text_once(spark):
+    df = spark.createDataFrame([("a",), (None,)], "t string").select(retrieval.hash_embedding(F.col("t"), 12).alias("v"))
+    assert df._jdf.queryExecution().analyzed().toString().count("sha2(") == 1
+    a, none = (r.v for r in df.collect())
+    assert len(a) == 12 and a[:4] == a[8:] and none == [None] * 12
