@@ -171,10 +171,14 @@ def candidates(base, k: int, passages: int = 2, size: int = 256, overlap: int =
             found, scaled = of.passages(ids, top, passages, size, step) if len(top) else (np.zeros((0, 0), np.int64), np.zeros(0))
             long = {i: titles.intersection(b" ".join(low[i * step : i * step + size]).translate(APART).split()) for i in set(found.ravel().tolist())}
             start = {i: b" ".join(words[i * step : i * step + min(size, HEAD)]) for i in long}  # so many words have more characters
-            for at, chunk in zip(top.tolist(), found.tolist()):
+            seen = {}  # most labels have the same chunks
+            for at, chunk in zip(top.tolist(), map(tuple, found.tolist())):
+                if chunk not in seen:
+                    seen[chunk] = b"\n".join(start[i] for i in chunk)[: 4 * HEAD].decode("utf-8", "replace")[:HEAD], frozenset().union(*map(long.get, chunk))
+                first, there = seen[chunk]
                 title = of.titles[at]
-                share.append(len(title.intersection(set().union(*map(long.get, chunk)))) / len(title) if title else 0.0)
-                head.append(b"\n".join(start[i] for i in chunk).decode("utf-8", "replace")[:HEAD])
+                share.append(len(title & there) / len(title) if title else 0.0)
+                head.append(first)
                 doc.append(chunk[0] if chunk else None)
             sizes.append(len(top))
             label.append(top)

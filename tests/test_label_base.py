@@ -91,3 +91,15 @@ def test_hash_embedding_digests_a_text_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().count("sha2(") == 1
     a, none = (r.v for r in df.collect())
     assert len(a) == 12 and a[:4] == a[8:] and none == [None] * 12
+
+
+def test_legacy_plan_of_all_documents_gives_the_rows_of_joins(spark, monkeypatch):
+    from auditloom.queries.coding import plan_legacy
+
+    d = "/root/testdata/sf0.001"
+    held = plan_legacy(spark, d)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate ") == 1
+    got = rows(held)
+    monkeypatch.setattr(lb, "LABELS", 1)
+    assert got == rows(plan_legacy(spark, d)) and got
